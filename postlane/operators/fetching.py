@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from postlane import settings
 from postlane.functions import urls
 from postlane.operators.ordering import dedupe_first, interleave, top_per_group
-from postlane.session import small_side
 
 
 def discovered_pages(hits: DataFrame) -> DataFrame:
@@ -36,7 +35,8 @@ def apply_host_caps(pages: DataFrame, caps: dict[str, int], order: list[Column])
     table = host_caps_table(pages.sparkSession, caps)
     hosted = pages.withColumn("host", urls.source_host(F.col("url")))
     limited = (
-        hosted.join(small_side(table), "host", "left")
+        # The caps come from configuration, which the driver holds already.
+        hosted.join(F.broadcast(table), "host", "left")
         .withColumn("cap", F.coalesce("cap", F.lit(settings.PAGE_BUDGET)))
         .where(F.col("cap") > 0)
     )

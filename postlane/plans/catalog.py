@@ -530,8 +530,10 @@ def scored_export_run(spark, d):
 @query
 def resume_plan(spark, d):
     inputs = fx.batched_inputs(spark, d)
-    # Every third batch was never committed.
-    committed = state.with_key(inputs.where(F.col("batch") % 3 != 2))
+    # Batches with a rejected document were committed, the others were lost in a crash.
+    rejected = fx.table(spark, d, "labels").where("quality = 0").select("doc_id")
+    stored = inputs.join(rejected, "doc_id").select("batch").distinct()
+    committed = state.with_key(inputs.join(stored, "batch", "left_semi"))
     return scoring.unfinished_batches(inputs, committed).select("doc_id", "batch", "dedup_key")
 
 

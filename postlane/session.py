@@ -68,15 +68,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the optimized plan (no job is run)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+def small_side(df: DataFrame, max_rows: int = settings.BROADCAST_ROWS) -> DataFrame:
+    """A narrow join side, hinted for broadcast only if it was counted to be small.
 
-
-def small_side(df: DataFrame, limit: int = settings.BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only if the estimated size is within ``limit``.
-
-    Beyond it the frame is returned unhinted and the join is a shuffled one,
-    which AQE may still re-plan from measured sizes.
+    The rows are written once and counted, so nothing is estimated. Beyond ``max_rows``
+    the frame is returned unhinted: the join shuffles, and AQE splits its skewed keys.
     """
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
+    stored = materialize(df)
+    return F.broadcast(stored) if stored.count() <= max_rows else stored

@@ -94,8 +94,8 @@ DEFAULT_SOURCES = {
 SPREAD = 64
 # Numeric ids per chunk when a neighbour along a global order is looked up.
 ID_CHUNK = 1_000_000
-# Largest table (estimated bytes) that may be broadcast by an explicit hint.
-BROADCAST_BYTES = 64 * 1024 * 1024
+# Most rows of a narrow table that may be broadcast by an explicit hint.
+BROADCAST_ROWS = 200_000
 
 
 def source_config(overrides=None):
