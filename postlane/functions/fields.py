@@ -17,11 +17,9 @@ FIRST_MS, LAST_MS = -62_135_596_800_000, 253_402_300_799_999
 def place_text(area: Column, region: Column) -> Column:
     """``area, region``, collapsed when they are the same place."""
     area, region = strip(or_blank(area)), strip(or_blank(region))
-    distinct = (area != "") & (F.lower(area) != F.lower(region))
-    return F.when(
-        distinct,
-        F.when(region != "", F.concat(area, F.lit(", "), region)).otherwise(area),
-    ).otherwise(F.coalesce(first_nonempty(region, area), F.lit(settings.SJS_DEFAULT_LOCATION)))
+    own = F.when((area != "") & (F.lower(area) != F.lower(region)), area)
+    place = F.concat_ws(", ", own, first_nonempty(region))
+    return F.coalesce(first_nonempty(place), F.lit(settings.SJS_DEFAULT_LOCATION))
 
 
 def epoch_ms_to_date(c: Column) -> Column:

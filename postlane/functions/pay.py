@@ -6,17 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postlane import settings
-from postlane.functions.text import or_blank, strip
+from postlane.functions.text import WHITESPACE, bind, or_blank, strip
 
-# Plain decimal notation. Spark's cast also accepts suffixes such as `12d`, which
-# are not numbers here, so text is checked before it is cast.
-NUMBER_PATTERN = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+# Plain decimal notation, padded or not. Spark's cast also accepts suffixes such as
+# `12d`, which are not numbers here, so only this much of a text is cast.
+NUMBER_PATTERN = (
+    rf"^[{WHITESPACE}]*([+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)[{WHITESPACE}]*$"
+)
 
 
 def to_number(c: Column) -> Column:
     """Text to DOUBLE; NULL for text that is not a number."""
-    text = strip(c.cast("string"))
-    return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
+    return F.regexp_extract(c.cast("string"), NUMBER_PATTERN, 1).try_cast("double")
 
 
 def _bound(c: Column) -> Column:
@@ -26,38 +27,37 @@ def _bound(c: Column) -> Column:
 
 
 def _range_text(low: Column, high: Column, money) -> Column:
-    both = (low > 0) & (high > 0) & (low != high)
-    text = (
-        F.when((low <= 0) & (high <= 0), F.lit(""))
-        .when(both, F.concat(money(low), F.lit("-"), money(high)))
-        .otherwise(money(F.when(high > 0, high).otherwise(low)))
-    )
-    return F.when(low.isNull() | high.isNull(), F.lit("")).otherwise(text)
+    """The positive bounds joined by a dash, one figure if they are equal.
+
+    Blank if there is none, or if either bound is not a number.
+    """
+
+    def shown(b):
+        first = F.when((b["low"] > 0) & b["high"].isNotNull(), money(b["low"]))
+        second = F.when((b["high"] > 0) & (b["low"] != b["high"]), money(b["high"]))
+        return F.concat_ws("-", first, second)
 
+    return bind(F.struct(_bound(low).alias("low"), _bound(high).alias("high")), shown)
 
-def _dollars(places: int):
-    return lambda v: F.concat(F.lit("$"), F.format_number(v, places))
+
+def _dollars(v: Column, places: int) -> Column:
+    return F.concat(F.lit("$"), F.format_number(v, places))
 
 
 def salary_range_text(low: Column, high: Column) -> Column:
     """``$60,000-$80,000``; one figure if one-sided or equal; blank if there is none."""
-    low, high = _bound(low), _bound(high)
-    # With equal bounds either side prints the same figure.
-    return _range_text(low, high, _dollars(0))
+    return _range_text(low, high, lambda v: _dollars(v, 0))
 
 
 def pay_text(low: Column, high: Column, kind: Column) -> Column:
     """``$23.95-$28.00/hr``: cents for hourly pay, whole dollars for yearly and monthly."""
-    low, high = _bound(low), _bound(high)
     kind = F.lower(strip(or_blank(kind)))
     unit = F.lit("")
     for name, suffix in settings.PAY_UNITS.items():
         unit = F.when(kind == name, F.lit(suffix)).otherwise(unit)
     whole = kind.isin(settings.WHOLE_DOLLAR_PAY)
-    amount = F.when(whole, _range_text(low, high, _dollars(0))).otherwise(
-        _range_text(low, high, _dollars(2))
-    )
-    return F.when(amount == "", F.lit("")).otherwise(F.concat(amount, unit))
+    amount = _range_text(low, high, lambda v: F.when(whole, _dollars(v, 0)).otherwise(_dollars(v, 2)))
+    return bind(amount, lambda a: F.when(a == "", a).otherwise(F.concat(a, unit)))
 
 
 def with_estimate(salary: Column, predicted: Column) -> Column:

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postlane.functions.text import bind
+
 # RFC 3986 appendix B, tolerant of leading blanks: scheme, authority, path, query, fragment.
 URL_PATTERN = (
     r"^[\x00-\x20]*(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)"
     r"(?:\?([^#]*))?(?:#([\s\S]*))?$"
 )
-# The same, with the path as group 1 and the query as group 2.
-KEY_PATTERN = (
-    r"^[\x00-\x20]*(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
-    r"(?:\?([^#]*))?(?:#[\s\S]*)?$"
-)
+# Line breaks are removed before matching, so they can separate the parts afterwards.
+URL_PARTS = "$1\n$2\n$3\n$4\n$5"
+KEY_PARTS = "$2\n$3?$4"
 # Parameters of the last path segment, up to the `?` that ends the path of a key.
 KEY_PARAMS = r"^([^?]*?);[^/?]*\?"
 # Schemes whose last path segment may carry parameters.
@@ -45,11 +45,29 @@ def source_host(url: Column) -> Column:
 
 def dedup_key(url: Column) -> Column:
     """Canonical host + path + ``?`` + query; a blank URL gives ``?``."""
-    rest = F.regexp_replace(_clean(url), KEY_PATTERN, "$1?$2")
+    # One pass over the URL yields the authority and the rest.
+    parts = F.regexp_replace(_clean(url), URL_PATTERN, KEY_PARTS)
+    host = canonical_host(F.substring_index(parts, "\n", 1))
+    rest = F.substring_index(parts, "\n", -1)
     scheme = F.lower(F.regexp_extract(_clean(url), URL_PATTERN, 1))
     has_params = rest.contains(";") & scheme.isin(PARAM_SCHEMES)
     bare = F.when(has_params, F.regexp_replace(rest, KEY_PARAMS, "$1?")).otherwise(rest)
-    return F.concat(source_host(url), bare)
+    return F.concat(host, bare)
+
+
+def _parts(url: Column) -> Column:
+    """Scheme, authority, path, query and fragment, blank where absent."""
+    split = F.split(F.regexp_replace(_clean(url), URL_PATTERN, URL_PARTS), "\n", -1)
+    return bind(
+        split,
+        lambda p: F.struct(
+            F.lower(p[0]).alias("scheme"),
+            p[1].alias("host"),
+            p[2].alias("path"),
+            p[3].alias("query"),
+            p[4].alias("fragment"),
+        ),
+    )
 
 
 def _merge_path(base_path: Column, path: Column) -> Column:
@@ -59,62 +77,72 @@ def _merge_path(base_path: Column, path: Column) -> Column:
         # Empty segments inside a joined path collapse.
         F.regexp_replace(F.concat(parent, path), "/{2,}", "/")
     )
-    segments = F.split(joined, "/", -1)
-    walked = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda done, seg: F.when(
-            seg == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+
+    def resolve(text):
+        segments = F.split(text, "/", -1)
+        walked = F.aggregate(
+            segments,
+            F.array().cast("array<string>"),
+            lambda done, seg: F.when(
+                seg == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+            )
+            .when(seg == ".", done)
+            .otherwise(F.concat(done, F.array(seg))),
         )
-        .when(seg == ".", done)
-        .otherwise(F.concat(done, F.array(seg))),
-    )
-    last = F.element_at(segments, -1)
-    closed = F.when(
-        last.isin(".", ".."), F.concat(walked, F.array(F.lit("")))
-    ).otherwise(walked)
-    dotted = joined.rlike(r"(?:^|/)\.\.?(?:/|$)")
-    resolved = F.when(dotted, F.concat_ws("/", closed)).otherwise(joined)
-    return F.when(resolved == "", F.lit("/")).otherwise(resolved)
+        # A path that ends in a dot segment names a folder.
+        closing = F.when(
+            F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))
+        ).otherwise(F.array().cast("array<string>"))
+        dotted = text.rlike(r"(?:^|/)\.\.?(?:/|$)")
+        return F.when(dotted, F.array_join(F.concat(walked, closing), "/")).otherwise(text)
 
+    resolved = bind(joined, resolve)
+    return bind(resolved, lambda r: F.when(r == "", F.lit("/")).otherwise(r))
 
-def resolve_url(base: Column, reference: Column) -> Column:
-    """Absolute form of ``reference`` found on page ``base``; blank gives the page."""
-    ref_text, base_text = _clean(reference), _clean(base)
 
-    def part(text, group):
-        return F.regexp_extract(text, URL_PATTERN, group)
+def _resolve(reference: Column, base: Column) -> Column:
+    same_document = (reference["path"] == "") & (reference["host"] == "")
+    own_host = reference["host"] != ""
+    params = F.regexp_extract(reference["path"], r"(;[^/]+)$", 1)
 
-    ref_scheme, base_scheme = F.lower(part(ref_text, 1)), F.lower(part(base_text, 1))
-    ref_host, base_host = part(ref_text, 2), part(base_text, 2)
-    ref_path, base_path = part(ref_text, 3), part(base_text, 3)
-    ref_query, base_query = part(ref_text, 4), part(base_text, 4)
+    def bare(path):
+        return F.regexp_replace(path, r";[^/]*$", "")
 
-    params = F.regexp_extract(ref_path, r"(;[^/]+)$", 1)
-    bare_path = F.regexp_replace(ref_path, r";[^/]*$", "")
-    base_bare = F.regexp_replace(base_path, r";[^/]*$", "")
-    same_document = (ref_path == "") & (ref_host == "")
-    host = F.when(ref_host != "", ref_host).otherwise(base_host)
+    merged = F.concat(_merge_path(bare(base["path"]), bare(reference["path"])), params)
     path = (
-        F.when(ref_host != "", ref_path)
-        .when(same_document, base_path)
-        .otherwise(F.concat(_merge_path(base_bare, bare_path), params))
+        F.when(own_host, reference["path"]).when(same_document, base["path"]).otherwise(merged)
     )
-    query = F.when(same_document & (ref_query == ""), base_query).otherwise(ref_query)
-    fragment = part(ref_text, 5)
-
-    rooted = F.when(
-        (host != "") & (path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)
-    ).otherwise(path)
-    absolute = F.concat(
-        F.when(base_scheme != "", F.concat(base_scheme, F.lit(":"))).otherwise(""),
-        F.when(host != "", F.concat(F.lit("//"), host)).otherwise(""),
-        rooted,
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-        F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
+    host = F.when(own_host, reference["host"]).otherwise(base["host"])
+    query = F.when(same_document & (reference["query"] == ""), base["query"]).otherwise(
+        reference["query"]
     )
-    return (
-        F.when(ref_text == "", F.coalesce(base, F.lit("")))
-        .when((ref_scheme != "") & (ref_scheme != base_scheme), reference)
-        .otherwise(absolute)
+
+    def put_together(u):
+        def unless_blank(part, before="", after=""):
+            return F.when(part != "", F.concat(F.lit(before), part, F.lit(after))).otherwise("")
+
+        slash = F.when((u["host"] != "") & (u["path"] != "") & ~u["path"].startswith("/"), "/")
+        return F.concat(
+            unless_blank(base["scheme"], after=":"),
+            unless_blank(u["host"], before="//"),
+            slash.otherwise(""),
+            u["path"],
+            unless_blank(u["query"], before="?"),
+            unless_blank(reference["fragment"], before="#"),
+        )
+
+    return bind(
+        F.struct(host.alias("host"), path.alias("path"), query.alias("query")), put_together
     )
+
+
+def resolve_url(base: Column, reference: Column) -> Column:
+    """Absolute form of ``reference`` found on page ``base``; blank gives the page."""
+
+    def choose(u):
+        other = (u["ref"]["scheme"] != "") & (u["ref"]["scheme"] != u["base"]["scheme"])
+        return F.when(other, reference).otherwise(_resolve(u["ref"], u["base"]))
+
+    pair = F.struct(_parts(reference).alias("ref"), _parts(base).alias("base"))
+    blank = _clean(reference) == ""
+    return F.when(blank, F.coalesce(base, F.lit(""))).otherwise(bind(pair, choose))

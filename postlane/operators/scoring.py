@@ -215,9 +215,13 @@ def contract_violations(results: DataFrame) -> DataFrame:
 WORD_BREAK = r"[^\p{L}\p{N}+#]+"
 
 
-def tokens(c: Column) -> Column:
-    """Distinct lower-case words of a text."""
-    return F.array_distinct(F.array_remove(F.split(F.lower(or_blank(c)), WORD_BREAK), ""))
+def words_of(*texts: str) -> Column:
+    """Lower-case words of some text columns, with repeats."""
+    return F.split(F.lower(F.concat_ws(" ", *texts)), WORD_BREAK)
+
+
+def _literal(words: list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words])
 
 
 def skill_points(shared: Column, wanted: Column) -> Column:
@@ -225,17 +229,11 @@ def skill_points(shared: Column, wanted: Column) -> Column:
 
 
 def posting_points(df: DataFrame, today: Column, remote_words: list[str], flag_words: list[str]) -> DataFrame:
-    """Adds the profile-independent features: remote signal, freshness, red flags."""
-    words = F.col("words")
-
-    def literal(values):
-        return F.array(*[F.lit(v) for v in values])
-
-    flags = F.array_sort(F.array_intersect(words, literal(flag_words)))
+    """Adds the profile-independent features of postings with a ``words`` array."""
     return (
-        df.withColumn("remote", F.arrays_overlap(words, literal(remote_words)))
+        df.withColumn("remote", F.arrays_overlap("words", _literal(remote_words)))
         .withColumn("fresh", fields.is_fresh(F.col("posted_date").try_cast("date"), today))
-        .withColumn("red_flags", flags)
+        .withColumn("red_flags", F.array_sort(F.array_intersect("words", _literal(flag_words))))
         .withColumn(
             "base_points",
             F.col("remote").cast("int") * 20 + F.col("fresh").cast("int") * 20 - F.size("red_flags") * 10,
@@ -267,12 +265,11 @@ def feature_score(
     Up to 60 points for the share of the profile's skills the posting names, 20 for a
     remote signal, 20 for freshness, less 10 per red flag, kept within 0 to 100.
     """
-    wanted = F.array(*[F.lit(s) for s in skills])
-    described = postings.withColumn(
-        "words", tokens(F.concat_ws(" ", F.col("title"), F.col("description")))
-    )
+    # One pass over a posting's words keeps the few that any feature looks at.
+    known = _literal(sorted({*skills, *remote_words, *flag_words}))
+    described = postings.withColumn("words", F.array_intersect(words_of("title", "description"), known))
     featured = posting_points(described, today, remote_words, flag_words)
-    reasons = F.array_sort(F.array_intersect("words", wanted))
+    reasons = F.array_sort(F.array_intersect("words", _literal(skills)))
     score = final_score(skill_points(F.size("match_reasons"), F.lit(len(skills))) + F.col("base_points"))
     return (
         featured.withColumn("match_reasons", reasons)
@@ -305,9 +302,7 @@ def profile_top_matches(
     )
     sets = signed.groupBy("set_id").agg(F.any_value("skill_set").alias("skill_set"))
     set_words = sets.select("set_id", F.size("skill_set").alias("wanted"), F.explode("skill_set").alias("word"))
-    described = postings.withColumn(
-        "words", tokens(F.concat_ws(" ", F.col("title"), F.col("description")))
-    )
+    described = postings.withColumn("words", F.array_distinct(words_of("title", "description")))
     featured = posting_points(described, today, remote_words, flag_words).select(
         posting_id, "base_points", "words"
     )

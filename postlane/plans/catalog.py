@@ -57,7 +57,7 @@ def resolve_url(spark, d):
 
 
 def _page_text(spark, d, fn):
-    html = fx.table(spark, d, "pages").select("page_id", fn(F.col("html")).alias("t"))
+    html = fx.wide_table(spark, d, "pages").select("page_id", fn(F.col("html")).alias("t"))
     return html.select("page_id", *_text_digest(F.col("t")))
 
 
@@ -170,7 +170,7 @@ def _raw_answers(spark, d):
         .when(F.expr("doc_id % 5 = 3"), F.concat(value, F.lit("\ndata: [DONE]\n\n")))
         .otherwise(F.lit("Sorry, I cannot do that."))
     )
-    docs = fx.table(spark, d, "documents").select("doc_id", "text")
+    docs = fx.wide_table(spark, d, "documents").select("doc_id", "text")
     return docs.select(F.lit(1).cast("long").alias("run_id"), F.col("doc_id").alias("batch"), raw.alias("raw"))
 
 
@@ -256,7 +256,7 @@ def interleave_boards(spark, d):
 def _all_postings(spark, d):
     landed = fx.landed_feeds(spark, d)
     parts = [normalize(landed).drop(*feeds.ORDER_COLUMNS) for normalize in feeds.NORMALIZERS.values()]
-    scraped = pages.anchor_postings(fx.table(spark, d, "pages")).drop("page_id", "page_url", "pos", "salary")
+    scraped = pages.anchor_postings(fx.wide_table(spark, d, "pages")).drop("page_id", "page_url", "pos", "salary")
     out = scraped
     for part in parts:
         out = out.unionByName(part, allowMissingColumns=True)
@@ -324,7 +324,7 @@ def fetch_plan(spark, d):
 
 @query
 def page_anchor_postings(spark, d):
-    found = pages.anchor_postings(fx.table(spark, d, "pages"))
+    found = pages.anchor_postings(fx.wide_table(spark, d, "pages"))
     return found.select("page_id", "pos", "title", "location", "url", "source")
 
 
@@ -677,9 +677,9 @@ def _stream_table(spark, d, name):
 @query
 def stream_ingest(spark, d):
     root = scratch_path(spark, "ingest")
-    fx.landed_feeds(spark, d).write.json(os.path.join(root, "landed"))
-    landed = ingest.landed_stream(spark, os.path.join(root, "landed"), files_per_trigger=8)
-    stream = ingest.posting_stream(landed, fx.search_config()["api_sources"])
+    landed = os.path.join(root, "landed")
+    fx.landed_feeds(spark, d).write.partitionBy("source").json(landed)
+    stream = ingest.posting_stream(spark, landed, fx.search_config()["api_sources"])
     stored = runner.drain_to_table(stream, os.path.join(root, "out"), os.path.join(root, "checkpoint"))
     return stored.select("source", "url", F.coalesce("salary", F.lit("(none)")).alias("salary"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from postlane import settings
 from postlane.functions import urls
 from postlane.operators import scoring, state
+from postlane.session import spread
 
 TODAY = "1998-08-01"
 RUN_DAY = "2024-02-01"
@@ -35,12 +36,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Tables whose rows take real work, with a key to spread them by.
+SPREAD_KEYS = {"documents": ["doc_id"], "pages": ["page_id"], "lineitem": ["l_orderkey", "l_linenumber"]}
+
+
+def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for costly row-wise work, spread if its scan is too narrow for the cores."""
+    return spread(table(spark, sf_dir, name), *SPREAD_KEYS[name])
+
+
 # -- pages ------------------------------------------------------------------------
 
 
 def page_copies(spark, sf_dir) -> DataFrame:
     """Every page as a search hit, and once more under a regional host in the next query."""
-    pages = table(spark, sf_dir, "pages").select(
+    pages = wide_table(spark, sf_dir, "pages").select(
         "page_id",
         "url",
         F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
@@ -96,7 +106,7 @@ def extraction_pages(spark, sf_dir) -> DataFrame:
         .when(kind == 2, F.concat(F.lit('{"jobs": ["noise", {"title": "  "}, '), body, F.lit("}")))
         .otherwise(F.concat(F.lit('{"jobs": ['), body, F.lit("}")))
     )
-    return table(spark, sf_dir, "pages").select(
+    return wide_table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("page_no"),
         "url",
         F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
@@ -109,7 +119,7 @@ REFERENCES = ["/abs/x", "rel/x", "?q=1", "#frag", "", "//other.org/z", "https://
 
 
 def references(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(
+    return wide_table(spark, sf_dir, "pages").select(
         "page_id", "url", F.posexplode(F.array(*[F.lit(r) for r in REFERENCES])).alias("ref_no", "ref")
     )
 
@@ -240,7 +250,7 @@ def landed_greenhouse(spark, sf_dir):
         ),
         F.expr("concat('2026-07-', lpad(cast(n_chars % 28 + 1 as string), 2, '0'))").alias("updated_at"),
     )
-    rows = table(spark, sf_dir, "documents")
+    rows = wide_table(spark, sf_dir, "documents")
     return _landed(rows, "greenhouse", F.col("source"), F.expr("doc_id div 1000"), F.col("doc_id"), item, _object("jobs"))
 
 
@@ -257,7 +267,7 @@ def landed_lever(spark, sf_dir):
         F.expr("case when doc_id % 3 = 1 then text end").alias("descriptionBodyPlain"),
         F.expr("concat('<div>', text, '</div>')").alias("descriptionBody"),
     )
-    rows = table(spark, sf_dir, "documents")
+    rows = wide_table(spark, sf_dir, "documents")
     return _landed(rows, "lever", F.col("source"), F.expr("doc_id div 1000"), F.col("doc_id"), item, _plain)
 
 
@@ -295,7 +305,7 @@ def landed_with_dead(spark, sf_dir) -> DataFrame:
 
 def sightings(spark, sf_dir) -> DataFrame:
     """Line items as sightings of part postings, one run per month."""
-    return table(spark, sf_dir, "lineitem").select(
+    return wide_table(spark, sf_dir, "lineitem").select(
         F.expr("cast(year(l_shipdate) * 100 + month(l_shipdate) as bigint)").alias("run_id"),
         F.expr("l_orderkey * 8 + l_linenumber").alias("seq"),
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"),
@@ -317,7 +327,7 @@ def document_url() -> str:
 
 def document_postings(spark, sf_dir) -> DataFrame:
     """Documents as postings of one run."""
-    return table(spark, sf_dir, "documents").select(
+    return wide_table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("seq"),
         "doc_id",
         F.expr("concat(lang, ' role')").alias("title"),
@@ -494,7 +504,7 @@ def customer_jobs(spark, sf_dir) -> DataFrame:
         F.expr("case when c_nationkey % 4 = 0 then '' else concat('$', c_custkey, ',000-$', c_custkey + 1, ',500') end").alias(
             "salary"
         ),
-        F.expr("case when c_custkey % 40 = 39 then null else round(c_acctbal / 100, 2) end").alias("score"),
+        F.expr("case when c_custkey % 40 = 39 then null else c_acctbal / 100 end").alias("score"),
         F.expr(
             "case c_mktsegment when 'AUTOMOBILE' then 'apply' when 'BUILDING' then 'review' "
             "when 'FURNITURE' then 'skip' else 'unsure' end"

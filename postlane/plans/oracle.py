@@ -203,7 +203,7 @@ ORACLE["score_cast"] = """
 CUSTOMER_JOBS = """
   select c_custkey, 'https://jobs.example.com/c/' || c_custkey as url, c_name as title,
          case when c_nationkey % 4 = 0 then '' else '$' || c_custkey || ',000-$' || (c_custkey + 1) || ',500' end as salary,
-         case when c_custkey % 40 = 39 then null else round(c_acctbal / 100, 2) end as score,
+         case when c_custkey % 40 = 39 then null else c_acctbal / 100 end as score,
          case c_mktsegment when 'AUTOMOBILE' then 'apply' when 'BUILDING' then 'review' when 'FURNITURE' then 'skip'
            else 'unsure' end as verdict
   from customer"""
@@ -227,7 +227,7 @@ ORACLE["attempt_classify"] = """
          case when not failed then 'ok' when http_status = 402 then 'abort'
               when http_status = 429 and try_no = 0 and event_id < last_id then 'retry' else 'fail' end as outcome,
          case when failed and http_status = 429 and try_no = 0 and event_id < last_id
-              then coalesce(greatest(0, least(wait, 60)), 20)::double end as wait_s
+              then case when wait is null then 20 else greatest(0, least(wait, 60)) end::double end as wait_s
   from s"""
 
 ORACLE["parse_model_output"] = """

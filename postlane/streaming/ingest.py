@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,18 +12,22 @@ from postlane.schemas import LANDED_FEED
 from postlane.sources.feeds import NORMALIZERS
 
 
-def landed_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Payload files below ``path`` (JSON lines) as they land."""
-    return (
+def landed_stream(spark: SparkSession, path: str, source: str, files_per_trigger: int = 1000) -> DataFrame:
+    """One source's payload files (JSON lines below ``path/source=<name>``) as they land."""
+    files = (
         spark.readStream.schema(LANDED_FEED)
         .option("maxFilesPerTrigger", files_per_trigger)
-        .json(path)
+        .json(os.path.join(path, f"source={source}"))
     )
+    return files.withColumn("source", F.lit(source))
+
 
+def posting_stream(spark: SparkSession, path: str, sources: list[str]) -> DataFrame:
+    """Postings of every configured source, by the same normalizers as in batch.
 
-def posting_stream(landed: DataFrame, sources: list[str]) -> DataFrame:
-    """Postings of every configured source, by the same normalizers as in batch."""
-    parts = [NORMALIZERS[s](landed) for s in sources if s in NORMALIZERS]
+    Every source reads only its own folder. Unknown names are skipped.
+    """
+    parts = [NORMALIZERS[s](landed_stream(spark, path, s)) for s in sources if s in NORMALIZERS]
     return reduce(DataFrame.unionByName, parts)
 
 
