@@ -307,7 +307,8 @@ def profile_top_matches(
         posting_id, "base_points", "words"
     )
     shared = (
-        featured.select(posting_id, "base_points", F.explode("words").alias("word"))
+        # The outer form: a plain explode would have the words computed twice, for a filter.
+        featured.select(posting_id, "base_points", F.explode_outer("words").alias("word"))
         .join(small_side(set_words), "word")
         .groupBy("set_id", posting_id)
         .agg(

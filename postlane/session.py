@@ -72,11 +72,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows of a scan that would leave most cores idle, spread over all of them.
 
     Meant for costly work on a few unsplittable files; ``keys`` should be unique or
-    nearly so. A scan with a fair number of partitions is returned as it is, so large
-    tables are never shuffled for this.
+    nearly so. A scan with two partitions per core or more is returned as it is, so
+    large tables are never shuffled for this.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() * 4 > cores else df.repartition(cores, *keys)
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores, *keys)
 
 
 def small_side(df: DataFrame, max_rows: int = settings.BROADCAST_ROWS) -> DataFrame:
