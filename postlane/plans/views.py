@@ -64,12 +64,15 @@ def run_counters(raw: DataFrame, new: DataFrame, scored: DataFrame) -> DataFrame
         one(new, new_count=total),
         one(scored, total=total, above_threshold=F.count_if(_score() >= settings.SCORE_THRESHOLD)),
     ]
-    # Each part is a single row; they are added up rather than joined.
-    names = ["raw_total", "new_count", "total", "above_threshold"]
+    return _one_row(parts, ["raw_total", "new_count", "total", "above_threshold"])
+
+
+def _one_row(parts: list[DataFrame], names: list[str]) -> DataFrame:
+    """Single-row frames with different columns side by side, without a join."""
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part, allowMissingColumns=True)
-    return rows.agg(*[F.sum(n).alias(n) for n in names])
+    return rows.agg(*[F.max(n).alias(n) for n in names])
 
 
 def top_jobs_array(jobs: DataFrame, order: tuple = ("ord",)) -> DataFrame:
@@ -90,9 +93,8 @@ def top_jobs_array(jobs: DataFrame, order: tuple = ("ord",)) -> DataFrame:
 
 def run_result(raw: DataFrame, new: DataFrame, scored: DataFrame, order: tuple = ("ord",)) -> DataFrame:
     """One row: the counters of a run and its top jobs."""
-    counters = run_counters(raw, new, scored).withColumn("_k", F.lit(1))
-    top = top_jobs_array(scored, order).withColumn("_k", F.lit(1))
-    return counters.join(top, "_k").drop("_k")
+    counters = run_counters(raw, new, scored)
+    return _one_row([counters, top_jobs_array(scored, order)], [*counters.columns, "top_jobs"])
 
 
 def _named(title: Column, company: Column):

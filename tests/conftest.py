@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -24,7 +23,6 @@ def spark():
         },
     )
     session.sparkContext.setLogLevel("ERROR")
-    session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="postlane-tests-"))
     yield session
     session.stop()
 
