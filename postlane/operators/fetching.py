@@ -14,11 +14,12 @@ def discovered_pages(hits: DataFrame) -> DataFrame:
     """Hits deduplicated over all queries, then dealt round-robin over the queries.
 
     The first hit of a key in (query, hit) order stays; a query's rounds are numbered
-    after that. The merged order is ``(round_no, query_no)``.
+    after that. The merged order is ``(round_no, query_no)``. A query has at most
+    ``MAX_HITS_PER_QUERY`` hits, so numbering them by query is safe.
     """
     keyed = hits.withColumn("dedup_key", urls.dedup_key(F.col("url")))
     unique = dedupe_first(keyed, "dedup_key", ["query_no", "hit_no"])
-    return interleave(unique, ["query_no"], [F.col("hit_no")], settings.MAX_HITS_PER_QUERY)
+    return interleave(unique, ["query_no"], [F.col("hit_no")])
 
 
 def host_caps_table(spark, caps: dict[str, int]) -> DataFrame:

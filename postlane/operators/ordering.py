@@ -50,13 +50,14 @@ def top_per_group(
     )
 
 
-def interleave(df: DataFrame, list_cols: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
-    """Deal lists of at most ``k`` rows round-robin: adds ``round_no``.
+def interleave(df: DataFrame, list_cols: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Deal lists round-robin: adds ``round_no``, the place of a row in its list.
 
     The merged order is ``(round_no, *list_cols)``: first rows of all lists, then
-    second rows, and so on.
+    second rows, and so on. For lists that are short by construction, such as the
+    capped hits of a query; long ones go through ``top_per_group``.
     """
-    return top_per_group(df, list_cols, order, k, "round_no")
+    return df.withColumn("round_no", F.row_number().over(Window.partitionBy(*list_cols).orderBy(*order)))
 
 
 def global_position(

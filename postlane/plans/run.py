@@ -7,11 +7,38 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlane.operators import scoring, state
+from postlane.operators import fetching, ordering, scoring, state
 from postlane.plans import views
+from postlane.schemas import POSTING_COLUMNS
+from postlane.sources import feeds
 from postlane.sources.tables import Store, export_json
 
 
+def plan_fetches(store: Store, hits: DataFrame, config: dict) -> DataFrame:
+    """The pages a run fetches, from its search hits, the host caps and the hosts' health."""
+    order = [F.col("round_no"), F.col("query_no")]
+    found = fetching.discovered_pages(hits)
+    capped = fetching.apply_host_caps(found, config.get("scrape_caps", {}), order)
+    return fetching.fetch_plan(capped, store.host_health(), order)
+
+
+def gather_postings(extracted: DataFrame, landed: DataFrame, config: dict) -> DataFrame:
+    """A run's postings in order (``seq``): pages first, then the configured feeds.
+
+    Postings of pages are deduplicated by key over all pages, the first one winning;
+    feed postings are added as they are, repeats included.
+    """
+    keyed = state.with_key(extracted.where(F.length("url") > 0))
+    scraped = ordering.dedupe_first(keyed, "dedup_key", ["page_no", "pos"]).select(
+        F.lit(0).alias("_list"), F.col("page_no").cast("long").alias("_a"), F.col("pos").cast("long").alias("_b"), *POSTING_COLUMNS
+    )
+    from_feeds = feeds.merge_feeds(landed, config.get("api_sources", []), config.get("ats_boards")).select(
+        F.lit(1).alias("_list"), F.col("list_no").cast("long").alias("_a"), F.col("slot").cast("long").alias("_b"), *POSTING_COLUMNS
+    )
+    together = ordering.global_position(scraped.unionByName(from_feeds), ["_list", "_a", "_b"], "seq")
+    return together.drop("_list", "_a", "_b")
+
+
 def plan_inputs(store: Store, run_id: int, batches_per_commit: int) -> DataFrame:
     """Batch a run's unscored postings and store them; returns them as stored."""
     inputs = state.to_score(store.sightings(run_id), store.state())
@@ -59,6 +86,8 @@ def execute_run(
     store.append("run_events", [(run_id, "start", started_at, None, None, None, None)])
     try:
         seen = store.write_sightings(run_id, day, postings)
+        if seen.isEmpty():
+            raise RuntimeError("no postings found: check the search queries and the configured sources")
         inputs = plan_inputs(store, run_id, batches_per_commit)
         last = inputs.agg(F.max("commit_no")).first()[0]
         for commit_no in range(0 if last is None else last + 1):

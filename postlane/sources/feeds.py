@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postlane import settings
 from postlane.functions import fields, pay, text
@@ -57,6 +58,22 @@ def read_landed(spark: SparkSession, path: str) -> DataFrame:
     return reader.parquet(path) if path.endswith(".parquet") else reader.json(path)
 
 
+def read_payload_files(spark: SparkSession, path: str) -> DataFrame:
+    """Raw payload files below ``path/source=<name>/board=<name>``, one fetch per file.
+
+    Fetches are ordered by the time their file was written.
+    """
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("value", "source", "board")])
+    files = spark.read.schema(schema).option("wholetext", True).format("text").load(path)
+    hive_null = "__HIVE_DEFAULT_PARTITION__"
+    return files.select(
+        "source",
+        F.when(F.col("board") != hive_null, F.col("board")).otherwise("").alias("board"),
+        F.unix_micros("_metadata.file_modification_time").alias("fetch_no"),
+        F.col("value").alias("payload"),
+    )
+
+
 def elements(source: str, payload: Column) -> Column:
     """The payload's postings as an array of JSON texts; NULL for a dead payload."""
     field = ELEMENT_FIELD[source]

@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlane.operators.state import advance_state, sighting_events
+from postlane import settings
+from postlane.operators.health import failure_streaks
+from postlane.operators.state import advance_state, latest_status, sighting_events
 from postlane.schemas import STATE
 
 POSTING_DDL = (
@@ -33,9 +35,8 @@ SCHEMAS = {
     "scores": "dedup_key string, phase int, batch long, seq long, url string, title string, "
     "company string, source string, location string, salary string, score double, "
     "verdict string, data string, day string, run_id long, commit_no long",
-    "attempts": "host string, page string, try_no int, failed boolean, message string, "
-    "code int, retry_after string, at timestamp_ntz, dt string",
-    "status_marks": "url string, status string, at timestamp_ntz, mark_no long, dt string",
+    "attempts": "host string, failed boolean, day string, n long, run_id long",
+    "status_marks": "url string, status string, at string, mark_no long",
     "snapshots": "run_id long",
 }
 SNAPSHOT = T.StructType([*STATE.fields, T.StructField("as_of_run", T.LongType())])
@@ -94,6 +95,28 @@ class Store:
         target = os.path.join(self.path("runs"), f"run_id={run_id}", kind)
         df.write.mode("overwrite").json(target)
 
+    # -- host health and status marks ------------------------------------------
+
+    def write_attempts(self, run_id: int, attempts: DataFrame) -> None:
+        """Store a run's counted attempts ``(host, failed, day, n)``, ``n`` being their order."""
+        stamped = attempts.withColumn("run_id", F.lit(run_id).cast("long"))
+        self.replace("attempts", stamped.select("host", "failed", "day", "n", "run_id"), ["run_id"])
+
+    def host_health(self) -> DataFrame:
+        """Consecutive failures per host over all runs."""
+        # A run may try a host very often: its attempts are walked in bounded pieces.
+        chunk = F.struct("run_id", F.floor(F.col("n") / settings.ID_CHUNK).alias("piece"))
+        return failure_streaks(self.read("attempts"), chunk, ["run_id", "n"])
+
+    def mark_status(self, url: str, status: str, at: str, mark_no: int = 0) -> None:
+        """Append one status mark; ``none`` clears the status of the URL."""
+        if status not in settings.MARK_STATUSES:
+            raise ValueError(f"status must be one of {', '.join(settings.MARK_STATUSES)}")
+        self.append("status_marks", [(url, status, at, mark_no)])
+
+    def statuses(self) -> DataFrame:
+        return latest_status(self.read("status_marks"), ["at", "mark_no"])
+
     # -- state ---------------------------------------------------------------
 
     def events(self, after_run: int = -1) -> DataFrame:

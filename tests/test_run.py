@@ -153,3 +153,50 @@ def test_run_diff(spark):
     new = spark.createDataFrame([("b", None), ("c", 4.0), ("d", 5.0), ("e", None)], ddl)
     got = {r.dedup_key: r.change for r in views.run_diff(old, new).collect()}
     assert got == {"a": "dropped", "c": "rescored", "d": "rescored", "e": "added"}
+
+
+def test_a_run_from_hits_and_feeds(spark, tmp_path):
+    from postlane.settings import source_config
+    from postlane.sources import feeds, pages
+
+    store = Store(spark, str(tmp_path / "store"))
+    config = source_config({"api_sources": ["remotive.com", "nope"], "scrape_caps": {"capped.org": 0}})
+    hits = [[{"url": f"https://{h}.org/list", "title": f"At {h}", "description": "s"} for h in ("good", "broken", "capped", "flaky")]]
+    landed_hits = spark.createDataFrame([(0, json.dumps(hits[0]))], "query_no int, payload string")
+    attempts = [("broken.org", True, "2024-01-01", n) for n in range(3)] + [("flaky.org", True, "2024-01-01", 3), ("flaky.org", False, "2024-01-01", 4)]
+    store.write_attempts(0, spark.createDataFrame(attempts, "host string, failed boolean, day string, n long"))
+    assert [tuple(r) for r in store.host_health().collect()] == [("broken.org", 3, "2024-01-01", True)]
+
+    plan = run.plan_fetches(store, pages.search_hits(landed_hits), config).orderBy("round_no", "query_no")
+    assert [(r.host, r.action) for r in plan.collect()] == [("good.org", "scrape"), ("broken.org", "snippet"), ("flaky.org", "scrape")]
+
+    extract = json.dumps({"jobs": [{"title": "Job 2", "url": "/2"}, {"title": "Job 4", "url": "/2"}]})
+    fetched = plan.select(
+        F.col("round_no").alias("page_no"), "url", "title", "description",
+        F.when(F.col("action") == "scrape", F.lit(extract)).alias("payload"))
+    folder = tmp_path / "landed" / "source=remotive.com" / "board=__HIVE_DEFAULT_PARTITION__"
+    folder.mkdir(parents=True)
+    (folder / "a.json").write_text(json.dumps({"jobs": [{"title": "Job 8", "url": "https://good.org/2", "salary": "$1"}]}))
+    (folder / "b.json").write_text("not json")
+    landed = feeds.read_payload_files(spark, str(tmp_path / "landed"))
+    gathered = run.gather_postings(pages.extracted_postings(fetched), landed, config)
+    rows = [(r.seq, r.title, r.url, r.salary) for r in gathered.orderBy("seq").collect()]
+    assert rows == [(0, "Job 2", "https://good.org/2", None), (1, "At broken", "https://broken.org/list", None),
+                    (2, "Job 2", "https://flaky.org/2", None), (3, "Job 8", "https://good.org/2", "$1")]
+
+
+def test_a_run_without_postings_fails(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    with pytest.raises(RuntimeError, match="no postings"):
+        run.execute_run(store, 1, postings(spark, [1]).limit(0), good_scorer, "2024-01-01 08:00:00", "2024-01-01 08:00:01")
+    assert history(store) == [(1, "failed", None, None, None)]
+
+
+def test_status_marks(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.mark_status("u1", "applied", "2024-01-01 08:00:00")
+    store.mark_status("u2", "skipped", "2024-01-01 08:00:00")
+    store.mark_status("u2", "none", "2024-01-01 08:00:01")
+    with pytest.raises(ValueError, match="applied, skipped, none"):
+        store.mark_status("u3", "hired", "2024-01-01 08:00:00")
+    assert [tuple(r) for r in store.statuses().collect()] == [("u1", "applied")]
