@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from postlane import settings
 from postlane.functions import urls
 from postlane.operators.ordering import dedupe_first, interleave, top_per_group
+from postlane.session import materialize
 
 
 def discovered_pages(hits: DataFrame) -> DataFrame:
@@ -52,7 +53,8 @@ def fetch_plan(pages: DataFrame, health: DataFrame, order: list[Column]) -> Data
     ``snippet`` pages are on hosts that cannot be scraped or that keep failing. The
     budget is taken first, so the health lookup joins a handful of rows.
     """
-    chosen = pages.orderBy(*order).limit(settings.PAGE_BUDGET)
+    # Written once: the chosen pages are read twice below.
+    chosen = materialize(pages.orderBy(*order).limit(settings.PAGE_BUDGET))
     failures = health.select("host", "consecutive_failures")
     # `chosen` has at most PAGE_BUDGET rows, so it is the side to broadcast.
     hosts = chosen.select("host").distinct()

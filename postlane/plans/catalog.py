@@ -229,12 +229,12 @@ def _long_text(df):
 
 @query
 def norm_greenhouse(spark, d):
-    return _long_text(feeds.greenhouse(fx.landed_greenhouse(spark, d)))
+    return _long_text(feeds.normalize(fx.landed_greenhouse(spark, d), "greenhouse"))
 
 
 @query
 def norm_lever(spark, d):
-    return _long_text(feeds.lever(fx.landed_lever(spark, d)))
+    return _long_text(feeds.normalize(fx.landed_lever(spark, d), "lever"))
 
 
 def _merged(spark, d):
@@ -249,7 +249,7 @@ def feeds_merge_capped(spark, d):
 
 @query
 def interleave_boards(spark, d):
-    dealt = feeds.board_rounds(feeds.greenhouse(fx.landed_greenhouse(spark, d)))
+    dealt = feeds.board_rounds(feeds.normalize(fx.landed_greenhouse(spark, d), "greenhouse"))
     return dealt.select("board", "round_no", "url", "posted_date")
 
 

@@ -7,7 +7,9 @@ one bad element never empties a payload, and one bad payload never empties a sou
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,36 +21,6 @@ from postlane.functions.text import first_nonempty, or_blank
 from postlane.operators.ordering import top_per_group
 from postlane.schemas import LANDED_FEED, POSTING_COLUMNS
 
-# Where each source keeps its postings ('' = the payload is the array).
-ELEMENT_FIELD = {
-    "remotive.com": "jobs",
-    "remoteok.com": "",
-    "arbeitnow.com": "data",
-    "sjs.co.nz": "",
-    "greenhouse": "jobs",
-    "lever": "",
-    "adzuna": "results",
-}
-# The fields read from one posting of each source.
-ELEMENT_SCHEMA = {
-    "remotive.com": "title string, company_name string, candidate_required_location string, "
-    "url string, description string, publication_date string, salary string",
-    "remoteok.com": "position string, company string, location string, url string, "
-    "date string, description string, salary_min string, salary_max string",
-    "arbeitnow.com": "title string, company_name string, location string, url string, "
-    "description string, created_at string",
-    "sjs.co.nz": "uuid string, title string, businessName string, areaName string, "
-    "regionName string, payMin string, payMax string, payType string, summary string, "
-    "description string, advertStartDateNz string, externalApplyUrl string, applyUrl string",
-    "greenhouse": "title string, company_name string, absolute_url string, "
-    "location struct<name string>, content string, first_published string, updated_at string",
-    "lever": "text string, hostedUrl string, applyUrl string, createdAt string, "
-    "categories struct<location string>, descriptionPlain string, "
-    "descriptionBodyPlain string, descriptionBody string",
-    "adzuna": "title string, company struct<display_name string>, "
-    "location struct<display_name string>, redirect_url string, description string, "
-    "created string, salary_min string, salary_max string, salary_is_predicted string",
-}
 ORDER_COLUMNS = ["board", "fetch_no", "pos"]
 
 
@@ -74,213 +46,269 @@ def read_payload_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def elements(source: str, payload: Column) -> Column:
-    """The payload's postings as an array of JSON texts; NULL for a dead payload."""
-    field = ELEMENT_FIELD[source]
-    if not field:
-        return F.from_json(payload, "array<string>")
-    return F.from_json(payload, f"struct<{field}: array<string>>")[field]
-
-
-def _exploded(landed: DataFrame, source: str) -> DataFrame:
-    return (
-        landed.where(F.col("source") == source)
-        .select("board", "fetch_no", F.posexplode(elements(source, F.col("payload"))))
-        .select(
-            "board",
-            "fetch_no",
-            "pos",
-            F.from_json("col", f"struct<{ELEMENT_SCHEMA[source]}>").alias("p"),
-        )
-    )
-
-
-def _postings(df: DataFrame, source: str, **columns: Column) -> DataFrame:
-    """Posting columns in order, blank for NULL, without postings that have no URL.
-
-    A source that has no salary at all keeps NULL there.
-    """
-    columns.setdefault("salary", F.lit(None).cast("string"))
-    out = [
-        F.lit(source).alias("source")
-        if name == "source"
-        else (columns[name] if name == "salary" else or_blank(columns[name])).alias(name)
-        for name in POSTING_COLUMNS
-    ]
-    return df.select(*ORDER_COLUMNS, *out).where(F.length("url") > 0)
-
-
 def _with_default(c: Column) -> Column:
     return F.coalesce(first_nonempty(c), F.lit(settings.DEFAULT_LOCATION))
 
 
-def remotive(landed: DataFrame) -> DataFrame:
-    return _postings(
-        _exploded(landed, "remotive.com"),
-        "remotive.com",
-        title=F.col("p.title"),
-        company=F.col("p.company_name"),
-        location=_with_default(F.col("p.candidate_required_location")),
-        url=F.col("p.url"),
-        description=F.col("p.description"),
-        posted_date=F.col("p.publication_date"),
-        salary=text.strip(or_blank(F.col("p.salary"))),
+def _remotive() -> dict[str, Column]:
+    return {
+        "title": F.col("p.title"),
+        "company": F.col("p.company_name"),
+        "location": _with_default(F.col("p.candidate_required_location")),
+        "url": F.col("p.url"),
+        "description": F.col("p.description"),
+        "posted_date": F.col("p.publication_date"),
+        "salary": text.strip(or_blank(F.col("p.salary"))),
+    }
+
+
+def _remoteok() -> dict[str, Column]:
+    return {
+        "title": F.col("p.position"),
+        "company": F.col("p.company"),
+        "location": _with_default(F.col("p.location")),
+        "url": F.col("p.url"),
+        "description": text.strip_html(F.col("p.description")),
+        "posted_date": F.col("p.date"),
+        "salary": pay.salary_range_text(F.col("p.salary_min"), F.col("p.salary_max")),
+    }
+
+
+def _arbeitnow() -> dict[str, Column]:
+    return {
+        "title": F.col("p.title"),
+        "company": F.col("p.company_name"),
+        "location": _with_default(F.col("p.location")),
+        "url": F.col("p.url"),
+        "description": F.col("p.description"),
+        "posted_date": F.col("p.created_at"),
+        "salary": F.lit(None).cast("string"),
+    }
+
+
+def _sjs() -> dict[str, Column]:
+    uuid, body = text.strip(or_blank(F.col("p.uuid"))), text.strip_html(F.col("p.description"))
+    after_summary = text.bind(
+        body,
+        lambda b: F.when(b != "", F.concat(F.lit(settings.SJS_SUMMARY_SEPARATOR), b)).otherwise(""),
     )
+    own_page = F.concat(F.lit(settings.SJS_POSTING_URL), uuid)
+    return {
+        "title": text.strip(or_blank(F.col("p.title"))),
+        "company": text.strip(or_blank(F.col("p.businessName"))),
+        "location": fields.place_text(F.col("p.areaName"), F.col("p.regionName")),
+        "url": F.coalesce(first_nonempty(F.col("p.externalApplyUrl"), F.col("p.applyUrl")), own_page),
+        "description": F.concat(text.strip(or_blank(F.col("p.summary"))), after_summary),
+        "posted_date": F.col("p.advertStartDateNz"),
+        "salary": pay.pay_text(F.col("p.payMin"), F.col("p.payMax"), F.col("p.payType")),
+    }
+
+
+def _greenhouse() -> dict[str, Column]:
+    return {
+        "title": F.col("p.title"),
+        "company": first_nonempty(F.col("p.company_name"), F.col("board")),
+        "location": F.col("p.location.name"),
+        "url": F.col("p.absolute_url"),
+        "description": text.html_to_text(F.col("p.content")),
+        "posted_date": first_nonempty(F.col("p.first_published"), F.col("p.updated_at")),
+        "salary": F.lit(""),
+    }
+
+
+def _lever() -> dict[str, Column]:
+    plain = first_nonempty(F.col("p.descriptionPlain"), F.col("p.descriptionBodyPlain"))
+    # The markup is only cleaned where no plain text exists.
+    markup = F.when(plain.isNull(), F.col("p.descriptionBody"))
+    return {
+        "title": F.col("p.text"),
+        "company": F.col("board"),
+        "location": F.col("p.categories.location"),
+        "url": first_nonempty(F.col("p.hostedUrl"), F.col("p.applyUrl")),
+        "description": F.coalesce(plain, text.html_to_text(markup)),
+        "posted_date": fields.epoch_ms_to_date(F.col("p.createdAt")),
+        "salary": F.lit(""),
+    }
+
+
+def _adzuna() -> dict[str, Column]:
+    salary = pay.salary_range_text(F.col("p.salary_min"), F.col("p.salary_max"))
+    return {
+        "title": F.col("p.title"),
+        "company": F.col("p.company.display_name"),
+        "location": F.col("p.location.display_name"),
+        "url": F.col("p.redirect_url"),
+        "description": F.col("p.description"),
+        "posted_date": F.col("p.created"),
+        "salary": text.bind(salary, lambda s: pay.with_estimate(s, F.col("p.salary_is_predicted"))),
+    }
+
+
+@dataclass(frozen=True)
+class Feed:
+    """How one source's payloads become postings.
+
+    ``array_field`` holds the postings ('' if the payload is the array), ``element`` is
+    the read schema of one of them, ``columns`` gives the posting columns from ``p``,
+    ``board``, ``fetch_no`` and ``pos``, and ``where`` drops elements that are none.
+    """
 
+    array_field: str
+    element: str
+    columns: Callable[[], dict[str, Column]]
+    where: Callable[[], Column] | None = None
+    many_boards: bool = False
+    newest_first: bool = False
+
+
+def _has_uuid_and_title() -> Column:
+    return (text.strip(or_blank(F.col("p.uuid"))) != "") & (text.strip(or_blank(F.col("p.title"))) != "")
+
+
+# The registry: a new source is one more entry. Names and fields are fixed by the feeds.
+FEEDS = {
+    "remotive.com": Feed(
+        "jobs",
+        "title string, company_name string, candidate_required_location string, url string, "
+        "description string, publication_date string, salary string",
+        _remotive,
+    ),
+    "remoteok.com": Feed(
+        "",
+        "position string, company string, location string, url string, date string, "
+        "description string, salary_min string, salary_max string",
+        _remoteok,
+        # The first element of every payload is a legal notice.
+        where=lambda: F.col("pos") > 0,
+    ),
+    "arbeitnow.com": Feed(
+        "data",
+        "title string, company_name string, location string, url string, description string, "
+        "created_at string",
+        _arbeitnow,
+    ),
+    "sjs.co.nz": Feed(
+        "",
+        "uuid string, title string, businessName string, areaName string, regionName string, "
+        "payMin string, payMax string, payType string, summary string, description string, "
+        "advertStartDateNz string, externalApplyUrl string, applyUrl string",
+        _sjs,
+        where=_has_uuid_and_title,
+        newest_first=True,
+    ),
+    "greenhouse": Feed(
+        "jobs",
+        "title string, company_name string, absolute_url string, location struct<name string>, "
+        "content string, first_published string, updated_at string",
+        _greenhouse,
+        many_boards=True,
+    ),
+    "lever": Feed(
+        "",
+        "text string, hostedUrl string, applyUrl string, createdAt string, "
+        "categories struct<location string>, descriptionPlain string, "
+        "descriptionBodyPlain string, descriptionBody string",
+        _lever,
+        many_boards=True,
+    ),
+    "adzuna": Feed(
+        "results",
+        "title string, company struct<display_name string>, location struct<display_name string>, "
+        "redirect_url string, description string, created string, salary_min string, "
+        "salary_max string, salary_is_predicted string",
+        _adzuna,
+    ),
+}
 
-def remoteok(landed: DataFrame) -> DataFrame:
-    # The first element of every payload is a legal notice.
-    return _postings(
-        _exploded(landed, "remoteok.com").where(F.col("pos") > 0),
-        "remoteok.com",
-        title=F.col("p.position"),
-        company=F.col("p.company"),
-        location=_with_default(F.col("p.location")),
-        url=F.col("p.url"),
-        description=text.strip_html(F.col("p.description")),
-        posted_date=F.col("p.date"),
-        salary=pay.salary_range_text(F.col("p.salary_min"), F.col("p.salary_max")),
-    )
 
+def elements(source: str, payload: Column) -> Column:
+    """The payload's postings as an array of JSON texts; NULL for a dead payload."""
+    field = FEEDS[source].array_field
+    if not field:
+        return F.from_json(payload, "array<string>")
+    return F.from_json(payload, f"struct<{field}: array<string>>")[field]
 
-def arbeitnow(landed: DataFrame) -> DataFrame:
-    return _postings(
-        _exploded(landed, "arbeitnow.com"),
-        "arbeitnow.com",
-        title=F.col("p.title"),
-        company=F.col("p.company_name"),
-        location=_with_default(F.col("p.location")),
-        url=F.col("p.url"),
-        description=F.col("p.description"),
-        posted_date=F.col("p.created_at"),
-    )
 
+def candidates(landed: DataFrame, source: str) -> DataFrame:
+    """A source's elements that are postings, parsed into ``p`` but not yet cleaned.
 
-def sjs(landed: DataFrame) -> DataFrame:
-    uuid, title = text.strip(or_blank(F.col("p.uuid"))), text.strip(or_blank(F.col("p.title")))
-    body = text.strip_html(F.col("p.description"))
-    return _postings(
-        _exploded(landed, "sjs.co.nz").where((uuid != "") & (title != "")),
-        "sjs.co.nz",
-        title=title,
-        company=text.strip(or_blank(F.col("p.businessName"))),
-        location=fields.place_text(F.col("p.areaName"), F.col("p.regionName")),
-        url=F.coalesce(
-            first_nonempty(F.col("p.externalApplyUrl"), F.col("p.applyUrl")),
-            F.concat(F.lit(settings.SJS_POSTING_URL), uuid),
-        ),
-        description=F.concat(
-            text.strip(or_blank(F.col("p.summary"))),
-            F.when(body != "", F.concat(F.lit(settings.SJS_SUMMARY_SEPARATOR), body)).otherwise(""),
-        ),
-        posted_date=F.col("p.advertStartDateNz"),
-        salary=pay.pay_text(F.col("p.payMin"), F.col("p.payMax"), F.col("p.payType")),
+    ``posted_date`` is added for ranking: cleaning whole descriptions can then wait
+    until the caps have dropped most rows.
+    """
+    feed = FEEDS[source]
+    parsed = (
+        landed.where(F.col("source") == source)
+        .select("source", "board", "fetch_no", F.posexplode(elements(source, F.col("payload"))))
+        .withColumn("p", F.from_json("col", f"struct<{feed.element}>"))
+        .drop("col")
     )
+    columns = feed.columns()
+    usable = parsed.where(F.length(or_blank(columns["url"])) > 0)
+    if feed.where:
+        usable = usable.where(feed.where())
+    return usable.withColumn("posted_date", or_blank(columns["posted_date"]))
 
 
-def greenhouse(landed: DataFrame) -> DataFrame:
-    return _postings(
-        _exploded(landed, "greenhouse"),
-        "greenhouse",
-        title=F.col("p.title"),
-        company=first_nonempty(F.col("p.company_name"), F.col("board")),
-        location=F.col("p.location.name"),
-        url=F.col("p.absolute_url"),
-        description=text.html_to_text(F.col("p.content")),
-        posted_date=first_nonempty(F.col("p.first_published"), F.col("p.updated_at")),
-        salary=F.lit(""),
-    )
-
+def postings(rows: DataFrame, source: str, *keep: str) -> DataFrame:
+    """Posting columns of ``candidates`` rows, after the columns to ``keep``.
 
-def lever(landed: DataFrame) -> DataFrame:
-    plain = first_nonempty(F.col("p.descriptionPlain"), F.col("p.descriptionBodyPlain"))
-    # The markup is only cleaned where no plain text exists.
-    markup = F.when(plain.isNull(), F.col("p.descriptionBody"))
-    return _postings(
-        _exploded(landed, "lever"),
-        "lever",
-        title=F.col("p.text"),
-        company=F.col("board"),
-        location=F.col("p.categories.location"),
-        url=first_nonempty(F.col("p.hostedUrl"), F.col("p.applyUrl")),
-        description=F.coalesce(plain, text.html_to_text(markup)),
-        posted_date=fields.epoch_ms_to_date(F.col("p.createdAt")),
-        salary=F.lit(""),
-    )
+    NULL becomes blank, except for the salary of a source that has none at all.
+    """
+    columns = FEEDS[source].columns()
+    cleaned = {name: c if name == "salary" else or_blank(c) for name, c in columns.items()}
+    cleaned |= {"source": F.lit(source), "posted_date": F.col("posted_date")}
+    return rows.select(*keep, *[cleaned[name].alias(name) for name in POSTING_COLUMNS])
 
 
-def adzuna(landed: DataFrame) -> DataFrame:
-    salary = pay.salary_range_text(F.col("p.salary_min"), F.col("p.salary_max"))
-    return _postings(
-        _exploded(landed, "adzuna"),
-        "adzuna",
-        title=F.col("p.title"),
-        company=F.col("p.company.display_name"),
-        location=F.col("p.location.display_name"),
-        url=F.col("p.redirect_url"),
-        description=F.col("p.description"),
-        posted_date=F.col("p.created"),
-        salary=pay.with_estimate(salary, F.col("p.salary_is_predicted")),
-    )
+def normalize(landed: DataFrame, source: str) -> DataFrame:
+    """All postings of one source, with their place in the feed."""
+    return postings(candidates(landed, source), source, *ORDER_COLUMNS)
 
 
-# Source name -> normalizer. A new source is added by registering one function.
-NORMALIZERS = {
-    "remotive.com": remotive,
-    "remoteok.com": remoteok,
-    "arbeitnow.com": arbeitnow,
-    "sjs.co.nz": sjs,
-    "greenhouse": greenhouse,
-    "lever": lever,
-    "adzuna": adzuna,
-}
-MULTI_BOARD = {"greenhouse", "lever"}
-NEWEST_FIRST = {"sjs.co.nz"}
+NORMALIZERS = {name: partial(normalize, source=name) for name in FEEDS}
 
 
 def quarantine(landed: DataFrame) -> DataFrame:
     """Each payload with ``n_elements``; NULL marks a dead payload to look at."""
     count = F.lit(None).cast("int")
-    for source in ELEMENT_FIELD:
+    for source in FEEDS:
         count = F.when(
             F.col("source") == source, F.array_size(elements(source, F.col("payload")))
         ).otherwise(count)
     return landed.select("source", "board", "fetch_no", count.alias("n_elements"))
 
 
-def board_rounds(postings: DataFrame, boards: list[str] | None = None) -> DataFrame:
-    """Newest postings of each board, dealt round-robin.
+def board_rounds(rows: DataFrame, boards: list[str] | None = None) -> DataFrame:
+    """The newest rows of each board, dealt round-robin.
 
     Adds ``round_no`` (1 = the newest of its board) and ``list_no`` (the board's place
     in the configuration, by name if there is none); the merged order is the two
     together. A board counts up to the source cap only, which no later step can exceed.
     """
+    place = F.col("board")
     if boards is not None:
-        postings = postings.where(F.col("board").isin(boards))
-        names = F.array(*[F.lit(b) for b in boards]) if boards else F.array(F.lit(""))
-        place = F.array_position(names, F.col("board")).cast("string")
-        place = F.lpad(place, 10, "0")
-    else:
-        place = F.col("board")
+        rows = rows.where(F.col("board").isin(boards))
+        names = F.array(*[F.lit(b) for b in boards]).cast("array<string>")
+        place = F.lpad(F.array_position(names, F.col("board")).cast("string"), 10, "0")
     newest = [F.col("posted_date").desc(), F.col("fetch_no"), F.col("pos")]
     ranked = top_per_group(
-        postings, ["source", "board"], newest, settings.MAX_POSTINGS_PER_SOURCE, "round_no"
+        rows, ["source", "board"], newest, settings.MAX_POSTINGS_PER_SOURCE, "round_no"
     )
     return ranked.withColumn("list_no", place)
 
 
 def capped_source(landed: DataFrame, source: str, boards: list[str] | None = None) -> DataFrame:
     """One source's postings in merged order, cut at the per-source cap (``slot``)."""
-    postings = NORMALIZERS[source](landed)
-    if source in MULTI_BOARD:
-        dealt = board_rounds(postings, boards)
-        order = [F.col("round_no"), F.col("list_no")]
-        ranked = top_per_group(dealt, ["source"], order, settings.MAX_POSTINGS_PER_SOURCE, "slot")
-        return ranked.drop("round_no", "list_no")
+    feed = FEEDS[source]
+    rows = candidates(landed, source)
     order = [F.col("board"), F.col("fetch_no"), F.col("pos")]
-    if source in NEWEST_FIRST:
+    if feed.many_boards:
+        rows = board_rounds(rows, boards)
+        order = [F.col("round_no"), F.col("list_no")]
+    elif feed.newest_first:
         order = [F.col("posted_date").desc(), *order]
-    return top_per_group(postings, ["source"], order, settings.MAX_POSTINGS_PER_SOURCE, "slot")
+    first = top_per_group(rows, ["source"], order, settings.MAX_POSTINGS_PER_SOURCE, "slot")
+    return postings(first, source, *ORDER_COLUMNS, "slot")
 
 
 def merge_feeds(
@@ -291,10 +319,10 @@ def merge_feeds(
     ``list_no`` and ``slot`` give the order: sources as configured, then slots.
     """
     parts = [
-        capped_source(landed, source, (ats_boards or {}).get(source) if ats_boards else None)
+        capped_source(landed, source, ats_boards.get(source, []) if ats_boards is not None else None)
         .withColumn("list_no", F.lit(number))
         for number, source in enumerate(sources)
-        if source in NORMALIZERS
+        if source in FEEDS
     ]
     if not parts:
         columns = ", ".join(f"{name} string" for name in POSTING_COLUMNS)

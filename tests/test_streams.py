@@ -39,7 +39,7 @@ def test_ingest_equals_batch(spark, tmp_path):
         os.makedirs(os.path.join(path, f"source={source}"), exist_ok=True)
     postings = ingest.posting_stream(spark, path, [*feeds.NORMALIZERS, "nope"])
     got = runner.drain_to_table(postings, str(tmp_path / "out"), str(tmp_path / "cp"))
-    expected = feeds.remotive(frame).unionByName(feeds.lever(frame))
+    expected = feeds.NORMALIZERS["remotive.com"](frame).unionByName(feeds.NORMALIZERS["lever"](frame))
     assert sorted(map(tuple, got.select(*POSTING_COLUMNS).collect())) == sorted(map(tuple, expected.select(*POSTING_COLUMNS).collect()))
 
 
