@@ -14,6 +14,17 @@ from postlane.sources import feeds
 from postlane.sources.tables import Store, export_json
 
 
+def record_search_plan(store: Store, run_id: int, queries: DataFrame) -> DataFrame:
+    """Store a run's search queries ``(query_no, query)``; a run without any fails."""
+    stamped = queries.select(F.col("query_no").cast("long").alias("query_no"), "query").withColumn(
+        "run_id", F.lit(run_id).cast("long")
+    )
+    if stamped.isEmpty():
+        raise RuntimeError("no search queries: check the answer that should hold them")
+    store.replace("search_plans", stamped, ["run_id"])
+    return store.read("search_plans").where(F.col("run_id") == run_id)
+
+
 def plan_fetches(store: Store, hits: DataFrame, config: dict) -> DataFrame:
     """The pages a run fetches, from its search hits, the host caps and the hosts' health."""
     order = [F.col("round_no"), F.col("query_no")]
@@ -117,6 +128,8 @@ def write_exports(store: Store, run_id: int) -> None:
     current = store.state()
     export_json(state.scored_export(current).select("data"), os.path.join(store.root, "exports", "jobs"))
     export_json(state.seen_export(current), os.path.join(store.root, "exports", "seen"))
+    queries = store.read("search_plans").where(F.col("run_id") == run_id)
+    store.write_snapshot_files(run_id, "search_config", queries.orderBy("query_no"))
     store.write_snapshot_files(run_id, "raw_jobs", store.sightings(run_id).orderBy("seq"))
     store.write_snapshot_files(run_id, "jobs", run_results(store, run_id).orderBy("batch", "result_no"))
 

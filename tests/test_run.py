@@ -85,7 +85,12 @@ def test_commits_and_compaction_are_repeatable(spark, tmp_path):
     # Only the runs after the snapshot are scanned.
     assert store.events(2).count() == 0
 
+    queries = spark.createDataFrame([(0, "site:a.com dev remote"), (1, "site:b.com dev remote")], "query_no int, query string")
+    assert run.record_search_plan(store, 2, queries).count() == 2
+    with pytest.raises(RuntimeError, match="no search queries"):
+        run.record_search_plan(store, 3, queries.limit(0))
     run.write_exports(store, 2)
+    assert spark.read.json(str(tmp_path / "runs" / "run_id=2" / "search_config")).count() == 2
     exported = [json.loads(r.data)["title"] for r in spark.read.json(str(tmp_path / "exports" / "jobs")).collect()]
     assert sorted(exported) == sorted(f"Job {n}" for n in range(0, 40, 2))
     assert spark.read.json(str(tmp_path / "exports" / "seen")).count() == 40
