@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from postlane.plans.catalog import QUERIES
+from postlane.plans.oracle import ORACLE
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -27,7 +29,7 @@ def normal(value):
     return "\0" if value is None else value
 
 
-@pytest.mark.parametrize("name", list(entry_points.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, sf_dir, duck, name):
     frame = entry_points.queries()[name](spark, sf_dir)
     columns = sorted(frame.columns)
@@ -45,4 +47,4 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_a_twin():
-    assert set(entry_points.oracle_sql()) == set(entry_points.queries())
+    assert set(ORACLE) == set(QUERIES)
