@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlane.llm import mixing
+from postlane.llm import language_id, mixing
 from postlane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,3 +57,13 @@ select d.doc_id, d.text, d.lang, d.source, d.n_chars, c.copy_no::int as copy_no,
 from drawn d join (select doc_id, grp, unnest(range(1, copies + 1)) as copy_no from counted) c
   on d.doc_id is not distinct from c.doc_id and d.grp = c.grp
 """
+
+
+@query
+def op3_identify_language(spark, sf_dir):
+    """Language of every whole text, learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    return language_id.identify(docs, model).select(
+        "doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "rejected"
+    )
