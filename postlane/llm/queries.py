@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlane.llm import language_id, mixing
+from postlane.llm import language_id, line_dedup, mixing
 from postlane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,3 +67,34 @@ def op3_identify_language(spark, sf_dir):
     return language_id.identify(docs, model).select(
         "doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "rejected"
     )
+
+
+# Sites that a line must stand on to count as boilerplate.
+MIN_SITES = 10
+
+
+@query
+def op6_remove_spread_lines(spark, sf_dir):
+    """Every document without the lines that stand on ten sites or more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_dedup.remove_spread_lines(docs, MIN_SITES)
+
+
+ORACLE["op6_remove_spread_lines"] = f"""
+with lines as (
+  select doc_id, source, unnest(string_split(text, chr(10))) as line,
+    unnest(range(len(string_split(text, chr(10))))) as no from documents where text is not null),
+spread as (
+  select line, min(struct_pack(d := doc_id, n := no)) as first from lines
+  where translate(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') <> ''
+  group by line having count(distinct coalesce('=' || source, 'null')) >= {MIN_SITES}),
+flagged as (
+  select l.*, s.line is not null and struct_pack(d := l.doc_id, n := l.no) <> s.first as gone
+  from lines l left join spread s on l.line = s.line),
+cleaned as (
+  select doc_id, coalesce(string_agg(line, chr(10) order by no) filter (not gone), '') as text,
+    count(*) as n_lines, count(*) filter (gone) as n_removed from flagged group by doc_id)
+select d.doc_id, c.text, d.source, coalesce(c.n_lines, 0)::bigint as n_lines,
+  coalesce(c.n_removed, 0)::bigint as n_removed
+from documents d left join cleaned c using (doc_id)
+"""
