@@ -50,3 +50,20 @@ def hash52(seed: int, *columns: Column | str) -> Column:
     parts = [F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), F.lit("null")) for c in columns]
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *parts).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint")
+
+
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column as the output of a generator, which the optimizer never inlines.
+
+    For arrays that a later lambda reads: inlined there, they would be derived again
+    for every element.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def shingle_hashes(hashes: Column, width: int) -> Column:
+    """Hashes of all runs of ``width`` elements of an array column of hashes."""
+    places = F.sequence(F.lit(1), F.size(hashes) - width + 1)
+    return F.when(F.size(hashes) < width, F.array().cast("array<bigint>")).otherwise(
+        F.transform(places, lambda i: F.xxhash64(F.slice(hashes, i, width)))
+    )

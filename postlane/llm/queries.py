@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlane.llm import language_id, line_dedup, mixing
+from postlane.llm import language_id, line_dedup, mixing, quality
 from postlane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,3 +98,11 @@ select d.doc_id, c.text, d.source, coalesce(c.n_lines, 0)::bigint as n_lines,
   coalesce(c.n_removed, 0)::bigint as n_removed
 from documents d left join cleaned c using (doc_id)
 """
+
+
+@query
+def op8_judge_quality(spark, sf_dir):
+    """Base figures of every whole text and the verdict of risk-controlled rules."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return quality.judge(docs, labels)
