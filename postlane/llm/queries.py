@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlane.llm import language_id, line_dedup, mixing, quality
+from postlane.llm import language_id, line_dedup, mixing, quality, sketches
 from postlane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,3 +106,9 @@ def op8_judge_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return quality.judge(docs, labels)
+
+
+@query
+def op5_fingerprint_documents(spark, sf_dir):
+    """Sketches of every whole text and its edited text, compared with each other and the next."""
+    return sketches.compare_with_edit(table(spark, sf_dir, "documents").select("doc_id", "text"))
