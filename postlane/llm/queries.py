@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlane.llm import language_id, line_dedup, mixing, quality, sketches
+from postlane.llm import language_id, line_dedup, mixing, near_dup, quality, sketches
 from postlane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +112,9 @@ def op8_judge_quality(spark, sf_dir):
 def op5_fingerprint_documents(spark, sf_dir):
     """Sketches of every whole text and its edited text, compared with each other and the next."""
     return sketches.compare_with_edit(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op4_group_near_duplicates(spark, sf_dir):
+    """Components of documents whose three-word shingle sets overlap by 85 percent."""
+    return near_dup.near_duplicate_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
