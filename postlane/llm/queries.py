@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postlane.llm import language_id, line_dedup, mixing, near_dup, quality, sketches
+from postlane.llm import language_id, line_dedup, mixing, near_dup, piece_bpe, quality, sketches
 from postlane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,3 +119,11 @@ def op5_fingerprint_documents(spark, sf_dir):
 def op4_group_near_duplicates(spark, sf_dir):
     """Components of documents whose three-word shingle sets overlap by 85 percent."""
     return near_dup.near_duplicate_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op10_encode_pieces(spark, sf_dir):
+    """Ids of every whole text and the text decoded from them, as counts and digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return piece_bpe.digest_texts(docs, model).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
