@@ -33,7 +33,7 @@ SPACE = "▁"
 # What decoding shows for the unknown id.
 UNKNOWN = " \u2047 ".encode()
 # Parts of texts whose encodings a task remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 
 
 class PieceTable:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postlane.llm import language_id, line_dedup, mixing, near_dup, piece_bpe, quality, sketches
+from postlane.llm import language_id, line_dedup, mixing, near_dup, piece_bpe, quality, sketches, suffix_dedup
 from postlane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,3 +127,9 @@ def op10_encode_pieces(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = public_tokenizers.path("piece_bpe_32k.model")
     return piece_bpe.digest_texts(docs, model).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query
+def op2_remove_repeats(spark, sf_dir):
+    """Every document without the bytes of 400-byte strings that start elsewhere too."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
