@@ -7,7 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postlane.llm import language_id, line_dedup, mixing, near_dup, piece_bpe, quality, sketches, suffix_dedup
+from postlane.llm import (
+    language_id,
+    line_dedup,
+    mixing,
+    near_dup,
+    piece_bpe,
+    preferences,
+    quality,
+    sketches,
+    suffix_dedup,
+)
 from postlane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,3 +143,33 @@ def op10_encode_pieces(spark, sf_dir):
 def op2_remove_repeats(spark, sf_dir):
     """Every document without the bytes of 400-byte strings that start elsewhere too."""
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op7_format_preferences(spark, sf_dir):
+    """Every answered conversation as a preference pair against the next one's answer."""
+    return preferences.format_preferences(preferences.answer_pairs(table(spark, sf_dir, "conversations")))
+
+
+ORACLE["op7_format_preferences"] = """
+with turns as (
+  select *, row_number() over (partition by conv_id order by turn, role, text) as i from conversations),
+answered as (select conv_id, max(i) as n from turns where role = 'assistant' group by conv_id),
+shown as (
+  select t.*, n, '<|im_start|>' || coalesce(role, '') || chr(10) || replace(coalesce(text, ''), '<|', '< |')
+    || '<|im_end|>' || chr(10) as line
+  from turns t join answered using (conv_id) where i <= n),
+whole as (
+  select conv_id, n, coalesce(string_agg(line, '' order by i) filter (i < n), '') as before,
+    max(line) filter (i = n) as line, max(text) filter (i = n) as answer from shown group by conv_id, n),
+paired as (
+  select *, coalesce(lead(conv_id) over (order by conv_id), min(conv_id) over ()) as rejected_conv from whole)
+select p.conv_id, p.rejected_conv,
+  (case when p.answer is not distinct from o.answer then p.n else p.n - 1 end)::bigint as n_prompt_turns,
+  case when p.answer is not distinct from o.answer then p.before || p.line else p.before end as prompt,
+  case when p.answer is not distinct from o.answer then '' else p.line end as chosen,
+  case when p.answer is not distinct from o.answer then '' else o.line end as rejected,
+  case when p.answer is not distinct from o.answer then '' else '22:' || (length(p.line) - 1) end as chosen_mask,
+  case when p.answer is not distinct from o.answer then '' else '22:' || (length(o.line) - 1) end as rejected_mask
+from paired p join whole o on p.rejected_conv = o.conv_id
+"""
