@@ -13,6 +13,7 @@ from postlane.llm import (
     mixing,
     near_dup,
     piece_bpe,
+    pii,
     preferences,
     quality,
     sketches,
@@ -173,3 +174,10 @@ select p.conv_id, p.rejected_conv,
   case when p.answer is not distinct from o.answer then '' else '22:' || (length(o.line) - 1) end as rejected_mask
 from paired p join whole o on p.rejected_conv = o.conv_id
 """
+
+
+@query
+def op9_find_personal_data(spark, sf_dir):
+    """Personal data in every whole text, by patterns and by a field fitted on a sample."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find_personal_data(docs, pii.fit(docs)).drop("text")
