@@ -12,18 +12,21 @@ those of repeated parts are remembered up to a bound. The model file is read onc
 driver and broadcast (its size is fixed); texts never leave their partition.
 
 Defined results: a null text counts as empty; an empty text has the end id only; characters
-outside the model become their bytes; decoding turns runs of bytes that are no UTF-8 into
-replacement characters; repeated rows get equal results. Input columns with the names of
+outside the model become their bytes; decoding shows each byte that is not UTF-8 as a
+replacement character; repeated rows get equal results. Input columns with the names of
 added ones are replaced.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -32,6 +35,8 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 # What decoding shows for the unknown id.
 UNKNOWN = " \u2047 ".encode()
+# Name of the error handler that shows every byte outside UTF-8 as a replacement character.
+ONE_EACH = "one replacement per byte"
 # Parts of texts whose encodings a task remembers before it starts anew.
 REMEMBERED = 500_000
 
@@ -44,6 +49,7 @@ class PieceTable:
         ids = range(source.vocab_size())
         if any(source.is_unused(i) for i in ids):
             raise ValueError("models with unused pieces are not supported")
+        codecs.register_error(ONE_EACH, lambda e: ("\ufffd" * (e.end - e.start), e.end))
         self.end_id = source.eos_id()
         self.unknown_id = source.unk_id()
         self.bytes_from = source.piece_to_id("<0x00>")
@@ -62,7 +68,7 @@ class PieceTable:
         self.known = re.compile(f"[{known}{SPACE}]")
         self.merges: dict[int, list[tuple[float, str, str]]] = {}
         self.separate: dict[int, bool] = {}
-        self.remembered: dict[str, tuple[str, int, bytes]] = {}
+        self.remembered: dict[str, tuple[list[int], str, bytes]] = {}
         self.automaton = ahocorasick.Automaton()
         for p, i in self.number.items():
             if self.history(i)[-1][1] == p:  # a piece that no merges lead to never occurs
@@ -143,9 +149,20 @@ class PieceTable:
         """Parts of a text that no piece reaches across, spaces made visible."""
         return self.parts.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
+    def entries(self, text: str) -> list[tuple[list[int], str, bytes]]:
+        """Per part of a text its ids, the ids spelled out, and what they stand for."""
+        parts = self.split(text)
+        remembered = self.remembered
+        if len(remembered) >= REMEMBERED:
+            remembered.clear()
+        for part in set(parts).difference(remembered):
+            ids = self.encode_part(part)
+            remembered[part] = ids, " ".join(map(str, ids)), self.surface(ids)
+        return list(map(remembered.__getitem__, parts))
+
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text, with the end id."""
-        return [i for part in self.split(text) for i in self.encode_part(part)] + [self.end_id]
+        return [*chain.from_iterable(e[0] for e in self.entries(text)), self.end_id]
 
     def surface(self, ids: list[int]) -> bytes:
         """What ids stand for, as bytes; control ids stand for nothing."""
@@ -163,23 +180,17 @@ class PieceTable:
 
     def shown(self, surface: bytes) -> str:
         """Text of decoded bytes: the space put before the first word goes again."""
-        text = surface.decode("utf-8", "replace")
+        text = surface.decode("utf-8", ONE_EACH)
         return text.removeprefix(SPACE).replace(SPACE, " ")
 
     def figures(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, digest of the ids and digest of the decoded text."""
-        parts = self.split(text or "")
-        remembered = self.remembered
-        if len(remembered) >= REMEMBERED:
-            remembered.clear()
-        for part in set(parts).difference(remembered):
-            ids = self.encode_part(part)
-            remembered[part] = " ".join(map(str, ids)), len(ids), self.surface(ids)
-        spelled, counts, surfaces = zip(*map(remembered.__getitem__, parts)) if parts else ((), (), ())
+        entries = self.entries(text or "")
+        ids, spelled, surfaces = zip(*entries) if entries else ((), (), ())
         joined = " ".join([*spelled, str(self.end_id)])
         decoded = self.shown(b"".join(surfaces))
         return (
-            sum(counts) + 1,
+            sum(map(len, ids)) + 1,
             hashlib.sha256(joined.encode()).hexdigest(),
             hashlib.sha256(decoded.encode()).hexdigest(),
         )
@@ -216,6 +227,32 @@ def decode_ids(df: DataFrame, model_path: str, ids_column: str = "ids") -> DataF
     return df.withColumn("decoded", decoded(df[ids_column]))
 
 
+def encode_and_verify(docs: DataFrame, model_path: str, text_column: str = "text") -> DataFrame:
+    """Adds ``ids``, ``n_tokens`` and ``decoded_sha256``, the digest of what the ids decode to."""
+    model = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
+
+    @F.pandas_udf("ids array<int>, n_tokens long, decoded_sha256 string")
+    def made(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        pieces = PieceTable(model.value)
+        for texts in batches:
+            entries = [pieces.entries(t or "") for t in texts]
+            ids = [np.array([*chain.from_iterable(e[0] for e in row), pieces.end_id], dtype=np.int32) for row in entries]
+            shown = [pieces.shown(b"".join(e[2] for e in row)) for row in entries]
+            yield pd.DataFrame(
+                {
+                    "ids": ids,
+                    "n_tokens": [len(i) for i in ids],
+                    "decoded_sha256": [hashlib.sha256(s.encode()).hexdigest() for s in shown],
+                }
+            )
+
+    names = ("ids", "n_tokens", "decoded_sha256")
+    own = [c for c in docs.columns if c.lower() not in names]
+    return docs.select(*own, made(docs[text_column]).alias("_made")).select(
+        *own, *[F.col(f"_made.{n}").alias(n) for n in names]
+    )
+
+
 def digest_texts(docs: DataFrame, model_path: str, text_column: str = "text") -> DataFrame:
     """Adds ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` without keeping the ids."""
     model = docs.sparkSession.sparkContext.broadcast(read_model(model_path))

@@ -176,11 +176,14 @@ class Zone:
             at_sign |= kind == "@"
             if kind in ("space", ")", ".", "-"):
                 continue
-            possible = (at_sign, digits >= MIN_DIGITS, digits in CARD_DIGITS, digits in PHONE_DIGITS)
+            if not at_sign and digits < MIN_DIGITS:
+                continue
+            text = "".join(self.tokens[start:end])
+            checked = digits in CARD_DIGITS and passes_luhn(digits_of(text))
+            possible = (at_sign, digits >= MIN_DIGITS, checked, digits in PHONE_DIGITS)
             allowed = [k for k, yes in zip(KINDS, possible) if yes]
             if not allowed:
                 continue
-            text = "".join(self.tokens[start:end])
             shape = shape_of(text)
             before = kinds[start - 1] if start else "edge"
             yield start, allowed, [
@@ -188,7 +191,7 @@ class Zone:
                 f"letters={'a' in shape}",
                 f"at={shape.count('@')}",
                 f"digits={min(digits, 20)}",
-                f"checksum={digits in CARD_DIGITS and passes_luhn(digits_of(text))}",
+                f"checksum={checked}",
                 f"groups={shape.count('9')}",
                 f"octets={all(len(g) <= 3 and int(g) <= 255 for g in re.findall('[0-9]+', text))}",
                 f"before={before}",
