@@ -14,6 +14,11 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
 
+def others(df: DataFrame, *replaced: str) -> list[str]:
+    """Quoted names of all columns but those that an operator's own columns replace."""
+    return [f"`{c.replace('`', '``')}`" for c in df.columns if c.lower() not in replaced]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

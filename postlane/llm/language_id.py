@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlane.llm.common import hash52
+from postlane.llm.common import hash52, others
 from postlane.operators.ordering import top_per_group
 
 UNKNOWN = "und"
@@ -118,12 +118,12 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
         for texts in batches:
             yield pd.DataFrame([classify(t, encoders) for t in texts], columns=["lang_pred", "score"])
 
-    own = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "rejected")]
-    return docs.select(*own, predicted(docs["text"]).alias("_predicted")).select(
+    own = others(docs, "lang_pred", "score", "rejected")
+    return docs.select(*own, predicted(docs["text"]).alias("__predicted")).select(
         *own,
-        F.col("_predicted.lang_pred").alias("lang_pred"),
-        F.col("_predicted.score").alias("score"),
-        ((F.col("_predicted.lang_pred") == UNKNOWN) | (F.col("_predicted.score") < min_margin)).alias("rejected"),
+        F.col("__predicted.lang_pred").alias("lang_pred"),
+        F.col("__predicted.score").alias("score"),
+        ((F.col("__predicted.lang_pred") == UNKNOWN) | (F.col("__predicted.score") < min_margin)).alias("rejected"),
     )
 
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlane.llm.common import stored
+from postlane.llm.common import others, stored
 
 # Sketch size: 2^10 registers, a relative standard error of about 3 %.
 SKETCH_LG = 10
@@ -90,7 +90,7 @@ def remove_spread_lines(
     site_column: str = "source",
 ) -> DataFrame:
     """Documents without boilerplate lines; adds ``n_lines`` and ``n_removed``."""
-    own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    own = others(docs, "n_lines", "n_removed")
     docs = docs.select(*own)
     places = line_places(docs, id_column, site_column)
     found = spread_lines(places, min_sites).select("_h1", "_h2", "_first")
@@ -100,21 +100,21 @@ def remove_spread_lines(
         removable = removable.where(~here.eqNullSafe(F.col("_first")))
     # Per document the numbers of its lines to remove: bounded by the document itself.
     removed = (
-        removable.groupBy(F.col("_doc").alias("_id"), F.col("_text_hash").alias("_hash"))
+        removable.groupBy(F.col("_doc").alias("__spread_id"), F.col("_text_hash").alias("__spread_hash"))
         .agg(F.sort_array(F.collect_set("_no")).alias("_numbers"))
-        .select("_id", "_hash", F.size("_numbers").alias("_n"), line_flags(F.col("_numbers")).alias("_flags"))
+        .select("__spread_id", "__spread_hash", F.size("_numbers").alias("__spread_n"), line_flags(F.col("_numbers")).alias("__spread_flags"))
     )
-    same = docs[id_column].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
+    same = docs[id_column].eqNullSafe(F.col("__spread_id")) & (F.xxhash64(docs["text"]) == F.col("__spread_hash"))
     lines = F.split(docs["text"], "\n")
     kept = F.filter(
-        F.zip_with(lines, F.col("_flags"), lambda line, gone: F.when(F.coalesce(gone, F.lit(False)), None).otherwise(line)),
+        F.zip_with(lines, F.col("__spread_flags"), lambda line, gone: F.when(F.coalesce(gone, F.lit(False)), None).otherwise(line)),
         lambda line: line.isNotNull(),
     )
-    text = F.when(F.col("_n").isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col("__spread_n").isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
     return docs.join(removed.hint("shuffle_hash"), same, "left").select(
-        *[text.alias(c) if c == "text" else docs[c] for c in own],
+        *[text.alias("text") if c == "`text`" else docs[c] for c in own],
         F.when(docs["text"].isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines"),
-        F.coalesce(F.col("_n"), F.lit(0)).cast("bigint").alias("n_removed"),
+        F.coalesce(F.col("__spread_n"), F.lit(0)).cast("bigint").alias("n_removed"),
     )
 
 

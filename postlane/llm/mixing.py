@@ -23,16 +23,23 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlane.llm.common import hash52, unit_hash
+from postlane.llm.common import hash52, others, unit_hash
 
-# Beyond this mean the first term of the distribution is too small for a double.
-MAX_RATE = 600.0
+
+def lowest_count(rate: Column) -> Column:
+    """A count below which the distribution has no mass that a double could show."""
+    return F.greatest(F.floor(rate - 12 * F.sqrt(rate) - 30), F.lit(0)).cast("int")
 
 
 def poisson_cdf(rate: Column) -> Column:
-    """P(X <= 0), P(X <= 1), ... as an array that reaches 1 to double precision."""
+    """P(X <= k) for k from ``lowest_count`` on, as an array that reaches 1 to double precision.
+
+    The first term is found through logarithms, so that no rate is too large for it.
+    """
+    lowest = lowest_count(rate)
     last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    first = F.exp(-rate)
+    factors = F.when(lowest > 0, F.sequence(F.lit(1), lowest)).otherwise(F.array().cast("array<int>"))
+    first = F.exp(F.aggregate(factors, -rate, lambda total, i: total + F.log(rate / i)))
 
     def add(state, k):
         term = state["term"] * rate / k
@@ -40,7 +47,7 @@ def poisson_cdf(rate: Column) -> Column:
         return F.struct(F.concat(state["cdf"], F.array(total)).alias("cdf"), term.alias("term"))
 
     start = F.struct(F.array(first).alias("cdf"), first.alias("term"))
-    return F.aggregate(F.sequence(F.lit(1), last), start, add, lambda state: state["cdf"])
+    return F.aggregate(F.sequence(lowest + 1, last), start, add, lambda state: state["cdf"])
 
 
 def source_rates(
@@ -84,20 +91,22 @@ def mix_sources(
     Adds ``copy_no`` (from 1) and ``shuffle_key``; the result is sorted by the key.
     """
     rates = source_rates(docs, weights, rest_weight, epochs)
-    checked = F.when(F.col("rate") > MAX_RATE, F.raise_error(F.lit("a mean repetition rate is above 600")))
     steps = rates.select(
-        F.col("_group").alias("_mix_group"), poisson_cdf(F.coalesce(checked, F.col("rate"))).alias("_mix_cdf")
+        F.col("_group").alias("__mix_group"),
+        lowest_count(F.col("rate")).alias("__mix_lowest"),
+        poisson_cdf(F.col("rate")).alias("__mix_cdf"),
     )
-    kept = [c for c in docs.columns if c.lower() not in ("copy_no", "shuffle_key")]
-    own = docs.select(*kept, group_of(docs, weights).alias("_mix_group"))
+    kept = others(docs, "copy_no", "shuffle_key")
+    own = docs.select(*kept, group_of(docs, weights).alias("__mix_group"))
     # ``steps`` has at most one row per configured source and one for the rest.
-    drawn = own.join(F.broadcast(steps), "_mix_group")
+    drawn = own.join(F.broadcast(steps), "__mix_group")
     draw = unit_hash(seed, id_column)
-    copies = F.size(F.filter("_mix_cdf", lambda reached: reached <= F.col("_mix_draw")))
+    reached = F.filter("__mix_cdf", lambda share: share <= F.col("__mix_draw"))
+    copies = F.col("__mix_lowest") + F.size(reached)
     out = (
-        drawn.withColumn("_mix_draw", draw)
-        .withColumn("_mix_copies", copies)
-        .where(F.col("_mix_copies") > 0)
-        .select(*kept, F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))).alias("copy_no"))
+        drawn.withColumn("__mix_draw", draw)
+        .withColumn("__mix_copies", copies)
+        .where(F.col("__mix_copies") > 0)
+        .select(*kept, F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))).alias("copy_no"))
     )
     return out.withColumn("shuffle_key", hash52(seed + 1, id_column, "copy_no")).orderBy("shuffle_key")

@@ -32,6 +32,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postlane.llm.common import others
+
 SPACE = "▁"
 # What decoding shows for the unknown id.
 UNKNOWN = " \u2047 ".encode()
@@ -247,9 +249,9 @@ def encode_and_verify(docs: DataFrame, model_path: str, text_column: str = "text
             )
 
     names = ("ids", "n_tokens", "decoded_sha256")
-    own = [c for c in docs.columns if c.lower() not in names]
-    return docs.select(*own, made(docs[text_column]).alias("_made")).select(
-        *own, *[F.col(f"_made.{n}").alias(n) for n in names]
+    own = others(docs, *names)
+    return docs.select(*own, made(docs[text_column]).alias("__made")).select(
+        *own, *[F.col(f"__made.{n}").alias(n) for n in names]
     )
 
 
@@ -266,7 +268,7 @@ def digest_texts(docs: DataFrame, model_path: str, text_column: str = "text") ->
             )
 
     names = ("n_tokens", "ids_sha256", "decoded_sha256")
-    own = [c for c in docs.columns if c.lower() not in names]
-    return docs.select(*own, figures(docs[text_column]).alias("_figures")).select(
-        *own, *[F.col(f"_figures.{n}").alias(n) for n in names]
+    own = others(docs, *names)
+    return docs.select(*own, figures(docs[text_column]).alias("__figures")).select(
+        *own, *[F.col(f"__figures.{n}").alias(n) for n in names]
     )

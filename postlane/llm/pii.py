@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlane.llm.common import hash52
+from postlane.llm.common import hash52, others
 
 KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = "outside"
@@ -357,8 +357,8 @@ def find_personal_data(docs: DataFrame, weights: Weights) -> DataFrame:
         for texts in batches:
             yield pd.DataFrame([figures(t, shared.value) if t else nothing for t in texts], columns=names)
 
-    own = [c for c in docs.columns if c.lower() not in names]
+    own = others(docs, *names)
     worth = F.when(docs["text"].rlike("[0-9@]"), docs["text"])
-    return docs.select(*own, found(worth).alias("_found")).select(
-        *own, *[F.col(f"_found.{c}").alias(c) for c in names]
+    return docs.select(*own, found(worth).alias("__found")).select(
+        *own, *[F.col(f"__found.{c}").alias(c) for c in names]
     )

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postlane.llm.common import others
 from postlane.operators.ordering import global_position
 
 # The marks of the rendered format.
@@ -70,14 +71,14 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
     Other columns stay, apart from those named like the results.
     """
     made = ("n_prompt_turns", "prompt", "chosen", "rejected", "chosen_mask", "rejected_mask")
-    rest = [c for c in pairs.columns if c.lower() not in made]
+    rest = others(pairs, *made)
     turns = lambda c: F.coalesce(F.col(c), F.array().cast(pairs.schema[c].dataType))
-    after = lambda c: F.slice(turns(c), F.col("_shared") + 1, F.greatest(F.size(turns(c)) - F.col("_shared"), F.lit(0)))
-    split = pairs.withColumn("_shared", common_turns(turns("chosen"), turns("rejected")))
+    after = lambda c: F.slice(turns(c), F.col("__shared") + 1, F.greatest(F.size(turns(c)) - F.col("__shared"), F.lit(0)))
+    split = pairs.withColumn("__shared", common_turns(turns("chosen"), turns("rejected")))
     return split.select(
         *rest,
-        F.col("_shared").cast("bigint").alias("n_prompt_turns"),
-        render(F.slice(turns("chosen"), F.lit(1), F.col("_shared"))).alias("prompt"),
+        F.col("__shared").cast("bigint").alias("n_prompt_turns"),
+        render(F.slice(turns("chosen"), F.lit(1), F.col("__shared"))).alias("prompt"),
         render(after("chosen")).alias("chosen"),
         render(after("rejected")).alias("rejected"),
         trained_spans(after("chosen")).alias("chosen_mask"),

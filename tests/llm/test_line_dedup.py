@@ -1,0 +1,70 @@
+import collections
+
+from postlane.llm import line_dedup
+
+
+def brute(rows, min_sites, keep_first):
+    has_word = lambda line: line.strip(" \t\n\x0b\x0c\r") != ""
+    sites, first = collections.defaultdict(set), {}
+    for doc, text, _, site, _ in rows:
+        for no, line in enumerate((text or "").split("\n") if text is not None else []):
+            if has_word(line):
+                sites[line].add(site)
+                place = (doc is not None, doc or 0, no)  # nulls first, as Spark orders them
+                first[line] = min(first.get(line, place), place)
+    out = []
+    for doc, text, _, site, _ in rows:
+        if text is None:
+            out.append((doc, None, 0, 0))
+            continue
+        lines = text.split("\n")
+        kept = [
+            line
+            for no, line in enumerate(lines)
+            if not has_word(line)
+            or len(sites[line]) < min_sites
+            or keep_first and (doc is not None, doc or 0, no) == first[line]
+        ]
+        out.append((doc, "\n".join(kept), len(lines), len(lines) - len(kept)))
+    return sorted(out, key=str)
+
+
+def found(df):
+    return sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in df.collect()), key=str)
+
+
+def full(rows):
+    return [(*r, *[None] * (5 - len(r))) for r in rows]
+
+
+def test_against_brute_force(documents):
+    rows = []
+    for i in range(120):
+        site = f"s{i % 17}"
+        lines = [f"own {i}", f"near {i % 5}", "", "  ", "everywhere", f"pair {i // 2}", "everywhere"]
+        rows.append((i, "\n".join(lines[i % 3 :]), "en", site, 0))
+    for min_sites in (1, 2, 7, 16, 17, 18):
+        for keep_first in (True, False):
+            got = line_dedup.remove_spread_lines(documents(*rows), min_sites, keep_first)
+            assert found(got) == brute(rows, min_sites, keep_first)
+
+
+def test_estimates_far_from_the_threshold(documents):
+    rows = [(i, f"shared\nown {i}\nhalf {i % 2}", "en", f"s{i}", 0) for i in range(400)]
+    got = line_dedup.remove_spread_lines(documents(*rows), 200)
+    assert found(got) == brute(rows, 200, True)
+
+
+def test_odd_rows(documents, odd_rows):
+    df = documents(*odd_rows, clashing=True)
+    got = line_dedup.remove_spread_lines(df, 2)
+    assert set(got.columns) == set(df.columns) | {"n_lines"}
+    rows = got.collect()
+    assert len(rows) == len(odd_rows)
+    by_id = {r["doc_id"]: r for r in rows}
+    assert by_id[1]["text"] is None and by_id[1]["n_lines"] == 0
+    assert by_id[2]["text"] == "" and by_id[2]["n_removed"] == 0
+    # The shared line stays at its first place, number 4, and goes from number 5.
+    assert by_id[5]["text"] == "" and by_id[5]["n_removed"] == 1
+    assert sorted(r["n_removed"] for r in rows if r["doc_id"] == 4) == [0, 0, 0]
+    assert line_dedup.remove_spread_lines(documents(), 2).count() == 0

@@ -1,0 +1,105 @@
+import collections
+import hashlib
+import random
+
+import numpy as np
+import pytest
+
+from postlane.llm import suffix_dedup
+from postlane.llm.rolling import SpanHasher
+
+LENGTH = suffix_dedup.LENGTH
+
+
+def brute(texts):
+    seen = collections.Counter(t[i : i + LENGTH] for t in texts for i in range(len(t) - LENGTH + 1))
+    out = []
+    for t in texts:
+        gone = bytearray(len(t))
+        for i in range(len(t) - LENGTH + 1):
+            if seen[t[i : i + LENGTH]] > 1:
+                gone[i : i + LENGTH] = b"\1" * LENGTH
+        kept = bytes(b for b, g in zip(t, gone) if not g)
+        spans = sum(1 for i, g in enumerate(gone) if g and (not i or not gone[i - 1]))
+        out.append((len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def found(df):
+    return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in df.collect()}
+
+
+def make_texts(seed):
+    rnd = random.Random(seed)
+    text = lambda n: "".join(rnd.choices("abcdefgh éß", k=n))
+    passages = [text(n) for n in (150, 399, 400, 401, 700, 1500)]
+    texts = []
+    for _ in range(40):
+        parts = [text(rnd.randrange(0, 300))]
+        for _ in range(rnd.randrange(0, 3)):
+            parts += [rnd.choice(passages), text(rnd.randrange(0, 200))]
+        texts.append("".join(parts))
+    base = text(2000)
+    for _ in range(12):
+        at = rnd.randrange(2000)
+        texts.append(base[:at] + rnd.choice("xyz") + base[at + 1 :])
+    return texts + [base, base, "a" * 900, "ab" * 450, "", text(399), text(400)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_equals_brute_force(documents, seed):
+    texts = make_texts(seed)
+    got = found(suffix_dedup.remove_repeats(documents(*enumerate(texts)).repartition(5)))
+    expected = brute([t.encode() for t in texts])
+    assert [got[i] for i in range(len(texts))] == expected
+
+
+def test_runs_do_not_depend_on_the_stretch(monkeypatch):
+    text = make_texts(3)[5].encode() * 8
+    covered = lambda places: sorted(
+        s + k for s, n, _ in map(suffix_dedup.unpacked, places.tolist()) for k in range(n)
+    )
+    whole = suffix_dedup.runs_of(text, SpanHasher())
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 1000)
+    cut = suffix_dedup.runs_of(text, SpanHasher())
+    assert covered(whole[0]) == covered(cut[0]) == list(range(len(text) - LENGTH + 1))
+    assert set(whole[1].tolist()) == set(cut[1].tolist())
+
+
+def test_sliding_minimum():
+    values = np.random.default_rng(2).integers(0, 50, 400)
+    for width in (1, 2, 7, 64, 400):
+        expected = [values[i : i + width].min() for i in range(len(values) - width + 1)]
+        assert suffix_dedup.sliding_minimum(values, width).tolist() == expected
+
+
+def test_index_family_has_few_levels_and_finds_matches_across_batches():
+    rnd = random.Random(7)
+    family = suffix_dedup.IndexFamily()
+    blocks = [bytes(rnd.choices(range(256), k=430)) for _ in range(64)]
+    places = [family.add([block]) for block in blocks]
+    assert len(family.levels) <= 7 and not family.repeated.any()
+    at = family.add([b"?" + blocks[9][5:420]])
+    assert np.flatnonzero(family.repeated).tolist() == sorted(
+        [*range(places[9] + 5, places[9] + 21), *range(at + 1, at + 17)]
+    )
+
+
+def test_odd_rows(documents, odd_rows):
+    out = suffix_dedup.remove_repeats(documents(*odd_rows, clashing=True), kept_text=True)
+    rows = out.collect()
+    assert len(rows) == len(odd_rows)
+    by_id = {r["doc_id"]: r for r in rows}
+    assert by_id[1]["n_bytes"] == 0 and by_id[1]["kept"] == b""
+    # The very long text repeats itself: all of it goes.
+    assert by_id[6]["n_removed"] == by_id[6]["n_bytes"] and by_id[6]["n_spans"] == 1
+    assert by_id[5]["n_removed"] == 0
+    assert suffix_dedup.remove_repeats(documents()).count() == 0
+
+
+def test_equal_ids_with_different_texts(documents):
+    long = make_texts(4)[-8]
+    rows = [(1, long), (1, "x" + long[:1000]), (None, long[500:1500]), (None, "short")]
+    got = suffix_dedup.remove_repeats(documents(*rows)).collect()
+    expected = brute([t.encode() for _, t in rows])
+    assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == sorted(expected)
