@@ -180,11 +180,13 @@ class Zone:
                 continue
             text = "".join(self.tokens[start:end])
             checked = digits in CARD_DIGITS and passes_luhn(digits_of(text))
-            possible = (at_sign, digits >= MIN_DIGITS, checked, digits in PHONE_DIGITS)
+            shape = shape_of(text)
+            groups = shape.count("9")
+            four = groups == 4 and "a" not in shape and all(len(g) <= 3 for g in re.findall("[0-9]+", text))
+            possible = (at_sign, four, checked, digits in PHONE_DIGITS)
             allowed = [k for k, yes in zip(KINDS, possible) if yes]
             if not allowed:
                 continue
-            shape = shape_of(text)
             before = kinds[start - 1] if start else "edge"
             yield start, allowed, [
                 f"shape={shape}",
@@ -192,7 +194,7 @@ class Zone:
                 f"at={shape.count('@')}",
                 f"digits={min(digits, 20)}",
                 f"checksum={checked}",
-                f"groups={shape.count('9')}",
+                f"groups={groups}",
                 f"octets={all(len(g) <= 3 and int(g) <= 255 for g in re.findall('[0-9]+', text))}",
                 f"before={before}",
                 f"after={after}",

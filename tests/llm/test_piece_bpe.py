@@ -1,0 +1,82 @@
+import hashlib
+import random
+
+import public_tokenizers
+import pytest
+import sentencepiece
+
+from postlane.llm import piece_bpe
+
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=MODEL)
+
+
+@pytest.fixture(scope="module")
+def pieces():
+    return piece_bpe.PieceTable(piece_bpe.read_model(MODEL))
+
+
+def random_text(rnd, pieces):
+    kind = rnd.randrange(3)
+    if kind == 0:
+        return "".join(rnd.choice("abcdefgh thein  \n\t.,éßñ▁漢字😀\x00​　ﬁ１A0129") for _ in range(rnd.randrange(30)))
+    if kind == 1:
+        known = [p for p in pieces.piece if p]
+        return "".join(rnd.choice(known).replace("▁", " ") for _ in range(rnd.randrange(1, 8)))
+    return rnd.choice("aeinst ") * rnd.randrange(1, 40) + "".join(rnd.choice("ab e") for _ in range(rnd.randrange(60)))
+
+
+def test_equals_the_library(library, pieces):
+    rnd = random.Random(1)
+    for _ in range(10_000):
+        text = random_text(rnd, pieces)
+        ids = library.encode(text, add_eos=True)
+        assert pieces.encode(text) == ids
+        assert pieces.decode(ids) == library.decode(ids)
+
+
+def test_decodes_any_ids_as_the_library(library, pieces):
+    rnd = random.Random(2)
+    for _ in range(3000):
+        ids = [rnd.randrange(0, 300) if rnd.random() < 0.5 else rnd.randrange(32_000) for _ in range(rnd.randrange(10))]
+        assert pieces.decode(ids) == library.decode(ids)
+
+
+def test_memory_is_bounded_and_does_not_matter(library, pieces, monkeypatch):
+    monkeypatch.setattr(piece_bpe, "REMEMBERED", 5)
+    table = piece_bpe.PieceTable(piece_bpe.read_model(MODEL))
+    for i in range(50):
+        text = f"some words {i} and others {i * 7}"
+        assert table.encode(text) == library.encode(text, add_eos=True)
+        assert len(table.remembered) < 5 + len(text)
+
+
+def test_odd_rows(documents, odd_rows, library):
+    df = documents(*odd_rows, clashing=True)
+    out = piece_bpe.digest_texts(df, MODEL)
+    assert set(out.columns) == set(df.columns) | {"n_tokens", "ids_sha256", "decoded_sha256"}
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    rows = out.collect()
+    assert len(rows) == len(odd_rows)
+    for r in rows:
+        ids = library.encode(r["text"] or "", add_eos=True)
+        assert r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == digest(" ".join(map(str, ids)))
+        assert r["decoded_sha256"] == digest(library.decode(ids))
+    assert piece_bpe.digest_texts(documents(), MODEL).count() == 0
+
+
+def test_round_trip_of_ids(documents, odd_rows, library):
+    df = documents(*odd_rows)
+    both = piece_bpe.decode_ids(piece_bpe.encode_texts(df, MODEL), MODEL)
+    verified = {r["doc_id"]: r for r in piece_bpe.encode_and_verify(df, MODEL).collect() if r["doc_id"] in (6, 7)}
+    for r in both.collect():
+        text = r["text"] or ""
+        assert r["ids"] == library.encode(text, add_eos=True)
+        assert r["decoded"] == text.replace("▁", " ")
+        if r["doc_id"] in verified:
+            assert verified[r["doc_id"]]["ids"] == r["ids"] and verified[r["doc_id"]]["n_tokens"] == len(r["ids"])

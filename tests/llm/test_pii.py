@@ -1,0 +1,149 @@
+import random
+import re
+
+import pytest
+
+from postlane.llm import pii
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            doubled = [int(c) * (1 + i % 2) for i, c in enumerate(digits[::-1])]
+            fits = {
+                "email": True,
+                "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else None,
+                "card": 13 <= len(digits) <= 19 and sum(d - 9 if d > 9 else d for d in doubled) % 10 == 0,
+                "phone": 9 <= len(digits) <= 15,
+            }[kind]
+            if fits:
+                out.append((*m.span(), kind))
+    return out
+
+
+def test_patterns_equal_plain_expressions():
+    rnd = random.Random(1)
+    bits = ["1", "25", "4", "0", ".", ".", "@", "a", "b.c", "-", " ", "+1", "(", "é", "256", "4041894974608795", "\n", "_", "%"]
+    for _ in range(30_000):
+        text = "".join(rnd.choice(bits) for _ in range(rnd.randrange(0, 25)))
+        assert pii.base_spans(text) == brute(text)
+
+
+@pytest.mark.parametrize("unit", ["a", "1", "1.", "1 ", "a@", "+1", ".", "(", "a.b", "9a"])
+def test_very_long_runs_take_linear_time(unit):
+    pii.all_spans(unit * 20_000, {("phone", "at=0"): -1.0})
+
+
+PEOPLE = [
+    ("a", "Call +1 (555) 123-{:04} now"),
+    ("b", "write to user.{}@mail.example.com please"),
+    ("c", "host 10.20.{}.7 answered"),
+    ("d", "card 4041894974608795 and {} items"),
+    ("e", "version {}.0 of the text, page {}"),
+    ("f", "key=ab{}cd9 with AKIA{}XYZ"),
+]
+
+
+@pytest.fixture(scope="module")
+def fitted(documents):
+    rnd = random.Random(3)
+    rows = [(i, PEOPLE[i % 6][1].format(*[rnd.randrange(200)] * 2)) for i in range(240)]
+    docs = documents(*rows)
+    return docs, pii.fit(docs)
+
+
+def test_the_field_learns_what_the_patterns_show_and_more(fitted):
+    _, weights = fitted
+    spans = lambda t: [(t[s:e], k) for s, e, k in pii.all_spans(t, weights)[1]]
+    assert spans("or (555) 123-4567 today") == [("(555) 123-4567", "phone")]
+    assert spans("+1 (555) 123-4567 4041894974608795") == [
+        ("4041894974608795", "card"),
+        ("+1 (555) 123-4567", "phone"),
+    ]
+    for clean in ("version 3.0 of 2024-01-02", "AKIA12XYZ34", "password=e3b3ed3c", "1,000 items, 20 pages", "3.14"):
+        assert spans(clean) == []
+
+
+def test_segmentation_is_the_best_of_all(fitted):
+    _, weights = fitted
+    rnd = random.Random(5)
+    for _ in range(40):
+        zone = pii.Zone("".join(rnd.choices(["12", "555", " ", "-", "(", ")", "+", "@", "ab", "."], k=7)))
+        scored = pii.segment_scores(zone, weights)
+
+        def total(end):
+            if not end:
+                return [0.0]
+            return [v + rest for s, _, v, _ in scored[end] for rest in total(s)]
+
+        spans = {(s, e): k for s, e, k in pii.best_segments(zone, weights)}
+        at, got = len(zone.tokens), 0.0
+        while at:
+            choice = [
+                (s, v)
+                for s, label, v, _ in scored[at]
+                if spans.get((zone.starts[s], zone.starts[at]), pii.OUTSIDE) == label
+            ]
+            at, value = max(choice, key=lambda c: c[1]) if len({s for s, _ in choice}) == 1 else min(choice)
+            got += value
+        assert got == pytest.approx(max(total(len(zone.tokens))))
+
+
+def test_gradient_is_that_of_the_likelihood(fitted):
+    import math
+
+    zone = pii.Zone("+1 (555) 123-4567 x1")
+    gold = [(0, 17, "phone")]
+    weights = {("phone", "letters=False"): 0.3, (pii.OUTSIDE, "token=digits"): -0.2}
+
+    def likelihood(w):
+        scored = pii.segment_scores(zone, w)
+        ahead = [0.0]
+        for here in scored[1:]:
+            ahead.append(math.log(sum(math.exp(ahead[s] + v) for s, _, v, _ in here)))
+        at, value = len(zone.tokens), 0.0
+        while at:
+            s, v = next((s, v) for s, k, v, _ in scored[at] if (k == "phone") == ((zone.starts[s], zone.starts[at], "phone") in gold) and (k == "phone" or k == pii.OUTSIDE) and (k == "phone" or not any(a < zone.starts[at] <= b for a, b, _ in gold)))
+            at, value = s, value + v
+        return value - ahead[-1]
+
+    change = pii.gradient(zone, gold, weights)
+    for key in [("phone", "letters=False"), (pii.OUTSIDE, "token=digits"), ("phone", "digits=11")]:
+        step = 1e-5
+        up = {**weights, key: weights.get(key, 0.0) + step}
+        down = {**weights, key: weights.get(key, 0.0) - step}
+        assert change.get(key, 0.0) == pytest.approx((likelihood(up) - likelihood(down)) / (2 * step), abs=2e-3)
+
+
+def test_odd_rows(documents, odd_rows, fitted):
+    _, weights = fitted
+    df = documents(*odd_rows, clashing=True)
+    out = pii.find_personal_data(df, weights)
+    assert set(out.columns) == set(df.columns) | {"n_email", "n_ip", "n_card", "n_phone", "base_sha256"}
+    rows = out.collect()
+    assert len(rows) == len(odd_rows)
+    assert {(r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["spans"]) for r in rows} == {(0, 0, 0, 0, "")}
+    assert pii.find_personal_data(documents(), weights).count() == 0
+    assert pii.fit(documents()) == pii.fit(documents((1, "no figures"), (2, None))) == {}
+
+
+def test_offsets_are_code_points_and_base_spans_stay(documents, fitted):
+    _, weights = fitted
+    text = "😀é a.b@c.de, +49 30 1234567 and 1.2.3.4"
+    row = pii.find_personal_data(documents((1, text)), weights).first()
+    assert (row["n_email"], row["n_ip"], row["n_card"], row["n_phone"]) == (1, 1, 0, 1)
+    spans = [s.split(":") for s in row["spans"].split(",")]
+    assert [(k, text[int(s) : int(e)]) for k, s, e in spans if (int(s), int(e), k) in pii.base_spans(text)] == [
+        ("email", "a.b@c.de"),
+        ("ip", "1.2.3.4"),
+        ("phone", "+49 30 1234567"),
+    ]
