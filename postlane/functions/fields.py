@@ -57,9 +57,12 @@ def is_fresh(posted: Column, today: Column) -> Column:
 
 
 def http_status(message: Column, code: Column) -> Column:
-    """Status code of a failed fetch, else the first 40x/42x named in its message."""
+    """Status code of a failed fetch; without one, the first 40x/42x named in its message.
+
+    A code that is no number gives NULL: the message is not asked then.
+    """
     named = F.regexp_extract(or_blank(message), r"\b(40[0-9]|42[0-9])\b", 1)
-    return F.coalesce(code.cast("int"), F.nullif(named, F.lit("")).try_cast("int"))
+    return F.when(code.isNotNull(), code.try_cast("int")).otherwise(F.nullif(named, F.lit("")).try_cast("int"))
 
 
 def retry_after(c: Column) -> Column:

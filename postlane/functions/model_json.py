@@ -2,49 +2,35 @@
 
 from __future__ import annotations
 
-import json
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from postlane.functions.text import or_blank
 
+# Marks of a fenced block around an answer.
 FENCE_OPEN = r"^```[a-zA-Z]*\s*\n"
 FENCE_CLOSE = r"\n```\s*$"
 
 
-def _embedded(text: str):
-    """The first JSON array or object that parses, as JSON text."""
-    decoder = json.JSONDecoder()
-    for start in re.finditer(r"[\[{]", text):
-        try:
-            _, end = decoder.raw_decode(text, start.start())
-        except ValueError:
-            continue
-        return text[start.start() : end]
-    return None
-
-
-@F.pandas_udf(StringType())
-def _find_embedded(texts: pd.Series) -> pd.Series:
-    return texts.map(_embedded, na_action="ignore")
-
-
 def model_json(raw: Column) -> Column:
-    """JSON text of the answer, NULL if it holds none.
+    """JSON text of the answer's first array or object that parses, NULL if it holds none.
 
-    Code fences are dropped natively, and an answer that starts with its JSON value
-    stays in the JVM, whatever follows the value. Only answers with other text before
-    it are searched, in an Arrow batch UDF that sees NULL for all other rows.
+    Fences are dropped. An answer that starts with its value, as nearly all do, is read at
+    once, whatever follows the value; the parser stops behind it. For others the places of
+    all opening brackets are tried, and the first that begins a value wins.
     """
     text = or_blank(raw)
-    fenced = F.regexp_replace(F.regexp_replace(text, FENCE_OPEN, ""), FENCE_CLOSE, "")
-    body = F.ltrim(F.when(text.startswith("```"), fenced).otherwise(text))
-    # The strict parser decides; both functions read one value and stop.
-    leads = body.rlike(r"^[\[{]") & F.try_parse_json(body).isNotNull()
-    return F.coalesce(
-        F.when(leads, F.get_json_object(body, "$")), _find_embedded(F.when(~leads, body))
+    unfenced = F.regexp_replace(F.regexp_replace(text, FENCE_OPEN, ""), FENCE_CLOSE, "")
+    body = F.ltrim(F.when(text.startswith("```"), unfenced).otherwise(text))
+    parses = lambda s: F.try_parse_json(s).isNotNull()
+    leads = body.rlike(r"^[\[{]") & parses(body)
+    # Text before each bracket; running sums of the lengths are the brackets' places.
+    pieces = F.split(body, r"(?=[\[{])")
+    places = F.aggregate(
+        F.transform(pieces, lambda piece: F.length(piece)),
+        F.array(F.lit(1)),
+        lambda found, size: F.concat(found, F.array(F.element_at(found, -1) + size)),
     )
+    rest = F.transform(places, lambda at: body.substr(at, F.lit(2**31 - 1)))
+    searched = F.try_element_at(F.filter(rest, lambda s: s.rlike(r"^[\[{]") & parses(s)), F.lit(1))
+    return F.get_json_object(F.when(leads, body).otherwise(F.when(F.contains(body, F.lit("{")) | F.contains(body, F.lit("[")), searched)), "$")

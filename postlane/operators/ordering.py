@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,40 +51,43 @@ def top_per_group(
     )
 
 
-def interleave(df: DataFrame, list_cols: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def interleave(
+    df: DataFrame, list_cols: Sequence[str], order: Sequence[Column], key: Sequence[str]
+) -> DataFrame:
     """Deal lists round-robin: adds ``round_no``, the place of a row in its list.
 
     The merged order is ``(round_no, *list_cols)``: first rows of all lists, then
-    second rows, and so on. For lists that are short by construction, such as the
-    capped hits of a query; long ones go through ``top_per_group``.
+    second rows, and so on. A list may be of any length: no task numbers a whole one.
     """
-    return df.withColumn("round_no", F.row_number().over(Window.partitionBy(*list_cols).orderBy(*order)))
+    return rank_per_group(df, list_cols, order, "round_no", key)
 
 
 def global_position(
     df: DataFrame,
-    order: Sequence[str],
+    order: Sequence[str | Column],
     name: str = "idx",
     partitions: int | None = None,
+    key: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Exact 0-based position of every row in the order of unique ``order`` columns.
-
-    Rows are range-partitioned and sorted, then written to the shared checkpoint
-    folder with their place inside their partition. Row counts per partition give
-    each partition's offset. The checkpoint fixes the partition borders: sampling
-    them again in a second evaluation could move rows between partitions.
+    """Exact 0-based position of every row in a unique order.
+
+    ``key`` names columns that identify a row, by default the order's own. Only keys and
+    order columns are range-partitioned, sorted and written to the shared checkpoint
+    folder, with their place inside their partition. Row counts per partition give each
+    partition's offset. The checkpoint fixes the partition borders: sampling them again
+    in a second evaluation could move rows between partitions. Positions then join the
+    rows by key, unless the rows are nothing but keys.
     """
     spark = df.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = list(key or order)
     # monotonically_increasing_id: partition in the upper bits, row number in the lower 33.
     local = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
     placed = materialize(
         df.repartitionByRange(partitions, *order)
         .sortWithinPartitions(*order)
-        .withColumn("_row", F.monotonically_increasing_id())
-    ).select(
-        "*", F.shiftright("_row", 33).alias("_part"), local.alias("_place")
-    )
+        .select(*key, F.monotonically_increasing_id().alias("_row"))
+    ).select(*key, F.shiftright("_row", 33).alias("_part"), local.alias("_place"))
     # One row per partition, so a window over all of them is small by construction.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -91,11 +95,44 @@ def global_position(
         .agg(F.count(F.lit(1)).alias("_n"))
         .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
-    return (
-        placed.join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_offset") + F.col("_place"))
-        .drop("_row", "_part", "_place", "_offset")
+    positions = placed.join(F.broadcast(offsets), "_part").select(
+        *key, (F.col("_offset") + F.col("_place")).alias(name)
     )
+    if set(df.columns) == set(key):
+        return positions
+    renamed = positions.select(*[F.col(k).alias(f"_key_{k}") for k in key], name)
+    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(renamed[f"_key_{k}"]) for k in key])
+    return df.join(renamed, same).drop(*[f"_key_{k}" for k in key])
+
+
+def rank_per_group(
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], rank: str, key: Sequence[str]
+) -> DataFrame:
+    """Every row's rank in its group from 1, however large the group.
+
+    All rows get positions in the order (group, order); a group's first position then
+    turns them into ranks. ``key`` names columns that identify a row.
+    """
+    placed = global_position(df, [*[F.col(g) for g in group], *order], "_position", key=key)
+    first = placed.groupBy(*group).agg(F.min("_position").alias("_first"))
+    renamed = first.select(*[F.col(g).alias(f"_group_{g}") for g in group], "_first")
+    same = reduce(lambda a, b: a & b, [placed[g].eqNullSafe(renamed[f"_group_{g}"]) for g in group])
+    ranked = placed.join(renamed, same).withColumn(rank, (F.col("_position") - F.col("_first") + 1).cast("int"))
+    return ranked.drop("_position", "_first", *[f"_group_{g}" for g in group])
+
+
+def first_per_group(
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[Column],
+    k: int | None,
+    rank: str,
+    key: Sequence[str],
+) -> DataFrame:
+    """The first ``k`` rows of every group, numbered; all rows if ``k`` is None."""
+    if k is None:
+        return rank_per_group(df, group, order, rank, key)
+    return top_per_group(df, group, order, k, rank)
 
 
 def next_in_order(df: DataFrame, id_col: str, value_col: str, name: str) -> DataFrame:

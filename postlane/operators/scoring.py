@@ -15,7 +15,7 @@ from postlane.functions.text import first_nonempty, or_blank, title_key
 from postlane.operators.ordering import global_position, top_per_group
 from postlane.operators.state import OMITTED, SCORED
 from postlane.schemas import POSTING_COLUMNS, SCORED as SCORED_SCHEMA
-from postlane.session import small_side
+from postlane.session import materialize
 
 # -- batches ------------------------------------------------------------------
 
@@ -46,21 +46,35 @@ def batch_payloads(batched: DataFrame) -> DataFrame:
 Scorer = Callable[[str, str, str], str]
 
 
-def call_scorer(payloads: DataFrame, scorer: Scorer, today: str, profile: str) -> DataFrame:
-    """Raw answers of an external scorer, one call per batch.
+def call_scorer(
+    payloads: DataFrame, scorer: Scorer, today: str, profile: str, concurrency: int | None = None
+) -> DataFrame:
+    """Answers ``(run_id, batch, raw, error)`` of an external scorer, one call per batch.
 
     ``scorer(payload_json, today, profile)`` returns the answer text; it owns its
-    retries. A retried task may call it twice, so write the result keyed by
-    ``(run_id, batch)`` before reading it again.
+    retries. What it raises becomes the row's ``error``, so a failed call costs no
+    other call's answer. Batches are dealt over ``concurrency`` tasks (one per core by
+    default), a number that adaptive execution does not change: rows are tiny and
+    calls slow. A retried task may call the scorer twice, so write the result keyed
+    by ``(run_id, batch)`` before reading it again.
     """
+    tasks = concurrency or payloads.sparkSession.sparkContext.defaultParallelism
+
+    def answer(payload: str) -> tuple[str | None, str | None]:
+        try:
+            return scorer(payload, today, profile), None
+        except Exception as error:  # noqa: BLE001 - whatever a user's scorer raises
+            return None, f"{type(error).__name__}: {error}"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            answers = [scorer(p, today, profile) for p in frame["payload"]]
-            yield pd.DataFrame({"run_id": frame["run_id"], "batch": frame["batch"], "raw": answers})
+            for run_id, batch, payload in zip(frame["run_id"], frame["batch"], frame["payload"]):
+                raw, error = answer(payload)
+                yield pd.DataFrame({"run_id": [run_id], "batch": [batch], "raw": [raw], "error": [error]})
 
-    return payloads.select("run_id", "batch", "payload").mapInPandas(
-        run, "run_id long, batch long, raw string"
+    # Round-robin: neither keys nor sizes decide, every task gets its share of calls.
+    return payloads.select("run_id", "batch", "payload").repartition(tasks).mapInPandas(
+        run, "run_id long, batch long, raw string, error string"
     )
 
 
@@ -68,16 +82,36 @@ def parse_answers(answers: DataFrame) -> DataFrame:
     """Raw answers ``(run_id, batch, raw)`` to one row per result.
 
     ``result_no`` is the place in the answer, ``data`` the result's JSON text and ``r``
-    its fields. An answer without JSON gives no row (see ``unreadable_answers``).
+    its fields. An unreadable answer gives no row.
     """
-    value = answers.withColumn("value", model_json(F.col("raw")))
+    value = answers.withColumn("value", result_array(F.col("raw"))).where(F.col("value").isNotNull())
     return value.select(
         "run_id", "batch", F.posexplode(F.from_json("value", "array<string>")).alias("result_no", "data")
     ).withColumn("r", F.from_json("data", SCORED_SCHEMA))
 
 
+def result_array(raw: Column) -> Column:
+    """JSON text of an answer that holds an array; NULL for anything else.
+
+    The one test of readability: parsing, quarantine and omission all go by it.
+    """
+    value = model_json(raw)
+    return F.when(value.startswith("["), value)
+
+
+def readable_answers(answers: DataFrame) -> DataFrame:
+    return answers.where(result_array(F.col("raw")).isNotNull())
+
+
 def unreadable_answers(answers: DataFrame) -> DataFrame:
-    return answers.where(model_json(F.col("raw")).isNull())
+    """Answers without an array of results: prose, other JSON, or none at all."""
+    return answers.where(result_array(F.col("raw")).isNull())
+
+
+def batches_to_retry(inputs: DataFrame, answers: DataFrame) -> DataFrame:
+    """Batches ``(run_id, batch)`` of the inputs that have no readable answer yet."""
+    answered = readable_answers(answers).select("run_id", "batch")
+    return inputs.select("run_id", "batch").distinct().join(answered, ["run_id", "batch"], "left_anti")
 
 
 # -- matching -----------------------------------------------------------------
@@ -150,9 +184,14 @@ def match_results(results: DataFrame, inputs: DataFrame) -> DataFrame:
     )
 
 
-def omitted_inputs(inputs: DataFrame, matched: DataFrame) -> DataFrame:
-    """Inputs of answered batches that no result of their batch belongs to."""
-    keyed = inputs.where(F.length("url") > 0).withColumn("dedup_key", urls.dedup_key(F.col("url")))
+def omitted_inputs(inputs: DataFrame, matched: DataFrame, answered: DataFrame) -> DataFrame:
+    """Inputs of answered batches that no result of their batch belongs to.
+
+    ``answered`` lists the batches ``(run_id, batch)`` with a readable answer, once each.
+    Inputs of other batches are not omitted but still to be scored.
+    """
+    open_or_not = inputs.where(F.length("url") > 0).join(answered.select("run_id", "batch"), ["run_id", "batch"], "left_semi")
+    keyed = open_or_not.withColumn("dedup_key", urls.dedup_key(F.col("url")))
     keys = matched.select("run_id", "batch", "dedup_key").distinct()
     return keyed.join(keys, ["run_id", "batch", "dedup_key"], "left_anti")
 
@@ -290,11 +329,11 @@ def profile_top_matches(
 ) -> DataFrame:
     """The ``k`` best postings of every profile ``(profile_id, skills)``.
 
-    Only postings that share a skill are candidates. Profiles with the same skills
-    have the same best postings, so postings are ranked once per distinct skill set,
-    and profiles look their set's ``k`` rows up. Words that are nobody's skill are
-    dropped before the join, and a posting meets a skill set at most once after the
-    map-side sum, however common the shared words are.
+    Only postings that share a skill are candidates. What a posting scores for any skill
+    set depends on two things only: which of all skills it names, its signature, and its
+    base points. So the first ``k`` ids of every (signature, base points) stand for all
+    of its postings, and skill sets meet signatures, never postings. Profiles with the
+    same skills share one skill set.
     """
     skill_set = F.array_sort(F.array_distinct(F.transform("skills", lambda s: F.lower(s))))
     signed = profiles.select("profile_id", skill_set.alias("skill_set")).withColumn(
@@ -306,21 +345,27 @@ def profile_top_matches(
     featured = posting_points(described, today, remote_words, flag_words).select(
         posting_id, "base_points", "words"
     )
-    shared = (
+    named = (
         # The outer form: a plain explode would have the words computed twice, for a filter.
         featured.select(posting_id, "base_points", F.explode_outer("words").alias("word"))
-        .join(small_side(set_words), "word")
-        .groupBy("set_id", posting_id)
-        .agg(
-            F.count(F.lit(1)).alias("n_shared"),
-            F.max("wanted").alias("wanted"),
-            F.max("base_points").alias("base_points"),
-        )
+        .join(set_words.select("word").distinct(), "word", "left_semi")
+        .groupBy(posting_id, "base_points")
+        .agg(F.sort_array(F.collect_set("word")).alias("signature"))
+    )
+    first = top_per_group(named, ["signature", "base_points"], [F.col(posting_id)], k, "_nth")
+    groups = materialize(first.groupBy("signature", "base_points").agg(F.collect_list(posting_id).alias("ids")))
+    signatures = groups.select("signature").distinct()
+    shared = (
+        signatures.select("signature", F.explode("signature").alias("word"))
+        .join(set_words, "word")
+        .groupBy("set_id", "signature")
+        .agg(F.count(F.lit(1)).alias("n_shared"), F.max("wanted").alias("wanted"))
     )
-    scored = shared.withColumn(
+    scored = shared.join(groups, "signature").withColumn(
         "score", final_score(skill_points(F.col("n_shared"), F.col("wanted")) + F.col("base_points"))
     )
-    best = top_per_group(scored, ["set_id"], [F.col("score").desc(), F.col(posting_id)], k, "place")
+    listed = scored.select("set_id", "n_shared", "score", F.explode("ids").alias(posting_id))
+    best = top_per_group(listed, ["set_id"], [F.col("score").desc(), F.col(posting_id)], k, "place")
     return signed.select("profile_id", "set_id").join(
         best.select("set_id", posting_id, "n_shared", "score", "place"), "set_id"
     ).drop("set_id")

@@ -237,14 +237,20 @@ def norm_lever(spark, d):
     return _long_text(feeds.normalize(fx.landed_lever(spark, d), "lever"))
 
 
-def _merged(spark, d):
+def _merged(spark, d, cap):
     sources = [*fx.search_config()["api_sources"], "unknown.example"]
-    return feeds.merge_feeds(fx.landed_feeds(spark, d), sources)
+    merged = feeds.merge_feeds(fx.landed_feeds(spark, d), sources, cap=cap)
+    return merged.select("list_no", "slot", "source", "url", "title", "posted_date")
 
 
 @query
 def feeds_merge_capped(spark, d):
-    return _merged(spark, d).select("list_no", "slot", "source", "url", "title", "posted_date")
+    return _merged(spark, d, settings.MAX_POSTINGS_PER_SOURCE)
+
+
+@query
+def feeds_merge(spark, d):
+    return _merged(spark, d, None)
 
 
 @query
@@ -254,13 +260,9 @@ def interleave_boards(spark, d):
 
 
 def _all_postings(spark, d):
-    landed = fx.landed_feeds(spark, d)
-    parts = [normalize(landed).drop(*feeds.ORDER_COLUMNS) for normalize in feeds.NORMALIZERS.values()]
     scraped = pages.anchor_postings(fx.wide_table(spark, d, "pages")).drop("page_id", "page_url", "pos", "salary")
-    out = scraped
-    for part in parts:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
+    from_feeds = feeds.normalize_all(fx.landed_feeds(spark, d)).drop(*feeds.ORDER_COLUMNS)
+    return scraped.unionByName(from_feeds, allowMissingColumns=True)
 
 
 @query
@@ -278,7 +280,7 @@ def rows_per_source(spark, d):
 
 @query
 def hits_scan(spark, d):
-    return pages.search_hits(fx.landed_hits(spark, d))
+    return pages.search_hits(fx.landed_hits(spark, d), settings.MAX_HITS_PER_QUERY)
 
 
 @query
@@ -308,20 +310,29 @@ def _caps():
 @query
 def host_caps_apply(spark, d):
     listed = fx.table(spark, d, "pages").select("page_id", "url")
-    kept = fetching.apply_host_caps(listed, _caps(), [F.col("page_id")])
+    kept = fetching.apply_host_caps(listed, _caps(), [F.col("page_id")], settings.PAGE_BUDGET)
     return kept.select("page_id", "host", "host_rank", "cap")
 
 
-@query
-def fetch_plan(spark, d):
+def _fetch_plan(spark, d, max_hits, budget):
     order = [F.col("round_no"), F.col("query_no")]
-    found = fetching.discovered_pages(pages.search_hits(fx.landed_hits(spark, d)))
-    capped = fetching.apply_host_caps(found, _caps(), order)
+    found = fetching.discovered_pages(pages.search_hits(fx.landed_hits(spark, d), max_hits))
+    capped = fetching.apply_host_caps(found, _caps(), order, budget)
     streaks = health.failure_streaks(fx.page_attempts(spark, d), fx.attempt_chunk(), fx.ATTEMPT_ORDER)
-    plan = fetching.fetch_plan(capped, streaks, order)
+    plan = fetching.fetch_plan(capped, streaks, order, budget)
     return plan.select("round_no", "query_no", "url", "host", "consecutive_failures", "action")
 
 
+@query
+def fetch_plan(spark, d):
+    return _fetch_plan(spark, d, settings.MAX_HITS_PER_QUERY, settings.PAGE_BUDGET)
+
+
+@query
+def fetch_plan_all(spark, d):
+    return _fetch_plan(spark, d, None, None)
+
+
 @query
 def page_anchor_postings(spark, d):
     found = pages.anchor_postings(fx.wide_table(spark, d, "pages"))
@@ -500,8 +511,17 @@ def score_match(spark, d):
 
 @query
 def omitted_inputs(spark, d):
-    inputs, matched = _matched(spark, d)
-    return scoring.omitted_inputs(inputs, matched).select("run_id", "batch", "pos", "dedup_key")
+    inputs = fx.batched_inputs(spark, d)
+    answers = fx.scorer_answers(spark, d, inputs)
+    matched = scoring.match_results(scoring.parse_answers(answers), inputs)
+    omitted = scoring.omitted_inputs(inputs, matched, scoring.readable_answers(answers))
+    return omitted.select("run_id", "batch", "pos", "dedup_key")
+
+
+@query
+def answers_to_retry(spark, d):
+    inputs = fx.batched_inputs(spark, d)
+    return scoring.batches_to_retry(inputs, fx.scorer_answers(spark, d, inputs))
 
 
 SCORED_VIEW = [
@@ -539,9 +559,7 @@ def resume_plan(spark, d):
 
 @query
 def score_contract_violations(spark, d):
-    docs = fx.document_postings(spark, d)
-    labels = fx.table(spark, d, "labels").select("doc_id")
-    results = docs.join(labels, "doc_id").select(
+    results = fx.document_postings(spark, d).select(
         "doc_id",
         F.expr("case when doc_id % 13 = 0 then 'high' else cast(doc_id % 120 as string) end").alias("score"),
         F.expr("case doc_id % 5 when 0 then 'apply' when 1 then 'review' when 2 then 'skip' when 3 then 'maybe' end").alias(

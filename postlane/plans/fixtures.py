@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from postlane import settings
 from postlane.functions import urls
 from postlane.operators import scoring, state
-from postlane.session import spread
 
 TODAY = "1998-08-01"
 RUN_DAY = "2024-02-01"
@@ -41,8 +40,8 @@ SPREAD_KEYS = {"documents": ["doc_id"], "pages": ["page_id"], "lineitem": ["l_or
 
 
 def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table for costly row-wise work, spread if its scan is too narrow for the cores."""
-    return spread(table(spark, sf_dir, name), *SPREAD_KEYS[name])
+    """A table for costly row-wise work, dealt evenly by adaptive execution."""
+    return table(spark, sf_dir, name).hint("rebalance", *SPREAD_KEYS[name])
 
 
 # -- pages ------------------------------------------------------------------------
@@ -383,13 +382,30 @@ def scorer_results(spark, sf_dir, inputs: DataFrame) -> DataFrame:
     return good.withColumn("data", F.to_json("r"))
 
 
+def scorer_answers(spark, sf_dir, inputs: DataFrame) -> DataFrame:
+    """Raw answers with these results, some of them prose or an object instead of an array."""
+    result = F.struct("result_no", "data")
+    results = scorer_results(spark, sf_dir, inputs).groupBy("run_id", "batch").agg(
+        F.array_sort(F.collect_list(result)).alias("results")
+    )
+    listed = F.concat(F.lit("["), F.array_join(F.transform("results", lambda x: x["data"]), ", "), F.lit("]"))
+    array = F.coalesce(listed, F.lit("[]"))
+    raw = (
+        F.when(F.expr("batch % 7 = 3"), F.lit("Sorry, I cannot do that."))
+        .when(F.expr("batch % 7 = 5"), F.concat(F.lit('{"jobs": '), array, F.lit("}")))
+        .otherwise(F.concat(F.lit("Here they are:\n"), array))
+    )
+    batches = inputs.select("run_id", "batch").distinct()
+    return batches.join(results, ["run_id", "batch"], "left").select("run_id", "batch", raw.alias("raw"))
+
+
 def scored_state(spark, sf_dir) -> DataFrame:
     """State after both runs' sightings and scores."""
     inputs = batched_inputs(spark, sf_dir)
     seen = state.sighting_events(inputs.withColumn("day", F.lit(RUN_DAY)))
     before = state.advance_state(None, seen)
     matched = scoring.match_results(scorer_results(spark, sf_dir, inputs), inputs)
-    omitted = scoring.omitted_inputs(inputs, matched)
+    omitted = scoring.omitted_inputs(inputs, matched, inputs.select("run_id", "batch").distinct())
     day = F.concat(F.lit("2024-02-0"), (F.col("run_id") + 1).cast("string"))
     return state.advance_state(before, scoring.score_events(matched, omitted, day))
 
@@ -476,7 +492,7 @@ def tried_pages(spark, sf_dir) -> DataFrame:
         F.expr("cast(event_id % 2 as int)").alias("try_no"),
         (F.col("event_type") == "error").alias("failed"),
         F.expr(f"concat('Request failed with HTTP ', {status})").alias("message"),
-        F.expr(f"case when user_id % 2 = 0 then {status} end").alias("code"),
+        F.expr(f"case when user_id % 10 = 4 then 'n/a' when user_id % 2 = 0 then cast({status} as string) end").alias("code"),
         F.expr("case when user_id % 3 > 0 then cast(cast(value as int) as string) end").alias("retry_after"),
     )
 

@@ -105,20 +105,13 @@ SIGHTINGS = """
   from lineitem"""
 
 SEEN_STATE = f"""
-  with s as ({SIGHTINGS}),
-  r as (select *, row_number() over (partition by dedup_key order by run_id, seq) as first_no,
-               row_number() over (partition by dedup_key order by run_id desc, seq desc) as last_no,
-               count(*) over (partition by dedup_key) as runs_seen,
-               row_number() over (partition by dedup_key, salary <> '' order by run_id desc, seq desc) as pay_no
-        from s),
-  f as (select dedup_key, url, day as first_seen, run_id as first_seen_run, salary as first_salary, runs_seen
-        from r where first_no = 1),
-  l as (select dedup_key, title, company, source, location, day as last_seen, run_id as last_seen_run
-        from r where last_no = 1),
-  p as (select dedup_key, salary from r where salary <> '' and pay_no = 1)
-  select f.dedup_key, url, title, company, source, location, coalesce(p.salary, first_salary) as salary,
-         first_seen, last_seen, runs_seen, first_seen_run, last_seen_run
-  from f join l using (dedup_key) left join p using (dedup_key)"""
+  with s as (select *, run_id * 1000000000 + seq as place from ({SIGHTINGS}))
+  select dedup_key, arg_min(url, place) as url, arg_max(title, place) as title, arg_max(company, place) as company,
+         arg_max(source, place) as source, arg_max(location, place) as location,
+         coalesce(arg_max(salary, place) filter (salary <> ''), arg_min(salary, place)) as salary,
+         arg_min(day, place) as first_seen, arg_max(day, place) as last_seen, count(*) as runs_seen,
+         min(run_id) as first_seen_run, max(run_id) as last_seen_run
+  from s group by dedup_key"""
 
 # Attempts as hosts' streaks; needs a relation `a(host, failed, ts, event_id)`.
 STREAKS = """
@@ -219,10 +212,10 @@ ORACLE["attempt_classify"] = """
   with t as (
     select 'h' || ((event_id // 2) % 150) as host, (event_id // 2)::varchar as page, (event_id % 2)::int as try_no,
            event_type = 'error' as failed, 400 + json_extract_string(props, '$.k')::int % 30 as status,
-           user_id % 2 = 0 as has_code, case when user_id % 3 > 0 then trunc(value)::int end as wait, event_id,
+           user_id % 2 = 0 as has_code, user_id % 10 = 4 as bad_code, case when user_id % 3 > 0 then trunc(value)::int end as wait, event_id,
            (select max(event_id) from events) as last_id
     from events),
-  s as (select *, case when failed and (has_code or status // 10 in (40, 42)) then status end as http_status from t)
+  s as (select *, case when failed and not bad_code and (has_code or status // 10 in (40, 42)) then status end as http_status from t)
   select host, page, try_no, http_status,
          case when not failed then 'ok' when http_status = 402 then 'abort'
               when http_status = 429 and try_no = 0 and event_id < last_id then 'retry' else 'fail' end as outcome,
@@ -318,25 +311,26 @@ ORACLE["feed_scan_quarantine"] = """
   from p group by source"""
 
 
-def _capped(number, sql):
-    """The first 50 of one source in its merged order."""
+def _capped(number, sql, cap):
+    """The first of one source in its merged order."""
     if number in (4, 5):
         boards = f"""select *, row_number() over (partition by board order by posted_date desc, fetch_no, pos) as round_no
                      from ({sql})"""
-        order, source = "round_no, board", f"select * from ({boards}) where round_no <= 50"
+        order, source = "round_no, board", f"select * from ({boards}) where round_no <= {cap}"
     else:
         order = "posted_date desc, fetch_no, pos" if number == 3 else "fetch_no, pos"
         source = sql
     return f"""
       select {number} as list_no, slot::int as slot, source, url, title, posted_date
-      from (select *, row_number() over (order by {order}) as slot from ({source})) where slot <= 50"""
+      from (select *, row_number() over (order by {order}) as slot from ({source})) where slot <= {cap}"""
 
 
-ORACLE["feeds_merge_capped"] = " union all ".join(_capped(i, sql) for i, sql in enumerate(FEEDS))
+ORACLE["feeds_merge_capped"] = " union all ".join(_capped(i, sql, 50) for i, sql in enumerate(FEEDS))
+ORACLE["feeds_merge"] = " union all ".join(_capped(i, sql, 1_000_000_000) for i, sql in enumerate(FEEDS))
 ORACLE["interleave_boards"] = f"""
   select board, round_no::int as round_no, url, posted_date
   from (select *, row_number() over (partition by board order by posted_date desc, fetch_no, pos) as round_no
-        from ({GREENHOUSE})) where round_no <= 50"""
+        from ({GREENHOUSE}))"""
 
 ANCHOR_POSTINGS = f"""
   select page_id, pos::int as pos, {unescape(strip_tags(unescape('label')))} as title, 'Remote' as location,
@@ -352,20 +346,25 @@ ORACLE["rows_per_source"] = f"select source, count(*) as n from ({_ALL}) group b
 
 # -- search hits and pages --------------------------------------------------------------------
 
-HITS = f"""
+ALL_HITS = f"""
   select query_no, hit_no::int as hit_no, url, title, description
-  from (select *, row_number() over (partition by query_no order by place) - 1 as hit_no from ({PAGE_COPIES}))
-  where hit_no < 10"""
+  from (select *, row_number() over (partition by query_no order by place) - 1 as hit_no from ({PAGE_COPIES}))"""
+HITS = f"select * from ({ALL_HITS}) where hit_no < 10"
 ORACLE["hits_scan"] = HITS
 ORACLE["dedupe_first_wins"] = f"""
   select dedup_key, query_no, place, url
   from (select *, row_number() over (partition by dedup_key order by query_no, place) as n
         from (select *, {key_of('url')} as dedup_key from ({PAGE_COPIES}))) where n = 1"""
-DISCOVERED = f"""
+
+
+def _discovered(hits):
+    return f"""
   select row_number() over (partition by query_no order by hit_no)::int as round_no, query_no, dedup_key, url
   from (select *, row_number() over (partition by dedup_key order by query_no, hit_no) as n
-        from (select *, {key_of('url')} as dedup_key from ({HITS}))) where n = 1"""
-ORACLE["interleave_hits"] = DISCOVERED
+        from (select *, {key_of('url')} as dedup_key from ({hits}))) where n = 1"""
+
+
+ORACLE["interleave_hits"] = _discovered(ALL_HITS)
 ORACLE["pages_per_host"] = f"select {host_of('url')} as host, count(*) as n from pages group by 1"
 _caps = ", ".join(f"('{h}', {c})" for h, c in {**DEFAULT_SOURCES["scrape_caps"], **fx.PAGE_CAPS}.items())
 ORACLE["host_caps_apply"] = f"""
@@ -373,18 +372,25 @@ ORACLE["host_caps_apply"] = f"""
   from (select page_id, host, coalesce(cap, 20) as cap, row_number() over (partition by host order by page_id) as host_rank
         from (select page_id, {host_of('url')} as host from pages) left join (values {_caps}) c(host, cap) using (host))
   where host_rank <= cap"""
-ORACLE["fetch_plan"] = f"""
+
+
+def _fetch_plan(hits, cap, budget):
+    return f"""
   with a as (select {host_of('url')} as host, event_type = 'error' as failed, ts, event_id
              from events join pages on user_id = page_id),
   {STREAKS},
-  d as (select *, {host_of('url')} as host from ({DISCOVERED})),
+  d as (select *, {host_of('url')} as host from ({_discovered(hits)})),
   c as (select * from (
-          select d.*, coalesce(cap, 20) as cap, row_number() over (partition by d.host order by round_no, query_no) as host_rank
+          select d.*, coalesce(cap, {cap}) as cap, row_number() over (partition by d.host order by round_no, query_no) as host_rank
           from d left join (values {_caps}) c(host, cap) using (host)) where host_rank <= cap),
-  t as (select * from c order by round_no, query_no limit 20)
+  t as (select * from c order by round_no, query_no limit {budget})
   select round_no, query_no, url, t.host, coalesce(consecutive_failures, 0) as consecutive_failures,
          case when t.host in ('linkedin.com', 'reddit.com') or consecutive_failures >= 3 then 'snippet' else 'scrape' end as action
   from t left join streaks using (host)"""
+
+
+ORACLE["fetch_plan"] = _fetch_plan(HITS, 20, 20)
+ORACLE["fetch_plan_all"] = _fetch_plan(ALL_HITS, 1_000_000_000, 1_000_000_000)
 ORACLE["extract_postings"] = f"""
   select page_id as page_no, (pos + case when page_id % 7 = 2 then 2 else 0 end)::int as pos, {strip('label')} as title,
          'Acme' as company, 'Remote' as location, {ORIGIN} || href as url, {strip("'About ' || label")} as description,
@@ -476,7 +482,8 @@ ORACLE["score_match"] = f"with {MATCHED} select * from matched"
 ORACLE["omitted_inputs"] = f"""
   with {MATCHED}
   select run_id, batch, pos, dedup_key from b
-  where (run_id, batch, dedup_key) not in (select (run_id, batch, dedup_key) from matched)"""
+  where batch % 7 not in (3, 5) and (run_id, batch, dedup_key) not in (select (run_id, batch, dedup_key) from matched)"""
+ORACLE["answers_to_retry"] = f"select distinct run_id, batch from ({BATCHED}) where batch % 7 in (3, 5)"
 SCORED_STATE = f"""
   with {MATCHED},
   l as (select * from (select *, row_number() over (partition by dedup_key order by result_no desc) as n from matched) where n = 1),
@@ -499,7 +506,7 @@ ORACLE["score_contract_violations"] = f"""
            case doc_id % 5 when 0 then 'apply' when 1 then 'review' when 2 then 'skip' when 3 then 'maybe' end as verdict,
            case doc_id % 4 when 0 then '' when 1 then '$9' when 2 then split_part(description, ' ', 1) else '$1,000,000' end as stated,
            salary, description
-    from ({DOCS}) where doc_id in (select doc_id from labels))
+    from ({DOCS}))
   select doc_id, 'score_range' as rule from r where score is null or score not between 0 and 100
   union all select doc_id, 'below_threshold' from r where score < 70
   union all select doc_id, 'verdict' from r where verdict is null or verdict = 'maybe'

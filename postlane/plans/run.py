@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from postlane.operators import fetching, ordering, scoring, state
 from postlane.plans import views
 from postlane.schemas import POSTING_COLUMNS
 from postlane.sources import feeds
-from postlane.sources.tables import Store, export_json
+from postlane.sources.tables import Store, export_json, export_objects
 
 
 def record_search_plan(store: Store, run_id: int, queries: DataFrame) -> DataFrame:
@@ -28,9 +29,10 @@ def record_search_plan(store: Store, run_id: int, queries: DataFrame) -> DataFra
 def plan_fetches(store: Store, hits: DataFrame, config: dict) -> DataFrame:
     """The pages a run fetches, from its search hits, the host caps and the hosts' health."""
     order = [F.col("round_no"), F.col("query_no")]
+    budget = config.get("page_budget")
     found = fetching.discovered_pages(hits)
-    capped = fetching.apply_host_caps(found, config.get("scrape_caps", {}), order)
-    return fetching.fetch_plan(capped, store.host_health(), order)
+    capped = fetching.apply_host_caps(found, config.get("scrape_caps", {}), order, budget)
+    return fetching.fetch_plan(capped, store.host_health(), order, budget)
 
 
 def gather_postings(extracted: DataFrame, landed: DataFrame, config: dict) -> DataFrame:
@@ -43,39 +45,91 @@ def gather_postings(extracted: DataFrame, landed: DataFrame, config: dict) -> Da
     scraped = ordering.dedupe_first(keyed, "dedup_key", ["page_no", "pos"]).select(
         F.lit(0).alias("_list"), F.col("page_no").cast("long").alias("_a"), F.col("pos").cast("long").alias("_b"), *POSTING_COLUMNS
     )
-    from_feeds = feeds.merge_feeds(landed, config.get("api_sources", []), config.get("ats_boards")).select(
+    from_feeds = feeds.merge_feeds(
+        landed, config.get("api_sources", []), config.get("ats_boards"), config.get("max_postings_per_source")
+    ).select(
         F.lit(1).alias("_list"), F.col("list_no").cast("long").alias("_a"), F.col("slot").cast("long").alias("_b"), *POSTING_COLUMNS
     )
     together = ordering.global_position(scraped.unionByName(from_feeds), ["_list", "_a", "_b"], "seq")
     return together.drop("_list", "_a", "_b")
 
 
+# The commit number under which a run's plan is announced.
+PLAN = -1
+
+
+def finished_commits(store: Store, run_id: int) -> set[int]:
+    """Commits of a run with no open batch left, its plan included."""
+    log = store.read("commits").where((F.col("run_id") == run_id) & (F.col("open_batches") == 0))
+    return {r["commit_no"] for r in log.select("commit_no").distinct().collect()}
+
+
 def plan_inputs(store: Store, run_id: int, batches_per_commit: int) -> DataFrame:
-    """Batch a run's unscored postings and store them; returns them as stored."""
-    inputs = state.to_score(store.sightings(run_id), store.state())
-    batched = scoring.assign_batches(inputs, ["seq"]).withColumn(
-        "commit_no", F.floor(F.col("batch") / batches_per_commit).cast("long")
-    )
-    columns = store.read("inputs").columns
-    store.replace("inputs", batched.select(*columns), ["run_id", "commit_no"])
+    """Batch a run's unscored postings and store them; returns them as stored.
+
+    A restarted run keeps the batches of its first attempt, so that answers and scores
+    stored under their numbers stay where they belong.
+    """
+    if PLAN not in finished_commits(store, run_id):
+        inputs = state.to_score(store.sightings(run_id), store.state())
+        batched = scoring.assign_batches(inputs, ["seq"]).withColumn(
+            "commit_no", F.floor(F.col("batch") / batches_per_commit).cast("long")
+        )
+        columns = store.read("inputs").columns
+        store.replace_run("inputs", batched.select(*columns), run_id, ["commit_no"])
+        store.append("commits", [(run_id, PLAN, 0)])
     return store.read("inputs").where(F.col("run_id") == run_id)
 
 
-def commit_scores(store: Store, run_id: int, commit_no: int, scorer, day: str, profile: str) -> None:
-    """Score one group of batches: keep the raw answers first, then their events."""
+def commit_scores(
+    store: Store, run_id: int, commit_no: int, scorer, day: str, profile: str, concurrency: int | None = None
+) -> tuple[int, str | None]:
+    """Score one group of batches: keep the raw answers first, then their events.
+
+    Only batches without a readable answer are sent to the scorer; each try is stored
+    beside the earlier ones. Returns the number of batches still open and an error.
+    """
     here = (F.col("run_id") == run_id) & (F.col("commit_no") == commit_no)
     inputs = store.read("inputs").where(here)
-    payloads = scoring.batch_payloads(inputs)
-    answers = scoring.call_scorer(payloads, scorer, day, profile)
-    store.replace("answers", answers.withColumn("commit_no", F.lit(commit_no).cast("long")), ["run_id", "commit_no"])
+    before = store.read("answers").where(here)
+    missing = scoring.batches_to_retry(inputs, before)
+    tries = before.agg(F.max("attempt_no")).first()[0]
+    tries = 0 if tries is None else tries + 1
+    payloads = scoring.batch_payloads(inputs.join(missing, ["run_id", "batch"], "left_semi"))
+    answers = scoring.call_scorer(payloads, scorer, day, profile, concurrency)
+    stamped = answers.withColumn("commit_no", F.lit(commit_no).cast("long")).withColumn("attempt_no", F.lit(tries).cast("long"))
+    store.replace("answers", stamped, ["run_id", "commit_no", "attempt_no"])
 
     # From here on the stored answers are read, never the scorer again.
-    results = scoring.parse_answers(store.read("answers").where(here))
-    matched = scoring.match_results(results, inputs)
-    events = scoring.score_events(matched, scoring.omitted_inputs(inputs, matched), F.lit(day))
+    stored = store.read("answers").where(here)
+    readable = scoring.readable_answers(stored)
+    matched = scoring.match_results(scoring.parse_answers(stored), inputs)
+    omitted = scoring.omitted_inputs(inputs, matched, readable)
+    events = scoring.score_events(matched, omitted, F.lit(day))
     store.replace(
         "scores", events.withColumn("commit_no", F.lit(commit_no).cast("long")), ["run_id", "commit_no"]
     )
+    still_open = scoring.batches_to_retry(inputs, stored)
+    failed = stored.join(still_open, ["run_id", "batch"]).agg(F.max("error")).first()[0]
+    return still_open.count(), failed
+
+
+def score_all(
+    store: Store, run_id: int, scorer, day: str, profile: str, parallel_commits: int, concurrency: int | None
+) -> None:
+    """Score a run's commits, several at a time; raises if batches stay open."""
+    done = finished_commits(store, run_id)
+    last = store.read("inputs").where(F.col("run_id") == run_id).agg(F.max("commit_no")).first()[0]
+    todo = [n for n in range(0 if last is None else last + 1) if n not in done]
+    score = lambda n: commit_scores(store, run_id, n, scorer, day, profile, concurrency)
+    left, error = 0, None
+    with ThreadPoolExecutor(parallel_commits) as pool:
+        # The log is written here, one commit after the other, as they finish.
+        for commit_no, (open_batches, failed) in zip(todo, pool.map(score, todo)):
+            store.append("commits", [(run_id, commit_no, open_batches)])
+            left, error = left + open_batches, error or failed
+    if left:
+        raise RuntimeError(f"{left} batches have no readable answer" + (f"; one error was {error}" if error else ""))
 
 
 def execute_run(
@@ -86,31 +140,40 @@ def execute_run(
     started_at: str,
     finished_at: str,
     profile: str = "",
-    batches_per_commit: int = 10_000,
+    batches_per_commit: int = 200,
+    parallel_commits: int = 4,
+    concurrency: int | None = None,
 ) -> DataFrame:
     """Run once over ``postings`` ``(seq, posting columns)``; returns the run result.
 
-    Sightings are stored before any scoring, and scores group by group, so a run that
-    dies loses only the groups it had not stored; the next run scores exactly those.
+    Sightings are stored before any scoring, and answers and scores group by group. A run
+    that died or failed is restarted under its id: stored postings, batches, answers and
+    commits are used again, and only batches without a readable answer are scored. A run
+    with such batches left fails; their postings count as unscored for later runs. A
+    finished run is not run again.
     """
     day = started_at[:10]
+    ended = store.read("run_events").where((F.col("run_id") == run_id) & (F.col("kind") == "finish"))
+    if ended.where("status = 'ok'").limit(1).count():
+        raise ValueError(f"run {run_id} is finished")
     store.append("run_events", [(run_id, "start", started_at, None, None, None, None)])
     try:
-        seen = store.write_sightings(run_id, day, postings)
+        planned = PLAN in finished_commits(store, run_id)
+        seen = store.sightings(run_id) if planned else store.write_sightings(run_id, day, postings)
         if seen.isEmpty():
             raise RuntimeError("no postings found: check the search queries and the configured sources")
         inputs = plan_inputs(store, run_id, batches_per_commit)
-        last = inputs.agg(F.max("commit_no")).first()[0]
-        for commit_no in range(0 if last is None else last + 1):
-            commit_scores(store, run_id, commit_no, scorer, day, profile)
+        score_all(store, run_id, scorer, day, profile, parallel_commits, concurrency)
     except BaseException:
         store.append("run_events", [(run_id, "finish", finished_at, "failed", None, None, None)])
         raise
     scored = run_results(store, run_id)
     result = views.run_result(seen, inputs, scored, ("batch", "result_no"))
-    counts = result.select("raw_total", "new_count", "above_threshold").first()
+    # One row by contract: kept, so that a caller's use does not read all answers again.
+    row = store.spark.createDataFrame([result.first()], result.schema)
+    counts = row.select("raw_total", "new_count", "above_threshold").first()
     store.append("run_events", [(run_id, "finish", finished_at, "ok", *counts)])
-    return result
+    return row
 
 
 def run_results(store: Store, run_id: int) -> DataFrame:
@@ -126,7 +189,7 @@ def run_results(store: Store, run_id: int) -> DataFrame:
 def write_exports(store: Store, run_id: int) -> None:
     """Cumulative exports, and the run's own raw postings and results."""
     current = store.state()
-    export_json(state.scored_export(current).select("data"), os.path.join(store.root, "exports", "jobs"))
+    export_objects(state.scored_export(current).select("data"), os.path.join(store.root, "exports", "jobs"))
     export_json(state.seen_export(current), os.path.join(store.root, "exports", "seen"))
     queries = store.read("search_plans").where(F.col("run_id") == run_id)
     store.write_snapshot_files(run_id, "search_config", queries.orderBy("query_no"))

@@ -1,4 +1,4 @@
-"""Session helpers: a tuned session, the shared checkpoint folder, guarded broadcast."""
+"""Session helpers: a tuned session, the shared checkpoint folder, intermediate tables."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from postlane import settings
 
 # AQE coalesces small shuffle partitions and splits skewed join partitions at run
 # time, so the static count only has to be high enough for the largest shuffle.
@@ -20,6 +17,8 @@ SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoints of frames that nobody refers to any more are removed.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Large html/text columns: small Arrow batches keep worker memory flat.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
@@ -50,40 +49,33 @@ def shared_dir(spark: SparkSession) -> str:
     active = spark.sparkContext.getCheckpointDir()
     if active:
         return active
-    if not spark.sparkContext.master.startswith("local"):
+    # A local cluster has executors of its own, so only plain local masters may fall back.
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="postlane-")
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir()
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The application's own folder below the shared one."""
+    return os.path.join(shared_dir(spark), "postlane", spark.sparkContext.applicationId)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), "postlane", f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(scratch_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables; no frame that reads them may be used after."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows of a scan that would leave most cores idle, spread over all of them.
-
-    Meant for costly work on a few unsplittable files; ``keys`` should be unique or
-    nearly so. A scan with two partitions per core or more is returned as it is, so
-    large tables are never shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores, *keys)
-
-
-def small_side(df: DataFrame, max_rows: int = settings.BROADCAST_ROWS) -> DataFrame:
-    """A narrow join side, hinted for broadcast only if it was counted to be small.
-
-    The rows are written once and counted, so nothing is estimated. Beyond ``max_rows``
-    the frame is returned unhinted: the join shuffles, and AQE splits its skewed keys.
-    """
-    stored = materialize(df)
-    return F.broadcast(stored) if stored.count() <= max_rows else stored

@@ -79,11 +79,12 @@ DEFAULT_SOURCES = {
         "lever",
         "adzuna",
     ],
-    "ats_boards": {
-        "greenhouse": ["rocketlab"],
-        "lever": ["newzealandtradeandenterprise", "clearpoint", "kpmgnz", "enable"],
-    },
-    "adzuna": {"what": "", "where": "", "max_days_old": 14},
+    # Boards per source with many boards; None takes every landed board.
+    "ats_boards": None,
+    # Limits of a run; None is no limit. ``small_run_limits`` has those of a small deployment.
+    "max_postings_per_source": None,
+    "max_hits_per_query": None,
+    "page_budget": None,
 }
 
 # ---------------------------------------------------------------------------
@@ -94,10 +95,17 @@ DEFAULT_SOURCES = {
 SPREAD = 64
 # Numeric ids per chunk when a neighbour along a global order is looked up.
 ID_CHUNK = 1_000_000
-# Most rows of a narrow table that may be broadcast by an explicit hint.
-BROADCAST_ROWS = 200_000
 
 
 def source_config(overrides=None):
     """Default sources with whole top-level keys replaced by ``overrides``."""
     return {**DEFAULT_SOURCES, **(overrides or {})}
+
+
+def small_run_limits():
+    """Limits of a deployment that fetches and scores a few hundred postings a run."""
+    return {
+        "max_postings_per_source": MAX_POSTINGS_PER_SOURCE,
+        "max_hits_per_query": MAX_HITS_PER_QUERY,
+        "page_budget": PAGE_BUDGET,
+    }

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from postlane import settings
 from postlane.functions import fields, pay, text
 from postlane.functions.text import first_nonempty, or_blank
-from postlane.operators.ordering import top_per_group
+from postlane.operators.ordering import first_per_group
 from postlane.schemas import LANDED_FEED, POSTING_COLUMNS
 
 ORDER_COLUMNS = ["board", "fetch_no", "pos"]
@@ -50,97 +50,97 @@ def _with_default(c: Column) -> Column:
     return F.coalesce(first_nonempty(c), F.lit(settings.DEFAULT_LOCATION))
 
 
-def _remotive() -> dict[str, Column]:
+def _remotive(p: Column) -> dict[str, Column]:
     return {
-        "title": F.col("p.title"),
-        "company": F.col("p.company_name"),
-        "location": _with_default(F.col("p.candidate_required_location")),
-        "url": F.col("p.url"),
-        "description": F.col("p.description"),
-        "posted_date": F.col("p.publication_date"),
-        "salary": text.strip(or_blank(F.col("p.salary"))),
+        "title": p["title"],
+        "company": p["company_name"],
+        "location": _with_default(p["candidate_required_location"]),
+        "url": p["url"],
+        "description": p["description"],
+        "posted_date": p["publication_date"],
+        "salary": text.strip(or_blank(p["salary"])),
     }
 
 
-def _remoteok() -> dict[str, Column]:
+def _remoteok(p: Column) -> dict[str, Column]:
     return {
-        "title": F.col("p.position"),
-        "company": F.col("p.company"),
-        "location": _with_default(F.col("p.location")),
-        "url": F.col("p.url"),
-        "description": text.strip_html(F.col("p.description")),
-        "posted_date": F.col("p.date"),
-        "salary": pay.salary_range_text(F.col("p.salary_min"), F.col("p.salary_max")),
+        "title": p["position"],
+        "company": p["company"],
+        "location": _with_default(p["location"]),
+        "url": p["url"],
+        "description": text.strip_html(p["description"]),
+        "posted_date": p["date"],
+        "salary": pay.salary_range_text(p["salary_min"], p["salary_max"]),
     }
 
 
-def _arbeitnow() -> dict[str, Column]:
+def _arbeitnow(p: Column) -> dict[str, Column]:
     return {
-        "title": F.col("p.title"),
-        "company": F.col("p.company_name"),
-        "location": _with_default(F.col("p.location")),
-        "url": F.col("p.url"),
-        "description": F.col("p.description"),
-        "posted_date": F.col("p.created_at"),
+        "title": p["title"],
+        "company": p["company_name"],
+        "location": _with_default(p["location"]),
+        "url": p["url"],
+        "description": p["description"],
+        "posted_date": p["created_at"],
         "salary": F.lit(None).cast("string"),
     }
 
 
-def _sjs() -> dict[str, Column]:
-    uuid, body = text.strip(or_blank(F.col("p.uuid"))), text.strip_html(F.col("p.description"))
+def _sjs(p: Column) -> dict[str, Column]:
+    uuid, body = text.strip(or_blank(p["uuid"])), text.strip_html(p["description"])
     after_summary = text.bind(
         body,
         lambda b: F.when(b != "", F.concat(F.lit(settings.SJS_SUMMARY_SEPARATOR), b)).otherwise(""),
     )
     own_page = F.concat(F.lit(settings.SJS_POSTING_URL), uuid)
     return {
-        "title": text.strip(or_blank(F.col("p.title"))),
-        "company": text.strip(or_blank(F.col("p.businessName"))),
-        "location": fields.place_text(F.col("p.areaName"), F.col("p.regionName")),
-        "url": F.coalesce(first_nonempty(F.col("p.externalApplyUrl"), F.col("p.applyUrl")), own_page),
-        "description": F.concat(text.strip(or_blank(F.col("p.summary"))), after_summary),
-        "posted_date": F.col("p.advertStartDateNz"),
-        "salary": pay.pay_text(F.col("p.payMin"), F.col("p.payMax"), F.col("p.payType")),
+        "title": text.strip(or_blank(p["title"])),
+        "company": text.strip(or_blank(p["businessName"])),
+        "location": fields.place_text(p["areaName"], p["regionName"]),
+        "url": F.coalesce(first_nonempty(p["externalApplyUrl"], p["applyUrl"]), own_page),
+        "description": F.concat(text.strip(or_blank(p["summary"])), after_summary),
+        "posted_date": p["advertStartDateNz"],
+        "salary": pay.pay_text(p["payMin"], p["payMax"], p["payType"]),
     }
 
 
-def _greenhouse() -> dict[str, Column]:
+def _greenhouse(p: Column) -> dict[str, Column]:
     return {
-        "title": F.col("p.title"),
-        "company": first_nonempty(F.col("p.company_name"), F.col("board")),
-        "location": F.col("p.location.name"),
-        "url": F.col("p.absolute_url"),
-        "description": text.html_to_text(F.col("p.content")),
-        "posted_date": first_nonempty(F.col("p.first_published"), F.col("p.updated_at")),
+        "title": p["title"],
+        "company": first_nonempty(p["company_name"], F.col("board")),
+        "location": p["location"]["name"],
+        "url": p["absolute_url"],
+        "description": text.html_to_text(p["content"]),
+        "posted_date": first_nonempty(p["first_published"], p["updated_at"]),
         "salary": F.lit(""),
     }
 
 
-def _lever() -> dict[str, Column]:
-    plain = first_nonempty(F.col("p.descriptionPlain"), F.col("p.descriptionBodyPlain"))
+def _lever(p: Column) -> dict[str, Column]:
+    plain = first_nonempty(p["descriptionPlain"], p["descriptionBodyPlain"])
     # The markup is only cleaned where no plain text exists.
-    markup = F.when(plain.isNull(), F.col("p.descriptionBody"))
+    markup = F.when(plain.isNull(), p["descriptionBody"])
     return {
-        "title": F.col("p.text"),
+        "title": p["text"],
         "company": F.col("board"),
-        "location": F.col("p.categories.location"),
-        "url": first_nonempty(F.col("p.hostedUrl"), F.col("p.applyUrl")),
+        "location": p["categories"]["location"],
+        "url": first_nonempty(p["hostedUrl"], p["applyUrl"]),
         "description": F.coalesce(plain, text.html_to_text(markup)),
-        "posted_date": fields.epoch_ms_to_date(F.col("p.createdAt")),
+        "posted_date": fields.epoch_ms_to_date(p["createdAt"]),
         "salary": F.lit(""),
     }
 
 
-def _adzuna() -> dict[str, Column]:
-    salary = pay.salary_range_text(F.col("p.salary_min"), F.col("p.salary_max"))
+def _adzuna(p: Column) -> dict[str, Column]:
+    salary = pay.salary_range_text(p["salary_min"], p["salary_max"])
     return {
-        "title": F.col("p.title"),
-        "company": F.col("p.company.display_name"),
-        "location": F.col("p.location.display_name"),
-        "url": F.col("p.redirect_url"),
-        "description": F.col("p.description"),
-        "posted_date": F.col("p.created"),
-        "salary": text.bind(salary, lambda s: pay.with_estimate(s, F.col("p.salary_is_predicted"))),
+        "title": p["title"],
+        "company": p["company"]["display_name"],
+        "location": p["location"]["display_name"],
+        "url": p["redirect_url"],
+        "description": p["description"],
+        "posted_date": p["created"],
+        "salary": text.bind(salary, lambda s: pay.with_estimate(s, p["salary_is_predicted"])),
     }
 
 
@@ -149,20 +149,20 @@ class Feed:
     """How one source's payloads become postings.
 
     ``array_field`` holds the postings ('' if the payload is the array), ``element`` is
-    the read schema of one of them, ``columns`` gives the posting columns from ``p``,
-    ``board``, ``fetch_no`` and ``pos``, and ``where`` drops elements that are none.
+    the read schema of one of them, ``columns`` gives the posting columns from the
+    element read, ``board``, ``fetch_no`` and ``pos``, and ``where`` drops elements that are none.
     """
 
     array_field: str
     element: str
-    columns: Callable[[], dict[str, Column]]
-    where: Callable[[], Column] | None = None
+    columns: Callable[[Column], dict[str, Column]]
+    where: Callable[[Column], Column] | None = None
     many_boards: bool = False
     newest_first: bool = False
 
 
-def _has_uuid_and_title() -> Column:
-    return (text.strip(or_blank(F.col("p.uuid"))) != "") & (text.strip(or_blank(F.col("p.title"))) != "")
+def _has_uuid_and_title(p: Column) -> Column:
+    return (text.strip(or_blank(p["uuid"])) != "") & (text.strip(or_blank(p["title"])) != "")
 
 
 # The registry: a new source is one more entry. Names and fields are fixed by the feeds.
@@ -179,7 +179,7 @@ FEEDS = {
         "description string, salary_min string, salary_max string",
         _remoteok,
         # The first element of every payload is a legal notice.
-        where=lambda: F.col("pos") > 0,
+        where=lambda p: F.col("pos") > 0,
     ),
     "arbeitnow.com": Feed(
         "data",
@@ -229,40 +229,72 @@ def elements(source: str, payload: Column) -> Column:
     return F.from_json(payload, f"struct<{field}: array<string>>")[field]
 
 
-def candidates(landed: DataFrame, source: str) -> DataFrame:
-    """A source's elements that are postings, parsed into ``p`` but not yet cleaned.
+def read_elements(df: DataFrame, sources: list[str]) -> DataFrame:
+    """Adds per source the element read by its schema, NULL in rows of other sources."""
+    return df.select(
+        "*",
+        *[
+            F.when(F.col("source") == s, F.from_json("col", f"struct<{FEEDS[s].element}>")).alias(f"_read_{i}")
+            for i, s in enumerate(sources)
+        ],
+    )
+
+
+def by_source(sources: list[str], value: Callable[[str, Column], Column]) -> Column:
+    """A value that each source derives in its own way from its element."""
+    chosen = F.lit(None)
+    for i, source in reversed(list(enumerate(sources))):
+        chosen = F.when(F.col("source") == source, value(source, F.col(f"_read_{i}"))).otherwise(chosen)
+    return chosen
+
+
+def usable_elements(landed: DataFrame, sources: list[str]) -> DataFrame:
+    """The sources' elements that are postings, as text (``col``), with their date.
 
-    ``posted_date`` is added for ranking: cleaning whole descriptions can then wait
-    until the caps have dropped most rows.
+    ``posted_date`` is there for ranking: cleaning whole descriptions can then wait until
+    caps have dropped most rows.
     """
-    feed = FEEDS[source]
-    parsed = (
-        landed.where(F.col("source") == source)
-        .select("source", "board", "fetch_no", F.posexplode(elements(source, F.col("payload"))))
-        .withColumn("p", F.from_json("col", f"struct<{feed.element}>"))
-        .drop("col")
+    payload = F.lit(None)
+    for source in sources:
+        payload = F.when(F.col("source") == source, elements(source, F.col("payload"))).otherwise(payload)
+    listed = landed.where(F.col("source").isin(sources)).select(
+        "source", "board", "fetch_no", F.posexplode(payload)
     )
-    columns = feed.columns()
-    usable = parsed.where(F.length(or_blank(columns["url"])) > 0)
-    if feed.where:
-        usable = usable.where(feed.where())
-    return usable.withColumn("posted_date", or_blank(columns["posted_date"]))
 
+    def usable(source: str, p: Column) -> Column:
+        feed = FEEDS[source]
+        right = F.length(or_blank(feed.columns(p)["url"])) > 0
+        return right & feed.where(p) if feed.where else right
 
-def postings(rows: DataFrame, source: str, *keep: str) -> DataFrame:
-    """Posting columns of ``candidates`` rows, after the columns to ``keep``.
+    dated = read_elements(listed, sources).where(by_source(sources, usable))
+    date = by_source(sources, lambda s, p: or_blank(FEEDS[s].columns(p)["posted_date"]))
+    return dated.select("source", *ORDER_COLUMNS, "col", date.alias("posted_date"))
+
+
+def cleaned(rows: DataFrame, sources: list[str], *keep: str) -> DataFrame:
+    """Posting columns of usable elements, after the columns to keep.
 
     NULL becomes blank, except for the salary of a source that has none at all.
     """
-    columns = FEEDS[source].columns()
-    cleaned = {name: c if name == "salary" else or_blank(c) for name, c in columns.items()}
-    cleaned |= {"source": F.lit(source), "posted_date": F.col("posted_date")}
-    return rows.select(*keep, *[cleaned[name].alias(name) for name in POSTING_COLUMNS])
+    def column(name: str) -> Column:
+        if name in ("source", "posted_date"):
+            return F.col(name)
+        blank = (lambda c: c) if name == "salary" else or_blank
+        return by_source(sources, lambda s, p: blank(FEEDS[s].columns(p)[name])).cast("string")
+
+    read = read_elements(rows, sources)
+    return read.select(*keep, *[column(name).alias(name) for name in POSTING_COLUMNS])
 
 
 def normalize(landed: DataFrame, source: str) -> DataFrame:
     """All postings of one source, with their place in the feed."""
-    return postings(candidates(landed, source), source, *ORDER_COLUMNS)
+    return normalize_all(landed, [source])
+
+
+def normalize_all(landed: DataFrame, sources: list[str] | None = None) -> DataFrame:
+    """All postings of several sources (of all feeds by default), the payloads read once."""
+    known = [s for s in (sources if sources is not None else FEEDS) if s in FEEDS]
+    return cleaned(usable_elements(landed, known), known, *ORDER_COLUMNS)
 
 
 NORMALIZERS = {name: partial(normalize, source=name) for name in FEEDS}
@@ -278,53 +310,80 @@ def quarantine(landed: DataFrame) -> DataFrame:
     return landed.select("source", "board", "fetch_no", count.alias("n_elements"))
 
 
-def board_rounds(rows: DataFrame, boards: list[str] | None = None) -> DataFrame:
+def board_rounds(
+    rows: DataFrame, boards: list[str] | None = None, cap: int | None = None
+) -> DataFrame:
     """The newest rows of each board, dealt round-robin.
 
     Adds ``round_no`` (1 = the newest of its board) and ``list_no`` (the board's place
     in the configuration, by name if there is none); the merged order is the two
-    together. A board counts up to the source cap only, which no later step can exceed.
+    together. With a source cap a board counts up to it only.
     """
     place = F.col("board")
     if boards is not None:
         rows = rows.where(F.col("board").isin(boards))
-        names = F.array(*[F.lit(b) for b in boards]).cast("array<string>")
-        place = F.lpad(F.array_position(names, F.col("board")).cast("string"), 10, "0")
+        place = board_place(boards)
     newest = [F.col("posted_date").desc(), F.col("fetch_no"), F.col("pos")]
-    ranked = top_per_group(
-        rows, ["source", "board"], newest, settings.MAX_POSTINGS_PER_SOURCE, "round_no"
-    )
+    ranked = first_per_group(rows, ["source", "board"], newest, cap, "round_no", ["source", *ORDER_COLUMNS])
     return ranked.withColumn("list_no", place)
 
 
-def capped_source(landed: DataFrame, source: str, boards: list[str] | None = None) -> DataFrame:
-    """One source's postings in merged order, cut at the per-source cap (``slot``)."""
-    feed = FEEDS[source]
-    rows = candidates(landed, source)
-    order = [F.col("board"), F.col("fetch_no"), F.col("pos")]
-    if feed.many_boards:
-        rows = board_rounds(rows, boards)
-        order = [F.col("round_no"), F.col("list_no")]
-    elif feed.newest_first:
-        order = [F.col("posted_date").desc(), *order]
-    first = top_per_group(rows, ["source"], order, settings.MAX_POSTINGS_PER_SOURCE, "slot")
-    return postings(first, source, *ORDER_COLUMNS, "slot")
+def board_place(boards: list[str]) -> Column:
+    """A board's place in a list, as text of equal length."""
+    names = F.array(*[F.lit(b) for b in boards]).cast("array<string>")
+    return F.lpad(F.array_position(names, F.col("board")).cast("string"), 10, "0")
+
+
+def unknown_sources(sources: list[str]) -> list[str]:
+    """Configured names that no feed is registered for."""
+    return [name for name in sources if name not in FEEDS]
 
 
 def merge_feeds(
-    landed: DataFrame, sources: list[str], ats_boards: dict[str, list[str]] | None = None
+    landed: DataFrame,
+    sources: list[str],
+    ats_boards: dict[str, list[str]] | None = None,
+    cap: int | None = None,
 ) -> DataFrame:
-    """Postings of every configured source; unknown names are skipped.
+    """Postings of every configured source in merged order, up to ``cap`` of each.
 
-    ``list_no`` and ``slot`` give the order: sources as configured, then slots.
+    ``list_no`` and ``slot`` give the order: sources as configured, then slots. Names
+    without a feed are skipped (see ``unknown_sources``). All sources go through one
+    plan: the landed texts are read once, one ranking orders boards, one sources, and
+    elements are only cleaned after both.
     """
-    parts = [
-        capped_source(landed, source, ats_boards.get(source, []) if ats_boards is not None else None)
-        .withColumn("list_no", F.lit(number))
-        for number, source in enumerate(sources)
-        if source in FEEDS
-    ]
-    if not parts:
+    known = [name for name in sources if name in FEEDS]
+    if not known:
         columns = ", ".join(f"{name} string" for name in POSTING_COLUMNS)
         return landed.sparkSession.createDataFrame([], f"{columns}, slot int, list_no int")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    is_one_of = lambda names: F.col("source").isin(names) if names else F.lit(False)
+    many = is_one_of([name for name in known if FEEDS[name].many_boards])
+    newest = is_one_of([name for name in known if FEEDS[name].newest_first])
+    rows = usable_elements(landed, known)
+    place = F.col("board")
+    if ats_boards is not None:
+        listed = {name: list(ats_boards.get(name, [])) for name in known if FEEDS[name].many_boards}
+        wanted = [is_one_of([name]) & F.col("board").isin(boards) for name, boards in listed.items()]
+        rows = rows.where(~many | reduce(lambda a, b: a | b, wanted, F.lit(False)))
+        for name, boards in listed.items():
+            place = F.when(F.col("source") == name, board_place(boards)).otherwise(place)
+    key = ["source", *ORDER_COLUMNS]
+    # Inside a board the order is the source's own, so a board's first rows suffice.
+    in_board = [F.when(many | newest, F.col("posted_date")).desc(), F.col("fetch_no"), F.col("pos")]
+    ranked = first_per_group(rows, ["source", "board"], in_board, cap, "round_no", key)
+    in_source = [
+        F.when(many, F.col("round_no")).otherwise(0),
+        F.when(newest, F.col("posted_date")).desc(),
+        place,
+        F.col("fetch_no"),
+        F.col("pos"),
+    ]
+    first = first_per_group(ranked, ["source"], in_source, cap, "slot", key)
+    number = F.array_position(F.array(*[F.lit(name) for name in sources]), F.col("source")) - 1
+    return cleaned(first, known, *ORDER_COLUMNS, "slot").withColumn("list_no", number.cast("int"))
+
+
+def capped_source(landed: DataFrame, source: str, boards: list[str] | None = None, cap: int | None = None) -> DataFrame:
+    """One source's postings in merged order, up to the cap (``slot``)."""
+    listed = None if boards is None else {source: boards}
+    return merge_feeds(landed, [source], listed, cap).drop("list_no")

@@ -18,15 +18,15 @@ EXTRACT_SCHEMA = (
 ANCHOR_PATTERN = r'<a\s[^>]*?href="([^"]*)"[^>]*>([\s\S]*?)</a>'
 
 
-def search_hits(landed: DataFrame) -> DataFrame:
+def search_hits(landed: DataFrame, max_hits: int | None = None) -> DataFrame:
     """Landed hit lists ``(query_no, payload)`` to hits in query and hit order.
 
-    A search returns a bounded list, so only its first hits are read; hits without
-    a URL are dropped after that.
+    With ``max_hits`` only a query's first hits are read; hits without a URL are dropped
+    after that.
     """
-    hits = landed.select(
-        "query_no", F.posexplode(F.from_json("payload", "array<string>"))
-    ).where(F.col("pos") < settings.MAX_HITS_PER_QUERY)
+    hits = landed.select("query_no", F.posexplode(F.from_json("payload", "array<string>")))
+    if max_hits is not None:
+        hits = hits.where(F.col("pos") < max_hits)
     hit = F.from_json("col", HIT_SCHEMA)
     return hits.select("query_no", F.col("pos").alias("hit_no"), hit.alias("h")).select(
         "query_no",

@@ -31,7 +31,8 @@ SCHEMAS = {
     "sightings": f"seq long, day string, {POSTING_DDL}, run_id long",
     "inputs": f"seq long, day string, {POSTING_DDL}, dedup_key string, idx long, batch long, "
     "pos int, run_id long, commit_no long",
-    "answers": "batch long, raw string, run_id long, commit_no long",
+    "answers": "batch long, raw string, error string, run_id long, commit_no long, attempt_no long",
+    "commits": "run_id long, commit_no long, open_batches long",
     "scores": "dedup_key string, phase int, batch long, seq long, url string, title string, "
     "company string, source string, location string, salary string, score double, "
     "verdict string, data string, day string, run_id long, commit_no long",
@@ -73,6 +74,16 @@ class Store:
             .parquet(self.path(name))
         )
 
+    def replace_run(self, name: str, df: DataFrame, run_id: int, partitions: list[str]) -> None:
+        """Write a run's rows of a table in place of all that it had there."""
+        (
+            df.drop("run_id")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "static")
+            .partitionBy(*partitions)
+            .parquet(os.path.join(self.path(name), f"run_id={run_id}"))
+        )
+
     def append(self, name: str, rows: list[tuple]) -> None:
         """Append a few log records."""
         frame = self.spark.createDataFrame(rows, SCHEMAS[name])
@@ -146,3 +157,8 @@ class Store:
 def export_json(df: DataFrame, path: str) -> None:
     """Write an export as JSON lines; the order of a sorted frame is kept over its files."""
     df.write.mode("overwrite").json(path)
+
+
+def export_objects(df: DataFrame, path: str) -> None:
+    """Write one column of JSON texts as JSON lines, each line being the object itself."""
+    df.write.mode("overwrite").text(path)

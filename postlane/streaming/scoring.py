@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postlane.operators import state
 from postlane.operators.ordering import dedupe_first
-from postlane.session import materialize, small_side
+from postlane.session import materialize
 from postlane.sources.tables import Store
 
 
@@ -25,10 +25,9 @@ def commit_writer(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         unique = materialize(dedupe_first(state.with_key(batch), "dedup_key", order))
-        # The stored keys are many and the micro-batch's few: its keys are sent to the
-        # stored ones, which are scanned once and never shuffled while the batch is small.
+        # Adaptive execution sends a small micro-batch's keys to the stored ones.
         stored = store.read("scores").where(F.col("run_id") < batch_id).select("dedup_key")
-        known = stored.join(small_side(unique.select("dedup_key")), "dedup_key", "left_semi").distinct()
+        known = stored.join(unique.select("dedup_key"), "dedup_key", "left_semi").distinct()
         fresh = unique.join(known, "dedup_key", "left_anti")
         events = score(fresh).withColumn("run_id", F.lit(batch_id).cast("long")).withColumn(
             "commit_no", F.lit(0).cast("long")

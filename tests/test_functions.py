@@ -106,8 +106,8 @@ def test_html_unescape(spark):
      ["$60,000-$80,000", "$60,000", "$80,000", "$60,000", "", "", "$7", "$0", "", "$55,000-$65,000"]),
     (fields.place_text, [("Auckland CBD", "Auckland City"), ("Dunedin", "dunedin"), ("", ""), (None, "X"), ("A", None)],
      ["Auckland CBD, Auckland City", "dunedin", "New Zealand", "X", "A"]),
-    (fields.http_status, [("HTTP 429 now", None), ("weird", None), ("x", "500"), ("error 4290", None), ("got 404.", None)],
-     [429, None, 500, None, 404]),
+    (fields.http_status, [("HTTP 429 now", None), ("weird", None), ("x", "500"), ("error 4290", None), ("got 404.", None), ("HTTP 404", "abc")],
+     [429, None, 500, None, 404, None]),
 ])
 def test_pairs(spark, fn, rows, expected):
     assert apply(spark, fn, rows, 2) == expected

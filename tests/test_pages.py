@@ -12,7 +12,7 @@ from postlane.sources import pages
 
 def hits_frame(spark, lists):
     rows = [(q, json.dumps(hits)) for q, hits in enumerate(lists)]
-    return pages.search_hits(spark.createDataFrame(rows, "query_no int, payload string"))
+    return pages.search_hits(spark.createDataFrame(rows, "query_no int, payload string"), 10)
 
 
 def urls_of(*names):
@@ -47,7 +47,7 @@ def numbered_pages(spark, hosts):
 def test_host_caps(spark):
     hosts = ["linkedin.com", "www.indeed.com", "uk.indeed.com", "indeed.com", "other.org"] * 12
     got = fetching.apply_host_caps(numbered_pages(spark, hosts), {"linkedin.com": 0, "indeed.com": 5, "x.com": 90},
-                                   [F.col("n")]).orderBy("n").collect()
+                                   [F.col("n")], 20).orderBy("n").collect()
     expected, seen = [], defaultdict(int)
     caps = {"linkedin.com": 0, "indeed.com": 5}
     for i, h in enumerate(hosts):
@@ -60,9 +60,11 @@ def test_host_caps(spark):
 
 def test_fetch_plan_budget_and_actions(spark):
     hosts = ["reddit.com", "bad.org", "good.org"] + [f"h{i}.org" for i in range(40)]
-    capped = fetching.apply_host_caps(numbered_pages(spark, hosts), {}, [F.col("n")])
+    capped = fetching.apply_host_caps(numbered_pages(spark, hosts), {}, [F.col("n")], 20)
+    assert fetching.apply_host_caps(numbered_pages(spark, hosts), {}, [F.col("n")], key=["n"]).count() == len(hosts)
     health = spark.createDataFrame([("bad.org", 3), ("good.org", 2)], "host string, consecutive_failures int")
-    plan = fetching.fetch_plan(capped, health, [F.col("n")]).orderBy("n").collect()
+    assert fetching.fetch_plan(capped, health, [F.col("n")]).count() == capped.count()
+    plan = fetching.fetch_plan(capped, health, [F.col("n")], 20).orderBy("n").collect()
     assert [r.n for r in plan] == list(range(20))
     assert [r.action for r in plan[:4]] == ["snippet", "snippet", "scrape", "scrape"]
     assert [r.consecutive_failures for r in plan[:4]] == [0, 3, 2, 0]

@@ -91,13 +91,52 @@ def test_commits_and_compaction_are_repeatable(spark, tmp_path):
         run.record_search_plan(store, 3, queries.limit(0))
     run.write_exports(store, 2)
     assert spark.read.json(str(tmp_path / "runs" / "run_id=2" / "search_config")).count() == 2
-    exported = [json.loads(r.data)["title"] for r in spark.read.json(str(tmp_path / "exports" / "jobs")).collect()]
+    exported = [r.title for r in spark.read.json(str(tmp_path / "exports" / "jobs")).collect()]
     assert sorted(exported) == sorted(f"Job {n}" for n in range(0, 40, 2))
     assert spark.read.json(str(tmp_path / "exports" / "seen")).count() == 40
     assert spark.read.json(str(tmp_path / "runs" / "run_id=2" / "raw_jobs")).count() == 20
     assert spark.read.json(str(tmp_path / "runs" / "run_id=2" / "jobs")).count() == 7
 
 
+def test_answers_without_results_leave_their_batch_open(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    prose = lambda payload, today, profile: '{"jobs": []}' if '"Job 3"' in payload else "Sorry, I cannot do that."
+    with pytest.raises(RuntimeError, match="2 batches have no readable answer"):
+        run.execute_run(store, 1, postings(spark, range(20)), prose, "2024-01-01 08:00:00", "2024-01-01 08:05:00")
+    assert history(store) == [(1, "failed", None, None, None)]
+    assert state.to_score(store.sightings(1), store.state()).count() == 20
+    run.execute_run(store, 2, postings(spark, range(20)), good_scorer, "2024-01-02 08:00:00", "2024-01-02 08:05:00")
+    assert state.to_score(store.sightings(1), store.state()).count() == 0
+
+
+def test_a_restarted_run_keeps_and_reuses_what_was_paid_for(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    times = ("2024-01-01 08:00:00", "2024-01-01 08:05:00")
+
+    def counting(inner):
+        def scorer(payload, today, profile):
+            first = json.loads(payload)[0]["title"]
+            (calls / f"{first}-{len(list(calls.iterdir()))}-{id(payload)}").touch()
+            return inner(payload, today, profile)
+
+        return scorer
+
+    with pytest.raises(RuntimeError, match="model is down"):
+        run.execute_run(store, 1, postings(spark, range(30)), counting(failing_scorer), *times, batches_per_commit=1)
+    before = {r.title: r.score for r in store.state().collect() if r.data}
+    assert len(before) == 10 and len(list(calls.iterdir())) == 3
+    # The same id again, even with other postings: the first plan stands.
+    result = run.execute_run(store, 1, postings(spark, range(5)), counting(good_scorer), *times, batches_per_commit=7).first()
+    after = {r.title: r.score for r in store.state().collect() if r.data}
+    assert before.items() <= after.items() and len(after) == 15
+    assert (result.raw_total, result.new_count) == (30, 30)
+    assert len(list(calls.iterdir())) == 4
+    with pytest.raises(ValueError, match="finished"):
+        run.execute_run(store, 1, postings(spark, range(30)), good_scorer, *times)
+
+
 def test_replacing_a_run_leaves_other_runs(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     store.write_sightings(1, "2024-01-01", postings(spark, [1, 2]))

@@ -59,7 +59,8 @@ def test_matching_equals_sequential_model(spark, seed):
     answers = spark.createDataFrame(result_rows, "run_id long, batch long, raw string")
     got = scoring.match_results(scoring.parse_answers(answers), inputs)
     assert {(r.batch, r.result_no, r.tier, r.dedup_key, r.title) for r in got.collect()} == expected
-    assert {(r.batch, r.pos) for r in scoring.omitted_inputs(inputs, got).collect()} == left_out
+    omitted = scoring.omitted_inputs(inputs, got, scoring.readable_answers(answers))
+    assert {(r.batch, r.pos) for r in omitted.collect()} == left_out
 
 
 def test_batches_of_ten(spark):
@@ -85,8 +86,30 @@ def test_payload_and_scorer_calls(spark, tmp_path):
 
 
 def test_unreadable_answers_are_set_aside(spark):
-    answers = spark.createDataFrame([(1, 0, "[]"), (1, 1, "no"), (1, 2, None)], "run_id long, batch long, raw string")
-    assert sorted(r.batch for r in scoring.unreadable_answers(answers).collect()) == [1, 2]
+    rows = [(1, 0, "[]"), (1, 1, "no"), (1, 2, None), (1, 3, '{"jobs": [{"title": "a"}]}'), (1, 4, 'ok: [{"title": "T1"}]')]
+    answers = spark.createDataFrame(rows, "run_id long, batch long, raw string")
+    assert sorted(r.batch for r in scoring.unreadable_answers(answers).collect()) == [1, 2, 3]
+    assert [(r.batch, r.r.title) for r in scoring.parse_answers(answers).collect()] == [(4, "T1")]
+    inputs = spark.createDataFrame([(1, b, 0, f"https://a.com/{b}", "t", "c", "s", "l", "") for b in range(6)], INPUT_DDL)
+    matched = scoring.match_results(scoring.parse_answers(answers), inputs)
+    omitted = scoring.omitted_inputs(inputs, matched, scoring.readable_answers(answers))
+    assert [r.batch for r in omitted.collect()] == [0]
+    assert sorted(r.batch for r in scoring.batches_to_retry(inputs, answers).collect()) == [1, 2, 3, 5]
+
+
+def test_calls_are_spread_and_errors_are_rows(spark):
+    import os
+
+    def scorer(payload, today, profile):
+        if payload == "p7":
+            raise ValueError("too long")
+        return str(os.getpid())
+
+    payloads = spark.range(200).selectExpr("1L as run_id", "id as batch", "concat('p', id) as payload").coalesce(1)
+    answers = scoring.call_scorer(payloads, scorer, "", "", concurrency=16)
+    tasks = answers.select("batch", "raw", "error", F.spark_partition_id().alias("task")).collect()
+    assert len(tasks) == 200 and len({r.task for r in tasks}) == 16
+    assert [(r.batch, r.raw, r.error) for r in tasks if r.error] == [(7, None, "ValueError: too long")]
 
 
 def test_quoted_and_bad_scores(spark):
@@ -127,10 +150,7 @@ def test_feature_score(spark):
         4: (20.0, "skip", [], [])}
 
 
-@pytest.mark.parametrize("bound", [200_000, 0])
-def test_profile_matches_equal_brute_force(spark, monkeypatch, bound):
-    import postlane.session as session
-    monkeypatch.setattr(scoring, "small_side", lambda df: session.small_side(df, bound))
+def test_profile_matches_equal_brute_force(spark):
     people = [(1, ["Python", "Spark"]), (2, ["spark", "python"]), (3, ["java"]), (4, ["cobol"]), (5, ["python", "python", "plants"])]
     profiles = spark.createDataFrame(people, "profile_id int, skills array<string>")
     today = F.lit("2024-02-01").cast("date")
