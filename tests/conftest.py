@@ -9,7 +9,7 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from postlane.session import build_session
 
     session = build_session(
@@ -19,6 +19,7 @@ def spark():
         **{
             "spark.driver.memory": "8g",
             "spark.ui.enabled": "false",
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
             "spark.sql.streaming.stateStore.compression.codec": "lz4",
         },
     )
