@@ -32,9 +32,13 @@ EVENT_COLUMNS = [
 
 
 def sighting_events(postings: DataFrame) -> DataFrame:
-    """Sightings ``(run_id, seq, day, posting columns)`` as events; blank URLs are skipped."""
+    """Sightings ``(run_id, seq, day, posting columns)`` as events; blank URLs are skipped.
+
+    A posting without salary is stored with a blank one.
+    """
     return (
         postings.where(F.length("url") > 0)
+        .withColumn("salary", F.coalesce("salary", F.lit("")))
         .withColumn("dedup_key", urls.dedup_key(F.col("url")))
         .withColumn("phase", F.lit(SEEN))
         .withColumn("batch", F.lit(0).cast("long"))

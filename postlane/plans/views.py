@@ -124,15 +124,15 @@ def digest(result: DataFrame) -> DataFrame:
     title, company = _named(best["title"], best["company"])
     limit = F.lit(str(settings.SCORE_THRESHOLD))
     counts = [
-        F.concat(F.lit("Raw jobs scraped: "), F.col("raw_total").cast("string")),
-        F.concat(F.lit("New jobs: "), F.col("new_count").cast("string")),
-        F.concat(F.lit("Jobs scoring >= "), limit, F.lit(": "), F.col("above_threshold").cast("string")),
+        F.concat(F.lit(settings.DIGEST_RAW), F.col("raw_total").cast("string")),
+        F.concat(F.lit(settings.DIGEST_NEW), F.col("new_count").cast("string")),
+        F.concat(F.lit(settings.DIGEST_SCORED), limit, F.lit(": "), F.col("above_threshold").cast("string")),
         F.lit(""),
     ]
     listed = F.array_join(F.transform("top_jobs", line), "\n")
     n = F.size("top_jobs")
     top = F.when(n > 0, F.concat(F.lit("Top "), n.cast("string"), F.lit(" job(s):\n"), listed)).otherwise(
-        F.lit("No new jobs scored this run.")
+        F.lit(settings.DIGEST_NONE)
     )
     body = F.concat(
         F.col("new_count").cast("string"), F.lit(" new job(s), "),

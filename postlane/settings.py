@@ -36,6 +36,12 @@ ESTIMATED_SUFFIX = " (est.)"
 PAY_UNITS = {"hourly": "/hr", "annually": "/yr", "monthly": "/mo"}
 WHOLE_DOLLAR_PAY = ["annually", "monthly"]
 
+# Words of the run digest.
+DIGEST_RAW = "Raw jobs scraped: "
+DIGEST_NEW = "New jobs: "
+DIGEST_SCORED = "Jobs scoring >= "
+DIGEST_NONE = "No new jobs scored this run."
+
 UNSCRAPABLE_HOSTS = ["linkedin.com", "reddit.com"]
 MARK_STATUSES = ["applied", "skipped", "none"]
 VERDICTS = ["apply", "review", "skip"]

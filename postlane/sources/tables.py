@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from postlane import settings
 from postlane.operators.health import failure_streaks
-from postlane.operators.state import advance_state, latest_status, sighting_events
+from postlane.operators.state import advance_state, import_legacy, latest_status, sighting_events
 from postlane.schemas import STATE
 
 POSTING_DDL = (
@@ -148,6 +148,18 @@ class Store:
         old = old.where(F.col("as_of_run") == newest).drop("as_of_run")
         return advance_state(old, self.events(newest))
 
+    def import_legacy(self, seen: DataFrame, scored: DataFrame, today: str) -> bool:
+        """Take over an earlier tool's exports as the first snapshot, unless there is any state.
+
+        See ``operators.state.import_legacy`` for the columns. Returns whether it was done.
+        """
+        if self.newest_snapshot() is not None or not self.events().isEmpty():
+            return False
+        imported = import_legacy(self.state(), seen, scored, today)
+        self.replace("state", imported.withColumn("as_of_run", F.lit(0).cast("long")), ["as_of_run"])
+        self.append("snapshots", [(0,)])
+        return True
+
     def compact(self, run_id: int) -> None:
         """Snapshot the state as of ``run_id``, the newest run. Its path is never read here."""
         self.replace("state", self.state().withColumn("as_of_run", F.lit(run_id).cast("long")), ["as_of_run"])

@@ -137,6 +137,20 @@ def test_a_restarted_run_keeps_and_reuses_what_was_paid_for(spark, tmp_path):
         run.execute_run(store, 1, postings(spark, range(30)), good_scorer, *times)
 
 
+def test_legacy_exports_become_the_first_snapshot(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    seen = spark.createDataFrame([("www.example.com/j/1?", "https://www.example.com/j/1", "Job 1", "2023-01-01", "2023-02-01", 4, 0)],
+                                 "dedup_key string, url string, title string, first_seen string, last_seen string, runs_seen long, seq long")
+    scored = spark.createDataFrame([("https://www.example.com/j/2", "Job 2", "Co", "s", "l", None, "80", "apply", "{}", 0)],
+                                   "url string, title string, company string, source string, location string, salary string, "
+                                   "score string, verdict string, data string, seq long")
+    assert store.import_legacy(seen, scored, "2024-01-01")
+    assert {(r.title, r.score) for r in store.state().collect()} == {("Job 1", None), ("Job 2", 80.0)}
+    assert not store.import_legacy(seen, scored, "2024-01-01")
+    run.execute_run(store, 1, postings(spark, range(3, 5)), good_scorer, "2024-01-01 08:00:00", "2024-01-01 08:05:00")
+    assert store.state().count() == 4
+
+
 def test_replacing_a_run_leaves_other_runs(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     store.write_sightings(1, "2024-01-01", postings(spark, [1, 2]))
