@@ -10,11 +10,16 @@ Equal sets are one class from the start, so copies cost a row each, whatever the
 Within a bucket pairs are not listed. Rounds of centres are compared instead: a few members
 of each bucket against its other members that are not yet known to be in the centre's
 component. Confirmed links merge components, centres then leave the bucket, and a bucket
-ends when one component, or one member, is left. Each round takes four times as many
+ends when one component, or one member, is left. Each round takes sixteen times as many
 centres as the round before, so no pair of different components that shares a bucket goes
-unexamined, while a large group of near copies needs few comparisons per member. Set sizes
-that rule the threshold out are never compared. Components are merged by repeated minimum
-labels with shortcuts, as joins; nothing is collected.
+unexamined, while a large group of near copies needs few comparisons per member. What no
+pair could reach is never compared: two sets share at most the shingles that neither has
+for itself alone among the candidates, so sizes and these counts bound their likeness
+exactly. Nor are pairs confirmed whose signatures' low bits agree far less often than
+those of any pair at the threshold would, by five standard errors. Both keep the many copies
+that are edited too much to be linked, and would otherwise meet each other in every bucket,
+out of the comparisons. Components are merged by contracting
+edges, as joins; nothing is collected.
 
 Words are runs of anything but the six white-space characters, after lower-casing A-Z; a
 text with fewer words than a shingle is one shingle. Defined results: a null text or one
@@ -42,11 +47,16 @@ SHINGLE_WORDS = 3
 THRESHOLD_PERCENT = 85
 BANDS = 25
 BAND_ROWS = 5
+# Coordinates whose low bits foretell the likeness of two sets, and bits kept of each.
+SKETCH = 256
+SKETCH_BITS = 4
+# Pairs so many standard errors below the threshold by this estimate are not confirmed.
+ERRORS = 5
 # Bytes hashed at a time; longer texts are cut between words.
 PIECE = 1 << 20
 # Coordinates times shingles in memory at a time.
 BLOCK = 1 << 18
-CENTRE_GROWTH = 4
+CENTRE_GROWTH = 16
 
 U32, U64 = np.uint32, np.uint64
 WHITE = np.zeros(256, dtype=bool)
@@ -114,6 +124,13 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def packed_sketch(signature: np.ndarray) -> np.ndarray:
+    """The low bits of all coordinates, packed into 64-bit numbers."""
+    low = (signature & U32((1 << SKETCH_BITS) - 1)).astype(U64).reshape(-1, 64 // SKETCH_BITS)
+    places = np.arange(0, 64, SKETCH_BITS, dtype=U64)
+    return (low << places).sum(axis=1, dtype=U64).view(np.int64)
+
+
 def set_digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
@@ -144,14 +161,17 @@ def _batched(rows: Iterator[list], schema: pa.Schema, size: int = 500) -> Iterat
 
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """Per row: ``_id``, ``_n`` (set size), ``_set`` (digest of the set), ``_keys`` (bands)."""
+    """Per row: ``_id``, ``_n`` (set size), ``_set`` (digest of the set), ``_keys`` (bands), ``_bits``."""
     id_type = docs.schema["_id"].dataType
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each():
             for row_id, found in _sets(batches, width):
-                keys = band_keys(circulant_signature(found, bands * rows), bands, rows) if len(found) else found
-                yield [row_id, len(found), set_digest(found), keys.view(np.int64)]
+                keys = bits = found.view(np.int64)
+                if len(found):
+                    signature = circulant_signature(found, max(bands * rows, SKETCH))
+                    keys, bits = band_keys(signature[: bands * rows], bands, rows), packed_sketch(signature[:SKETCH])
+                yield [row_id, len(found), set_digest(found), keys, bits]
 
         from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -163,6 +183,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             T.StructField("_n", T.LongType()),
             T.StructField("_set", T.BinaryType()),
             T.StructField("_keys", T.ArrayType(T.LongType())),
+            T.StructField("_bits", T.ArrayType(T.LongType())),
         ]
     )
     return docs.select("_id", "_text").mapInArrow(make, schema)
@@ -184,9 +205,52 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("_set", "_text").mapInArrow(make, "_set binary, _shingles array<bigint>")
 
 
-def may_link(a: Column, b: Column, percent: int) -> Column:
-    """Sizes that leave the threshold within reach: a union is as large as its larger set."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """``_own``: how many of a set's shingles no other candidate has; sets without any are left out.
+
+    Counted over all candidates' full sets, with partial counts per shingle.
+    """
+    each = sets.select("_set", F.explode("_shingles").alias("_shingle"))
+    counted = each.groupBy("_shingle").agg(F.count(F.lit(1)).alias("_many"), F.first("_set").alias("_set"))
+    return counted.where("_many = 1").groupBy("_set").agg(F.count(F.lit(1)).alias("_own"))
+
+
+def may_link(size_a: Column, own_a: Column, size_b: Column, own_b: Column, percent: int) -> Column:
+    """Whether the threshold is within reach: two sets share at most what neither has alone."""
+    most = F.least(size_a - own_a, size_b - own_b)
+    return 100 * most >= percent * (size_a + size_b - most)
+
+
+def may_be_alike(a: Column, b: Column, percent: int) -> Column:
+    """Whether the packed sketches agree as often as those of a linked pair do, but for chance.
+
+    ``ERRORS`` standard errors below what a pair at the threshold shows: one in three
+    million of such pairs would be missed, as many as the bands miss.
+    """
+    chance = 1 / (1 << SKETCH_BITS)
+    share = percent / 100 + (1 - percent / 100) * chance
+    least = SKETCH * share - ERRORS * (SKETCH * share * (1 - share)) ** 0.5
+    ones = sum(1 << i for i in range(0, 63, SKETCH_BITS))
+    differing = F.lit(0)
+    for i in range(SKETCH * SKETCH_BITS // 64):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        for shift in range(SKETCH_BITS.bit_length() - 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, 1 << shift))
+        differing = differing + F.bit_count(x.bitwiseAND(F.lit(ones)))
+    return SKETCH - differing >= least
+
+
+def first_shared(key: Column, a: Column, b: Column) -> Column:
+    """Whether the bucket is the first that two members share, so that a pair is met once."""
+    return F.element_at(F.array_intersect(a, b), 1) == key
+
+
+def within_reach(low: Column, high: Column, percent: int) -> Column:
+    """Whether any partner of a size between the two bounds could be linked with the row."""
+    size, shared = F.col("_n"), F.col("_n") - F.col("_own")
+    smallest = percent * size
+    largest = shared * (100 + percent) - percent * size
+    return (100 * shared >= percent * size) & (percent * low <= largest) & (100 * high >= smallest)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -199,30 +263,35 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def merged_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``_label`` of every ``_set`` after joining the components that links connect."""
-    a, b = labels.select(F.col("_set").alias("a"), F.col("_label").alias("x")), labels.select(
-        F.col("_set").alias("b"), F.col("_label").alias("y")
-    )
-    edges = links.join(a, "a").join(b, "b").select("x", "y").where("x <> y").distinct()
-    both = stored(edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))), "edges")
-    roots = stored(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("root")), "roots")
-    while True:
-        # The smallest root among the neighbours, then the root of that root.
-        near = both.join(roots.select(F.col("x").alias("y"), F.col("root").alias("_other")), "y")
-        lowest = near.groupBy("x").agg(F.min("_other").alias("_low"))
-        lowered = roots.join(lowest, "x").select("x", "root", F.least("root", "_low").alias("_new"))
-        above = roots.select(F.col("x").alias("_new"), F.col("root").alias("_above"))
-        after = stored(
-            lowered.join(above, "_new", "left").select(
-                "x", F.least(F.col("_new"), F.col("_above")).alias("root"), F.col("root").alias("_before")
-            ),
-            "roots",
-        )
-        moved = after.where("root <> _before").limit(1).count()
-        roots = after.select("x", "root")
-        if not moved:
-            break
-    found = roots.select(F.col("x").alias("_label"), "root")
+    """``_label`` of every ``_set`` after joining the components that links connect.
+
+    Components are nodes, links edges. In each step a node goes over to its smallest
+    neighbour and on to that one's, edges are redrawn between the nodes that are left,
+    and edges inside one node vanish. It ends when no edge is left: after one step for a
+    star, and after few for any graph, as every node with a smaller neighbour goes.
+    """
+    a = labels.select(F.col("_set").alias("a"), F.col("_label").alias("x"))
+    b = labels.select(F.col("_set").alias("b"), F.col("_label").alias("y"))
+    edges = stored(links.join(a, "a").join(b, "b").select("x", "y").where("x <> y").distinct(), "edges")
+    moved = None
+    while edges.limit(1).count():
+        ends = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        nearest = stored(ends.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("to")), "nearest")
+        onward = nearest.select(F.col("x").alias("to"), F.col("to").alias("root"))
+        step = stored(nearest.join(onward, "to").select("x", "root"), "step")
+        if moved is None:
+            moved = step
+        else:
+            after = step.select(F.col("x").alias("root"), F.col("root").alias("_root"))
+            followed = moved.join(after, "root", "left").select("x", F.coalesce("_root", "root").alias("root"))
+            moved = stored(followed, "moved")
+        by_x = step.select("x", F.col("root").alias("_x"))
+        by_y = step.select(F.col("x").alias("y"), F.col("root").alias("_y"))
+        redrawn = edges.join(by_x, "x").join(by_y, "y").where("_x <> _y")
+        edges = stored(redrawn.select(F.col("_x").alias("x"), F.col("_y").alias("y")).distinct(), "edges")
+    if moved is None:
+        return labels
+    found = moved.select(F.col("x").alias("_label"), "root")
     return stored(
         labels.join(found, "_label", "left").select("_set", F.coalesce("root", "_label").alias("_label")), "labels"
     )
@@ -243,51 +312,83 @@ def near_duplicate_groups(
     classes = stored(
         signed.where("_n > 0")
         .groupBy("_set")
-        .agg(F.min("_id").alias("_id"), F.min_by("_keys", "_id").alias("_keys"), F.min("_n").alias("_n")),
+        .agg(
+            F.min("_id").alias("_id"),
+            F.first("_keys").alias("_keys"),  # equal for equal sets, like all but the id
+            F.first("_bits").alias("_bits"),
+            F.first("_n").alias("_n"),
+        ),
         "classes",
     )
     members = classes.select("_set", "_n", F.explode("_keys").alias("_key"))
     shared = members.groupBy("_key").agg(F.count(F.lit(1)).alias("_many")).where("_many > 1").select("_key")
-    buckets = stored(members.join(shared, "_key"), "buckets")
-    labels = stored(classes.select("_set", F.col("_set").alias("_label")), "labels")
+    candidates = stored(members.join(shared, "_key"), "candidates")
+    # Sets that share no bucket stay alone and need no label.
+    labels = stored(candidates.select("_set", F.col("_set").alias("_label")).distinct(), "labels")
     # Texts of one document per class that shares a bucket; each becomes its set once.
-    wanted = buckets.select("_set").distinct().join(classes.select("_set", "_id"), "_set")
+    wanted = candidates.select("_set").distinct().join(classes.select("_set", "_id"), "_set")
     named = signed.select("_id", "_set").join(wanted, ["_id", "_set"]).distinct()
     texts = base.join(named.hint("shuffle_hash"), "_id")
     sets = stored(full_sets(texts, width).dropDuplicates(["_set"]), "sets")
+    lonely = stored(own_shingles(sets), "own")
+    buckets = candidates.join(lonely, "_set", "left").withColumn("_own", F.coalesce("_own", F.lit(0)))
 
     centres = 1
     while True:
-        open_buckets = (
-            buckets.join(labels, "_set")
-            .groupBy("_key")
-            .agg(F.min("_label").alias("_low"), F.max("_label").alias("_high"))
-            .where("_low <> _high")
-            .select("_key")
+        bounds = buckets.join(labels, "_set").groupBy("_key").agg(
+            F.min("_label").alias("_first"),
+            F.max("_label").alias("_last"),
+            F.min("_n").alias("_low"),
+            F.max("_n").alias("_high"),
+        )
+        open_buckets = bounds.where("_first <> _last").select("_key", "_low", "_high")
+        live = stored(
+            buckets.join(open_buckets, "_key")
+            .where(within_reach(F.col("_low"), F.col("_high"), percent))
+            .drop("_low", "_high")
+            .join(labels, "_set")
+            .join(classes.select("_set", "_keys", "_bits"), "_set"),
+            "live",
         )
-        live = stored(buckets.join(open_buckets, "_key", "left_semi").join(labels, "_set"), "live")
         if not live.limit(1).count():
             break
+        # The sets with the fewest shingles of their own lie in the middle of their group.
+        order = [F.col("_own"), F.xxhash64("_set"), F.col("_set")]
         chosen = stored(
-            top_per_group(live, ["_key"], [F.xxhash64("_set"), F.col("_set")], centres, "_place").select(
-                "_key", F.col("_set").alias("a"), F.col("_n").alias("_na"), F.col("_label").alias("_la"), "_place"
+            top_per_group(live, ["_key"], order, centres, "_place").select(
+                "_key",
+                F.col("_set").alias("a"),
+                F.col("_n").alias("_na"),
+                F.col("_own").alias("_own_a"),
+                F.col("_keys").alias("_keys_a"),
+                F.col("_bits").alias("_bits_a"),
+                F.col("_label").alias("_la"),
+                "_place",
             ),
             "centres",
         )
         # A centre meets all members but the centres before it, which have met it.
-        ranked = live.join(chosen.select("_key", F.col("a").alias("_set"), F.col("_place").alias("_own")), ["_key", "_set"], "left")
+        as_centre = chosen.select("_key", F.col("a").alias("_set"), F.col("_place").alias("_met"))
+        ranked = live.join(as_centre, ["_key", "_set"], "left")
+        other = (F.col("_label") != F.col("_la")) & (F.col("_met").isNull() | (F.col("_met") > F.col("_place")))
+        reach = may_link(F.col("_n"), F.col("_own"), F.col("_na"), F.col("_own_a"), percent)
+        once = first_shared(F.col("_key"), F.col("_keys"), F.col("_keys_a"))
+        alike = may_be_alike(F.col("_bits"), F.col("_bits_a"), percent)
         pairs = (
             ranked.join(chosen, "_key")
-            .where("_label <> _la and (_own is null or _own > _place)")
-            .where(may_link(F.col("_n"), F.col("_na"), percent))
+            .where(other & reach & alike & once)
             .select(F.least("a", "_set").alias("a"), F.greatest("a", "_set").alias("b"))
             .distinct()
         )
         labels = merged_labels(labels, stored(confirmed(pairs, sets, percent), "links"))
-        buckets = stored(ranked.where("_own is null").select("_set", "_n", "_key"), "buckets")
+        buckets = stored(ranked.where("_met is null").select("_set", "_n", "_key", "_own"), "buckets")
         centres *= CENTRE_GROWTH
 
-    placed = labels.join(classes.select("_set", "_id"), "_set")
+    placed = (
+        classes.select("_set", "_id")
+        .join(labels, "_set", "left")
+        .withColumn("_label", F.coalesce("_label", "_set"))
+    )
     groups = placed.groupBy("_label").agg(F.min("_id").alias("_component"))
     of_set = placed.select("_set", "_label").join(groups, "_label").select("_set", "_component")
     out = signed.select("_id", "_n", "_set").join(of_set, "_set", "left")

@@ -103,3 +103,33 @@ def test_odd_rows(documents, odd_rows):
     assert counts[(4, 5, 4, True)] == 2 and counts[(4, 4, 4, True)] == 1
     assert counts[(5, 5, 4, False)] == 1
     assert near_dup.near_duplicate_groups(documents()).count() == 0
+
+
+def test_packed_sketches_tell_likeness(spark):
+    rng = np.random.default_rng(3)
+    rows, expected = [], []
+    for shared in (100, 150, 170, 185, 195, 200):
+        numbers = rng.integers(0, 1 << 63, 400 - shared, dtype=np.uint64)
+        signatures = [near_dup.circulant_signature(s, 256) for s in (numbers[:200], numbers[200 - shared :])]
+        rows.append([near_dup.packed_sketch(s).tolist() for s in signatures])
+        agree = int((signatures[0] % 16 == signatures[1] % 16).sum())
+        share = 0.85 + 0.15 / 16
+        expected.append(agree >= 256 * share - 5 * (256 * share * (1 - share)) ** 0.5)
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>")
+    got = [r[0] for r in df.select(near_dup.may_be_alike(df["a"], df["b"], 85)).collect()]
+    assert got == expected and got[-2:] == [True, True] and got[0] is False
+
+
+def test_many_copies_edited_too_much_to_be_linked(documents):
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for _ in range(rnd.randrange(0, 11)):
+            if rnd.random() < 0.5:
+                words.pop(rnd.randrange(len(words)))
+            else:
+                words[rnd.randrange(len(words))] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    assert found(near_dup.near_duplicate_groups(documents(*rows))) == brute(rows)
