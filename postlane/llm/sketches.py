@@ -5,7 +5,7 @@ the hash range; a text with shingles but none below it holds its smallest one. T
 fraction, not a fixed length, bounds a sketch: it grows with its document, so the sketch
 of a union is the union of sketches, and the share of a short text inside a very long one
 (containment) is estimated as well as the resemblance of two equals. Sketches are arrays
-of 32-bit hashes made by column functions; a fingerprint is their sorted hexadecimal text.
+of 31-bit hashes made by column functions; a fingerprint is their sorted hexadecimal text.
 
 Shingles are runs of five words (anything between the six white-space characters) after
 lower-casing; a shorter text is one shingle. Defined results: a null text counts as empty;
@@ -24,14 +24,14 @@ from postlane.operators.ordering import global_position
 SHINGLE_WORDS = 5
 # Share of all shingle hashes that a sketch retains.
 FRACTION = 0.25
-HASH_RANGE = 1 << 32
+HASH_RANGE = 1 << 31
 DIGITS = 8
 
 
 def add_sketch(
     df: DataFrame, text: Column, name: str, width: int = SHINGLE_WORDS, fraction: float = FRACTION
 ) -> DataFrame:
-    """Adds the sketch of a text as a sorted array of numbers below 2^32."""
+    """Adds the sketch of a text as a sorted array of numbers below 2^31."""
     words = f"{name}_words"
     df = computed(df, words, F.transform(words_of(F.lower(text)), lambda w: F.xxhash64(w)))
     hashes = F.col(words)
@@ -41,7 +41,7 @@ def add_sketch(
         .when(F.size(hashes) < width, whole)
         .otherwise(shingle_hashes(hashes, width))
     )
-    df = computed(df, f"{name}_all", F.transform(shingles, lambda h: F.shiftrightunsigned(h, 32))).drop(words)
+    df = computed(df, f"{name}_all", F.transform(shingles, lambda h: F.shiftrightunsigned(h, 33).cast("int"))).drop(words)
     everything = F.col(f"{name}_all")
     low = F.filter(everything, lambda h: h < int(HASH_RANGE * fraction))
     least = F.filter(F.array(F.array_min(everything)), lambda h: h.isNotNull())
@@ -58,7 +58,7 @@ def from_fingerprint(fingerprint: Column) -> Column:
     count = (F.length(fingerprint) / DIGITS).cast("int")
     places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(
-        places, lambda i: F.conv(fingerprint.substr(i * DIGITS + 1, F.lit(DIGITS)), 16, 10).cast("bigint")
+        places, lambda i: F.conv(fingerprint.substr(i * DIGITS + 1, F.lit(DIGITS)), 16, 10).cast("int")
     )
 
 
@@ -91,7 +91,9 @@ def compare_with_edit(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     the few code points that its predecessor needs.
     """
     text = text_of(docs)
-    base = docs.select(F.col(id_column).alias("_id"), text.alias("_text"))
+    # Keys are texts without nulls, so that grouping and joining by them agree on a partitioning.
+    key_of = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
+    base = docs.select(F.col(id_column).alias("_id"), key_of(id_column).alias("_key"), text.alias("_text"))
     sketched = add_sketch(base, F.col("_text"), "_sketch")
 
     sizes = docs.select(F.col(id_column).alias("_id"), F.length(text).alias("_n"))
@@ -99,17 +101,18 @@ def compare_with_edit(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     placed = global_position(ids, ["_id"], "_at")
     total = placed.count()
     before = placed.select(
-        F.col("_id").alias("_before"),
+        key_of("_id").alias("_before"),
         F.floor(F.col("_n") / 4).cast("int").alias("_wanted"),
         ((F.col("_at") + 1) % F.lit(max(total, 1))).alias("_at"),
     )
     # For every id the document before it and how much of this text it needs.
-    needs = placed.select("_at", F.col("_id").alias("_own")).join(before, "_at").drop("_at")
+    needs = placed.select("_at", key_of("_id").alias("_key")).join(before, "_at").drop("_at")
     heads = (
-        sketched.join(needs, F.col("_id").eqNullSafe(F.col("_own")))
+        sketched.join(needs, "_key")
         .select(
             "_before",
-            F.xxhash64("_text").alias("_order"),
+            # Reads the id as well: with the same columns as below, Spark shuffles them once.
+            F.xxhash64("_id", "_text").alias("_order"),
             F.struct(
                 F.col("_text").substr(F.lit(1), F.col("_wanted")).alias("head"), F.col("_sketch").alias("sketch")
             ).alias("_next"),
@@ -122,7 +125,7 @@ def compare_with_edit(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     edited = F.concat(
         F.col("_text").substr(F.lit(1), n - quarter), F.col("_next.head").substr(F.lit(1), quarter)
     )
-    paired = sketched.join(heads, F.col("_id").eqNullSafe(F.col("_before"))).select(
+    paired = sketched.join(heads.withColumnRenamed("_before", "_key"), "_key").select(
         "_id", "_sketch", n.cast("bigint").alias("_n"), F.col("_next.sketch").alias("_next"), edited.alias("_edited")
     )
     both = add_sketch(paired, F.col("_edited"), "_edited_sketch")
