@@ -295,7 +295,9 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", kept_text: bool =
         .where("_many > 1")
         .select("_anchor", (F.col("_a") != F.col("_b")).alias("_mixed"))
     )
-    again = stored(runs.join(found, "_anchor"), "again")
+    # Stored first: joined straight away, an anchor's runs would have to stay in the task
+    # that has counted them; so Spark may split a hot one.
+    again = stored(runs.join(stored(found, "anchors"), "_anchor"), "again")
     classes = (
         again.where("_mixed")
         .groupBy("_anchor", "_digest")
