@@ -16,6 +16,9 @@ from postlane.llm.common import stored, table
 from postlane.llm.queries import MIN_SITES, MIXTURE, MIXTURE_REST, MIXTURE_SEED
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+# Near duplicates share 80 percent of their five-word shingles; 30 bands of 4 miss such a pair
+# with probability 1.4e-7.
+NEAR_WORDS, NEAR_PERCENT, NEAR_BANDS, NEAR_ROWS = 5, 80, 30, 4
 
 # A learned classifier, sketches and a tokenizer: no SQL twin.
 ORACLE_SQL = None
@@ -37,7 +40,10 @@ def remove_spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near duplicates the document with the smallest id stays."""
-    kept = near_dup.near_duplicate_groups(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    groups = near_dup.near_duplicate_groups(
+        docs, width=NEAR_WORDS, percent=NEAR_PERCENT, bands=NEAR_BANDS, rows=NEAR_ROWS
+    )
+    kept = groups.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_kept"))).select(*COLUMNS)
 
 

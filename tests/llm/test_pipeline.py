@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import public_tokenizers
@@ -8,6 +9,7 @@ import __spark_entry__ as entry_points
 import corpus_pipeline
 from postlane.llm import queries
 from tests.llm.test_near_dup import brute as near_groups
+from tests.llm.test_near_dup import shingles
 
 
 @pytest.fixture(scope="module")
@@ -60,6 +62,46 @@ def test_every_stage_against_its_rule(spark, raw):
     assert all(r["ids"] == library.encode(texts[r["doc_id"]], add_eos=True) for r in encoded)
 
 
+def five_word_groups(rows):
+    """Ids that stay when pairs with four fifths of their five-word shingles in common are linked."""
+    sets = {i: shingles(t, 5) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {i for i in sets if find(i) == i}
+
+
+def test_near_duplicates_share_four_fifths_of_five_word_shingles(spark, documents):
+    rnd = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    rows = []
+    for _ in range(60):
+        words = rnd.choices(vocabulary, k=rnd.randrange(60, 160))
+        rows.append((len(rows), " ".join(words)))
+        # One contiguous change: above the threshold on five words and below 85 percent on
+        # three, or the other way round with changes that are spread.
+        at, n = rnd.randrange(5, 30), round(len(words) * rnd.uniform(0.02, 0.12))
+        rows.append((len(rows), " ".join([*words[:at], *(f"x{len(rows)}y{k}" for k in range(n)), *words[at + n :]])))
+        edited = list(words)
+        for k in range(0, len(words) - 10, 40):
+            edited[k + rnd.randrange(5, 10)] = f"z{len(rows)}k{k}"
+        rows.append((len(rows), " ".join(edited)))
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, documents(*rows), "").collect()}
+    expected = five_word_groups(rows)
+    by_three = {i for i, (_, _, stays) in near_groups(rows).items() if stays}
+    assert expected - by_three and by_three - expected
+    assert kept == expected
+
+
 def test_run_over_an_empty_table(spark, documents, tmp_path):
     documents().write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
