@@ -15,7 +15,10 @@ A string of ``LENGTH`` bytes that starts at two places of the corpus is found in
    index family for equal strings, becomes a level, and levels of equal size are merged, so
    a shard holds a logarithmic number of levels. As only equality over ``LENGTH`` bytes
    matters, suffixes are ordered by a 64-bit fingerprint of these bytes, and every match is
-   confirmed byte by byte.
+   confirmed byte by byte. Shared bytes that more than ``HOT_BLOCKS`` blocks have, as those at
+   the edges of a passage that a third of all documents quote, are no unit of work: these
+   blocks are cut into single windows, which are named by 128-bit digests and counted with
+   partial sums, so no task holds them together.
 3. *Removal.* Repeated windows go back to their documents as ranges of starts.
 
 Texts are shuffled once, by document; everything else is narrow. Hot anchors are joined, not
@@ -38,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from postlane.llm.common import stored
+from postlane.llm.common import computed, stored
 from postlane.llm.rolling import SpanHasher, mixed
 
 LENGTH = 400
@@ -48,6 +51,8 @@ BLOCK = 64
 # Bytes of a text hashed at a time, and blocks per suffix array of a shard.
 STRETCH = 1 << 20
 BATCH_ROWS = 2000
+# Blocks with the same shared bytes that go to one shard; more are counted window by window.
+HOT_BLOCKS = 500
 # Matches confirmed at a time.
 CONFIRM = 1 << 13
 
@@ -206,7 +211,8 @@ class IndexFamily:
 
     def confirm(self, a: np.ndarray, b: np.ndarray) -> None:
         """Mark the windows at ``a`` and ``b`` whose bytes are equal indeed."""
-        windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(bytes(self.text), dtype=np.uint8), LENGTH) if len(a) else None
+        # A view, not a copy; gone before the text grows again.
+        windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(self.text, dtype=np.uint8), LENGTH) if len(a) else None
         for i in range(0, len(a), CONFIRM):
             x, y = a[i : i + CONFIRM], b[i : i + CONFIRM]
             equal = (windows[x] == windows[y]).all(axis=1)
@@ -251,6 +257,60 @@ def repeated_ranges(blocks: DataFrame) -> DataFrame:
     return blocks.select("_anchor", "_digest", "_single", "_first", "_bytes").mapInArrow(make, schema)
 
 
+def windows_of(blocks: DataFrame) -> DataFrame:
+    """Every window of the blocks: its class, number in the run, and digest of its bytes."""
+    schema = "_anchor bigint, _digest bigint, _single boolean, _at int, _string binary"
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(at, BATCH_ROWS)
+                texts = [memoryview(t) for t in batch.column(4).to_pylist()]
+                counts = np.array([len(t) - LENGTH + 1 for t in texts])
+                rows = np.repeat(np.arange(len(texts)), counts)
+                places = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                firsts = batch.column(3).to_numpy()[rows] + places
+                strings = [
+                    hashlib.blake2b(t[i : i + LENGTH], digest_size=16).digest()
+                    for t, count in zip(texts, counts.tolist())
+                    for i in range(count)
+                ]
+                kept = [batch.column(c).take(pa.array(rows)) for c in range(3)]
+                names = ["_anchor", "_digest", "_single", "_at", "_string"]
+                added = [pa.array(firsts, pa.int32()), pa.array(strings, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*kept, *added], names=names)
+
+    return blocks.select("_anchor", "_digest", "_single", "_first", "_bytes").mapInArrow(make, schema)
+
+
+def counted_ranges(blocks: DataFrame) -> DataFrame:
+    """What ``repeated_ranges`` gives, for blocks of which any number share their bytes.
+
+    A string is counted on the map side. The repeated ones are stored before they are joined,
+    so that Spark may split a hot one. Gathered are a class's own windows, LENGTH at most.
+    """
+    windows = stored(windows_of(blocks), "windows")
+    counted = windows.groupBy("_string").agg(F.count(F.lit(1)).alias("_many"))
+    again = stored(counted.where("_many > 1").select("_string"), "strings")
+    per_class = (
+        windows.where("_single").join(again, "_string").groupBy("_anchor", "_digest").agg(F.sort_array(F.collect_set("_at")).alias("_all"))
+    )
+    beside = lambda i: F.get(F.col("_all"), i)
+    lows = F.filter("_all", lambda x, i: F.coalesce(beside(i - 1) < x - 1, F.lit(True)))
+    highs = F.filter("_all", lambda x, i: F.coalesce(beside(i + 1) > x + 1, F.lit(True)))
+    edges = F.arrays_zip(lows.alias("_low"), highs.alias("_high"))
+    return computed(per_class, "_edges", edges).select("_anchor", "_digest", F.inline("_edges"))
+
+
+def shared_ranges(blocks: DataFrame) -> DataFrame:
+    """Per class the ranges of its windows that another class has too, whatever blocks share."""
+    blocks = stored(blocks, "blocks")
+    counted = blocks.groupBy("_core").agg(F.count(F.lit(1)).alias("_many"))
+    hot = stored(counted.where(F.col("_many") > HOT_BLOCKS).select("_core"), "hot")
+    sharded = repeated_ranges(blocks.join(hot, "_core", "left_anti").repartition("_core"))
+    return sharded.unionByName(counted_ranges(blocks.join(hot, "_core", "left_semi")))
+
+
 def removed(docs: DataFrame, kept_text: bool) -> DataFrame:
     """Cut the listed ranges of window starts out of the texts."""
     fields = [docs.schema["_id"], T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
@@ -316,7 +376,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", kept_text: bool =
     # Per document its own runs: bounded by its length.
     per_doc = listed.groupBy("_id", "_tag").agg(F.collect_list("_run").alias("_runs"))
     cut = blocks_of(base.join(per_doc.hint("shuffle_hash"), same(base, per_doc)).select("_text", "_runs"))
-    partial = repeated_ranges(cut.repartition("_core"))
+    partial = shared_ranges(cut)
     count = F.shiftright("_place", PACK).bitwiseAND(F.lit((1 << PACK) - 1))
     first = F.shiftright("_place", 2 * PACK)
     all_windows = classes.where("_many > 1").select(

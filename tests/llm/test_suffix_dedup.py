@@ -85,6 +85,33 @@ def test_index_family_has_few_levels_and_finds_matches_across_batches():
     )
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_windows_of_hot_cores_equal_brute_force(documents, monkeypatch, seed):
+    monkeypatch.setattr(suffix_dedup, "HOT_BLOCKS", 1)
+    texts = make_texts(seed)
+    got = found(suffix_dedup.remove_repeats(documents(*enumerate(texts)).repartition(5)))
+    expected = brute([t.encode() for t in texts])
+    assert [got[i] for i in range(len(texts))] == expected
+
+
+def test_no_shard_takes_a_passage_of_many_documents(documents, monkeypatch):
+    rnd = random.Random(5)
+    text = lambda n: "".join(rnd.choices("abcdefgh", k=n))
+    passage = text(450)
+    texts = [text(rnd.randrange(50, 300)) + passage + text(rnd.randrange(50, 300)) for _ in range(60)]
+    most = []
+
+    def watched(blocks, plain=suffix_dedup.repeated_ranges):
+        most.extend(r["count"] for r in blocks.groupBy("_core").count().collect())
+        return plain(blocks)
+
+    monkeypatch.setattr(suffix_dedup, "HOT_BLOCKS", 8, raising=False)
+    monkeypatch.setattr(suffix_dedup, "repeated_ranges", watched)
+    got = found(suffix_dedup.remove_repeats(documents(*enumerate(texts)).repartition(5)))
+    assert [got[i] for i in range(len(texts))] == brute([t.encode() for t in texts])
+    assert max(most, default=0) <= 8
+
+
 def test_odd_rows(documents, odd_rows):
     out = suffix_dedup.remove_repeats(documents(*odd_rows, clashing=True), kept_text=True)
     rows = out.collect()
