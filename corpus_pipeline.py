@@ -39,12 +39,22 @@ def remove_spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates the document with the smallest id stays."""
+    """Of every group of near duplicates one row stays, that with the smallest id.
+
+    Rows are named by id and text: a null id is the largest, and among equal ids the text's
+    digest decides. Of rows with the same id and text the one with the smallest other columns
+    stays; map tasks reduce such rows before any text is shuffled.
+    """
+    digest = F.unhex(F.md5(F.col("text").cast("binary")))
+    named = docs.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", digest.alias("digest")))
     groups = near_dup.near_duplicate_groups(
-        docs, width=NEAR_WORDS, percent=NEAR_PERCENT, bands=NEAR_BANDS, rows=NEAR_ROWS
+        named, "_row", width=NEAR_WORDS, percent=NEAR_PERCENT, bands=NEAR_BANDS, rows=NEAR_ROWS
     )
-    kept = groups.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_kept"))).select(*COLUMNS)
+    kept = groups.where("kept").select(F.col("_row").alias("_kept")).distinct()
+    others = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    once = named.groupBy("_row").agg(F.first("text").alias("text"), F.min(F.struct(*others)).alias("_others"))
+    stay = once.join(kept.hint("shuffle_hash"), F.col("_row") == F.col("_kept"))
+    return stay.select("_row.doc_id", "text", "_others.*").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -102,6 +102,32 @@ def test_near_duplicates_share_four_fifths_of_five_word_shingles(spark, document
     assert kept == expected
 
 
+def test_one_row_of_each_group_stays(spark, documents):
+    rnd = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(900)]
+    a, b, c, d, e, f = (" ".join(rnd.choices(vocabulary, k=60)) for _ in range(6))
+    groups = [
+        [(1, a, "en", "s2", 5), (1, a, "en", "s1", 5), (1, a, "en", "s1", 5)],  # repeated rows
+        [(None, b, "en", "s1", 5), (None, b, "en", "s1", 5), (None, b + " x", "en", "s1", 5)],
+        [(None, c, "en", "s1", 5), (9, c, "en", "s1", 5), (7, c + " y", None, None, None)],
+        [(3, d, "en", "s1", 5), (2, d, "en", "s1", 5), (2, d + " z", "en", "s1", 5)],  # one id, two texts
+        [(3, e, "en", "s1", 5)],  # the id of a row that goes
+        [(None, f, "en", "s1", 5)],
+        [(None, None, "en", "s1", 5)],
+        [(None, " ", "en", "s1", 5), (None, " ", "en", "s1", 5)],
+    ]
+    rows = [r for group in groups for r in group]
+    results = []
+    for order in (rows, rows[::-1]):
+        out = corpus_pipeline.drop_near_duplicates(spark, documents(*order), "")
+        results.append([tuple(r) for r in out.collect()])
+    assert sorted(results[0], key=str) == sorted(results[1], key=str)
+    for group in groups:
+        assert sum(results[0].count(r) for r in set(group)) == 1
+    assert len(results[0]) == len(groups)
+    assert (1, a, "en", "s1", 5) in results[0] and (7, c + " y", None, None, None) in results[0]
+
+
 def test_run_over_an_empty_table(spark, documents, tmp_path):
     documents().write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
