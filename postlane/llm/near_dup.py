@@ -25,7 +25,8 @@ Words are runs of anything but the six white-space characters, after lower-casin
 text with fewer words than a shingle is one shingle. Defined results: a null text or one
 without words has an empty set, is linked with nothing and kept; rows with equal ids and
 texts get equal results; rows with equal ids and different texts are judged by their texts;
-a null id counts as the largest. Extra columns are not read.
+a null id counts as the largest, so a group without any id has a null component and all its
+rows are kept. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -161,8 +162,9 @@ def _batched(rows: Iterator[list], schema: pa.Schema, size: int = 500) -> Iterat
 
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """Per row: ``_id``, ``_n`` (set size), ``_set`` (digest of the set), ``_keys`` (bands), ``_bits``."""
-    id_type = docs.schema["_id"].dataType
+    """Per row: ``_id``, ``_tag`` (hash of the text), ``_n`` (set size), ``_set`` (digest of the set),
+    ``_keys`` (bands), ``_bits``."""
+    named = docs.select(F.struct("_id", "_tag").alias("_row"), "_text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each():
@@ -179,14 +181,14 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
     schema = T.StructType(
         [
-            T.StructField("_id", id_type),
+            T.StructField("_row", named.schema["_row"].dataType),
             T.StructField("_n", T.LongType()),
             T.StructField("_set", T.BinaryType()),
             T.StructField("_keys", T.ArrayType(T.LongType())),
             T.StructField("_bits", T.ArrayType(T.LongType())),
         ]
     )
-    return docs.select("_id", "_text").mapInArrow(make, schema)
+    return named.mapInArrow(make, schema).select("_row._id", "_row._tag", "_n", "_set", "_keys", "_bits")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -306,14 +308,16 @@ def near_duplicate_groups(
     rows: int = BAND_ROWS,
 ) -> DataFrame:
     """Per row: the id, ``n_shingles``, ``component_id`` and ``kept``."""
-    base = docs.select(F.col(id_column).alias("_id"), docs["text"].cast("string").alias("_text"))
+    text = docs["text"].cast("string")
+    base = docs.select(F.col(id_column).alias("_id"), F.xxhash64(text).alias("_tag"), text.alias("_text"))
     signed = stored(signatures(base, width, bands, rows), "signed")
-    # One row per distinct set, with its smallest id.
+    # One row per distinct set, with its smallest id and the hash of a text under this id.
     classes = stored(
         signed.where("_n > 0")
         .groupBy("_set")
         .agg(
             F.min("_id").alias("_id"),
+            F.min(F.struct(F.col("_id").isNull(), "_id", "_tag"))["_tag"].alias("_tag"),
             F.first("_keys").alias("_keys"),  # equal for equal sets, like all but the id
             F.first("_bits").alias("_bits"),
             F.first("_n").alias("_n"),
@@ -326,9 +330,9 @@ def near_duplicate_groups(
     # Sets that share no bucket stay alone and need no label.
     labels = stored(candidates.select("_set", F.col("_set").alias("_label")).distinct(), "labels")
     # Texts of one document per class that shares a bucket; each becomes its set once.
-    wanted = candidates.select("_set").distinct().join(classes.select("_set", "_id"), "_set")
-    named = signed.select("_id", "_set").join(wanted, ["_id", "_set"]).distinct()
-    texts = base.join(named.hint("shuffle_hash"), "_id")
+    wanted = candidates.select("_set").distinct().join(classes.select("_set", "_id", "_tag"), "_set")
+    same = base["_id"].eqNullSafe(wanted["_id"]) & (base["_tag"] == wanted["_tag"])
+    texts = base.join(wanted.hint("shuffle_hash"), same).select("_set", "_text")
     sets = stored(full_sets(texts, width).dropDuplicates(["_set"]), "sets")
     lonely = stored(own_shingles(sets), "own")
     buckets = candidates.join(lonely, "_set", "left").withColumn("_own", F.coalesce("_own", F.lit(0)))

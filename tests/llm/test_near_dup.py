@@ -133,3 +133,27 @@ def test_many_copies_edited_too_much_to_be_linked(documents):
                 words[rnd.randrange(len(words))] = f"x{i}"
         rows.append((i, " ".join(words)))
     assert found(near_dup.near_duplicate_groups(documents(*rows))) == brute(rows)
+
+
+def test_near_copies_without_an_id(documents):
+    rnd = random.Random(10)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = []
+    for g in range(12):
+        words = rnd.choices(vocabulary, k=rnd.randrange(40, 90))
+        for i in range(5):
+            words = [*words[:-1], f"x{i}"] if i else words
+            # Groups without any id, with one, and with ids alone; later rows are exact copies.
+            rows.append((100 * g + i if g % 3 == 2 or (g % 3 == 1 and i == 3) else None, " ".join(words)))
+        rows.append(rows[-5])
+    # Brute force on places in the order of ids, nulls last.
+    order = sorted(range(len(rows)), key=lambda n: (rows[n][0] is None, rows[n][0] or 0))
+    places = brute([(place, rows[n][1]) for place, n in enumerate(order)])
+    expected = []
+    for place, n in enumerate(order):
+        size, component, _ = places[place]
+        first = rows[order[component]][0]
+        expected.append((rows[n][0], size, first, rows[n][0] == first))
+    got = [tuple(r) for r in near_dup.near_duplicate_groups(documents(*rows)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, expected))
+    assert sum(kept for i, _, _, kept in got if i is None) < sum(i is None for i, *_ in got)
