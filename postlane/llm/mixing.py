@@ -12,7 +12,8 @@ sums, hence a source with a third of all rows costs one row per map task.
 
 Defined results: a null text has mass 0 and is replicated like any other row; a null or
 unlisted source belongs to the rest; rows with equal ids, null included, are drawn alike;
-a group without mass keeps its rows once; an empty table gives an empty one. Input columns
+a group without mass has a rate of one, so its rows are drawn like others and stay once on
+average (about 37 percent go, 26 percent come twice or more); an empty table gives an empty one. Input columns
 named ``copy_no`` or ``shuffle_key`` (in any case) are replaced by the operator's.
 """
 

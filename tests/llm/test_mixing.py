@@ -53,3 +53,13 @@ def test_empty_table_and_massless_group(documents):
     # Without mass a group's rate is one; the draw then decides as usual.
     out = mixing.mix_sources(documents((1, None, None, "s"), (2, "abc", None, "t")), {"s": 0.5}, 0.5)
     assert out.where("source = 's'").count() >= 0
+
+
+def test_a_massless_group_is_drawn_at_rate_one(spark):
+    docs = spark.range(20_000).selectExpr("id as doc_id", "if(id % 2 = 0, '', null) as text", "'s' as source")
+    docs = docs.unionByName(spark.range(20_000, 20_100).selectExpr("id as doc_id", "'abc' as text", "'t' as source"))
+    out = mixing.mix_sources(docs, {"s": 0.5}, 0.5).where("source = 's'")
+    counts = [r["count"] for r in out.groupBy("doc_id").count().collect()]
+    assert abs(1 - len(counts) / 20_000 - math.exp(-1)) < 0.02
+    assert abs(sum(n > 1 for n in counts) / 20_000 - (1 - 2 * math.exp(-1))) < 0.02
+    assert abs(sum(counts) / 20_000 - 1) < 0.03
