@@ -1,14 +1,16 @@
 """Quality rules whose cutoffs are chosen with a bound on false rejections.
 
 Each rule rejects a document whose metric is above a cutoff. The cutoffs on offer are
-fixed before any data is seen. Labelled documents serve as the holdout: for every stratum,
-rule and cutoff the good documents that the rule would reject are counted, and the cutoff
-is admitted only if the exact binomial test refutes "more than ``max_false_rejection /
-rules`` of the good documents are rejected" at level ``error / number of tests``
-(Bonferroni over strata, rules and cutoffs). Per stratum and rule the strictest admitted
-cutoff is used, none if none is admitted. With probability ``1 - error``, then, in no
-stratum more than ``max_false_rejection`` of the good documents are rejected by all rules
-together, however the strata differ.
+fixed before any data is seen. One level of strictness moves the cutoffs of all rules
+together, so what a level rejects, every stricter level rejects too. Labelled documents
+serve as the holdout: for every stratum and level the good documents that any rule would
+reject are counted, and the exact binomial test asks whether it refutes "more than
+``max_false_rejection`` of the good documents are rejected" at level ``error / strata``.
+Levels are tested in fixed sequence, from lax to strict, up to the first that is not
+refuted; so no further correction is needed. The strictest level passed is used, none if
+the first fails. With probability ``1 - error``, then, in no stratum more than
+``max_false_rejection`` of the good documents are rejected by all rules together, however
+the strata differ.
 
 Metrics are computed once per document by column functions and stored as narrow rows; the
 holdout costs one aggregation with partial counts.
@@ -21,6 +23,9 @@ kept; repeated rows are judged alike. Extra input columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,25 +121,26 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
 def admitted_cutoffs(
     base: DataFrame, labels: DataFrame, max_false_rejection: float, error: float
 ) -> DataFrame:
-    """Per stratum an array with the cutoff of each rule, null where none is admitted."""
+    """Per stratum an array with the cutoff of each rule, nulls where no level is admitted."""
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("_quality")).where("_quality = 1").select("doc_id")
     held = base.where(~F.col("base_failed")).join(good, "doc_id", "left_semi")
-    names = [(rule, c) for rule, (_, cutoffs) in RULES.items() for c in range(len(cutoffs))]
+    levels = range(min(len(cutoffs) for _, cutoffs in RULES.values()))
+
+    def rejected(level: int) -> Column:
+        return reduce(or_, [metric(rule) > cutoffs[level] for rule, (_, cutoffs) in RULES.items()])
+
     counts = held.groupBy("_stratum").agg(
-        F.count(F.lit(1)).alias("_good"),
-        *[F.count_if(metric(rule) > RULES[rule][1][c]).alias(f"_{rule}_{c}") for rule, c in names],
+        F.count(F.lit(1)).alias("_good"), *[F.count_if(rejected(c)).alias(f"_level_{c}") for c in levels]
     )
-    share = max_false_rejection / len(RULES)
-    chosen = []
-    for rule, (_, cutoffs) in RULES.items():
-        offers = [
-            F.when(binomial_tail(F.col("_good"), F.col(f"_{rule}_{c}"), share) <= F.col("_level"), F.lit(cutoff))
-            for c, cutoff in enumerate(cutoffs)
-        ]
-        chosen.append(F.coalesce(*offers))
-    # Strata are few by contract, so one row can hold them all to count the tests.
-    level = F.lit(error) / (F.size("_each") * len(names))
-    every = counts.agg(F.collect_list(F.struct("*")).alias("_each")).select(level.alias("_level"), F.inline("_each"))
+    # Strata are few by contract, so one row can hold them all to count them.
+    each = F.lit(error) / F.size("_each")
+    every = counts.agg(F.collect_list(F.struct("*")).alias("_each")).select(each.alias("_error"), F.inline("_each"))
+    passed = [
+        binomial_tail(F.col("_good"), F.col(f"_level_{c}"), max_false_rejection) <= F.col("_error") for c in levels
+    ]
+    # Levels are listed from strict to lax: one counts only if all laxer ones passed as well.
+    level = F.coalesce(*[F.when(reduce(and_, passed[c:]), F.lit(c)) for c in levels])
+    chosen = [F.get(F.array(*map(F.lit, cutoffs)), level) for _, cutoffs in RULES.values()]
     return every.select("_stratum", F.array(*chosen).alias("_cutoffs"))
 
 

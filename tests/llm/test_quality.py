@@ -87,6 +87,23 @@ def test_few_labels_admit_no_cutoff(spark, documents):
     assert quality.judge(docs, labels).where("not kept").count() == 0
 
 
+def test_a_few_hundred_labels_admit_cutoffs(spark, documents):
+    docs, labels = labelled(spark, documents, 500, 0.1)
+    out = quality.judge(docs, labels).join(labels, "doc_id")
+    counts = {(r["quality"], r["kept"]): r["count"] for r in out.groupBy("quality", "kept").count().collect()}
+    assert counts[(0, False)] == labels.where("quality = 0").count()
+    assert counts[(1, True)] == labels.where("quality = 1").count()
+
+
+def test_levels_stop_where_good_documents_would_go(spark, documents):
+    # Good documents with one sign per word: the level of 0.8 and all stricter ones fail.
+    docs, labels = labelled(spark, documents, 1000, 0.0)
+    docs = docs.withColumn("text", F.translate("text", "w", "#")).withColumn("lang", F.lit("en"))
+    base = quality.base_columns(docs, "lang")
+    (row,) = quality.admitted_cutoffs(base, labels, 0.02, 0.05).collect()
+    assert row["_cutoffs"] == [cutoffs[5] for _, cutoffs in quality.RULES.values()]
+
+
 def test_odd_rows(spark, documents, odd_rows):
     labels = spark.createDataFrame([(4, 1), (4, 0), (None, 1), (99, None)], NO_LABELS)
     rows = quality.judge(documents(*odd_rows, clashing=True), labels).collect()
