@@ -16,6 +16,7 @@ from postlane.llm import (
     pii,
     preferences,
     quality,
+    simhash,
     sketches,
     suffix_dedup,
 )
@@ -181,3 +182,9 @@ def op9_find_personal_data(spark, sf_dir):
     """Personal data in every whole text, by patterns and by a field fitted on a sample."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.find_personal_data(docs, pii.fit(docs)).drop("text")
+
+
+@query
+def op11_group_fingerprints(spark, sf_dir):
+    """SimHash of every whole text, and the components of those within two bits."""
+    return simhash.near_duplicate_prints(table(spark, sf_dir, "documents").select("doc_id", "text"))
