@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from postlane.llm import (
     language_id,
     line_dedup,
+    merkle,
     mixing,
     near_dup,
     piece_bpe,
@@ -188,3 +189,77 @@ def op9_find_personal_data(spark, sf_dir):
 def op11_group_fingerprints(spark, sf_dir):
     """SimHash of every whole text, and the components of those within two bits."""
     return simhash.near_duplicate_prints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op12_prove_documents(spark, sf_dir):
+    """Merkle leaf, roots and proof of every row, and whether a tampered row still proves."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+# Levels of a tree that the twin spells out: 16^5 documents a source, as many sources.
+TWIN_LEVELS = 5
+
+
+def merkle_twin(levels: int) -> str:
+    """Levels one by one: nodes, what stands beside them in their runs, and the folds."""
+    field = "coalesce(strlen({0}::varchar)::varchar || ':' || {0}::varchar, '-')".format
+    hashed = "sha256({})".format
+    plain = hashed(" || ".join(field(c) for c in merkle.FIELDS))
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    altered = hashed(" || ".join(field(lowered if c == "text" else c) for c in merkle.FIELDS))
+    # CRC-32 bit by bit, lowest bit of every byte first.
+    bits = "flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [(ascii(c) >> k) & 1 for k in range(8)]))"
+    step = "lambda c, b: xor(c >> 1, case when xor(c, b) & 1 = 1 then 3988292384 else 0 end)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::bigint, {bits}), {step}), 4294967295)"
+    ctes = [
+        f"leaves as (select doc_id, source, {plain} as leaf, {crc} % 5 = 0 as tampered, "
+        f"{altered} as altered from documents)",
+        "placed as (select *, coalesce('=' || source, '-') as tree, row_number() over "
+        "(partition by source order by doc_id nulls last, leaf) - 1 as i, "
+        "count(*) over (partition by source) as n from leaves)",
+        "s0 as (select tree, i, n, leaf as node from placed)",
+    ]
+
+    def tree(name: str) -> str:
+        for k in range(levels):
+            ctes.append(
+                f"{name}{k + 1} as (select tree, i // 16 as i, (n + 15) // 16 as n, "
+                f"sha256(string_agg(node, '' order by i)) as node from {name}{k} where n > 1 group by tree, i // 16, n)"
+            )
+            sides = " , ".join(
+                f"coalesce(string_agg(node, '') over (partition by tree, i // 16 order by i rows between {span}), '') as {side}"
+                for side, span in (
+                    ("before", "unbounded preceding and 1 preceding"),
+                    ("after", "1 following and unbounded following"),
+                )
+            )
+            ctes.append(f"{name}{k}_sides as (select tree, i, {sides} from {name}{k} where n > 1)")
+        found = " union all ".join(f"select tree, node from {name}{k} where n = 1" for k in range(levels + 1))
+        ctes.append(f"{name}_roots as ({found})")
+        return f"{name}_roots"
+
+    subroots = tree("s")
+    ctes.append(
+        f"t0 as (select 'all' as tree, row_number() over (order by tree) - 1 as i, count(*) over () as n, "
+        f"node, tree as name from {subroots})"
+    )
+    roots = tree("t")
+    ctes.append(
+        "f0 as (select p.*, q.i as j, q.node as subroot, '' as proof, "
+        "case when tampered then altered else leaf end as fold from placed p join t0 q on p.tree = q.name)"
+    )
+    steps = [("s", "f.tree", "f.i", k) for k in range(levels)] + [("t", "'all'", "f.j", k) for k in range(levels)]
+    for no, (name, of, at, k) in enumerate(steps):
+        ctes.append(
+            f"f{no + 1} as (select f.* exclude (proof, fold), proof || coalesce(before || after, '') as proof, "
+            f"case when x.tree is null then fold else sha256(before || fold || after) end as fold "
+            f"from f{no} f left join {name}{k}_sides x on x.tree = {of} and x.i = {at} // {16**k})"
+        )
+    return (
+        "with " + ",\n".join(ctes) + f"\nselect doc_id, leaf, subroot, r.node as root, sha256(proof) as proof_sha256, "
+        f"fold as folded_root, fold = r.node as verified from f{len(steps)}, {roots} r"
+    )
+
+
+ORACLE["op12_prove_documents"] = merkle_twin(TWIN_LEVELS)

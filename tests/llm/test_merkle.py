@@ -1,0 +1,114 @@
+import hashlib
+import random
+import zlib
+
+import pytest
+
+from postlane.llm import merkle
+
+LOWER = {i: i + 32 for i in range(65, 91)}
+
+
+def h(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf(doc_id, text, lang, source, n_chars):
+    shown = [None if v is None else str(v) for v in (doc_id, source, lang, n_chars, text)]
+    return h(*["-" if v is None else f"{len(v.encode())}:{v}" for v in shown])
+
+
+def climb(nodes):
+    """Root and, per node, its runs with its place in them, bottom up."""
+    paths = [[] for _ in nodes]
+    at, level = list(range(len(nodes))), nodes
+    while len(level) > 1:
+        for i, place in enumerate(at):
+            start = place - place % 16
+            paths[i].append((place - start, level[start : start + 16]))
+        level = [h(*level[i : i + 16]) for i in range(0, len(level), 16)]
+        at = [place // 16 for place in at]
+    return level[0], paths
+
+
+def plain_manifest(rows):
+    sources = {}
+    for row in rows:
+        sources.setdefault(row[3], []).append(row)
+    order = sorted(sources, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {}
+    for s in order:
+        own = sorted(sources[s], key=lambda r: (r[0] is None, r[0] or 0, leaf(*r)))
+        trees[s] = (own, *climb([leaf(*r) for r in own]))
+    root, upper = climb([trees[s][1] for s in order])
+    out = []
+    for s, above in zip(order, upper):
+        own, subroot, paths = trees[s]
+        for row, path in zip(own, paths):
+            path = path + above
+            node = leaf(*row)
+            if row[0] is not None and zlib.crc32(str(row[0]).encode()) % 5 == 0:
+                node = leaf(row[0], None if row[1] is None else row[1].translate(LOWER), *row[2:])
+            for at, run in path:
+                node = h(*run[:at], node, *run[at + 1 :])
+            proof = h(*[x for at, run in path for i, x in enumerate(run) if i != at])
+            out.append((row[0], leaf(*row), subroot, root, proof, node, node == root))
+    return out
+
+
+def shown(rows):
+    return sorted(map(str, rows))
+
+
+@pytest.mark.parametrize("levels", [1, 3])
+def test_manifest_equals_plain_trees(documents, monkeypatch, levels):
+    # With one level a block holds 16 leaves, so these tables take three rounds of exchange.
+    monkeypatch.setattr(merkle, "LEVELS", levels)
+    monkeypatch.setattr(merkle, "BLOCK", 16**levels)
+    rnd = random.Random(levels)
+    rows = []
+    for source, size in (("src0", 4400), ("é", 257), ("src1", 256), ("Z", 17), ("", 16), ("one", 1), (None, 40)):
+        for _ in range(size):
+            text = rnd.choice(["", None, "Some Text", f"text {rnd.random()}", "é😀 ÄB"])
+            rows.append((len(rows), text, rnd.choice(["en", None]), source, rnd.choice([None, 3, 40])))
+    rnd.shuffle(rows)
+    got = merkle.manifest(documents(*rows)).collect()
+    assert shown(map(tuple, got)) == shown(plain_manifest(rows))
+    assert {r["verified"] for r in got} == {True, False}
+
+
+@pytest.mark.parametrize("many", [1, 2, 16, 17, 18, 33, 289])
+def test_ragged_trees_of_many_sources(documents, monkeypatch, many):
+    monkeypatch.setattr(merkle, "LEVELS", 1)
+    monkeypatch.setattr(merkle, "BLOCK", 16)
+    rows = [(i, f"Text {i}", "en", f"s{i}", 5) for i in range(many)]
+    assert shown(map(tuple, merkle.manifest(documents(*rows)).collect())) == shown(plain_manifest(rows))
+
+
+@pytest.mark.parametrize("many", [16 * 16 + 1, 16**3 + 1, 16**3 + 16 * 16 + 1, 3 * 16**3 - 5])
+def test_last_subtrees_answer_for_missing_lanes(spark, monkeypatch, many):
+    monkeypatch.setattr(merkle, "LEVELS", 1)
+    monkeypatch.setattr(merkle, "BLOCK", 16)
+    nodes = [h(str(i)) for i in range(many)]
+    blocks = spark.createDataFrame(
+        [("t", i // 16, -(-many // 16), h(*nodes[i : i + 16])) for i in range(0, many, 16)],
+        "tree string, block bigint, blocks bigint, top string",
+    )
+    root, paths = climb(nodes)
+    got = merkle.butterfly(blocks).collect()
+    assert len(got) == -(-many // 16)
+    for r in got:
+        assert r["top"] == root
+        assert [(p["at"], p["nodes"]) for p in r["path"]] == paths[16 * r["block"]][1:]
+
+
+def test_odd_rows(documents, odd_rows):
+    out = merkle.manifest(documents(*odd_rows, clashing=True))
+    assert out.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+    assert shown(map(tuple, out.collect())) == shown(plain_manifest(odd_rows))
+    assert merkle.manifest(documents()).count() == 0
+
+
+def test_a_table_of_one_row_is_its_own_root(documents):
+    row = (4, "text", None, "s", 4)
+    assert [tuple(r) for r in merkle.manifest(documents(row)).collect()] == plain_manifest([row])
