@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from postlane.llm import (
+    alignment,
     language_id,
     line_dedup,
     merkle,
@@ -263,3 +264,12 @@ def merkle_twin(levels: int) -> str:
 
 
 ORACLE["op12_prove_documents"] = merkle_twin(TWIN_LEVELS)
+
+
+@query
+def op13_align_tokens(spark, sf_dir):
+    """Groups and links of two tokenizers' tokens in every whole text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(
+        docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    )
