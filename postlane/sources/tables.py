@@ -19,6 +19,7 @@ from postlane import settings
 from postlane.operators.health import failure_streaks
 from postlane.operators.state import advance_state, import_legacy, latest_status, sighting_events
 from postlane.schemas import STATE
+from postlane.sources.keys import KeyTable
 
 POSTING_DDL = (
     "title string, company string, location string, url string, description string, "
@@ -106,6 +107,14 @@ class Store:
         target = os.path.join(self.path("runs"), f"run_id={run_id}", kind)
         df.write.mode("overwrite").json(target)
 
+    def scored_keys(self, before: int) -> KeyTable:
+        """The keys of scored micro-batches, taken from the scores where there is no table yet."""
+        keys = KeyTable(self.spark, self.path("scored_keys"))
+        if before > 0 and not keys.log.segments():
+            earlier = self.read("scores").where(F.col("run_id") < before)
+            keys.add(before - 1, earlier)
+        return keys
+
     # -- host health and status marks ------------------------------------------
 
     def write_attempts(self, run_id: int, attempts: DataFrame) -> None:

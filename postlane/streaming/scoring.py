@@ -19,19 +19,20 @@ def commit_writer(
     """A ``foreachBatch`` function that stores each micro-batch's scores.
 
     ``score`` maps ``(dedup_key, posting columns)`` to score events. Keys of earlier
-    commits are skipped. Only earlier commits count: a replay of batch ``n`` after a
-    crash reads the same input as its first attempt and overwrites its partition.
+    commits are skipped; they are looked up in the store's key table, which reads the
+    buckets that the micro-batch may touch. Only earlier commits count: a replay of batch
+    ``n`` after a crash reads the same input as its first attempt and overwrites its
+    partition. Keys follow their scores, so a crash in between is mended by the replay.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         unique = materialize(dedupe_first(state.with_key(batch), "dedup_key", order))
-        # Adaptive execution sends a small micro-batch's keys to the stored ones.
-        stored = store.read("scores").where(F.col("run_id") < batch_id).select("dedup_key")
-        known = stored.join(unique.select("dedup_key"), "dedup_key", "left_semi").distinct()
+        known = store.scored_keys(batch_id).known(unique, batch_id)
         fresh = unique.join(known, "dedup_key", "left_anti")
         events = score(fresh).withColumn("run_id", F.lit(batch_id).cast("long")).withColumn(
             "commit_no", F.lit(0).cast("long")
         )
-        store.replace("scores", events.select(*store.read("scores").columns), ["run_id", "commit_no"])
+        store.replace_run("scores", events.select(*store.read("scores").columns), batch_id, ["commit_no"])
+        store.scored_keys(batch_id).add(batch_id, store.read("scores").where(F.col("run_id") == batch_id))
 
     return write
