@@ -8,6 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postlane import settings
 from postlane.operators import fetching, ordering, scoring, state
 from postlane.plans import views
 from postlane.schemas import POSTING_COLUMNS
@@ -58,23 +59,45 @@ def gather_postings(extracted: DataFrame, landed: DataFrame, config: dict) -> Da
 PLAN = -1
 
 
-def finished_commits(store: Store, run_id: int) -> set[int]:
-    """Commits of a run with no open batch left, its plan included."""
+# A run has so many commits at most, unless it is told how large they are.
+COMMITS = 1000
+BATCHES_PER_COMMIT = 200
+
+
+def finished_commits(store: Store, run_id: int) -> DataFrame:
+    """``commit_no`` of a run's commits with no open batch left, its plan included."""
     log = store.read("commits").where((F.col("run_id") == run_id) & (F.col("open_batches") == 0))
-    return {r["commit_no"] for r in log.select("commit_no").distinct().collect()}
+    return log.select("commit_no").distinct()
+
+
+def is_planned(store: Store, run_id: int) -> bool:
+    return not finished_commits(store, run_id).where(F.col("commit_no") == PLAN).isEmpty()
 
 
-def plan_inputs(store: Store, run_id: int, batches_per_commit: int) -> DataFrame:
+def open_commits(store: Store, run_id: int) -> list[int]:
+    """Numbers of the commits that still have to run; as many as commits at most."""
+    planned = store.read("inputs").where(F.col("run_id") == run_id).select("commit_no").distinct()
+    left = planned.join(finished_commits(store, run_id), "commit_no", "left_anti")
+    return sorted(r["commit_no"] for r in left.collect())
+
+
+def plan_inputs(store: Store, run_id: int, batches_per_commit: int | None = None) -> DataFrame:
     """Batch a run's unscored postings and store them; returns them as stored.
 
+    The size of a commit grows with the run by default, so that a run of any size has a
+    bounded number of them.
+
     A restarted run keeps the batches of its first attempt, so that answers and scores
     stored under their numbers stay where they belong.
     """
-    if PLAN not in finished_commits(store, run_id):
-        inputs = state.to_score(store.sightings(run_id), store.state())
-        batched = scoring.assign_batches(inputs, ["seq"]).withColumn(
-            "commit_no", F.floor(F.col("batch") / batches_per_commit).cast("long")
-        )
+    if not is_planned(store, run_id):
+        seen = state.with_key(store.sightings(run_id))
+        inputs = state.to_score(seen, store.state(seen))
+        batched = scoring.assign_batches(inputs, ["seq"])
+        if batches_per_commit is None:
+            batches = -(-inputs.count() // settings.SCORE_BATCH_SIZE)
+            batches_per_commit = max(BATCHES_PER_COMMIT, -(-batches // COMMITS))
+        batched = batched.withColumn("commit_no", F.floor(F.col("batch") / batches_per_commit).cast("long"))
         columns = store.read("inputs").columns
         store.replace_run("inputs", batched.select(*columns), run_id, ["commit_no"])
         store.append("commits", [(run_id, PLAN, 0)])
@@ -118,9 +141,7 @@ def score_all(
     store: Store, run_id: int, scorer, day: str, profile: str, parallel_commits: int, concurrency: int | None
 ) -> None:
     """Score a run's commits, several at a time; raises if batches stay open."""
-    done = finished_commits(store, run_id)
-    last = store.read("inputs").where(F.col("run_id") == run_id).agg(F.max("commit_no")).first()[0]
-    todo = [n for n in range(0 if last is None else last + 1) if n not in done]
+    todo = open_commits(store, run_id)
     score = lambda n: commit_scores(store, run_id, n, scorer, day, profile, concurrency)
     left, error = 0, None
     with ThreadPoolExecutor(parallel_commits) as pool:
@@ -140,7 +161,7 @@ def execute_run(
     started_at: str,
     finished_at: str,
     profile: str = "",
-    batches_per_commit: int = 200,
+    batches_per_commit: int | None = None,
     parallel_commits: int = 4,
     concurrency: int | None = None,
 ) -> DataFrame:
@@ -158,8 +179,7 @@ def execute_run(
         raise ValueError(f"run {run_id} is finished")
     store.append("run_events", [(run_id, "start", started_at, None, None, None, None)])
     try:
-        planned = PLAN in finished_commits(store, run_id)
-        seen = store.sightings(run_id) if planned else store.write_sightings(run_id, day, postings)
+        seen = store.sightings(run_id) if is_planned(store, run_id) else store.write_sightings(run_id, day, postings)
         if seen.isEmpty():
             raise RuntimeError("no postings found: check the search queries and the configured sources")
         inputs = plan_inputs(store, run_id, batches_per_commit)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlane.session import materialize
-from postlane.sources.segments import DATA, Parts, SegmentLog, replaced
+from postlane.sources.segments import DATA, Parts, SegmentLog, stamped
 
 FILTER = "filter"
 SCHEMAS = {
@@ -51,7 +51,7 @@ def bit_is_set(bits: Column, bit: Column) -> Column:
 class KeyTable:
     """Keys by entry, below ``root``; ``buckets`` is fixed for the table's life."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 256, fanout: int = 8):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, fanout: int = 8):
         self.spark = spark
         self.buckets = buckets
         by_bucket = {name: ["bucket"] for name in SCHEMAS}
@@ -68,7 +68,7 @@ class KeyTable:
     def add(self, entry: int, keys: DataFrame) -> None:
         """Store an entry's ``dedup_key`` values."""
         distinct = keys.select("dedup_key").distinct().withColumn("bucket", bucket_of(F.col("dedup_key"), self.buckets))
-        self.log.write(entry, self._parts(replaced(distinct, entry)))
+        self.log.write(entry, self._parts(stamped(distinct, entry)))
 
     def may_be_known(self, keys: DataFrame, segments: list[tuple[int, int]]) -> DataFrame:
         """The ``keys`` (with ``bucket``) that the filter of some segment admits."""

@@ -133,6 +133,55 @@ class SegmentLog:
         self.write(self.next_entry(), {DATA: self.spark.createDataFrame(rows, self.schemas[DATA]).coalesce(1)})
 
 
-def replaced(df: DataFrame, entry: int) -> DataFrame:
+class SealedLog:
+    """A log that many writers may append to, a few records at a time.
+
+    Appends are loose files, safe side by side. As soon as there are ``seal_at`` of them
+    they go into the next segment, every record with the name of its loose file. A loose
+    file is deleted at a later sealing, once a segment that counts has its records. Until
+    then its records are read twice, as they are after a crash: logs are folded by functions
+    to which a repeated record makes no difference.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: str, seal_at: int = 64):
+        self.spark = spark
+        self.schema = schema
+        self.seal_at = seal_at
+        self.loose = os.path.join(root, "loose")
+        self.sealed = SegmentLog(spark, os.path.join(root, "sealed"), {DATA: f"{schema}, loose string"})
+
+    def _loose_files(self) -> list[str]:
+        return sorted(n for n in children(self.spark, self.loose) if n.endswith(".parquet"))
+
+    def _paths(self, names: list[str]) -> list[str]:
+        return [os.path.join(self.loose, n) for n in names]
+
+    def read(self) -> DataFrame:
+        sealed = self.sealed.read().drop("loose")
+        names = self._loose_files()
+        if not names:
+            return sealed
+        return sealed.unionByName(self.spark.read.schema(self.schema).parquet(*self._paths(names)))
+
+    def append(self, rows: list[tuple]) -> None:
+        frame = self.spark.createDataFrame(rows, self.schema)
+        frame.coalesce(1).write.mode("append").parquet(self.loose)
+        if len(self._loose_files()) >= self.seal_at:
+            self.seal()
+
+    def seal(self) -> None:
+        names = self._loose_files()
+        before = self.sealed.read().where(F.col("loose").isin(names)).select("loose").distinct()
+        old = {r["loose"] for r in before.collect()}
+        for name in old:
+            remove(self.spark, os.path.join(self.loose, name))
+        new = [n for n in names if n not in old]
+        if new:
+            records = self.spark.read.schema(self.schema).parquet(*self._paths(new))
+            named = records.select("*", F.col("_metadata.file_name").alias("loose"))
+            self.sealed.write(self.sealed.next_entry(), {DATA: named.coalesce(1)})
+
+
+def stamped(df: DataFrame, entry: int) -> DataFrame:
     """Records stamped with their entry's number."""
     return df.withColumn("entry", F.lit(entry).cast("long"))

@@ -1,9 +1,10 @@
-"""Append-only tables below one root folder.
+"""The tables of one deployment below one root folder.
 
-Every write replaces whole partitions (``run_id``, or ``run_id`` and ``commit_no``), so
-repeating a write after a lost executor or a crashed driver changes nothing. A state
-snapshot goes to a new partition and is announced afterwards in a small log; readers
-take the newest announced one and fold only the runs after it.
+Every write of a run's rows replaces whole partitions (``run_id``, or ``run_id`` and
+``commit_no``), so repeating a write after a lost executor or a crashed driver changes
+nothing. Logs of single records (runs, commits, status marks) are sealed into few files. The
+state as of a run lies in hash buckets; bringing it up to a later run rewrites the buckets
+with events, and readers fold only the runs after it.
 """
 
 from __future__ import annotations
@@ -13,13 +14,14 @@ import os
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from postlane import settings
 from postlane.operators.health import failure_streaks
 from postlane.operators.state import advance_state, import_legacy, latest_status, sighting_events
 from postlane.schemas import STATE
-from postlane.sources.keys import KeyTable
+from postlane.sources.buckets import BucketTable
+from postlane.sources.keys import KeyTable, bucket_of
+from postlane.sources.segments import SealedLog
 
 POSTING_DDL = (
     "title string, company string, location string, url string, description string, "
@@ -39,32 +41,35 @@ SCHEMAS = {
     "verdict string, data string, day string, run_id long, commit_no long",
     "attempts": "host string, failed boolean, day string, n long, run_id long",
     "status_marks": "url string, status string, at string, mark_no long",
-    "snapshots": "run_id long",
 }
-SNAPSHOT = T.StructType([*STATE.fields, T.StructField("as_of_run", T.LongType())])
+# Logs that are appended to record by record.
+LOGS = ("run_events", "commits", "status_marks")
 
 
 class Store:
     """The tables of one deployment."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, state_buckets: int = 256):
         self.spark = spark
         self.root = root
+        self.kept_state = BucketTable(spark, os.path.join(root, "state"), STATE, "dedup_key", state_buckets)
 
     def path(self, name: str) -> str:
         return os.path.join(self.root, name)
 
     def read(self, name: str) -> DataFrame:
         """A table, empty if nothing was written yet."""
-        return self._read(name, SCHEMAS[name])
-
-    def _read(self, name, schema):
+        if name in LOGS:
+            return self.log(name).read()
         try:
-            return self.spark.read.schema(schema).parquet(self.path(name))
+            return self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], SCHEMAS[name])
+
+    def log(self, name: str) -> SealedLog:
+        return SealedLog(self.spark, self.path(name), SCHEMAS[name])
 
     def replace(self, name: str, df: DataFrame, partitions: list[str]) -> None:
         """Write ``df``, replacing exactly the partitions it has rows for."""
@@ -87,8 +92,7 @@ class Store:
 
     def append(self, name: str, rows: list[tuple]) -> None:
         """Append a few log records."""
-        frame = self.spark.createDataFrame(rows, SCHEMAS[name])
-        frame.coalesce(1).write.mode("append").parquet(self.path(name))
+        self.log(name).append(rows)
 
     # -- one run -------------------------------------------------------------
 
@@ -146,33 +150,38 @@ class Store:
         return seen.unionByName(scored.select(*seen.columns))
 
     def newest_snapshot(self) -> int | None:
-        return self.read("snapshots").agg(F.max("run_id")).first()[0]
+        """The last run that the stored state holds."""
+        return self.kept_state.as_of()
+
+    def state(self, keyed: DataFrame | None = None) -> DataFrame:
+        """The stored state advanced by all later runs.
 
-    def state(self) -> DataFrame:
-        """The newest snapshot advanced by all later runs."""
+        With ``keyed``, only buckets that hold one of its ``dedup_key`` values are read, so
+        that looking a few postings up costs a few buckets.
+        """
         newest = self.newest_snapshot()
-        if newest is None:
-            return advance_state(None, self.events())
-        old = self._read("state", SNAPSHOT)
-        old = old.where(F.col("as_of_run") == newest).drop("as_of_run")
-        return advance_state(old, self.events(newest))
+        buckets = None if keyed is None else self.kept_state.touched(keyed)
+        events = self.events(-1 if newest is None else newest)
+        if buckets is not None:
+            events = events.where(bucket_of(F.col("dedup_key"), self.kept_state.buckets).isin(buckets))
+        return advance_state(None if newest is None else self.kept_state.read(buckets), events)
 
     def import_legacy(self, seen: DataFrame, scored: DataFrame, today: str) -> bool:
-        """Take over an earlier tool's exports as the first snapshot, unless there is any state.
+        """Take over an earlier tool's exports as the first state, unless there is any.
 
         See ``operators.state.import_legacy`` for the columns. Returns whether it was done.
         """
         if self.newest_snapshot() is not None or not self.events().isEmpty():
             return False
         imported = import_legacy(self.state(), seen, scored, today)
-        self.replace("state", imported.withColumn("as_of_run", F.lit(0).cast("long")), ["as_of_run"])
-        self.append("snapshots", [(0,)])
+        self.kept_state.replace(imported, self.kept_state.touched(imported), 0)
         return True
 
-    def compact(self, run_id: int) -> None:
-        """Snapshot the state as of ``run_id``, the newest run. Its path is never read here."""
-        self.replace("state", self.state().withColumn("as_of_run", F.lit(run_id).cast("long")), ["as_of_run"])
-        self.append("snapshots", [(run_id,)])
+    def compact(self, run_id: int) -> list[int]:
+        """Bring the stored state up to ``run_id``, the newest run; returns the rewritten buckets."""
+        newest = self.newest_snapshot()
+        events = self.events(-1 if newest is None else newest)
+        return self.kept_state.change(events, run_id, advance_state)
 
 
 def export_json(df: DataFrame, path: str) -> None:
