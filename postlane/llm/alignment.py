@@ -35,7 +35,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlane.llm.common import stored
+from postlane.llm.common import bounded, stored
 
 SPACE = "▁"
 # Characters of the texts whose chunks are encoded together.
@@ -211,18 +211,6 @@ class Aligner:
         return out, (total[counts > 0], counts[counts > 0])
 
 
-def bounded(sizes: list[int], together: int) -> Iterator[range]:
-    """Ranges of rows whose sizes make about ``together``."""
-    start = held = 0
-    for i, size in enumerate(sizes):
-        held += size
-        if held >= together:
-            yield range(start, i + 1)
-            start, held = i + 1, 0
-    if start < len(sizes):
-        yield range(start, len(sizes))
-
-
 def aligned_rows(docs: DataFrame, id_column: str, byte_model: str, piece_model: str) -> DataFrame:
     """Figures of every text with its distinct pairs, and rows of counts.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,3 +73,15 @@ def shingle_hashes(hashes: Column, width: int) -> Column:
     return F.when(F.size(hashes) < width, F.array().cast("array<bigint>")).otherwise(
         F.transform(places, lambda i: F.xxhash64(F.slice(hashes, i, width)))
     )
+
+
+def bounded(sizes: list[int], together: int) -> Iterator[range]:
+    """Ranges of rows whose sizes make about ``together``."""
+    start = held = 0
+    for i, size in enumerate(sizes):
+        held += size
+        if held >= together:
+            yield range(start, i + 1)
+            start, held = i + 1, 0
+    if start < len(sizes):
+        yield range(start, len(sizes))

@@ -23,7 +23,7 @@ def pieces():
 def random_text(rnd, pieces):
     kind = rnd.randrange(3)
     if kind == 0:
-        return "".join(rnd.choice("abcdefgh thein  \n\t.,éßñ▁漢字😀\x00​　ﬁ１A0129") for _ in range(rnd.randrange(30)))
+        return "".join(rnd.choice("abcdefgh thein  \n\t.,éßñ▁漢字😀\x00\uffff​　ﬁ１A0129") for _ in range(rnd.randrange(30)))
     if kind == 1:
         known = [p for p in pieces.piece if p]
         return "".join(rnd.choice(known).replace("▁", " ") for _ in range(rnd.randrange(1, 8)))
@@ -47,12 +47,31 @@ def test_decodes_any_ids_as_the_library(library, pieces):
 
 
 def test_memory_is_bounded_and_does_not_matter(library, pieces, monkeypatch):
-    monkeypatch.setattr(piece_bpe, "REMEMBERED", 5)
+    monkeypatch.setattr(piece_bpe, "REMEMBERED", 5 * piece_bpe.ENTRY)
+    monkeypatch.setattr(piece_bpe, "PAIRS", 20)
+    monkeypatch.setattr(piece_bpe, "WINDOW", 8)
     table = piece_bpe.PieceTable(piece_bpe.read_model(MODEL))
     for i in range(50):
-        text = f"some words {i} and others {i * 7}"
+        text = f"some words {i} and others {i * 7}  " * 3
         assert table.encode(text) == library.encode(text, add_eos=True)
-        assert len(table.remembered) < 5 + len(text)
+        # A generation ends with the window that fills it.
+        assert len(table.young) < 5 + 20 and len(table.old) < 5 + 20 and table.pairs < 20 + 60
+
+
+def test_windows_cut_where_parts_do(library, pieces, monkeypatch):
+    rnd = random.Random(5)
+    for window in (1, 3, 10):
+        monkeypatch.setattr(piece_bpe, "WINDOW", window)
+        for _ in range(1000):
+            text = random_text(rnd, pieces)
+            assert pieces.encode(text) == library.encode(text, add_eos=True)
+
+
+def test_results_leave_in_bounded_batches(documents, library, monkeypatch):
+    monkeypatch.setattr(piece_bpe, "TOGETHER", 10)
+    texts = ["", "one", "a longer text than that", None, "x" * 50, "two words"]
+    rows = piece_bpe.encode_and_verify(documents(*enumerate(texts)), MODEL).collect()
+    assert {r["doc_id"]: r["ids"] for r in rows} == {i: library.encode(t or "", add_eos=True) for i, t in enumerate(texts)}
 
 
 def test_odd_rows(documents, odd_rows, library):
