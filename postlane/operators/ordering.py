@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlane import settings
-from postlane.session import materialize
+from postlane.session import kept_once, materialize
 
 
 def dedupe_first(df: DataFrame, key: str | Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -76,11 +76,14 @@ def global_position(
     folder, with their place inside their partition. Row counts per partition give each
     partition's offset. The checkpoint fixes the partition borders: sampling them again
     in a second evaluation could move rows between partitions. Positions then join the
-    rows by key, unless the rows are nothing but keys.
+    rows by key, unless the rows are nothing but keys. Rows with more columns are computed
+    once and kept by column: sorting reads their keys, the join reads the rest.
     """
     spark = df.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = list(key or order)
+    if set(df.columns) != set(key):
+        df = kept_once(df, "ranked")
     # monotonically_increasing_id: partition in the upper bits, row number in the lower 33.
     local = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
     placed = materialize(
@@ -136,22 +139,32 @@ def first_per_group(
 
 
 def next_in_order(df: DataFrame, id_col: str, value_col: str, name: str) -> DataFrame:
-    """``value_col`` of the next higher numeric ``id_col`` (unique), NULL for the last.
+    """``value_col`` of the next higher ``id_col`` (unique), NULL for the last.
 
-    Ids are cut into chunks of equal width. A window looks up neighbours inside a
-    chunk; a second one, over one row per chunk, supplies the first value of the next
-    chunk. No task sees more than one chunk.
+    Ids may be sparse and of any orderable type. Rows are sorted over range partitions and
+    look for their neighbour in their own; the last row of each asks for the first of the
+    next partition that has any, of which there is one per partition.
     """
-    chunk = F.floor(F.col(id_col) / F.lit(settings.ID_CHUNK)).cast("bigint")
-    chunked = df.withColumn("_chunk", chunk)
-    inside = Window.partitionBy("_chunk").orderBy(id_col)
-    firsts = chunked.groupBy("_chunk").agg(F.min_by(value_col, id_col).alias("_first"))
-    following = firsts.select(
-        "_chunk", F.lead("_first").over(Window.orderBy("_chunk")).alias("_next_chunk")
+    spark = df.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialize(
+        df.repartitionByRange(partitions, id_col)
+        .sortWithinPartitions(id_col)
+        .withColumn("_part", F.shiftright(F.monotonically_increasing_id(), 33).cast("int"))
+    )
+    firsts = placed.groupBy("_part").agg(F.min_by(value_col, id_col).alias("_first")).collect()
+    ordered = sorted(firsts, key=lambda r: r["_part"])
+    # One row per partition.
+    following = spark.createDataFrame(
+        [(r["_part"], after["_first"]) for r, after in zip(ordered, ordered[1:])],
+        f"_part int, _after {df.schema[value_col].dataType.simpleString()}",
     )
+    inside = Window.partitionBy("_part").orderBy(id_col)
+    last = F.lead(id_col).over(inside).isNull()
     return (
-        chunked.withColumn("_next", F.lead(value_col).over(inside))
-        .join(following, "_chunk", "left")
-        .withColumn(name, F.coalesce("_next", "_next_chunk"))
-        .drop("_chunk", "_next", "_next_chunk")
+        placed.withColumn("_next", F.lead(value_col).over(inside))
+        .withColumn("_last", last)
+        .join(F.broadcast(following), "_part", "left")
+        .withColumn(name, F.when(F.col("_last"), F.col("_after")).otherwise(F.col("_next")))
+        .drop("_part", "_next", "_last", "_after")
     )

@@ -255,7 +255,9 @@ def feeds_merge(spark, d):
 
 @query
 def interleave_boards(spark, d):
-    dealt = feeds.board_rounds(feeds.normalize(fx.landed_greenhouse(spark, d), "greenhouse"))
+    # Ranked as landed elements; only the columns that are shown are read from them.
+    listed = feeds.usable_elements(fx.landed_greenhouse(spark, d), ["greenhouse"])
+    dealt = feeds.cleaned(feeds.board_rounds(listed), ["greenhouse"], "board", "round_no")
     return dealt.select("board", "round_no", "url", "posted_date")
 
 

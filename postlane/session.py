@@ -75,6 +75,17 @@ def remove_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def kept_once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once, as a table in the scratch folder that is read by column.
+
+    For wide rows that are costly to derive: ranking reads their keys, and the one join that
+    needs the rest reads the rest. Lives until ``remove_scratch``.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 from postlane import settings
 from postlane.functions import fields, pay, text
 from postlane.functions.text import first_nonempty, or_blank
-from postlane.operators.ordering import first_per_group
+from postlane.operators.ordering import first_per_group, rank_per_group
 from postlane.schemas import LANDED_FEED, POSTING_COLUMNS
+from postlane.session import kept_once
 
 ORDER_COLUMNS = ["board", "fetch_no", "pos"]
 
@@ -349,8 +350,8 @@ def merge_feeds(
 
     ``list_no`` and ``slot`` give the order: sources as configured, then slots. Names
     without a feed are skipped (see ``unknown_sources``). All sources go through one
-    plan: the landed texts are read once, one ranking orders boards, one sources, and
-    elements are only cleaned after both.
+    plan: the landed texts are read once, one ranking orders boards, one sources, and elements are
+    only cleaned after both.
     """
     known = [name for name in sources if name in FEEDS]
     if not known:
@@ -370,7 +371,6 @@ def merge_feeds(
     key = ["source", *ORDER_COLUMNS]
     # Inside a board the order is the source's own, so a board's first rows suffice.
     in_board = [F.when(many | newest, F.col("posted_date")).desc(), F.col("fetch_no"), F.col("pos")]
-    ranked = first_per_group(rows, ["source", "board"], in_board, cap, "round_no", key)
     in_source = [
         F.when(many, F.col("round_no")).otherwise(0),
         F.when(newest, F.col("posted_date")).desc(),
@@ -378,7 +378,21 @@ def merge_feeds(
         F.col("fetch_no"),
         F.col("pos"),
     ]
-    first = first_per_group(ranked, ["source"], in_source, cap, "slot", key)
+    if cap is None:
+        # Whole groups are ranked: elements are kept once, ranks are made of their keys and
+        # dates alone, and the texts are joined once, at the end.
+        rows = kept_once(rows, "elements")
+        keys = rows.drop("col")
+        several = rank_per_group(keys.where(many), ["source", "board"], in_board, "round_no", keys.columns)
+        single = keys.where(~many).withColumn("round_no", F.lit(0))
+        ranked = several.unionByName(single)
+        slots = rank_per_group(ranked, ["source"], in_source, "slot", ranked.columns).select(*key, "slot")
+        named = slots.select(*[F.col(c).alias(f"_key_{c}") for c in key], "slot")
+        same = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(named[f"_key_{c}"]) for c in key])
+        first = rows.join(named, same).drop(*[f"_key_{c}" for c in key])
+    else:
+        ranked = first_per_group(rows, ["source", "board"], in_board, cap, "round_no", key)
+        first = first_per_group(ranked, ["source"], in_source, cap, "slot", key)
     number = F.array_position(F.array(*[F.lit(name) for name in sources]), F.col("source")) - 1
     return cleaned(first, known, *ORDER_COLUMNS, "slot").withColumn("list_no", number.cast("int"))
 

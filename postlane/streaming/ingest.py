@@ -2,33 +2,28 @@
 
 from __future__ import annotations
 
-import os
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlane.schemas import LANDED_FEED
-from postlane.sources.feeds import NORMALIZERS
+from postlane.sources.feeds import normalize_all
 
 
-def landed_stream(spark: SparkSession, path: str, source: str, files_per_trigger: int = 1000) -> DataFrame:
-    """One source's payload files (JSON lines below ``path/source=<name>``) as they land."""
-    files = (
-        spark.readStream.schema(LANDED_FEED)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .json(os.path.join(path, f"source={source}"))
-    )
-    return files.withColumn("source", F.lit(source))
+def landed_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
+    """Payload files of all sources (JSON lines below ``path/source=<name>``) as they land.
+
+    The folders are partitions of one stream: a source may appear later, and a folder of an
+    unknown source costs a filter.
+    """
+    return spark.readStream.schema(LANDED_FEED).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
 def posting_stream(spark: SparkSession, path: str, sources: list[str]) -> DataFrame:
-    """Postings of every configured source, by the same normalizers as in batch.
+    """Postings of the configured sources, by the same normalizers as in batch.
 
-    Every source reads only its own folder. Unknown names are skipped.
+    One stream and one plan for all of them. Unknown names are skipped.
     """
-    parts = [NORMALIZERS[s](landed_stream(spark, path, s)) for s in sources if s in NORMALIZERS]
-    return reduce(DataFrame.unionByName, parts)
+    return normalize_all(landed_stream(spark, path), sources)
 
 
 def sightings_per_day(sightings: DataFrame, ts: Column, delay: str = "1 day") -> DataFrame:

@@ -3,6 +3,7 @@
 import html
 import json
 import random
+import time
 from urllib.parse import urljoin, urlparse
 
 import pytest
@@ -165,3 +166,27 @@ def test_model_json(spark):
     got = apply(spark, model_json.model_json, list(cases))
     loads = lambda s: None if s is None else json.loads(s)
     assert [loads(g) for g in got] == [loads(c) for c in cases.values()]
+
+
+def test_json_buried_in_prose_is_found_where_a_parser_finds_it(spark):
+    rnd = random.Random(12)
+    bits = ["[", "]", "{", "}", '"', ":", ",", "1", "-2.5e3", "true", "NaN", "x y", " ", "\n", '"a"', '{"a": 1}', "[2]", "\\", "é"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(14))) for _ in range(400)]
+    # Every bracket's rest, tried one after the other.
+    rest = F.transform(F.sequence(F.lit(1), F.length("t")), lambda at: F.col("t").substr(at, F.lit(1000)))
+    good = F.filter(rest, lambda s: s.rlike(r"^[\[{]") & F.try_parse_json(s).isNotNull())
+    df = spark.createDataFrame([(f"so: {t}",) for t in texts], "t string")
+    rows = df.select("t", model_json.model_json(F.col("t")).alias("got"), F.get_json_object(F.try_element_at(good, F.lit(1)), "$").alias("e"))
+    for r in rows.collect():
+        assert r["got"] == r["e"], r["t"]
+
+
+def test_long_prose_with_many_brackets(spark):
+    prose = "see [note] and {that} \\ " * 25_000
+    cases = {prose + '[{"a": 1}] bye': '[{"a":1}]', prose: None, "[" * 50_000: None, prose + '{"a": [1, ' * 300: None}
+    start = time.process_time()
+    for text, value in cases.items():
+        found = model_json.first_value(text)
+        assert (None if found is None else found.replace(" ", "")) == value
+    assert time.process_time() - start < 20
+    assert apply(spark, model_json.model_json, list(cases)) == list(cases.values())
