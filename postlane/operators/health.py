@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlane import settings
@@ -103,11 +103,11 @@ def summarize_attempts(attempts: DataFrame, chunk, order: list[str]) -> DataFram
     )
 
 
-def fold_summaries(summaries: DataFrame) -> DataFrame:
-    """Health per host: ``consecutive_failures``, ``last_failure``, ``demoted``.
+def _linked(summaries: DataFrame) -> DataFrame:
+    """Summaries with what earlier chunks of their host carry into them.
 
-    A host is no longer tried once its streak reaches the limit, so it keeps that
-    count and the day it was reached. Hosts whose last attempt succeeded are absent.
+    ``block`` counts the chunks with a success so far, ``ends_with`` are the failures that
+    the chunk ends with, ``hit_day`` is the day on which a streak reached the limit in it.
     """
     walk = Window.partitionBy("host").orderBy("chunk")
     whole = F.col("n_ok") == 0
@@ -131,16 +131,57 @@ def fold_summaries(summaries: DataFrame) -> DataFrame:
     hit_day = F.when(
         completes, F.try_element_at(F.col("lead_days"), F.greatest(short, F.lit(1)).cast("int"))
     ).otherwise(F.col("inner_hit_day"))
+    return linked.withColumn("hit_day", hit_day).withColumn("place", F.row_number().over(walk))
+
+
+def _first_hit() -> Column:
+    return F.min(F.when(F.col("hit_day").isNotNull(), F.struct("chunk", "hit_day")))
+
+
+def _last_failure() -> Column:
+    return F.max_by("last_fail_day", F.when(F.col("last_fail_day").isNotNull(), F.col("chunk")))
+
+
+def merge_summaries(summaries: DataFrame) -> DataFrame:
+    """Neighbouring chunks of a host as one summary, under the first chunk.
+
+    Associative: folding merged summaries gives what folding their parts gives, as long as
+    the chunks of a merge lie together in the host's order.
+    """
+    # The failures that a host's merged chunk starts with: those of its failure-only
+    # chunks before any success, and those that the first chunk with a success starts with.
+    lead = F.when(F.col("block") == 0, F.col("n")).when(
+        (F.col("block") == 1) & (F.col("n_ok") > 0), F.col("lead_fail")
+    )
+    days = F.filter("lead_days", lambda d: d.isNotNull())
+    # A leading chunk has a failure at least, but for the last: so many hold the first days.
+    leading = lead.isNotNull() & (F.col("place") <= LIMIT)
+    found = _linked(summaries).groupBy("host").agg(
+        F.min("chunk").alias("chunk"),
+        F.sum("n").alias("n"),
+        F.sum("n_ok").alias("n_ok"),
+        F.sum(F.coalesce(lead, F.lit(0))).alias("lead_fail"),
+        F.max_by("ends_with", "chunk").alias("trail_fail"),
+        F.array_sort(F.collect_list(F.when(leading, F.struct("chunk", days.alias("days"))))).alias("_lead"),
+        _first_hit()["hit_day"].alias("inner_hit_day"),
+        _last_failure().alias("last_fail_day"),
+    )
+    # As long as the limit, missing days are null.
+    first_days = F.slice(F.flatten(F.transform("_lead", lambda x: x["days"])), 1, LIMIT)
+    padded = F.transform(F.sequence(F.lit(1), F.lit(LIMIT)), lambda i: F.get(first_days, i - 1))
+    return found.withColumn("lead_days", padded).select(*SUMMARY_COLUMNS)
+
+
+def fold_summaries(summaries: DataFrame) -> DataFrame:
+    """Health per host: ``consecutive_failures``, ``last_failure``, ``demoted``.
+
+    A host is no longer tried once its streak reaches the limit, so it keeps that
+    count and the day it was reached. Hosts whose last attempt succeeded are absent.
+    """
     return (
-        linked.withColumn("hit_day", hit_day)
+        _linked(summaries)
         .groupBy("host")
-        .agg(
-            F.min(F.when(F.col("hit_day").isNotNull(), F.struct("chunk", "hit_day"))).alias("hit"),
-            F.max_by("ends_with", "chunk").alias("streak"),
-            F.max_by("last_fail_day", F.when(F.col("last_fail_day").isNotNull(), F.col("chunk"))).alias(
-                "last_day"
-            ),
-        )
+        .agg(_first_hit().alias("hit"), F.max_by("ends_with", "chunk").alias("streak"), _last_failure().alias("last_day"))
         .select(
             "host",
             F.when(F.col("hit").isNotNull(), F.lit(LIMIT)).otherwise(F.col("streak")).cast("long").alias(

@@ -52,3 +52,33 @@ def test_outcomes(spark):
         ("odd", 0): (None, "fail", None)}
     assert sorted((r.page, r.try_no) for r in health.attempt_log(got).collect()) == [
         ("odd", 0), ("ok", 0), ("slow", 1), ("slow2", 1)]
+
+
+def test_merged_summaries_fold_like_their_parts(spark):
+    rnd = random.Random(9)
+    rows, n = [], 0
+    for host in range(150):
+        rate = rnd.choice([0.3, 0.6, 0.9, 1.0])
+        for _ in range(rnd.randrange(1, 25)):
+            rows.append((f"h{host}", rnd.random() < rate, f"d{n:05d}", n))
+            n += 1
+    attempts = spark.createDataFrame(rows, "host string, failed boolean, day string, n int")
+    parts = health.summarize_attempts(attempts, F.floor(F.col("n") / 3), ["n"]).cache()
+    expected = sorted(map(tuple, health.fold_summaries(parts).collect()))
+    whole = health.summarize_attempts(attempts, F.lit(0).cast("bigint"), ["n"])
+    assert sorted(map(tuple, health.fold_summaries(whole).collect())) == expected
+    # Any grouping of neighbours gives the same, and merging once more as well.
+    for size in (2, 5, 1000):
+        cut = F.floor(F.col("chunk") / size)
+        merged = None
+        for piece in [r[0] for r in parts.select(cut).distinct().collect()] if size == 1000 else range(0):
+            merged = health.merge_summaries(parts.where(cut == piece))
+        if merged is None:
+            odd, even = (health.merge_summaries(parts.withColumn("host", F.concat_ws("|", "host", cut)).where(cut % 2 == k)) for k in (1, 0))
+            merged = odd.unionByName(even).withColumn("host", F.split("host", "[|]")[0])
+        assert sorted(map(tuple, health.fold_summaries(merged).collect())) == expected
+        again = health.merge_summaries(merged)
+        assert sorted(map(tuple, health.fold_summaries(again).collect())) == expected
+    # One merged summary per host says what a summary of all its attempts says.
+    plain = lambda df: sorted(str([r[c] for c in health.SUMMARY_COLUMNS if c != "chunk"]) for r in df.collect())
+    assert plain(health.merge_summaries(parts)) == plain(whole)

@@ -97,6 +97,21 @@ def test_streaks_equal_batch(spark, tmp_path):
     assert sorted(map(tuple, stream_health.current_streaks(spark, summaries).collect())) == expected
 
 
+def test_streaks_of_many_micro_batches_stay_small(spark, tmp_path):
+    rnd = random.Random(3)
+    path, rows = str(tmp_path / "summaries"), []
+    write = stream_health.summary_writer(path, F.format_string("%06d", F.floor(F.col("n") / 4)), ["n"], fanout=3)
+    for batch in range(29):
+        part = [(f"h{rnd.randint(0, 7)}", rnd.random() < 0.7, f"day {batch:02d}", batch * 20 + i) for i in range(20)]
+        rows += part
+        write(spark.createDataFrame(part, ATTEMPTS), batch)
+    log = stream_health.summary_log(spark, path, 3)
+    assert log.segments() == [(0, 26), (27, 27), (28, 28)]
+    assert log.read().count() <= 8 + 2 * 20
+    whole = health.failure_streaks(spark.createDataFrame(rows, ATTEMPTS), F.floor(F.col("n") / 4), ["n"])
+    assert sorted(map(tuple, stream_health.current_streaks(spark, path).collect())) == sorted(map(tuple, whole.collect()))
+
+
 def test_score_commits_skip_known_keys_and_can_be_replayed(spark, tmp_path):
     path = str(tmp_path / "in")
     ddl = "n int, " + ", ".join(f"{c} string" for c in POSTING_COLUMNS)
