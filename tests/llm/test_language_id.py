@@ -78,3 +78,12 @@ def test_nothing_to_learn_from(documents):
 def test_ties_go_to_the_first_language():
     same = language_id.compressors({"b": b"some words", "a": b"some words"})
     assert language_id.classify("other text", same) == ("a", 0.0)
+
+
+def test_letters_are_unicode_letters():
+    for text in ("½", "Ⅷ ²", "①②", "٣٤", "12 _ !", "\u0301 \u0301", ""):
+        assert language_id.letters_only(text) == b"", text
+    assert language_id.letters_only("Ⅷ Naïve½ don't_STOP 漢字") == "naïve don t stop 漢字".encode()
+    # Marks belong to their letters.
+    assert language_id.letters_only("हिन्दी ภาษาไทยที่") == "हिन्दी ภาษาไทยที่".encode()
+
