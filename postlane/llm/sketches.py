@@ -76,9 +76,19 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(total == 0, 1.0).otherwise(both / total).cast("double")
 
 
-def containment(part: Column, whole: Column) -> Column:
-    """Estimated share of ``part``'s shingles that ``whole`` has, however unequal they are."""
-    return F.when(F.size(part) == 0, 1.0).otherwise(F.size(F.array_intersect(part, whole)) / F.size(part)).cast("double")
+def containment(part: Column, whole: Column, fraction: float = FRACTION) -> Column:
+    """Estimated share of ``part``'s shingles that ``whole`` has, however unequal they are.
+
+    Only hashes below the threshold are in both sketches if they are in both texts, so a
+    part that has none below says nothing: null, unless it has no shingles at all, or the
+    sketches are equal.
+    """
+    low = F.filter(part, lambda h: h < int(HASH_RANGE * fraction))
+    return (
+        F.when((F.size(part) == 0) | (part == whole), 1.0)
+        .when(F.size(low) > 0, F.size(F.array_intersect(low, whole)) / F.size(low))
+        .cast("double")
+    )
 
 
 def compare_with_edit(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:

@@ -69,3 +69,24 @@ def test_odd_rows(documents, odd_rows):
     assert sketches.compare_with_edit(documents()).count() == 0
     alone = sketches.compare_with_edit(documents((9, "one two three four"))).first()
     assert alone["near_next"] == 1.0
+
+
+def test_containment_of_short_parts_is_right_or_unknown(spark):
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    whole = rnd.sample(words, 2000)
+    rows = []
+    for size in (5, 6, 8, 12, 40):
+        for _ in range(60):
+            at = rnd.randrange(2000 - size)
+            rows.append((" ".join(whole[at : at + size]), " ".join(whole), 1))
+            rows.append((" ".join(f"x{rnd.random()}" for _ in range(size)), " ".join(whole), 0))
+    df = spark.createDataFrame(rows, "part string, whole string, inside int")
+    df = sketches.add_sketch(sketches.add_sketch(df, F.col("part"), "p"), F.col("whole"), "w")
+    got = df.select("inside", F.size(F.split("part", " ")).alias("size"), sketches.containment(F.col("p"), F.col("w")).alias("c")).collect()
+    assert all(r["c"] is None or r["c"] == r["inside"] for r in got)
+    # Parts of one shingle often have no hash below the threshold, longer ones hardly ever.
+    assert sum(r["c"] is None for r in got if r["size"] == 40) <= 1
+    assert 0 < sum(r["c"] is None for r in got if r["size"] == 5) < 120
+    same = df.select(sketches.containment(F.col("p"), F.col("p")).alias("c")).distinct().collect()
+    assert [r["c"] for r in same] == [1.0]
