@@ -18,7 +18,7 @@ holdout costs one aggregation with partial counts.
 Defined results: a null or empty text has zeros everywhere and fails the base rules; a
 null stratum is a stratum of its own; labels that contradict each other for one id count
 as bad; unlabelled strata get no cutoff, so all their documents that pass the base are
-kept; repeated rows are judged alike. Extra input columns are not read.
+kept; repeated rows are judged alike and count once as labelled documents. Extra input columns are not read.
 """
 
 from __future__ import annotations
@@ -51,14 +51,20 @@ MAX_STRATA = 1000
 
 
 def base_columns(docs: DataFrame, stratum: str) -> DataFrame:
-    """doc_id, ``_stratum``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    """doc_id, ``_stratum``, ``_text_hash``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     text = text_of(docs)
     real_lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: F.translate(x, SPACES, "") != "")
-    df = docs.select("doc_id", F.coalesce(F.col(stratum).cast("string"), F.lit("null")).alias("_stratum"), text.alias("_text"))
+    df = docs.select(
+        "doc_id",
+        F.coalesce(F.col(stratum).cast("string"), F.lit("null")).alias("_stratum"),
+        text.alias("_text"),
+        F.xxhash64(text).alias("_text_hash"),
+    )
     df = computed(df, "_words", F.transform(words_of(F.col("_text")), lambda w: F.xxhash64(w)))
     df = df.select(
         "doc_id",
         "_stratum",
+        "_text_hash",
         F.size("_words").alias("_n"),
         F.length(F.translate("_text", SPACES, "")).alias("_chars"),
         (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).alias("_symbols"),
@@ -66,7 +72,7 @@ def base_columns(docs: DataFrame, stratum: str) -> DataFrame:
         shingle_hashes(F.col("_words"), WINDOW_WORDS).alias("_windows"),
     )
     df = computed(
-        df.select("doc_id", "_stratum", "_n", "_chars", "_symbols", "_windows",
+        df.select("doc_id", "_stratum", "_text_hash", "_n", "_chars", "_symbols", "_windows",
                   (F.size("_lines") - F.size(F.array_distinct("_lines"))).alias("_dup")),
         "_sorted",
         # Only texts in which some window comes back are sorted.
@@ -92,6 +98,7 @@ def base_columns(docs: DataFrame, stratum: str) -> DataFrame:
     return df.select(
         "doc_id",
         "_stratum",
+        "_text_hash",
         whole(F.col("_n")).alias("n_words"),
         whole(F.col("_chars")).alias("word_chars"),
         whole(F.col("_symbols")).alias("n_symbols"),
@@ -123,7 +130,9 @@ def admitted_cutoffs(
 ) -> DataFrame:
     """Per stratum an array with the cutoff of each rule, nulls where no level is admitted."""
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("_quality")).where("_quality = 1").select("doc_id")
-    held = base.where(~F.col("base_failed")).join(good, "doc_id", "left_semi")
+    # A document that is stored several times is one piece of evidence.
+    labelled = base.where(~F.col("base_failed")).join(good, "doc_id", "left_semi")
+    held = labelled.dropDuplicates(["_stratum", "doc_id", "_text_hash"])
     levels = range(min(len(cutoffs) for _, cutoffs in RULES.values()))
 
     def rejected(level: int) -> Column:

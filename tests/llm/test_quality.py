@@ -95,6 +95,18 @@ def test_a_few_hundred_labels_admit_cutoffs(spark, documents):
     assert counts[(1, True)] == labels.where("quality = 1").count()
 
 
+def test_a_document_stored_many_times_is_one_piece_of_evidence(spark, documents):
+    words = [f"w{i}" for i in range(500)]
+    rnd = random.Random(3)
+    good, marked = (" ".join(w + mark for w in rnd.sample(words, 30)) for mark in ("", "##"))
+    labels = spark.createDataFrame([(1, 1)], NO_LABELS)
+    docs = documents(*[(1, good, "en")] * 300, (2, marked, "en"))
+    assert quality.judge(docs, labels).where("not kept").count() == 0
+    many = [(i, " ".join(rnd.sample(words, 30)), "en") for i in range(10, 310)]
+    labels = spark.createDataFrame([(i, 1) for i, *_ in many], NO_LABELS)
+    assert [r["doc_id"] for r in quality.judge(documents(*many, (2, marked, "en")), labels).where("not kept").collect()] == [2]
+
+
 def test_levels_stop_where_good_documents_would_go(spark, documents):
     # Good documents with one sign per word: the level of 0.8 and all stricter ones fail.
     docs, labels = labelled(spark, documents, 1000, 0.0)
