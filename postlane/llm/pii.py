@@ -293,9 +293,12 @@ def labelled_zones(texts: list[str]) -> list[tuple[Zone, list[Span]]]:
 
 def fit(docs: DataFrame, id_column: str = "doc_id") -> Weights:
     """Weights of the field from a bounded sample of documents with ``text``."""
+    candidates = docs.where(F.col("text").rlike("[0-9@]")).withColumn("_order", hash52(9, id_column))
+    # Hashes alone decide first, so that tasks send no texts but those of the sample.
+    last = candidates.select("_order").orderBy("_order").limit(SAMPLE_DOCS).agg(F.max("_order")).first()[0]
+    chosen = candidates.where(F.col("_order") <= (-1 if last is None else last))
     rows = (
-        docs.where(F.col("text").rlike("[0-9@]"))
-        .select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), hash52(9, id_column).alias("_order"))
+        chosen.select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "_order")
         .orderBy("_order", "text")
         .limit(SAMPLE_DOCS)
         .collect()
