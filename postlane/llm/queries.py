@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from postlane.llm import (
     alignment,
@@ -146,7 +147,8 @@ def op10_encode_pieces(spark, sf_dir):
 @query
 def op2_remove_repeats(spark, sf_dir):
     """Every document without the bytes of 400-byte strings that start elsewhere too."""
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cleaned = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.withColumn("n_kept", F.col("n_bytes") - F.col("n_removed"))
 
 
 @query
