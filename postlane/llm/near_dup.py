@@ -10,13 +10,14 @@ Equal sets are one class from the start, so copies cost a row each, whatever the
 Within a bucket pairs are not listed. Rounds of centres are compared instead: a few members
 of each bucket against its other members that are not yet known to be in the centre's
 component. Confirmed links merge components, centres then leave the bucket, and a bucket
-ends when one component, or one member, is left. Each round takes sixteen times as many
+ends when one component, or one member, is left. Each round takes four times as many
 centres as the round before, so no pair of different components that shares a bucket goes
 unexamined, while a large group of near copies needs few comparisons per member. What no
 pair could reach is never compared: two sets share at most the shingles that neither has
 for itself alone among the candidates, so sizes and these counts bound their likeness
 exactly. Nor are pairs confirmed whose signatures' low bits agree far less often than
-those of any pair at the threshold would, by five standard errors. Both keep the many copies
+those of any pair at the threshold would, by five standard errors (which misses one in
+three million of such pairs, and can be switched off). Both keep the many copies
 that are edited too much to be linked, and would otherwise meet each other in every bucket,
 out of the comparisons. Components are merged by contracting
 edges, as joins; nothing is collected.
@@ -57,7 +58,7 @@ ERRORS = 5
 PIECE = 1 << 20
 # Coordinates times shingles in memory at a time.
 BLOCK = 1 << 18
-CENTRE_GROWTH = 16
+CENTRE_GROWTH = 4
 
 U32, U64 = np.uint32, np.uint64
 WHITE = np.zeros(256, dtype=bool)
@@ -306,8 +307,13 @@ def near_duplicate_groups(
     percent: int = THRESHOLD_PERCENT,
     bands: int = BANDS,
     rows: int = BAND_ROWS,
+    foretell: bool = True,
 ) -> DataFrame:
-    """Per row: the id, ``n_shingles``, ``component_id`` and ``kept``."""
+    """Per row: the id, ``n_shingles``, ``component_id`` and ``kept``.
+
+    Without ``foretell`` every pair that shares a band and may reach the threshold is
+    confirmed on its full sets, however unlike its packed bits are.
+    """
     text = docs["text"].cast("string")
     base = docs.select(F.col(id_column).alias("_id"), F.xxhash64(text).alias("_tag"), text.alias("_text"))
     signed = stored(signatures(base, width, bands, rows), "signed")
@@ -377,7 +383,7 @@ def near_duplicate_groups(
         other = (F.col("_label") != F.col("_la")) & (F.col("_met").isNull() | (F.col("_met") > F.col("_place")))
         reach = may_link(F.col("_n"), F.col("_own"), F.col("_na"), F.col("_own_a"), percent)
         once = first_shared(F.col("_key"), F.col("_keys"), F.col("_keys_a"))
-        alike = may_be_alike(F.col("_bits"), F.col("_bits_a"), percent)
+        alike = may_be_alike(F.col("_bits"), F.col("_bits_a"), percent) if foretell else F.lit(True)
         pairs = (
             ranked.join(chosen, "_key")
             .where(other & reach & alike & once)
