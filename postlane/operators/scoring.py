@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlane import settings
@@ -318,6 +318,56 @@ def feature_score(
     )
 
 
+def candidate_pairs(sets: DataFrame, groups: DataFrame, posting_id: str, k: int) -> DataFrame:
+    """Pairs of skill sets and posting groups among which are the ``k`` best of every set.
+
+    ``sets`` has ``set_id`` and ``skill_set``, ``groups`` one row per signature and base points
+    with the first ``ids``. A threshold algorithm over the list of groups under each word:
+
+    The heads, the ``k`` groups with the smallest ids under each word and base points, meet
+    all sets with the word. Whatever shares only one word with a set stands behind the heads
+    of that word, which score no less and come first. The ``k``-th best score among a set's
+    heads tells how many words any other group has to share, two at least, to be better;
+    such a group has one of the set's rarest words, all but so many less one. So a word that
+    nearly all groups and sets have brings only its heads together with the sets.
+    """
+    lists = groups.select("signature", "base_points", F.array_min("ids").alias("_first"), F.explode("signature").alias("word"))
+    often = lists.groupBy("word").agg(F.count(F.lit(1)).alias("_often"))
+    # A set is one person's skills, so a window over it is small.
+    by_rarity = Window.partitionBy("set_id").orderBy("_often", "word")
+    set_words = materialize(
+        sets.select("set_id", F.size("skill_set").alias("wanted"), F.explode("skill_set").alias("word"))
+        .join(often, "word", "left")
+        .withColumn("_often", F.coalesce("_often", F.lit(0)))
+        .withColumn("_rare", F.row_number().over(by_rarity))
+    )
+    heads = top_per_group(lists, ["word", "base_points"], [F.col("_first")], k, "_nth")
+
+    def met(pairs: DataFrame) -> DataFrame:
+        """The distinct pairs with the words they share and the groups' ids."""
+        named = pairs.select("set_id", "signature", "base_points").distinct().join(sets, "set_id")
+        shared = F.size(F.array_intersect("signature", "skill_set")).cast("bigint")
+        return named.withColumn("n_shared", shared).join(groups, ["signature", "base_points"])
+
+    first = materialize(met(set_words.join(heads, "word")))
+    points = skill_points(F.col("n_shared"), F.size("skill_set")) + F.col("base_points")
+    listed = first.select("set_id", final_score(points).alias("_least"), F.explode("ids").alias(posting_id))
+    ranked = top_per_group(listed, ["set_id"], [F.col("_least").desc(), F.col(posting_id)], k, "_place")
+    # Sets without a k-th best have met all there is for them.
+    bound = ranked.where(F.col("_place") == k).select("set_id", "_least")
+    highest = groups.agg(F.max("base_points")).first()[0]
+
+    def is_rare_enough(base: Column) -> Column:
+        # As scores are rounded, a little less will do.
+        missing = (F.col("_least") - 0.0001 - base) * F.col("wanted") / 60
+        needed = F.greatest(F.ceil(missing), F.lit(2))
+        return F.col("_rare") <= F.col("wanted") - needed + 1
+
+    probes = set_words.join(bound, "set_id").where(is_rare_enough(F.lit(highest)))
+    later = probes.join(lists, "word").where(is_rare_enough(F.col("base_points")))
+    return first.unionByName(met(later)).dropDuplicates(["set_id", "signature", "base_points"])
+
+
 def profile_top_matches(
     profiles: DataFrame,
     postings: DataFrame,
@@ -333,14 +383,15 @@ def profile_top_matches(
     set depends on two things only: which of all skills it names, its signature, and its
     base points. So the first ``k`` ids of every (signature, base points) stand for all
     of its postings, and skill sets meet signatures, never postings. Profiles with the
-    same skills share one skill set.
+    same skills share one skill set. Which signatures a set meets is up to
+    ``candidate_pairs``.
     """
     skill_set = F.array_sort(F.array_distinct(F.transform("skills", lambda s: F.lower(s))))
     signed = profiles.select("profile_id", skill_set.alias("skill_set")).withColumn(
         "set_id", F.sha2(F.to_json("skill_set"), 256)
     )
     sets = signed.groupBy("set_id").agg(F.any_value("skill_set").alias("skill_set"))
-    set_words = sets.select("set_id", F.size("skill_set").alias("wanted"), F.explode("skill_set").alias("word"))
+    all_words = sets.select(F.explode("skill_set").alias("word")).distinct()
     described = postings.withColumn("words", F.array_distinct(words_of("title", "description")))
     featured = posting_points(described, today, remote_words, flag_words).select(
         posting_id, "base_points", "words"
@@ -348,21 +399,15 @@ def profile_top_matches(
     named = (
         # The outer form: a plain explode would have the words computed twice, for a filter.
         featured.select(posting_id, "base_points", F.explode_outer("words").alias("word"))
-        .join(set_words.select("word").distinct(), "word", "left_semi")
+        .join(all_words, "word", "left_semi")
         .groupBy(posting_id, "base_points")
         .agg(F.sort_array(F.collect_set("word")).alias("signature"))
     )
     first = top_per_group(named, ["signature", "base_points"], [F.col(posting_id)], k, "_nth")
     groups = materialize(first.groupBy("signature", "base_points").agg(F.collect_list(posting_id).alias("ids")))
-    signatures = groups.select("signature").distinct()
-    shared = (
-        signatures.select("signature", F.explode("signature").alias("word"))
-        .join(set_words, "word")
-        .groupBy("set_id", "signature")
-        .agg(F.count(F.lit(1)).alias("n_shared"), F.max("wanted").alias("wanted"))
-    )
-    scored = shared.join(groups, "signature").withColumn(
-        "score", final_score(skill_points(F.col("n_shared"), F.col("wanted")) + F.col("base_points"))
+    pairs = candidate_pairs(sets, groups, posting_id, k)
+    scored = pairs.withColumn(
+        "score", final_score(skill_points(F.col("n_shared"), F.size("skill_set")) + F.col("base_points"))
     )
     listed = scored.select("set_id", "n_shared", "score", F.explode("ids").alias(posting_id))
     best = top_per_group(listed, ["set_id"], [F.col("score").desc(), F.col(posting_id)], k, "place")

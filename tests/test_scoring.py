@@ -164,6 +164,30 @@ def test_profile_matches_equal_brute_force(spark):
     assert {(r.profile_id, r.id, r.n_shared, r.score, r.place) for r in got.collect()} == expected
 
 
+def test_a_word_in_all_postings_pairs_few_groups(spark):
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    sets = [["hot", *sorted(rnd.sample(words, rnd.randrange(0, 5)))] for _ in range(120)]
+    sets = [sorted(s) for s in {tuple(s) for s in sets}]
+    rows = [(i, ["hot", *rnd.sample(words, rnd.randrange(0, 4))], rnd.choice([0, 10, 20, 40])) for i in range(1500)]
+    frame = spark.createDataFrame(
+        [(i, s) for i, s in enumerate(sets)], "set_id long, skill_set array<string>")
+    groups = {}
+    for i, signature, base in rows:
+        groups.setdefault((tuple(sorted(signature)), base), []).append(i)
+    listed = spark.createDataFrame(
+        [(list(s), b, ids[:3]) for (s, b), ids in groups.items()], "signature array<string>, base_points int, ids array<int>")
+    pairs = [(r["set_id"], tuple(r["signature"]), r["base_points"], r["n_shared"]) for r in scoring.candidate_pairs(frame, listed, "id", 3).collect()]
+    assert len(pairs) == len({p[:3] for p in pairs})
+    # All sets share a word with all groups; far fewer pairs are looked at.
+    assert len(pairs) < len(sets) * len(groups) / 5
+    score = lambda shared, wanted, base: round(max(0.0, min(100.0, 60.0 * shared / wanted + base)), 4)
+    looked_at = {p[:3] for p in pairs}
+    for n, skills in enumerate(sets):
+        every = sorted((-score(len(set(s) & set(skills)), len(skills), b), i, s, b) for (s, b), ids in groups.items() for i in ids)
+        assert all((n, s, b) in looked_at for _, _, s, b in every[:3])
+
+
 def test_search_plan_and_its_rules(spark):
     people = spark.createDataFrame([(1, ["Virtual Assistant", "VA"], ["calendar management", "Excel"])],
                                    "profile_id int, roles array<string>, skills array<string>")
