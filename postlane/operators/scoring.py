@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import threading
+import time
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -46,31 +51,101 @@ def batch_payloads(batched: DataFrame) -> DataFrame:
 Scorer = Callable[[str, str, str], str]
 
 
+@dataclass(frozen=True)
+class CallPolicy:
+    """How a task calls an external scorer.
+
+    A call that takes longer than ``time_limit_s`` counts as a network error. Network errors
+    and the status codes in ``settings.RETRY_CODES`` are tried again after ``backoff_s``, up
+    to ``attempts`` calls; any other error is final.
+    """
+
+    in_flight: int = 4
+    time_limit_s: float = settings.CALL_TIME_LIMIT
+    attempts: int = settings.CALL_ATTEMPTS
+    backoff_s: float = settings.CALL_BACKOFF
+
+
+def worth_retrying(error: BaseException) -> bool:
+    """Whether an error may pass: by its status code if it has one, else if it is of the network."""
+    code = getattr(error, "code", getattr(error, "status", None))
+    if isinstance(code, int):
+        return code in settings.RETRY_CODES
+    return isinstance(error, OSError)
+
+
+def within_time(call: Callable[[], str], limit_s: float) -> str:
+    """The call's result, or a ``TimeoutError``; a call that hangs is left behind as a daemon."""
+    done: list = []
+
+    def run() -> None:
+        try:
+            done.append((call(), None))
+        except BaseException as error:  # noqa: BLE001 - handed over to the waiting thread
+            done.append((None, error))
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(limit_s)
+    if not done:
+        raise TimeoutError(f"no answer within {limit_s:g} s")
+    result, error = done[0]
+    if error is not None:
+        raise error
+    return result
+
+
+def answered(call: Callable[[], str], policy: CallPolicy) -> tuple[str | None, str | None]:
+    """The answer and the error of a call under a policy, one of them null."""
+    for attempt in range(1, policy.attempts + 1):
+        try:
+            return within_time(call, policy.time_limit_s), None
+        except Exception as error:  # noqa: BLE001 - whatever a user's scorer raises
+            if not worth_retrying(error):
+                return None, f"{type(error).__name__}: {error}"
+            if attempt == policy.attempts:
+                return None, f"{type(error).__name__}: {error} (after {attempt} attempts)"
+        time.sleep(policy.backoff_s)
+    return None, None
+
+
+def in_order(calls: Iterator, run: Callable, in_flight: int) -> Iterator:
+    """Results of ``run`` over ``calls`` in their order, so many at a time at most."""
+    with ThreadPoolExecutor(in_flight) as pool:
+        waiting: deque = deque()
+        for call in calls:
+            waiting.append(pool.submit(run, call))
+            if len(waiting) >= in_flight:
+                yield waiting.popleft().result()
+        while waiting:
+            yield waiting.popleft().result()
+
+
 def call_scorer(
-    payloads: DataFrame, scorer: Scorer, today: str, profile: str, concurrency: int | None = None
+    payloads: DataFrame,
+    scorer: Scorer,
+    today: str,
+    profile: str,
+    concurrency: int | None = None,
+    policy: CallPolicy = CallPolicy(),
 ) -> DataFrame:
     """Answers ``(run_id, batch, raw, error)`` of an external scorer, one call per batch.
 
-    ``scorer(payload_json, today, profile)`` returns the answer text; it owns its
-    retries. What it raises becomes the row's ``error``, so a failed call costs no
-    other call's answer. Batches are dealt over ``concurrency`` tasks (one per core by
-    default), a number that adaptive execution does not change: rows are tiny and
-    calls slow. A retried task may call the scorer twice, so write the result keyed
-    by ``(run_id, batch)`` before reading it again.
+    ``scorer(payload_json, today, profile)`` returns the answer text. What it raises in the
+    end becomes the row's ``error``, so a failed call costs no other call's answer. Batches
+    are dealt over ``concurrency`` tasks (one per core by default), a number that adaptive
+    execution does not change: rows are tiny and calls slow. A task has
+    ``policy.in_flight`` calls open at a time, as calls mostly wait; so the scorer has to be
+    safe to call from several threads. A retried task may call the scorer twice, so write
+    the result keyed by ``(run_id, batch)`` before reading it again.
     """
     tasks = concurrency or payloads.sparkSession.sparkContext.defaultParallelism
 
-    def answer(payload: str) -> tuple[str | None, str | None]:
-        try:
-            return scorer(payload, today, profile), None
-        except Exception as error:  # noqa: BLE001 - whatever a user's scorer raises
-            return None, f"{type(error).__name__}: {error}"
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for run_id, batch, payload in zip(frame["run_id"], frame["batch"], frame["payload"]):
-                raw, error = answer(payload)
-                yield pd.DataFrame({"run_id": [run_id], "batch": [batch], "raw": [raw], "error": [error]})
+        rows = (row for frame in frames for row in zip(frame["run_id"], frame["batch"], frame["payload"]))
+        ask = lambda row: (row[:2], answered(lambda: scorer(row[2], today, profile), policy))
+        for (run_id, batch), (raw, error) in in_order(rows, ask, policy.in_flight):
+            yield pd.DataFrame({"run_id": [run_id], "batch": [batch], "raw": [raw], "error": [error]})
 
     # Round-robin: neither keys nor sizes decide, every task gets its share of calls.
     return payloads.select("run_id", "batch", "payload").repartition(tasks).mapInPandas(

@@ -22,6 +22,12 @@ RUN_HISTORY_ROWS = 20
 # Retry-After handling in seconds.
 RETRY_AFTER_DEFAULT = 20
 RETRY_AFTER_MAX = 60
+# Calls of the scorer: time limit in seconds, calls per batch, seconds between them, and the
+# status codes after which a call is tried again.
+CALL_TIME_LIMIT = 300
+CALL_ATTEMPTS = 3
+CALL_BACKOFF = 30
+RETRY_CODES = (429, 502, 503, 504)
 # A posting older than this is stale.
 FRESH_DAYS = 30
 # Score bands of the dashboard.

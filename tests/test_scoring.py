@@ -2,6 +2,8 @@
 
 import json
 import random
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,6 +114,75 @@ def test_calls_are_spread_and_errors_are_rows(spark):
     assert [(r.batch, r.raw, r.error) for r in tasks if r.error] == [(7, None, "ValueError: too long")]
 
 
+class Refused(Exception):
+    def __init__(self, code):
+        super().__init__(f"HTTP {code}")
+        self.code = code
+
+
+def flaky(errors, calls):
+    """Raises the given errors, one per call, before it answers."""
+
+    def call():
+        calls.append(time.monotonic())
+        if len(calls) <= len(errors):
+            raise errors[len(calls) - 1]
+        return "[]"
+
+    return call
+
+
+@pytest.mark.parametrize("errors, answer, n_calls", [
+    ([Refused(429), ConnectionResetError("gone")], ("[]", None), 3),
+    ([Refused(503)] * 3, (None, "Refused: HTTP 503 (after 3 attempts)"), 3),
+    ([Refused(401)], (None, "Refused: HTTP 401"), 1),
+    ([TimeoutError("slow"), ValueError("bad prompt")], (None, "ValueError: bad prompt"), 2),
+    ([], ("[]", None), 1),
+])
+def test_errors_are_retried_by_their_kind(errors, answer, n_calls):
+    calls = []
+    policy = scoring.CallPolicy(time_limit_s=5, backoff_s=0.05)
+    assert scoring.answered(flaky(errors, calls), policy) == answer
+    assert len(calls) == n_calls and all(b - a >= 0.05 for a, b in zip(calls, calls[1:]))
+
+
+def test_a_call_that_hangs_is_given_up():
+    calls = []
+
+    def call():
+        calls.append(1)
+        time.sleep(0.01 if len(calls) == 3 else 30)
+        return "late but there"
+
+    start = time.monotonic()
+    assert scoring.answered(call, scoring.CallPolicy(time_limit_s=0.3, backoff_s=0)) == ("late but there", None)
+    assert scoring.answered(lambda: time.sleep(30), scoring.CallPolicy(time_limit_s=0.1, attempts=2, backoff_s=0)) == (
+        None, "TimeoutError: no answer within 0.1 s (after 2 attempts)")
+    assert time.monotonic() - start < 10
+
+
+def test_calls_in_flight_are_bounded_and_answers_keep_their_order():
+    lock, now, most = threading.Lock(), [0], [0]
+
+    def run(n):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.02 * (n % 3))
+        with lock:
+            now[0] -= 1
+        return n
+
+    taken = []
+    calls = (taken.append(n) or n for n in range(30))
+    out = []
+    for n in scoring.in_order(calls, run, 4):
+        out.append(n)
+        # The input is not read ahead of the open calls.
+        assert len(taken) - len(out) < 4
+    assert out == list(range(30)) and 2 <= most[0] <= 4
+
+
 def test_quoted_and_bad_scores(spark):
     raw = json.dumps([{"title": "a", "score": "85"}, {"title": "b", "score": 72.5}, {"title": "c", "score": "great"}, 3, {"title": "d"}])
     rows = scoring.parse_answers(spark.createDataFrame([(1, 0, raw)], "run_id long, batch long, raw string"))
