@@ -203,6 +203,11 @@ def feed_scan_quarantine(spark, d):
     )
 
 
+@query
+def feed_faults(spark, d):
+    return feeds.fault_summary(fx.landed_with_dead(spark, d))
+
+
 def _norm(source):
     def run(spark, d):
         return feeds.NORMALIZERS[source](fx.LANDED[source](spark, d)).withColumn(

@@ -297,19 +297,29 @@ for _name, _sql in {"norm_greenhouse": GREENHOUSE, "norm_lever": LEVER}.items():
     ORACLE[_name] = f"select * exclude (description), md5(description) as description_md5 from ({_sql})"
 
 FEEDS = [REMOTIVE, REMOTEOK, ARBEITNOW, SJS, GREENHOUSE, LEVER, ADZUNA]
-ORACLE["feed_scan_quarantine"] = """
-  with p as (
+LANDED_COUNTS = """
     select 'remotive.com' as source, '' as board, c_custkey // 50 as fetch_no, count(*) as n from customer group by all
     union all select 'arbeitnow.com', '', c_custkey // 50, count(*) from customer group by all
     union all select 'remoteok.com', '', p_partkey // 50, count(*) + 1 from part group by all
     union all select 'sjs.co.nz', '', p_partkey // 50, count(*) from part group by all
     union all select 'adzuna', '', p_partkey // 50, count(*) from part group by all
     union all select 'greenhouse', source, doc_id // 1000, count(*) from documents group by all
-    union all select 'lever', source, doc_id // 1000, count(*) from documents group by all)
+    union all select 'lever', source, doc_id // 1000, count(*) from documents group by all"""
+
+ORACLE["feed_scan_quarantine"] = f"""
+  with p as ({LANDED_COUNTS})
   select source, count(*) as n_payloads, count(*) filter (fetch_no % 10 >= 8) as n_dead,
          coalesce(sum(n) filter (fetch_no % 10 < 8), 0)::bigint as n_elements
   from p group by source"""
 
+ORACLE["feed_faults"] = f"""
+  with p as ({LANDED_COUNTS})
+  select source, case fetch_no % 10 when 9 then 'not JSON' else 'no array' end as reason,
+         case when fetch_no % 10 = 9 then '' when source in ('remotive.com', 'greenhouse') then '$.jobs'
+              when source = 'arbeitnow.com' then '$.data' when source = 'adzuna' then '$.results' else '$' end as path,
+         count(*) as n_payloads, min(fetch_no) as first_fetch_no
+  from p where fetch_no % 10 >= 8 group by all"""
+
 
 def _capped(number, sql, cap):
     """The first of one source in its merged order."""

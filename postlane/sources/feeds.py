@@ -311,6 +311,84 @@ def quarantine(landed: DataFrame) -> DataFrame:
     return landed.select("source", "board", "fetch_no", count.alias("n_elements"))
 
 
+def payload_array(source: str, value: Column) -> Column:
+    """The postings of a parsed payload (a VARIANT) as an array of variants; NULL if there is no array."""
+    return F.try_variant_get(value, array_path(source), "array<variant>")
+
+
+def array_path(source: str) -> str:
+    """Where a source's payload has its postings."""
+    field = FEEDS[source].array_field
+    return f"$.{field}" if field else "$"
+
+
+def faults(landed: DataFrame) -> DataFrame:
+    """Payloads that lack what a source promises, with a ``reason`` and the first bad ``path``.
+
+    ``empty`` and ``not JSON`` payloads are dead as a whole, ``no array`` ones have something
+    else where the postings should be; in all of these no posting is read. ``odd element``
+    payloads are read without the element at ``path``, the first that is no object.
+    """
+    known = list(FEEDS)
+
+    def of_source(choose: Callable[[str], Column]) -> Column:
+        chosen = F.lit(None)
+        for source in known:
+            chosen = F.when(F.col("source") == source, choose(source)).otherwise(chosen)
+        return chosen
+
+    parsed = (
+        landed.where(F.col("source").isin(known))
+        .withColumn("_value", F.try_parse_json("payload"))
+        .withColumn("_array", of_source(lambda s: payload_array(s, F.col("_value"))))
+        .withColumn("_path", of_source(lambda s: F.lit(array_path(s))))
+        # A payload that the parser takes as a whole may still be one that the feed reader rejects.
+        .withColumn("_read", of_source(lambda s: F.array_size(elements(s, F.col("payload")))))
+    )
+    is_object = lambda v: F.schema_of_variant(v).startswith("OBJECT")
+    odd = F.array_position(F.transform("_array", lambda v: ~is_object(v)), F.lit(True))
+    found = parsed.withColumn("_odd", odd - 1).withColumn(
+        "reason",
+        F.when(text.strip(or_blank(F.col("payload"))) == "", F.lit("empty"))
+        .when(F.col("_value").isNull(), F.lit("not JSON"))
+        .when(F.col("_array").isNull() | F.col("_read").isNull(), F.lit("no array"))
+        .when(F.col("_odd") >= 0, F.lit("odd element")),
+    )
+    path = F.when(F.col("reason") == "no array", F.col("_path")).when(
+        F.col("reason") == "odd element", F.concat("_path", F.lit("["), F.col("_odd").cast("string"), F.lit("]"))
+    )
+    return found.where(F.col("reason").isNotNull()).select("source", "board", "fetch_no", "reason", path.alias("path"))
+
+
+def fault_summary(landed: DataFrame) -> DataFrame:
+    """Faults per source, reason and path: how many payloads, and the first fetch that had one."""
+    return faults(landed).groupBy("source", "reason", F.coalesce("path", F.lit("")).alias("path")).agg(
+        F.count(F.lit(1)).alias("n_payloads"), F.min("fetch_no").alias("first_fetch_no")
+    )
+
+
+def drift_summary(landed: DataFrame) -> DataFrame:
+    """Per source the schema of all its postings together, and the fields that the reader misses.
+
+    Schemas are merged on the map side. A field that a source has given up shows up in
+    ``missing_fields``; the reader would take it as blank.
+    """
+    parts = []
+    for source, feed in FEEDS.items():
+        parsed = landed.where(F.col("source") == source).select(F.try_parse_json("payload").alias("_value"))
+        postings = parsed.select(F.explode(payload_array(source, F.col("_value"))).alias("_posting"))
+        merged = postings.agg(F.schema_of_variant_agg("_posting").alias("schema"), F.count(F.lit(1)).alias("n_postings"))
+        wanted = [f.name for f in T.StructType.fromDDL(feed.element).fields]
+        present = F.regexp_extract_all(F.col("schema"), F.lit(r"[<,] ?([A-Za-z_][A-Za-z0-9_]*): "), 1)
+        missing = F.array_except(F.array(*map(F.lit, wanted)), present)
+        parts.append(
+            merged.where(F.col("n_postings") > 0).select(
+                F.lit(source).alias("source"), "n_postings", "schema", F.array_join(missing, ",").alias("missing_fields")
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
 def board_rounds(
     rows: DataFrame, boards: list[str] | None = None, cap: int | None = None
 ) -> DataFrame:
