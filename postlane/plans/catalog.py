@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from postlane.plans import views
 from postlane.session import scratch_path
 from postlane.sources import feeds, pages
 from postlane.sources.tables import Store
-from postlane.streaming import dedupe, ingest, runner
+from postlane.streaming import dedupe, ingest, late, runner
 from postlane.streaming import health as stream_health
 from postlane.streaming import scoring as stream_scoring
 
@@ -709,6 +710,18 @@ def stream_ingest(spark, d):
     return stored.select("source", "url", F.coalesce("salary", F.lit("(none)")).alias("salary"))
 
 
+@query
+def stream_day_counts(spark, d):
+    """Events per type and day from a stream; with the late ones, the counts of a batch job."""
+    root = scratch_path(spark, "days")
+    events = _stream_table(spark, d, "events").select(
+        F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("ts"), "event_id"
+    )
+    days = late.DayCounts(spark, os.path.join(root, "days"), "source string, ts timestamp, event_id long", timedelta(days=1))
+    runner.drain_batches(events, days.write, os.path.join(root, "checkpoint"))
+    return days.counts(with_late=True)
+
+
 @query
 def stream_dedupe(spark, d):
     root = scratch_path(spark, "dedupe")

@@ -314,11 +314,11 @@ ORACLE["feed_scan_quarantine"] = f"""
 
 ORACLE["feed_faults"] = f"""
   with p as ({LANDED_COUNTS})
-  select source, case fetch_no % 10 when 9 then 'not JSON' else 'no array' end as reason,
-         case when fetch_no % 10 = 9 then '' when source in ('remotive.com', 'greenhouse') then '$.jobs'
+  select source, case fetch_no % 10 when 9 then 'not JSON' when 8 then 'no array' else 'sound' end as reason,
+         case when fetch_no % 10 <> 8 then '' when source in ('remotive.com', 'greenhouse') then '$.jobs'
               when source = 'arbeitnow.com' then '$.data' when source = 'adzuna' then '$.results' else '$' end as path,
          count(*) as n_payloads, min(fetch_no) as first_fetch_no
-  from p where fetch_no % 10 >= 8 group by all"""
+  from p group by all"""
 
 
 def _capped(number, sql, cap):
@@ -637,5 +637,8 @@ ORACLE["stream_score_commit"] = f"""
     from (select doc_id, text,
                  list_distinct(regexp_split_to_array(lower(lang || ' role ' || text), '[^\\pL\\pN+#]+')) as words from documents))
   where copy_no = 1"""
+ORACLE["stream_day_counts"] = """
+  select event_type as source, strftime(ts, '%Y-%m-%d') as day, count(*) as n from events group by all"""
+
 ORACLE["sightings_per_day"] = """
   select event_type as source, strftime(ts, '%Y-%m-%d') as day, count(*) as n from events group by all"""

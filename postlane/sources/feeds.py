@@ -322,12 +322,10 @@ def array_path(source: str) -> str:
     return f"$.{field}" if field else "$"
 
 
-def faults(landed: DataFrame) -> DataFrame:
-    """Payloads that lack what a source promises, with a ``reason`` and the first bad ``path``.
+def judged_payloads(landed: DataFrame) -> DataFrame:
+    """Every payload with a ``reason`` if it lacks what its source promises, and the first bad ``path``.
 
-    ``empty`` and ``not JSON`` payloads are dead as a whole, ``no array`` ones have something
-    else where the postings should be; in all of these no posting is read. ``odd element``
-    payloads are read without the element at ``path``, the first that is no object.
+    See ``faults``; the reason of a sound payload is NULL.
     """
     known = list(FEEDS)
 
@@ -357,12 +355,23 @@ def faults(landed: DataFrame) -> DataFrame:
     path = F.when(F.col("reason") == "no array", F.col("_path")).when(
         F.col("reason") == "odd element", F.concat("_path", F.lit("["), F.col("_odd").cast("string"), F.lit("]"))
     )
-    return found.where(F.col("reason").isNotNull()).select("source", "board", "fetch_no", "reason", path.alias("path"))
+    return found.select("source", "board", "fetch_no", "reason", path.alias("path"))
+
+
+def faults(landed: DataFrame) -> DataFrame:
+    """Payloads that lack what a source promises, with a ``reason`` and the first bad ``path``.
+
+    ``empty`` and ``not JSON`` payloads are dead as a whole, ``no array`` ones have something
+    else where the postings should be; in all of these no posting is read. ``odd element``
+    payloads are read without the element at ``path``, the first that is no object.
+    """
+    return judged_payloads(landed).where(F.col("reason").isNotNull())
 
 
 def fault_summary(landed: DataFrame) -> DataFrame:
-    """Faults per source, reason and path: how many payloads, and the first fetch that had one."""
-    return faults(landed).groupBy("source", "reason", F.coalesce("path", F.lit("")).alias("path")).agg(
+    """Payloads per source, reason (``sound`` if there is none) and path, and the first such fetch."""
+    reason = F.coalesce("reason", F.lit("sound")).alias("reason")
+    return judged_payloads(landed).groupBy("source", reason, F.coalesce("path", F.lit("")).alias("path")).agg(
         F.count(F.lit(1)).alias("n_payloads"), F.min("fetch_no").alias("first_fetch_no")
     )
 
