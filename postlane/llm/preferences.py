@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlane.llm.common import others
+from postlane.llm.common import hash52, others
 from postlane.operators.ordering import global_position
 
 # The marks of the rendered format.
@@ -123,3 +123,39 @@ def answer_pairs(conversations: DataFrame) -> DataFrame:
             F.concat("_before", F.array("_other_answer")).alias("rejected"),
         )
     )
+
+
+def branch_pairs(conversations: DataFrame, seed: int = 7) -> DataFrame:
+    """Pairs from plain conversations that part ways at an answer.
+
+    ``chosen`` is a whole conversation. ``rejected`` follows it up to one of its answers, picked
+    by a hash of the id, and goes on as the next conversation by id does from that turn on
+    (after the last the first): any number of turns, and equal ones for as long as the two
+    agree. A conversation without an answer is followed to its end. Every conversation gives
+    a pair. Neighbours are found on ids alone.
+    """
+    turn = F.struct("turn", "role", "text")
+    gathered = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("_turns"))
+    plain = F.transform("_turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    numbered = F.transform("_turns", lambda t, i: F.struct(i.alias("i"), t["role"].alias("role")))
+    answers = F.transform(F.filter(numbered, lambda t: t["role"] == TRAINED_ROLE), lambda t: t["i"])
+    picked = F.get("_answers", (hash52(seed, "conv_id") % F.size("_answers")).cast("int"))
+    whole = gathered.select("conv_id", plain.alias("_own"), answers.alias("_answers")).select(
+        "conv_id", "_own", F.when(F.size("_answers") > 0, picked).otherwise(F.size("_own")).alias("_branch")
+    )
+    placed = global_position(conversations.select(F.col("conv_id").alias("_id")).distinct(), ["_id"], "_at")
+    total = max(placed.count(), 1)
+    following = placed.select(F.col("_id").alias("rejected_conv"), ((F.col("_at") + total - 1) % total).alias("_at"))
+    neighbours = placed.join(following, "_at").select("_id", "rejected_conv")
+    later = whole.select(F.col("conv_id").alias("_other"), F.col("_own").alias("_others"))
+    goes_on = F.slice("_others", F.col("_branch") + 1, F.greatest(F.size("_others") - F.col("_branch"), F.lit(0)))
+    return (
+        whole.join(neighbours, whole["conv_id"].eqNullSafe(neighbours["_id"]))
+        .join(later, F.col("rejected_conv").eqNullSafe(F.col("_other")))
+        .select(
+            "conv_id",
+            "rejected_conv",
+            F.col("_own").alias("chosen"),
+            F.concat(F.slice("_own", F.lit(1), F.col("_branch")), goes_on).alias("rejected"),
+        )
+    )

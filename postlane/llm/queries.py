@@ -153,34 +153,64 @@ def op2_remove_repeats(spark, sf_dir):
 
 @query
 def op7_format_preferences(spark, sf_dir):
-    """Every answered conversation as a preference pair against the next one's answer."""
-    return preferences.format_preferences(preferences.answer_pairs(table(spark, sf_dir, "conversations")))
+    """Every conversation as a preference pair against a branch that goes on as the next one does."""
+    return preferences.format_preferences(preferences.branch_pairs(table(spark, sf_dir, "conversations")))
 
 
-ORACLE["op7_format_preferences"] = """
+def preference_twin() -> str:
+    """Turn by turn: the first one in which the two sides differ ends the prompt."""
+    line = (
+        "'<|im_start|>' || coalesce(role, '') || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10)"
+    )
+    rendered = "".join(
+        f"""
+{side}_lines as (
+  select s.conv_id, s.i, s.role, {line} as line, p.n_prompt
+  from {side} s join prefix p on s.conv_id is not distinct from p.conv_id),
+{side}_placed as (
+  select *, coalesce(sum(length(line)) over (partition by conv_id order by i rows between unbounded preceding
+    and 1 preceding), 0)::bigint as off from {side}_lines where i >= n_prompt),
+{side}_shown as (
+  select conv_id, string_agg(line, '' order by i) as shown, string_agg(
+    (off + 22)::varchar || ':' || (off + length(line) - 1)::varchar, ',' order by i) filter (role = 'assistant') as mask
+  from {side}_placed group by conv_id),"""
+        for side in ("chosen", "rejected")
+    )
+    return f"""
 with turns as (
-  select *, row_number() over (partition by conv_id order by turn, role, text) as i from conversations),
-answered as (select conv_id, max(i) as n from turns where role = 'assistant' group by conv_id),
-shown as (
-  select t.*, n, '<|im_start|>' || coalesce(role, '') || chr(10) || replace(coalesce(text, ''), '<|', '< |')
-    || '<|im_end|>' || chr(10) as line
-  from turns t join answered using (conv_id) where i <= n),
-whole as (
-  select conv_id, n, coalesce(string_agg(line, '' order by i) filter (i < n), '') as before,
-    max(line) filter (i = n) as line, max(text) filter (i = n) as answer from shown group by conv_id, n),
-paired as (
-  select *, coalesce(lead(conv_id) over (order by conv_id), min(conv_id) over ()) as rejected_conv from whole)
-select p.conv_id, p.rejected_conv,
-  (case when p.answer is not distinct from o.answer then p.n else p.n - 1 end)::bigint as n_prompt_turns,
-  case when p.answer is not distinct from o.answer then p.before || p.line else p.before end as prompt,
-  case when p.answer is not distinct from o.answer then '' else p.line end as chosen,
-  case when p.answer is not distinct from o.answer then '' else o.line end as rejected,
-  case when p.answer is not distinct from o.answer then '' else '22:' || (length(p.line) - 1) end as chosen_mask,
-  case when p.answer is not distinct from o.answer then '' else '22:' || (length(o.line) - 1) end as rejected_mask
-from paired p join whole o on p.rejected_conv = o.conv_id
+  select conv_id, role, text, row_number() over (partition by conv_id order by turn, role, text) - 1 as i from conversations),
+sized as (
+  select conv_id, count(*) as n, list(i order by i) filter (role = 'assistant') as answers from turns group by conv_id),
+branched as (
+  select conv_id, n, coalesce(lead(conv_id) over (order by conv_id), min(conv_id) over ()) as rejected_conv,
+    case when len(answers) > 0 then answers[('0x' || substr(md5('7:' || conv_id::varchar), 1, 13))::bigint % len(answers) + 1]
+      else n end as branch from sized),
+chosen as (select conv_id, i, role, text from turns),
+rejected as (
+  select b.conv_id, t.i, t.role, t.text from branched b join turns t on t.conv_id = b.conv_id and t.i < b.branch
+  union all
+  select b.conv_id, t.i, t.role, t.text from branched b join turns t on t.conv_id = b.rejected_conv and t.i >= b.branch),
+differing as (
+  select coalesce(c.conv_id, r.conv_id) as conv_id, min(coalesce(c.i, r.i)) as first
+  from chosen c full join rejected r on c.conv_id = r.conv_id and c.i = r.i
+  where c.i is null or r.i is null or c.role is distinct from r.role or c.text is distinct from r.text
+  group by 1),
+prefix as (
+  select b.conv_id, b.rejected_conv, coalesce(d.first, b.n) as n_prompt from branched b left join differing d using (conv_id)),
+{rendered}
+prompts as (
+  select conv_id, string_agg(line, '' order by i) as prompt from chosen_lines where i < n_prompt group by conv_id)
+select p.conv_id, p.rejected_conv, p.n_prompt::bigint as n_prompt_turns, coalesce(m.prompt, '') as prompt,
+  coalesce(c.shown, '') as chosen, coalesce(r.shown, '') as rejected,
+  coalesce(c.mask, '') as chosen_mask, coalesce(r.mask, '') as rejected_mask
+from prefix p left join prompts m using (conv_id) left join chosen_shown c using (conv_id)
+  left join rejected_shown r using (conv_id)
 """
 
 
+ORACLE["op7_format_preferences"] = preference_twin()
+
+
 @query
 def op9_find_personal_data(spark, sf_dir):
     """Personal data in every whole text, by patterns and by a field fitted on a sample."""

@@ -77,3 +77,33 @@ def test_null_and_empty_arrays(spark):
     rows = {r["extra"]: r for r in preferences.format_preferences(df).collect()}
     assert rows[1]["chosen"] == "" and rows[1]["rejected"] == show([("assistant", "a")])
     assert rows[2]["prompt"] == rows[2]["chosen"] == rows[2]["rejected_mask"] == ""
+
+
+def test_branches_have_prompts_and_completions_of_any_length(spark):
+    rnd = random.Random(7)
+    talks = {}
+    for conv in range(60):
+        turns = [("user" if i % 2 == 0 else "assistant", rnd.choice(["yes", "no", f"t{conv}{i}"])) for i in range(rnd.randrange(1, 9))]
+        talks[conv] = turns if conv % 10 else [("user", text) for _, text in turns]
+    talks[None] = [("user", "a"), ("assistant", "yes")]
+    rows = [(c, i, r, t) for c, turns in talks.items() for i, (r, t) in enumerate(turns)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
+    pairs = preferences.branch_pairs(df)
+    order = [None, *range(60)]
+    seen = set()
+    for p in pairs.collect():
+        chosen, rejected = ([tuple(t) for t in p[c]] for c in ("chosen", "rejected"))
+        following = order[(order.index(p["conv_id"]) + 1) % len(order)]
+        assert p["rejected_conv"] == following and chosen == talks[p["conv_id"]]
+        answers = [i for i, (role, _) in enumerate(chosen) if role == "assistant"]
+        assert any(rejected == chosen[:b] + talks[following][b:] for b in answers or [len(chosen)])
+        seen.add(p["conv_id"])
+    assert seen == set(talks)
+    formatted = {r["conv_id"]: r for r in preferences.format_preferences(pairs).collect()}
+    for p in pairs.collect():
+        r = formatted[p["conv_id"]]
+        got = r["n_prompt_turns"], r["prompt"], r["chosen"], r["rejected"], r["chosen_mask"], r["rejected_mask"]
+        assert got == brute(*([tuple(t) for t in p[c]] for c in ("chosen", "rejected")))
+    assert len({r["n_prompt_turns"] for r in formatted.values()}) > 3
+    assert any(r["rejected_mask"].count(",") for r in formatted.values())
+    assert preferences.branch_pairs(df.limit(0)).count() == 0
