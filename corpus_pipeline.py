@@ -25,14 +25,23 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a clear language go; a missing language is filled in."""
+    """Texts without a clear language go; a missing language is filled in.
+
+    Null and empty texts and those without letters go, whatever their ``lang``; ties between
+    languages are rejections. Repeated rows are judged alike; null ids and sources stay.
+    """
     model = language_id.fit(docs.where(~language_id.held_out()))
     judged = language_id.identify(docs, model).where(~F.col("rejected"))
     return judged.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def remove_spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go; a document that had nothing else goes with them."""
+    """Boilerplate lines go; a document that had nothing else goes with them.
+
+    A null text counts as empty; texts that were empty before stay. A null source is a site
+    of its own. Repeated rows keep and lose the same lines, the first occurrence of a line by
+    id and place being kept.
+    """
     cleaned = line_dedup.remove_spread_lines(docs, MIN_SITES)
     some_left = (F.col("n_removed") == 0) | line_dedup.has_word(F.col("text"))
     return cleaned.where(some_left).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
@@ -58,13 +67,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to the target mixture, in global random order."""
+    """Documents repeated to the target mixture, in global random order.
+
+    A null source belongs to the rest of the mixture; null ids draw like the word null, so
+    repeated rows are drawn alike. A source without any text keeps its rate of one.
+    """
     mixed = mixing.mix_sources(docs, MIXTURE, MIXTURE_REST, epochs=1.0, seed=MIXTURE_SEED)
     return mixed.select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text, and the digest of what they decode to."""
+    """Ids of every text, and the digest of what they decode to.
+
+    A null or empty text has the end id alone; repeated rows get equal ids; other columns stay.
+    """
     model = public_tokenizers.path("piece_bpe_32k.model")
     return piece_bpe.encode_and_verify(docs.select("doc_id", "lang", "source", "text"), model).drop("text")
 
