@@ -126,6 +126,9 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
         for texts in batches:
             yield pd.DataFrame([classify(t, encoders) for t in texts], columns=["lang_pred", "score"])
 
+    # A filter on the verdict would otherwise be pushed below and every text encoded twice,
+    # by two Python workers in each task.
+    predicted = predicted.asNondeterministic()
     own = others(docs, "lang_pred", "score", "rejected")
     return docs.select(*own, predicted(docs["text"]).alias("__predicted")).select(
         *own,

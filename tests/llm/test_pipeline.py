@@ -155,3 +155,10 @@ def test_queries_equal_their_sql(spark, sf_dir, name):
     expected = sorted(str([row[i] for i in places]) for row in cursor.fetchall())
     assert sorted(str([row[c] for c in columns]) for row in frame.collect()) == expected
     assert expected
+
+
+def test_languages_are_found_once_per_text(spark, raw):
+    """A filter on the verdict must not bring a second pass, with workers of its own, along."""
+    kept = corpus_pipeline.identify_language(spark, raw[1], "")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
