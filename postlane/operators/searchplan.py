@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Fixed value: the word that every query must contain.
 REQUIRED_WORD = "remote"
+# Queries and wanted targets that a task counts together, a few hundred bytes each.
+MARKS_PER_TASK = 500_000
 
 
 def _targets(config: dict) -> Column:
@@ -62,23 +64,41 @@ def search_plan(profiles: DataFrame, config: dict) -> DataFrame:
 def plan_violations(plans: DataFrame, profiles: DataFrame, config: dict) -> DataFrame:
     """Broken plan rules: targets without exactly one query, queries without the word.
 
-    ``plans`` is ``(profile_id, kind, target, query)``.
+    ``plans`` is ``(profile_id, kind, target, query)``. Queries and wanted targets are marks
+    of one table that is counted by target. Nearly all marks are alone in their map task, so
+    they are dealt by target first, as many to a task as its memory easily counts, whatever
+    the tables' size. A null never equals another, so marks with one stay on their own side.
     """
-    wanted = expand_targets(profiles.select("profile_id"), config).select("profile_id", "kind", "target")
-    counted = plans.groupBy("profile_id", "kind", "target").agg(
-        F.count(F.lit(1)).alias("n_queries"),
-        F.count_if(~F.lower(F.col("query")).contains(REQUIRED_WORD)).alias("n_without_word"),
+    key = ["profile_id", "kind", "target"]
+    wanted = expand_targets(profiles.select("profile_id"), config).select(*key)
+    without = F.coalesce(~F.lower(F.col("query")).contains(REQUIRED_WORD), F.lit(False))
+    marks = plans.select(*key, F.lit(False).alias("_wanted"), without.alias("_without")).unionByName(
+        wanted.select(*key, F.lit(True).alias("_wanted"), F.lit(False).alias("_without"))
     )
-    checked = wanted.withColumn("_wanted", F.lit(True)).join(
-        counted, ["profile_id", "kind", "target"], "full_outer"
+    n_targets = len(config.get("job_boards", [])) + len(config.get("reddit_groups", []))
+    # A plan has about one query per target.
+    n_tasks = 2 * profiles.count() * n_targets // MARKS_PER_TASK + 1
+    tasks = max(n_tasks, profiles.sparkSession.sparkContext.defaultParallelism)
+    has_null = F.col("profile_id").isNull() | F.col("kind").isNull() | F.col("target").isNull()
+    counted = (
+        marks.repartition(tasks, *key)
+        .groupBy(*key, F.when(has_null, F.col("_wanted")).alias("_side"))
+        .agg(
+            F.count_if("_wanted").alias("_times"),
+            F.count_if(~F.col("_wanted")).alias("n_queries"),
+            F.count_if("_without").alias("n_without_word"),
+        )
     )
-    n = F.coalesce("n_queries", F.lit(0))
+    n, is_wanted = F.col("n_queries"), F.col("_times") > 0
     rules = F.array_compact(
         F.array(
-            F.when(F.col("_wanted").isNull(), F.lit("unknown_target")),
-            F.when(F.col("_wanted") & (n == 0), F.lit("missing_query")),
-            F.when(F.col("_wanted") & (n > 1), F.lit("repeated_query")),
-            F.when(F.coalesce("n_without_word", F.lit(0)) > 0, F.lit("word_missing")),
+            F.when(~is_wanted, F.lit("unknown_target")),
+            F.when(is_wanted & (n == 0), F.lit("missing_query")),
+            F.when(is_wanted & (n > 1), F.lit("repeated_query")),
+            F.when(F.col("n_without_word") > 0, F.lit("word_missing")),
         )
     )
-    return checked.select("profile_id", "kind", "target", n.alias("n_queries"), F.explode(rules).alias("rule"))
+    broken = counted.withColumn("_rules", rules).where(F.size("_rules") > 0)
+    # A repeated profile wants its targets as often.
+    each = broken.withColumn("_time", F.explode(F.sequence(F.lit(1), F.greatest("_times", F.lit(1)))))
+    return each.select(*key, "n_queries", F.explode("_rules").alias("rule"))

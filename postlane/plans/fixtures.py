@@ -36,7 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # Tables whose rows take real work, with a key to spread them by.
-SPREAD_KEYS = {"documents": ["doc_id"], "pages": ["page_id"], "lineitem": ["l_orderkey", "l_linenumber"]}
+SPREAD_KEYS = {
+    "documents": ["doc_id"],
+    "pages": ["page_id"],
+    "lineitem": ["l_orderkey", "l_linenumber"],
+    "customer": ["c_custkey"],
+}
 
 
 def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -536,7 +541,7 @@ def profiles(spark, sf_dir) -> DataFrame:
     skills = F.array(*[F.lit(s) for s in DEFAULT_SKILLS])
     for segment, words in SKILLS.items():
         skills = F.when(F.col("c_mktsegment") == segment, F.array(*[F.lit(w) for w in words])).otherwise(skills)
-    return table(spark, sf_dir, "customer").select(
+    return wide_table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("profile_id"),
         skills.alias("skills"),
         F.expr("array(concat(initcap(c_mktsegment), ' Analyst'), initcap(c_mktsegment))").alias("roles"),

@@ -274,6 +274,32 @@ def test_search_plan_and_its_rules(spark):
     assert got == {("Community", "missing_query"), ("wellfound.com", "repeated_query"), ("x.com", "unknown_target"), ("x.com", "word_missing")}
 
 
+def test_plan_rules_keep_repeats_and_nulls_apart(spark):
+    config = {"job_boards": ["a.com"], "reddit_groups": []}
+    people = spark.createDataFrame([(1,), (1,), (2,), (None,)], "profile_id long")
+    rows = [(2, "a.com"), (2, "a.com"), (None, "a.com"), (3, None)]
+    plans = spark.createDataFrame([(i, "board", t, "q remote") for i, t in rows], "profile_id long, kind string, target string, query string")
+    got = sorted(map(str, searchplan.plan_violations(plans, people, config).collect()))
+    row = "Row(profile_id={}, kind='board', target={}, n_queries={}, rule='{}')".format
+    assert got == sorted([
+        row(1, "'a.com'", 0, "missing_query"), row(1, "'a.com'", 0, "missing_query"), row(2, "'a.com'", 2, "repeated_query"),
+        row(None, "'a.com'", 0, "missing_query"), row(None, "'a.com'", 1, "unknown_target"), row(3, None, 1, "unknown_target"),
+    ])
+
+
+def test_plan_marks_are_dealt_to_tasks_before_they_are_counted(spark, monkeypatch):
+    """No map task counts marks, and tasks grow in number with the profiles."""
+    monkeypatch.setattr(searchplan, "MARKS_PER_TASK", 100)
+    config = {"job_boards": ["a.com", "b.com"], "reddit_groups": []}
+    people = spark.range(1000).withColumnRenamed("id", "profile_id")
+    plans = searchplan.expand_targets(people, config).select("profile_id", "kind", "target", F.lit("remote").alias("query"))
+    broken = searchplan.plan_violations(plans, people, config)
+    assert broken.count() == 0
+    plan = broken._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.split("\n") if "Exchange" in line]
+    assert len(exchanges) == 1 and ", 41)" in exchanges[0] and "SortMergeJoin" not in plan
+
+
 def test_search_plan_answer_is_read_with_its_schema(spark):
     from postlane.schemas import SEARCH_PLAN
     raw = '```json\n{"target_roles": ["VA"], "key_skills": [], "search_queries": ["a remote"]}\n```'
