@@ -50,6 +50,9 @@ def batch_payloads(batched: DataFrame) -> DataFrame:
 
 Scorer = Callable[[str, str, str], str]
 
+# Characters of a payload that go to Python in one row.
+PIECE_CHARS = 2000
+
 
 @dataclass(frozen=True)
 class CallPolicy:
@@ -121,6 +124,32 @@ def in_order(calls: Iterator, run: Callable, in_flight: int) -> Iterator:
             yield waiting.popleft().result()
 
 
+def in_pieces(payloads: DataFrame) -> DataFrame:
+    """Payloads cut into rows of at most ``PIECE_CHARS`` characters, a payload's pieces in a row.
+
+    A batch of rows for Python is bounded by their number alone; so cut, also by its size.
+    ``first`` marks where a payload begins; a null or an empty one is one piece.
+    """
+    cut = F.regexp_extract_all("payload", F.lit(f"(?s).{{1,{PIECE_CHARS}}}"), F.lit(0))
+    pieces = F.when(F.col("payload") == "", F.array(F.lit(""))).otherwise(cut)
+    placed = payloads.select("run_id", "batch", F.posexplode_outer(pieces).alias("no", "piece"))
+    return placed.select("run_id", "batch", (F.coalesce("no", F.lit(0)) == 0).alias("first"), "piece")
+
+
+def put_together(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """Rows ``(run_id, batch, payload)`` of frames of pieces."""
+    key, pieces = None, []
+    for frame in frames:
+        for run_id, batch, first, piece in zip(frame["run_id"], frame["batch"], frame["first"], frame["piece"]):
+            if first:
+                if key:
+                    yield *key, None if pieces == [None] else "".join(pieces)
+                key, pieces = (run_id, batch), []
+            pieces.append(piece)
+    if key:
+        yield *key, None if pieces == [None] else "".join(pieces)
+
+
 def call_scorer(
     payloads: DataFrame,
     scorer: Scorer,
@@ -142,15 +171,13 @@ def call_scorer(
     tasks = concurrency or payloads.sparkSession.sparkContext.defaultParallelism
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (row for frame in frames for row in zip(frame["run_id"], frame["batch"], frame["payload"]))
         ask = lambda row: (row[:2], answered(lambda: scorer(row[2], today, profile), policy))
-        for (run_id, batch), (raw, error) in in_order(rows, ask, policy.in_flight):
+        for (run_id, batch), (raw, error) in in_order(put_together(frames), ask, policy.in_flight):
             yield pd.DataFrame({"run_id": [run_id], "batch": [batch], "raw": [raw], "error": [error]})
 
     # Round-robin: neither keys nor sizes decide, every task gets its share of calls.
-    return payloads.select("run_id", "batch", "payload").repartition(tasks).mapInPandas(
-        run, "run_id long, batch long, raw string, error string"
-    )
+    dealt = payloads.select("run_id", "batch", "payload").repartition(tasks)
+    return in_pieces(dealt).mapInPandas(run, "run_id long, batch long, raw string, error string")
 
 
 def parse_answers(answers: DataFrame) -> DataFrame:

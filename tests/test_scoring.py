@@ -114,6 +114,19 @@ def test_calls_are_spread_and_errors_are_rows(spark):
     assert [(r.batch, r.raw, r.error) for r in tasks if r.error] == [(7, None, "ValueError: too long")]
 
 
+def test_payloads_reach_python_in_small_pieces(spark):
+    size = scoring.PIECE_CHARS
+    texts = {0: "", 1: None, 2: "short", 3: "é😀\n" * size, 4: "x" * size, 5: "y" * (5 * size + 1)}
+    payloads = spark.createDataFrame([(1, b, t) for b, t in texts.items()], "run_id long, batch long, payload string").coalesce(1)
+    longest = scoring.in_pieces(payloads).agg(F.max(F.length("piece"))).first()[0]
+    assert longest == size
+    answers = scoring.call_scorer(payloads, lambda p, today, profile: repr(p), "", "", concurrency=1)
+    assert {r.batch: r.raw for r in answers.collect()} == {b: repr(t) for b, t in texts.items()}
+    # The frames that Python gets hold no whole payload.
+    plan = answers._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and "Generate posexplode" in plan
+
+
 class Refused(Exception):
     def __init__(self, code):
         super().__init__(f"HTTP {code}")
