@@ -41,6 +41,7 @@ SPREAD_KEYS = {
     "pages": ["page_id"],
     "lineitem": ["l_orderkey", "l_linenumber"],
     "customer": ["c_custkey"],
+    "part": ["p_partkey"],
 }
 
 
@@ -163,7 +164,7 @@ def landed_remotive(spark, sf_dir):
         publication_date="concat('2024-05-', lpad(cast(c_custkey % 28 + 1 as string), 2, '0'), 'T12:00:00')",
         salary="case when c_nationkey % 3 = 0 then concat('  $', cast(c_custkey as string), 'k ') end",
     )
-    rows = table(spark, sf_dir, "customer")
+    rows = wide_table(spark, sf_dir, "customer")
     return _landed(rows, "remotive.com", F.lit(""), F.expr("c_custkey div 50"), F.col("c_custkey"), item, _object("jobs"))
 
 
@@ -176,7 +177,7 @@ def landed_arbeitnow(spark, sf_dir):
         description="c_mktsegment",
         created_at="1714608000 + c_custkey",
     )
-    rows = table(spark, sf_dir, "customer")
+    rows = wide_table(spark, sf_dir, "customer")
     return _landed(rows, "arbeitnow.com", F.lit(""), F.expr("c_custkey div 50"), F.col("c_custkey"), item, _object("data"))
 
 
@@ -192,7 +193,7 @@ def landed_remoteok(spark, sf_dir):
         salary_max="case when p_size % 5 in (0, 1) then null when p_size % 5 = 3 then p_retailprice "
         "else p_retailprice * 1.2 end",
     )
-    rows = table(spark, sf_dir, "part")
+    rows = wide_table(spark, sf_dir, "part")
 
     def with_notice(array):
         return F.concat(F.lit('[{"legal": "terms", "warning": "..."}, '), F.substring(array, 2, 2_000_000_000))
@@ -216,7 +217,7 @@ def landed_sjs(spark, sf_dir):
         externalApplyUrl="case when p_size % 5 = 0 then concat('https://apply.example.com/', p_partkey) end",
         applyUrl="case when p_size % 5 = 1 then concat('https://sjs.example.com/', p_partkey) end",
     )
-    rows = table(spark, sf_dir, "part")
+    rows = wide_table(spark, sf_dir, "part")
     return _landed(rows, "sjs.co.nz", F.lit(""), F.expr("p_partkey div 50"), F.col("p_partkey"), item, _plain)
 
 
@@ -237,7 +238,7 @@ def landed_adzuna(spark, sf_dir):
             }.items()
         ],
     )
-    rows = table(spark, sf_dir, "part")
+    rows = wide_table(spark, sf_dir, "part")
     return _landed(rows, "adzuna", F.lit(""), F.expr("p_partkey div 50"), F.col("p_partkey"), item, _object("results"))
 
 

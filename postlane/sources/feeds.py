@@ -231,14 +231,16 @@ def elements(source: str, payload: Column) -> Column:
 
 
 def read_elements(df: DataFrame, sources: list[str]) -> DataFrame:
-    """Adds per source the element read by its schema, NULL in rows of other sources."""
-    return df.select(
-        "*",
-        *[
-            F.when(F.col("source") == s, F.from_json("col", f"struct<{FEEDS[s].element}>")).alias(f"_read_{i}")
-            for i, s in enumerate(sources)
-        ],
-    )
+    """Adds per source the element read by its schema, NULL in rows of other sources.
+
+    As the output of a generator: a filter on the fields stays above it, and an element is
+    read once, not once for every field that the filter looks at.
+    """
+    each = [
+        F.when(F.col("source") == s, F.from_json("col", f"struct<{FEEDS[s].element}>")).alias(f"_read_{i}")
+        for i, s in enumerate(sources)
+    ]
+    return df.select("*", F.explode(F.array(F.struct(*each))).alias("_read")).select(*df.columns, "_read.*")
 
 
 def by_source(sources: list[str], value: Callable[[str, Column], Column]) -> Column:
@@ -249,12 +251,8 @@ def by_source(sources: list[str], value: Callable[[str, Column], Column]) -> Col
     return chosen
 
 
-def usable_elements(landed: DataFrame, sources: list[str]) -> DataFrame:
-    """The sources' elements that are postings, as text (``col``), with their date.
-
-    ``posted_date`` is there for ranking: cleaning whole descriptions can then wait until
-    caps have dropped most rows.
-    """
+def read_usable(landed: DataFrame, sources: list[str]) -> DataFrame:
+    """The sources' elements that are postings, as text (``col``) and read, with their date."""
     payload = F.lit(None)
     for source in sources:
         payload = F.when(F.col("source") == source, elements(source, F.col("payload"))).otherwise(payload)
@@ -269,11 +267,25 @@ def usable_elements(landed: DataFrame, sources: list[str]) -> DataFrame:
 
     dated = read_elements(listed, sources).where(by_source(sources, usable))
     date = by_source(sources, lambda s, p: or_blank(FEEDS[s].columns(p)["posted_date"]))
-    return dated.select("source", *ORDER_COLUMNS, "col", date.alias("posted_date"))
+    return dated.withColumn("posted_date", date)
+
+
+def usable_elements(landed: DataFrame, sources: list[str]) -> DataFrame:
+    """The sources' elements that are postings, as text (``col``), with their date.
+
+    ``posted_date`` is there for ranking: cleaning whole descriptions can then wait until
+    caps have dropped most rows.
+    """
+    return read_usable(landed, sources).select("source", *ORDER_COLUMNS, "col", "posted_date")
 
 
 def cleaned(rows: DataFrame, sources: list[str], *keep: str) -> DataFrame:
-    """Posting columns of usable elements, after the columns to keep.
+    """Posting columns of usable elements, after the columns to keep."""
+    return posting_columns(read_elements(rows, sources), sources, *keep)
+
+
+def posting_columns(read: DataFrame, sources: list[str], *keep: str) -> DataFrame:
+    """Posting columns of elements that have been read, after the columns to keep.
 
     NULL becomes blank, except for the salary of a source that has none at all.
     """
@@ -283,7 +295,6 @@ def cleaned(rows: DataFrame, sources: list[str], *keep: str) -> DataFrame:
         blank = (lambda c: c) if name == "salary" else or_blank
         return by_source(sources, lambda s, p: blank(FEEDS[s].columns(p)[name])).cast("string")
 
-    read = read_elements(rows, sources)
     return read.select(*keep, *[column(name).alias(name) for name in POSTING_COLUMNS])
 
 
@@ -295,7 +306,7 @@ def normalize(landed: DataFrame, source: str) -> DataFrame:
 def normalize_all(landed: DataFrame, sources: list[str] | None = None) -> DataFrame:
     """All postings of several sources (of all feeds by default), the payloads read once."""
     known = [s for s in (sources if sources is not None else FEEDS) if s in FEEDS]
-    return cleaned(usable_elements(landed, known), known, *ORDER_COLUMNS)
+    return posting_columns(read_usable(landed, known), known, *ORDER_COLUMNS)
 
 
 NORMALIZERS = {name: partial(normalize, source=name) for name in FEEDS}
