@@ -127,6 +127,17 @@ def test_payloads_reach_python_in_small_pieces(spark):
     assert "MapInPandas" in plan and "Generate posexplode" in plan
 
 
+def test_pieces_and_workers_stay_few(spark):
+    """Ten thousand rows make a batch for Python; a task reads its answers once."""
+    assert 10_000 * scoring.PIECE_CHARS <= 1 << 21
+    answers = spark.createDataFrame(
+        [(1, 0, 'so: [{"url": "u"}]'), (1, 1, "none"), (1, 2, None)], "run_id long, batch long, raw string"
+    )
+    results = scoring.parse_answers(answers)
+    assert [(r.batch, r.result_no, r.r.url) for r in results.collect()] == [(0, 0, "u")]
+    assert results._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 class Refused(Exception):
     def __init__(self, code):
         super().__init__(f"HTTP {code}")
