@@ -15,7 +15,10 @@ centres as the round before, so no pair of different components that shares a bu
 unexamined, while a large group of near copies needs few comparisons per member. What no
 pair could reach is never compared: two sets share at most the shingles that neither has
 for itself alone among the candidates, so sizes and these counts bound their likeness
-exactly. Nor are pairs confirmed whose signatures' low bits agree far less often than
+exactly. Nor is a pair whose parities differ too often: each set's shingles are dealt into
+slots, of which one bit tells whether an odd number fell in, and every slot that differs
+holds a shingle that only one of the two sets has. So near copies that are just not alike
+enough are not listed as pairs. Nor are pairs confirmed whose signatures' low bits agree far less often than
 those of any pair at the threshold would, by five standard errors (which misses one in
 three million of such pairs, and can be switched off). Both keep the many copies
 that are edited too much to be linked, and would otherwise meet each other in every bucket,
@@ -54,6 +57,10 @@ SKETCH = 256
 SKETCH_BITS = 4
 # Pairs so many standard errors below the threshold by this estimate are not confirmed.
 ERRORS = 5
+# Slots whose parities bound from below how many shingles two sets do not share.
+SLOTS = 1 << 10
+# Bits of the filter that keeps rows that no class wants out of the shuffle of texts.
+FILTER_BITS = 1 << 24
 # Bytes hashed at a time; longer texts are cut between words.
 PIECE = 1 << 20
 # Coordinates times shingles in memory at a time.
@@ -133,6 +140,12 @@ def packed_sketch(signature: np.ndarray) -> np.ndarray:
     return (low << places).sum(axis=1, dtype=U64).view(np.int64)
 
 
+def packed_parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether each slot got an odd number of shingles, packed into 64-bit numbers."""
+    slots = (shingles >> U64(64 - (SLOTS.bit_length() - 1))).astype(np.int64)
+    return np.packbits(np.bincount(slots, minlength=SLOTS) & 1).view(np.int64)
+
+
 def set_digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
@@ -193,29 +206,48 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """``_set`` and its ``_shingles`` for rows with ``_set`` and ``_text``."""
+    """``_set``, its ``_shingles`` and their parities ``_odd`` for rows with ``_set`` and ``_text``."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Another text under the same id is not this set's text.
         rows = (
-            [name, found.view(np.int64)]
+            [name, found.view(np.int64), packed_parities(found)]
             for name, found in _sets(batches, width)
             if name[0].as_py() == set_digest(found)
         )
-        schema = pa.schema([("_set", pa.binary()), ("_shingles", pa.list_(pa.int64()))])
+        numbers = pa.list_(pa.int64())
+        schema = pa.schema([("_set", pa.binary()), ("_shingles", numbers), ("_odd", numbers)])
         yield from _batched(rows, schema, 100)
 
-    return docs.select("_set", "_text").mapInArrow(make, "_set binary, _shingles array<bigint>")
+    return docs.select("_set", "_text").mapInArrow(make, "_set binary, _shingles array<bigint>, _odd array<bigint>")
+
+
+def probably_in(rows: DataFrame, wanted: DataFrame, *names: str) -> DataFrame:
+    """Those of the rows whose named columns' hash is that of a wanted row: all wanted ones, and few others.
+
+    A bit for each hash, in 64-bit numbers that are broadcast; their size is bounded, and more
+    wanted rows than bits let more others pass.
+    """
+    place = F.pmod(F.xxhash64(*names), F.lit(FILTER_BITS))
+    # Bits of a number differ, so their sum is their union.
+    places = wanted.select(place.alias("_place")).distinct()
+    bit = F.expr("shiftleft(1L, cast(_place % 64 as int))")
+    filled = places.groupBy(F.expr("_place div 64").alias("_word")).agg(F.bit_or(bit).alias("_filled"))
+    tried = rows.withColumn("_place", place).withColumn("_word", F.expr("_place div 64"))
+    met = tried.join(F.broadcast(filled), "_word").where("shiftrightunsigned(_filled, cast(_place % 64 as int)) & 1 = 1")
+    return met.select(*[rows[c] for c in rows.columns])
 
 
 def own_shingles(sets: DataFrame) -> DataFrame:
     """``_own``: how many of a set's shingles no other candidate has; sets without any are left out.
 
-    Counted over all candidates' full sets, with partial counts per shingle.
+    Counted over all candidates' full sets, with partial counts per shingle. Sets go by their
+    number ``_no`` meanwhile, as shorter rows are shuffled.
     """
-    each = sets.select("_set", F.explode("_shingles").alias("_shingle"))
-    counted = each.groupBy("_shingle").agg(F.count(F.lit(1)).alias("_many"), F.first("_set").alias("_set"))
-    return counted.where("_many = 1").groupBy("_set").agg(F.count(F.lit(1)).alias("_own"))
+    each = sets.select("_no", F.explode("_shingles").alias("_shingle"))
+    counted = each.groupBy("_shingle").agg(F.count(F.lit(1)).alias("_many"), F.min("_no").alias("_no"))
+    alone = counted.where("_many = 1").groupBy("_no").agg(F.count(F.lit(1)).alias("_own"))
+    return alone.join(sets.select("_no", "_set"), "_no").select("_set", "_own")
 
 
 def may_link(size_a: Column, own_a: Column, size_b: Column, own_b: Column, percent: int) -> Column:
@@ -224,6 +256,14 @@ def may_link(size_a: Column, own_a: Column, size_b: Column, own_b: Column, perce
     return 100 * most >= percent * (size_a + size_b - most)
 
 
+def may_agree(size_a: Column, odd_a: Column, size_b: Column, odd_b: Column, percent: int) -> Column:
+    """Whether the threshold is within reach: a slot whose parities differ holds a shingle of one set alone."""
+    differing = F.lit(0)
+    for i in range(SLOTS // 64):
+        differing = differing + F.bit_count(F.get(odd_a, F.lit(i)).bitwiseXOR(F.get(odd_b, F.lit(i))))
+    return (100 + percent) * differing <= (100 - percent) * (size_a + size_b)
+
+
 def may_be_alike(a: Column, b: Column, percent: int) -> Column:
     """Whether the packed sketches agree as often as those of a linked pair do, but for chance.
 
@@ -258,8 +298,10 @@ def within_reach(low: Column, high: Column, percent: int) -> Column:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (``a``, ``b``) whose full sets reach the threshold."""
-    left = sets.select(F.col("_set").alias("a"), F.col("_shingles").alias("_of_a"))
-    right = sets.select(F.col("_set").alias("b"), F.col("_shingles").alias("_of_b"))
+    pairs = stored(pairs, "pairs")
+    full = sets.select("_set", "_shingles")
+    left = probably_in(full, pairs.select(F.col("a").alias("_set")), "_set").toDF("a", "_of_a")
+    right = probably_in(full, pairs.select(F.col("b").alias("_set")), "_set").toDF("b", "_of_b")
     both = F.size(F.array_intersect("_of_a", "_of_b"))
     union = F.size("_of_a") + F.size("_of_b") - both
     return pairs.join(right, "b").join(left, "a").where(100 * both >= percent * union).select("a", "b")
@@ -336,11 +378,14 @@ def near_duplicate_groups(
     # Sets that share no bucket stay alone and need no label.
     labels = stored(candidates.select("_set", F.col("_set").alias("_label")).distinct(), "labels")
     # Texts of one document per class that shares a bucket; each becomes its set once.
-    wanted = candidates.select("_set").distinct().join(classes.select("_set", "_id", "_tag"), "_set")
-    same = base["_id"].eqNullSafe(wanted["_id"]) & (base["_tag"] == wanted["_tag"])
-    texts = base.join(wanted.hint("shuffle_hash"), same).select("_set", "_text")
-    sets = stored(full_sets(texts, width).dropDuplicates(["_set"]), "sets")
+    wanted = stored(candidates.select("_set").distinct().join(classes.select("_set", "_id", "_tag"), "_set"), "wanted")
+    asked = probably_in(base, wanted, "_id", "_tag")
+    same = asked["_id"].eqNullSafe(wanted["_id"]) & (asked["_tag"] == wanted["_tag"])
+    texts = asked.join(wanted.hint("shuffle_hash"), same).select("_set", "_text")
+    once = full_sets(texts, width).dropDuplicates(["_set"])
+    sets = stored(once.withColumn("_no", F.monotonically_increasing_id()), "sets")
     lonely = stored(own_shingles(sets), "own")
+    marks = stored(classes.select("_set", "_keys", "_bits").join(sets.select("_set", "_odd"), "_set"), "marks")
     buckets = candidates.join(lonely, "_set", "left").withColumn("_own", F.coalesce("_own", F.lit(0)))
 
     centres = 1
@@ -357,7 +402,7 @@ def near_duplicate_groups(
             .where(within_reach(F.col("_low"), F.col("_high"), percent))
             .drop("_low", "_high")
             .join(labels, "_set")
-            .join(classes.select("_set", "_keys", "_bits"), "_set"),
+            .join(marks, "_set"),
             "live",
         )
         if not live.limit(1).count():
@@ -372,6 +417,7 @@ def near_duplicate_groups(
                 F.col("_own").alias("_own_a"),
                 F.col("_keys").alias("_keys_a"),
                 F.col("_bits").alias("_bits_a"),
+                F.col("_odd").alias("_odd_a"),
                 F.col("_label").alias("_la"),
                 "_place",
             ),
@@ -382,11 +428,12 @@ def near_duplicate_groups(
         ranked = live.join(as_centre, ["_key", "_set"], "left")
         other = (F.col("_label") != F.col("_la")) & (F.col("_met").isNull() | (F.col("_met") > F.col("_place")))
         reach = may_link(F.col("_n"), F.col("_own"), F.col("_na"), F.col("_own_a"), percent)
+        agree = may_agree(F.col("_n"), F.col("_odd"), F.col("_na"), F.col("_odd_a"), percent)
         once = first_shared(F.col("_key"), F.col("_keys"), F.col("_keys_a"))
         alike = may_be_alike(F.col("_bits"), F.col("_bits_a"), percent) if foretell else F.lit(True)
         pairs = (
             ranked.join(chosen, "_key")
-            .where(other & reach & alike & once)
+            .where(other & reach & agree & alike & once)
             .select(F.least("a", "_set").alias("a"), F.greatest("a", "_set").alias("b"))
             .distinct()
         )

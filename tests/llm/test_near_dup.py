@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from postlane.llm import near_dup
 from postlane.llm.rolling import SpanHasher
@@ -92,6 +93,57 @@ def test_a_large_group_of_near_copies(documents):
     assert found(near_dup.near_duplicate_groups(documents(*rows))) == expected
 
 
+def test_near_copies_below_the_threshold_are_not_listed_as_pairs(documents, monkeypatch):
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for at in rnd.sample(range(120), 2):
+            words[at] = f"x{i} {at}"
+        rows.append((i, " ".join(words)))
+    listed, confirmed = [], near_dup.confirmed
+
+    def counted(pairs, *more):
+        listed.append(pairs.count())
+        return confirmed(pairs, *more)
+
+    monkeypatch.setattr(near_dup, "confirmed", counted)
+    expected = brute(rows)
+    sets = [shingles(t) for _, t in rows]
+    close = sum(100 * len(a & b) >= 78 * len(a | b) for a, b in itertools.combinations(sets, 2))
+    linked = sum(100 * len(a & b) >= 85 * len(a | b) for a, b in itertools.combinations(sets, 2))
+    assert found(near_dup.near_duplicate_groups(documents(*rows))) == expected
+    assert sum(listed) <= linked + 100 < close / 2
+
+
+def test_parities_bound_what_is_not_shared(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for n, other in ((100, 10), (300, 60), (3000, 500), (5, 1)):
+        numbers = np.unique(rng.integers(0, 1 << 64, n + other, dtype=np.uint64))
+        a, b = numbers[:n], numbers[other:]
+        odd = [near_dup.packed_parities(x).tolist() for x in (a, b)]
+        differing = sum((x ^ y).bit_count() for x, y in zip(*[[v % (1 << 64) for v in o] for o in odd]))
+        assert differing <= 2 * other and (n > 300 or differing >= 0.8 * 2 * other)
+        both = len(np.intersect1d(a, b))
+        rows.append((len(a), odd[0], len(b), odd[1], 100 * both >= 85 * (len(a) + len(b) - both)))
+    df = spark.createDataFrame(rows, "na long, a array<long>, nb long, b array<long>, linked boolean")
+    agree = near_dup.may_agree(F.col("na"), F.col("a"), F.col("nb"), F.col("b"), 85)
+    assert df.where(F.col("linked") & ~agree).count() == 0
+    assert df.where("not linked").where(~agree).count() > 0
+
+
+def test_rows_that_no_class_wants_are_left_out_of_the_shuffle(spark):
+    rows = spark.range(10_000).selectExpr("nullif(id, 7) as id", "id * 3 as tag", "cast(id as string) as text")
+    wanted = rows.where("id % 100 = 0 or id is null").select("id", "tag")
+    left = near_dup.probably_in(rows, wanted, "id", "tag")
+    assert left.columns == rows.columns
+    assert left.join(wanted, left["id"].eqNullSafe(wanted["id"])).count() == wanted.count() == 101
+    assert left.count() < 200
+    assert near_dup.probably_in(rows, wanted.where("id < 0"), "id", "tag").count() == 0
+
+
 def test_odd_rows(documents, odd_rows):
     out = near_dup.near_duplicate_groups(documents(*odd_rows, clashing=True))
     assert out.columns == ["doc_id", "n_shingles", "component_id", "kept"]
