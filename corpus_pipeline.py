@@ -82,7 +82,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text has the end id alone; repeated rows get equal ids; other columns stay.
     """
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return piece_bpe.encode_and_verify(docs.select("doc_id", "lang", "source", "text"), model).drop("text")
+    return piece_bpe.encode_and_verify(docs.select("doc_id", "lang", "source", "text"), model, keep_text=False)
 
 
 STAGES = [

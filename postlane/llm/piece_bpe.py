@@ -101,24 +101,28 @@ class PieceTable:
         ]
         self.automaton = ahocorasick.Automaton()
         for p, i in self.number.items():
-            if self.history(i)[-1][1] == p:  # a piece that no merges lead to never occurs
+            if self.steps(i)[-1][1] == p:  # a piece that no merges lead to never occurs
                 self.automaton.add_word(p, i)
         self.automaton.make_automaton()
 
-    def history(self, token: int) -> list[tuple[float, str, str]]:
+    def steps(self, token: int) -> list[tuple[float, str, str]]:
         """Scores of a token's own merges, each with the first and last symbol after it."""
+        symbols = list(self.token[token])
+        steps = [(float("inf"), symbols[0], symbols[-1])]
+        while len(symbols) > 1:
+            scores = [self.score.get(a + b, float("-inf")) for a, b in zip(symbols, symbols[1:])]
+            best = max(scores)
+            if best == float("-inf"):
+                break
+            at = scores.index(best)
+            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            steps.append((best, symbols[0], symbols[-1]))
+        return steps
+
+    def history(self, token: int) -> list[tuple[float, str, str]]:
+        """The steps of a token that a text has, which are kept."""
         if token not in self.merges:
-            symbols = list(self.token[token])
-            steps = [(float("inf"), symbols[0], symbols[-1])]
-            while len(symbols) > 1:
-                scores = [self.score.get(a + b, float("-inf")) for a, b in zip(symbols, symbols[1:])]
-                best = max(scores)
-                if best == float("-inf"):
-                    break
-                at = scores.index(best)
-                symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-                steps.append((best, symbols[0], symbols[-1]))
-            self.merges[token] = steps
+            self.merges[token] = self.steps(token)
         return self.merges[token]
 
     def stay_separate(self, a: int, b: int) -> bool:
@@ -289,18 +293,30 @@ def decode_ids(df: DataFrame, model_path: str, ids_column: str = "ids") -> DataF
     return df.withColumn("decoded", decoded(df[ids_column]))
 
 
-def _with_columns(docs: DataFrame, model_path: str, text_column: str, added: dict[str, str], make) -> DataFrame:
-    """Adds columns that ``make(table, texts)`` gives as Arrow arrays for a few texts at a time."""
+def _with_columns(
+    docs: DataFrame, model_path: str, text_column: str, added: dict[str, str], make, keep_text: bool = True
+) -> DataFrame:
+    """Adds columns that ``make(table, texts)`` gives as Arrow arrays for a few texts at a time.
+
+    A text goes to Python once, and comes back only if it is kept.
+    """
     model = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
     own = others(docs, *added)
     kept = docs.select(*own)
-    names = [*kept.columns, *added]
+    is_text = [f.name == text_column and f.dataType == T.StringType() for f in kept.schema.fields]
+    sent = [c for c, same in zip(own, is_text) if not same]
     # By number, as names may hold dots.
-    numbered = docs.select(docs[text_column].cast("string").alias("text"), *own).toDF(
-        "text", *[f"c{i}" for i in range(len(own))]
+    numbered = docs.select(docs[text_column].cast("string").alias("text"), *sent).toDF(
+        "text", *[f"c{i}" for i in range(len(sent))]
     )
+    # Places of the returned columns among those sent.
+    rest = iter(range(1, len(sent) + 1))
+    placed = [(0 if same else next(rest), name) for same, name in zip(is_text, kept.columns)]
+    if not keep_text:
+        placed = [(at, name) for at, name in placed if name != text_column]
+    names = [*[name for _, name in placed], *added]
     made = ", ".join(f"m{i} {kind}" for i, kind in enumerate(added.values()))
-    schema = T.StructType([*numbered.schema.fields[1:], *T.StructType.fromDDL(made).fields])
+    schema = T.StructType([*[numbered.schema.fields[at] for at, _ in placed], *T.StructType.fromDDL(made).fields])
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = table_of(model.value)
@@ -309,13 +325,19 @@ def _with_columns(docs: DataFrame, model_path: str, text_column: str, added: dic
             for span in bounded(sizes, TOGETHER):
                 part = batch.slice(span.start, len(span))
                 arrays = make(pieces, [t or "" for t in part.column(0).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *arrays], schema.names)
+                own_arrays = [part.column(at) for at, _ in placed]
+                yield pa.RecordBatch.from_arrays([*own_arrays, *arrays], schema.names)
 
     return numbered.mapInArrow(mapped, schema).toDF(*names)
 
 
-def encode_and_verify(docs: DataFrame, model_path: str, text_column: str = "text") -> DataFrame:
-    """Adds ``ids``, ``n_tokens`` and ``decoded_sha256``, the digest of what the ids decode to."""
+def encode_and_verify(
+    docs: DataFrame, model_path: str, text_column: str = "text", keep_text: bool = True
+) -> DataFrame:
+    """Adds ``ids``, ``n_tokens`` and ``decoded_sha256``, the digest of what the ids decode to.
+
+    Without ``keep_text`` the text column goes.
+    """
 
     def make(pieces: PieceTable, texts: list[str]) -> list[pa.Array]:
         packed = [pieces.packed(t) for t in texts]
@@ -326,7 +348,7 @@ def encode_and_verify(docs: DataFrame, model_path: str, text_column: str = "text
         return [ids, pa.array(many, pa.int64()), pa.array(digests, pa.string())]
 
     added = {"ids": "array<int>", "n_tokens": "bigint", "decoded_sha256": "string"}
-    return _with_columns(docs, model_path, text_column, added, make)
+    return _with_columns(docs, model_path, text_column, added, make, keep_text)
 
 
 def digest_texts(docs: DataFrame, model_path: str, text_column: str = "text") -> DataFrame:

@@ -99,3 +99,24 @@ def test_round_trip_of_ids(documents, odd_rows, library):
         assert r["decoded"] == text.replace("▁", " ")
         if r["doc_id"] in verified:
             assert verified[r["doc_id"]]["ids"] == r["ids"] and verified[r["doc_id"]]["n_tokens"] == len(r["ids"])
+
+
+def test_steps_are_kept_of_tokens_in_texts_only(library):
+    table = piece_bpe.PieceTable(piece_bpe.read_model(MODEL))
+    assert not table.merges
+    text = "Only a few tokens stand in this text."
+    assert table.encode(text) == library.encode(text, add_eos=True)
+    assert 0 < len(table.merges) < 200
+
+
+def test_texts_go_to_python_once(spark):
+    df = spark.createDataFrame([(1, "a text", "x"), (2, None, None)], "doc_id long, text string, `a.b` string")
+    for keep, columns in ((True, ["doc_id", "text", "a.b"]), (False, ["doc_id", "a.b"])):
+        out = piece_bpe.encode_and_verify(df, MODEL, keep_text=keep)
+        assert out.columns == [*columns, "ids", "n_tokens", "decoded_sha256"]
+        plan = out._jdf.queryExecution().analyzed().toString()
+        line = next(x for x in plan.splitlines() if "MapInArrow" in x)
+        assert len(line.split("mapped(")[1].split(")")[0].split(", ")) == 3
+        rows = {r.doc_id: r for r in out.collect()}
+        assert rows[2].n_tokens == 1 and rows[1]["a.b"] == "x" and rows[2]["a.b"] is None
+        assert not keep or (rows[1].text, rows[2].text) == ("a text", None)
