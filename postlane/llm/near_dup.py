@@ -229,8 +229,7 @@ def probably_in(rows: DataFrame, wanted: DataFrame, *names: str) -> DataFrame:
     wanted rows than bits let more others pass.
     """
     place = F.pmod(F.xxhash64(*names), F.lit(FILTER_BITS))
-    # Bits of a number differ, so their sum is their union.
-    places = wanted.select(place.alias("_place")).distinct()
+    places = wanted.select(place.alias("_place"))
     bit = F.expr("shiftleft(1L, cast(_place % 64 as int))")
     filled = places.groupBy(F.expr("_place div 64").alias("_word")).agg(F.bit_or(bit).alias("_filled"))
     tried = rows.withColumn("_place", place).withColumn("_word", F.expr("_place div 64"))
@@ -300,8 +299,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (``a``, ``b``) whose full sets reach the threshold."""
     pairs = stored(pairs, "pairs")
     full = sets.select("_set", "_shingles")
-    left = probably_in(full, pairs.select(F.col("a").alias("_set")), "_set").toDF("a", "_of_a")
-    right = probably_in(full, pairs.select(F.col("b").alias("_set")), "_set").toDF("b", "_of_b")
+    needed = probably_in(full, pairs.select(F.explode(F.array("a", "b")).alias("_set")), "_set")
+    left, right = needed.toDF("a", "_of_a"), needed.toDF("b", "_of_b")
     both = F.size(F.array_intersect("_of_a", "_of_b"))
     union = F.size("_of_a") + F.size("_of_b") - both
     return pairs.join(right, "b").join(left, "a").where(100 * both >= percent * union).select("a", "b")
