@@ -142,17 +142,21 @@ def neighbours(prints: DataFrame) -> DataFrame:
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """Edges (``x``, ``y``) that connect all of the distinct ``_print`` within two bits of each other."""
+    """Edges (``x``, ``y``) that connect all of the distinct ``_print`` within two bits of each other.
+
+    Spark sizes an exploded table like one that is not, 66 times too low, and would send it
+    to the driver to broadcast it. The hints have these joins shuffled.
+    """
     indexed = variants(prints)
     shared = indexed.groupBy("_key").agg(F.count(F.lit(1)).alias("_many")).where("_many > 1")
-    members = stored(indexed.join(shared, "_key"), "members")
+    members = stored(indexed.join(shared.hint("merge"), "_key"), "members")
     few = members.where(F.col("_many") <= PAIRED).select("_key", "_print")
     left, right = (few.select("_key", F.col("_print").alias(n)) for n in ("x", "y"))
     verified = (F.col("x") < F.col("y")) & links_of(F.col("x"), F.col("y"), F.col("_key"))
-    pairs = left.join(right, "_key").where(verified).select("x", "y")
+    pairs = left.join(right.hint("merge"), "_key").where(verified).select("x", "y")
     around = neighbours(members.where(F.col("_many") > PAIRED).select("_print").distinct())
     smallest = around.groupBy("_near").agg(F.min("_print").alias("x"), F.count(F.lit(1)).alias("_many"))
-    joined = around.join(smallest.where("_many > 1").select("_near", "x"), "_near")
+    joined = around.join(smallest.where("_many > 1").select("_near", "x").hint("merge"), "_near")
     return pairs.unionByName(joined.select("x", F.col("_print").alias("y")).where("x <> y"))
 
 

@@ -115,6 +115,26 @@ def test_a_large_group_needs_no_pairs(spark):
     assert len(seen) == sum(r == expected[centre] for r in expected.values())
 
 
+def test_exploded_tables_are_not_broadcast(spark, monkeypatch):
+    keep, plans = simhash.stored, {}
+
+    def planned(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(df, name)
+
+    monkeypatch.setattr(simhash, "stored", planned)
+    monkeypatch.setattr(simhash, "PAIRED", 2)
+    df = spark.createDataFrame([(signed(p),) for p in some_prints(random.Random(3), 4)], "_print bigint")
+    edges = simhash.links(df)
+    plans["edges, as begun"] = edges._jdf.queryExecution().executedPlan().toString()
+    assert edges.collect()
+    plans["edges, as run"] = edges._jdf.queryExecution().executedPlan().toString()
+    # The threshold is Spark's own: such small tables would all be broadcast.
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    assert not {name for name, plan in plans.items() if "Broadcast" in plan}
+    assert all(plan.count("SortMergeJoin") >= (1 if name == "members" else 2) for name, plan in plans.items())
+
+
 def test_groups_equal_brute_force(documents):
     rnd = random.Random(2)
     vocabulary = [f"w{i}" for i in range(200)]
