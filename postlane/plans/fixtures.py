@@ -133,12 +133,21 @@ def references(spark, sf_dir) -> DataFrame:
 
 
 def _landed(rows, source, board, fetch, key, item, wrap):
-    """Rows gathered into payloads of at most 50 postings, in key order."""
-    gathered = rows.groupBy(board.alias("board"), fetch.cast("long").alias("fetch_no")).agg(
+    """Rows gathered into payloads of at most 50 postings, in key order.
+
+    Plain rows are dealt by payload, in one exchange that all feeds of a table share; their
+    postings are made behind it and so are never shuffled. ``board`` is a column's name or None.
+    """
+    by = ["_fetch"] if board is None else [board, "_fetch"]
+    dealt = rows.withColumn("_fetch", fetch.cast("long")).repartition(*by)
+    gathered = dealt.groupBy(*by).agg(
         F.array_sort(F.collect_list(F.struct(key.alias("k"), item.alias("item")))).alias("items")
     )
     array = F.to_json(F.transform("items", lambda x: x["item"]))
-    return gathered.select(F.lit(source).alias("source"), "board", "fetch_no", wrap(array).alias("payload"))
+    named = F.lit("") if board is None else F.col(board)
+    return gathered.select(
+        F.lit(source).alias("source"), named.alias("board"), F.col("_fetch").alias("fetch_no"), wrap(array).alias("payload")
+    )
 
 
 def _object(field):
@@ -164,8 +173,8 @@ def landed_remotive(spark, sf_dir):
         publication_date="concat('2024-05-', lpad(cast(c_custkey % 28 + 1 as string), 2, '0'), 'T12:00:00')",
         salary="case when c_nationkey % 3 = 0 then concat('  $', cast(c_custkey as string), 'k ') end",
     )
-    rows = wide_table(spark, sf_dir, "customer")
-    return _landed(rows, "remotive.com", F.lit(""), F.expr("c_custkey div 50"), F.col("c_custkey"), item, _object("jobs"))
+    rows = table(spark, sf_dir, "customer")
+    return _landed(rows, "remotive.com", None, F.expr("c_custkey div 50"), F.col("c_custkey"), item, _object("jobs"))
 
 
 def landed_arbeitnow(spark, sf_dir):
@@ -177,8 +186,8 @@ def landed_arbeitnow(spark, sf_dir):
         description="c_mktsegment",
         created_at="1714608000 + c_custkey",
     )
-    rows = wide_table(spark, sf_dir, "customer")
-    return _landed(rows, "arbeitnow.com", F.lit(""), F.expr("c_custkey div 50"), F.col("c_custkey"), item, _object("data"))
+    rows = table(spark, sf_dir, "customer")
+    return _landed(rows, "arbeitnow.com", None, F.expr("c_custkey div 50"), F.col("c_custkey"), item, _object("data"))
 
 
 def landed_remoteok(spark, sf_dir):
@@ -193,12 +202,12 @@ def landed_remoteok(spark, sf_dir):
         salary_max="case when p_size % 5 in (0, 1) then null when p_size % 5 = 3 then p_retailprice "
         "else p_retailprice * 1.2 end",
     )
-    rows = wide_table(spark, sf_dir, "part")
+    rows = table(spark, sf_dir, "part")
 
     def with_notice(array):
         return F.concat(F.lit('[{"legal": "terms", "warning": "..."}, '), F.substring(array, 2, 2_000_000_000))
 
-    return _landed(rows, "remoteok.com", F.lit(""), F.expr("p_partkey div 50"), F.col("p_partkey"), item, with_notice)
+    return _landed(rows, "remoteok.com", None, F.expr("p_partkey div 50"), F.col("p_partkey"), item, with_notice)
 
 
 def landed_sjs(spark, sf_dir):
@@ -217,8 +226,8 @@ def landed_sjs(spark, sf_dir):
         externalApplyUrl="case when p_size % 5 = 0 then concat('https://apply.example.com/', p_partkey) end",
         applyUrl="case when p_size % 5 = 1 then concat('https://sjs.example.com/', p_partkey) end",
     )
-    rows = wide_table(spark, sf_dir, "part")
-    return _landed(rows, "sjs.co.nz", F.lit(""), F.expr("p_partkey div 50"), F.col("p_partkey"), item, _plain)
+    rows = table(spark, sf_dir, "part")
+    return _landed(rows, "sjs.co.nz", None, F.expr("p_partkey div 50"), F.col("p_partkey"), item, _plain)
 
 
 def landed_adzuna(spark, sf_dir):
@@ -238,8 +247,8 @@ def landed_adzuna(spark, sf_dir):
             }.items()
         ],
     )
-    rows = wide_table(spark, sf_dir, "part")
-    return _landed(rows, "adzuna", F.lit(""), F.expr("p_partkey div 50"), F.col("p_partkey"), item, _object("results"))
+    rows = table(spark, sf_dir, "part")
+    return _landed(rows, "adzuna", None, F.expr("p_partkey div 50"), F.col("p_partkey"), item, _object("results"))
 
 
 def landed_greenhouse(spark, sf_dir):
@@ -255,8 +264,8 @@ def landed_greenhouse(spark, sf_dir):
         ),
         F.expr("concat('2026-07-', lpad(cast(n_chars % 28 + 1 as string), 2, '0'))").alias("updated_at"),
     )
-    rows = wide_table(spark, sf_dir, "documents")
-    return _landed(rows, "greenhouse", F.col("source"), F.expr("doc_id div 1000"), F.col("doc_id"), item, _object("jobs"))
+    rows = table(spark, sf_dir, "documents")
+    return _landed(rows, "greenhouse", "source", F.expr("doc_id div 1000"), F.col("doc_id"), item, _object("jobs"))
 
 
 def landed_lever(spark, sf_dir):
@@ -272,8 +281,8 @@ def landed_lever(spark, sf_dir):
         F.expr("case when doc_id % 3 = 1 then text end").alias("descriptionBodyPlain"),
         F.expr("concat('<div>', text, '</div>')").alias("descriptionBody"),
     )
-    rows = wide_table(spark, sf_dir, "documents")
-    return _landed(rows, "lever", F.col("source"), F.expr("doc_id div 1000"), F.col("doc_id"), item, _plain)
+    rows = table(spark, sf_dir, "documents")
+    return _landed(rows, "lever", "source", F.expr("doc_id div 1000"), F.col("doc_id"), item, _plain)
 
 
 LANDED = {

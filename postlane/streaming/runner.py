@@ -15,8 +15,9 @@ def drain(writer: DataStreamWriter, checkpoint: str) -> None:
 
 
 def drain_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Append a stream's rows to a Parquet folder and read it back."""
-    drain(stream.writeStream.format("parquet").outputMode("append").option("path", path), checkpoint)
+    """Append a stream's rows to a Parquet folder, in its densest usual form, and read it back."""
+    writer = stream.writeStream.format("parquet").outputMode("append").option("compression", "zstd")
+    drain(writer.option("path", path), checkpoint)
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 

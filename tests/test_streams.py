@@ -3,10 +3,13 @@
 import json
 import os
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from postlane.operators import health, scoring, state
+from postlane.plans import catalog
+from postlane.plans import fixtures as fx
 from postlane.schemas import LANDED_FEED, POSTING_COLUMNS
 from postlane.sources import feeds
 from postlane.sources.tables import Store
@@ -43,6 +46,61 @@ def test_ingest_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.select(*POSTING_COLUMNS).collect())) == sorted(map(tuple, expected.select(*POSTING_COLUMNS).collect()))
 
 
+def small_tables(spark, folder):
+    """Customers, parts and documents: nulls in what deals them, a repeated row, repeated keys."""
+    customer = [(k, f"Customer {k}", "BUILDING", k % 25) for k in range(120)] + [(None, "nobody", None, None), (7, "again", "x", 3)]
+    part = [(k, f"part {k}", f"Brand{k % 5}", "STEEL", k % 50, 900.0 + k) for k in range(120)] + [(None, None, None, None, None, None)]
+    docs = [(k, f"word{k} <b>and</b> & more words\n" * 40, "en", f"src{k % 3}", 1000 + k) for k in range(300)]
+    docs += [docs[5], (6, "another text", "fr", "src0", 12), (None, "no id", "de", "src1", 5), (9, None, None, None, None)]
+    ddl = {
+        "customer": "c_custkey long, c_name string, c_mktsegment string, c_nationkey int",
+        "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+        "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    }
+    for (name, columns), rows in zip(ddl.items(), (customer, part, docs)):
+        spark.createDataFrame(rows, columns).repartition(3).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_landed_feeds_share_one_exchange_of_plain_rows(spark, tmp_path):
+    landed = fx.landed_feeds(spark, small_tables(spark, tmp_path))
+    rows = landed.collect()
+    plan = landed._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # Three tables for seven feeds: no payload nor any part of one is shuffled.
+    assert plan.count("ReusedExchange") == 4
+    assert plan.count("REPARTITION_BY_COL") == 7 and "ENSURE_REQUIREMENTS" not in plan
+    keys = [(r.source, r.board, r.fetch_no) for r in rows]
+    assert len(set(keys)) == len(keys)
+    lever = {(r.board, r.fetch_no): json.loads(r.payload) for r in rows if r.source == "lever"}
+    assert set(lever) == {("src0", 0), ("src1", 0), ("src2", 0), ("src1", None), (None, 0)}
+    titles = [x["text"] for x in lever["src2", 0]]
+    assert titles[:4] == ["en role 2", "en role 5", "en role 5", "en role 8"] and len(titles) == 101
+    assert [x["text"] for x in lever["src0", 0]][2:4] == ["en role 6", "fr role 6"]
+    assert sum(len(json.loads(r.payload)["jobs"]) for r in rows if r.source == "remotive.com") == 122
+
+
+def test_ingest_leaves_little_on_disk(spark, tmp_path):
+    def shuffle_files():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_")}
+
+    tables, held = small_tables(spark, tmp_path / "tables"), shuffle_files()
+    mode = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    got = catalog.stream_ingest(spark, tables)
+    expected = feeds.normalize_all(fx.landed_feeds(spark, tables), fx.search_config()["api_sources"])
+    plain = expected.select("source", "url", F.coalesce("salary", F.lit("(none)")))
+    out = os.path.dirname(got.inputFiles()[0].removeprefix("file:").replace("///", "/"))
+    until = time.time() + 30
+    while (left := shuffle_files() - held) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == mode
+    assert all(f.endswith(".zstd.parquet") for f in os.listdir(out) if f.startswith("part-"))
+    landed = [f for _, _, names in os.walk(os.path.join(out, "../landed")) for f in names if f.startswith("part-")]
+    assert landed and all(f.endswith(".json.gz") for f in landed)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_dedupe_across_files_and_restarts(spark, tmp_path):
     path, out, cp = (str(tmp_path / p) for p in ("in", "out", "cp"))
     rnd = random.Random(1)
